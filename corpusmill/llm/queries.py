@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusmill.llm import packing, tokenfiles
+from corpusmill.llm import packing, quality, tokenfiles
 from corpusmill.llm.shared import new_path
 
 
@@ -19,6 +19,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-files")
     tokenfiles.write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, _vocabulary(), end_id=0)
@@ -27,5 +32,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", F.col("n_tokens").cast("long").alias("n_tokens"), "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality_rules, op10_token_files)}
 ORACLE_SQL: dict[str, str] = {}
