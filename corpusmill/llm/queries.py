@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusmill.llm import packing, quality, secrets, tokenfiles
+from corpusmill.llm import html_text, packing, quality, secrets, tokenfiles, url_filter
 from corpusmill.llm.shared import new_path
 
 
@@ -24,6 +24,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "spans")
     base = tuple(r.kind for r in secrets.BASE)
@@ -31,6 +36,11 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.span_list(F.col("spans"), base), 256).alias("base_sha256"), secrets.span_list(F.col("spans")).alias("spans"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"))
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-files")
     tokenfiles.write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, _vocabulary(), end_id=0)
@@ -39,5 +49,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", F.col("n_tokens").cast("long").alias("n_tokens"), "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_quality_rules, op4_secrets, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_html_text, op4_secrets, op5_url_filter, op10_token_files)}
 ORACLE_SQL: dict[str, str] = {}
