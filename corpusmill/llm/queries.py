@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusmill.llm import html_text, packing, quality, secrets, tokenfiles, url_filter
+from corpusmill.llm import html_text, packing, quality, secrets, tokenfiles, url_filter, warc
 from corpusmill.llm.shared import new_path
 
 
@@ -41,6 +41,11 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), warc.archive_path(spark))
+    return warc.read_records(index, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-files")
     tokenfiles.write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, _vocabulary(), end_id=0)
@@ -49,5 +54,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", F.col("n_tokens").cast("long").alias("n_tokens"), "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_html_text, op4_secrets, op5_url_filter, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_html_text, op4_secrets, op5_url_filter, op6_warc, op10_token_files)}
 ORACLE_SQL: dict[str, str] = {}
