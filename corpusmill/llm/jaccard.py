@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from corpusmill.llm.bpe import slices
-from corpusmill.llm.graph import components
+from corpusmill.llm.graph import components, forest
 from corpusmill.llm.shared import need, written
 
 _BASE, _BUCKETS = np.uint64(0x9E3779B97F4A7C55), 1024
@@ -44,6 +44,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 _VALUES = mix(np.arange(1, 257, dtype=np.uint64))
 _VALUES[65:91] = _VALUES[97:123]  # A-Z as a-z
+_ONE = np.ones(1, bool)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 
@@ -74,7 +75,8 @@ def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     for i, n in enumerate(counts.tolist()):
         a = at[i]
         if n >= k:
-            out.append(np.unique(h[a : a + n - k + 1]))
+            x = np.sort(h[a : a + n - k + 1])
+            out.append(x[np.concatenate([_ONE, x[1:] != x[:-1]])])
         elif n:
             x = words[a : a + 1].copy()
             for j in range(1, n):
@@ -220,31 +222,84 @@ def leader_pairs(keys: DataFrame, bounds: Bounds) -> DataFrame:
     return keys.repartition("tok").mapInArrow(star, _PAIR).distinct()
 
 
-def cross_pairs(keys: DataFrame, bounds: Bounds) -> DataFrame:
-    """a < b: groups of one bucket that fit in size and are in different components. keys: tok, gid, n, m, component."""
+def cross_pairs(keys: DataFrame, bounds: Bounds, small: int = 64) -> DataFrame:
+    """kind, a, b of the buckets with several components. keys: tok, gid, n, m, component.
+
+    kind 0: a < b of one bucket, which fit in size and are in different components. A bucket of more than `small`
+    documents gives, instead of its pairs, kind 1: that b is in the shard a, named by its smallest document;
+    shards of many buckets coincide, as large buckets come from the same copies or passages."""
 
     def cross(batches):
         batches = list(batches)
         tok, gid, n, m, comp = (np.concatenate([np.asarray(b.column(i)) for b in batches]) if batches else np.zeros(0, np.int64) for i in range(5))
-        order = np.lexsort((n, tok))
+        order = np.lexsort((gid, tok))
         tok, gid, n, comp = tok[order], gid[order], n[order], comp[order]
         cuts, counts = _runs(tok)
+        if not len(cuts):
+            return
+        several = np.repeat(np.minimum.reduceat(comp, cuts) != np.maximum.reduceat(comp, cuts), counts)
+        large = np.repeat(counts > small, counts)
+        shards = np.stack([np.repeat(gid[cuts], counts), gid], axis=1)[several & large]
+        keep = several & ~large
+        tok, gid, n, comp = tok[keep], gid[keep], n[keep], comp[keep]
         found = [np.zeros((0, 2), np.int64)]
-        for a, c in zip(cuts.tolist(), counts.tolist(), strict=True):
-            if c < 2 or (comp[a : a + c] == comp[a]).all():
-                continue
-            g, s, k = gid[a : a + c], n[a : a + c], comp[a : a + c]
-            for i in range(c - 1):
-                j = slice(i + 1, int(np.searchsorted(s, s[i] * bounds.den // bounds.num, side="right")))
-                other = g[j][k[j] != k[i]]
-                if len(other):
-                    found.append(np.stack([np.minimum(other, g[i]), np.maximum(other, g[i])], axis=1))
-            if len(found) > 4096:
-                found = [np.unique(np.concatenate(found), axis=0)]
-        pairs = np.unique(np.concatenate(found), axis=0)
-        yield from _rows(_PAIR, pairs[:, 0], pairs[:, 1])
+        for d in range(1, min(small, len(tok))):
+            ok = (tok[d:] == tok[:-d]) & (comp[d:] != comp[:-d]) & bounds.sizes_fit(n[d:], n[:-d])
+            if not (tok[d:] == tok[:-d]).any():
+                break
+            found.append(np.stack([gid[:-d][ok], gid[d:][ok]], axis=1))
+        for kind, rows in ((0, np.concatenate(found)), (1, shards)):
+            rows = np.unique(rows, axis=0)
+            yield from _rows("kind int, a long, b long", np.full(len(rows), kind, np.int32), rows[:, 0], rows[:, 1])
+
+    return keys.repartition("tok").mapInArrow(cross, "kind int, a long, b long").distinct()
+
 
-    return keys.repartition("tok").mapInArrow(cross, _PAIR).distinct()
+def shard_links(shards: DataFrame, sets: DataFrame, bounds: Bounds, block: int = 512) -> DataFrame:
+    """a, b: links that join the components of the documents of each shard. shards: shard, id, component; sets: id, s.
+
+    Documents are laid into blocks, those of a large component into blocks of their own, and pairs of blocks
+    compared, but for two of one component. A pair of blocks gives at most as many links as it has documents.
+    """
+    sized = shards.groupBy("shard", "component").agg(F.count(F.lit(1)).alias("c"))
+    sized = sized.withColumn("kind", F.when(F.col("c") >= block // 2, F.col("component")))
+    kinds = sized.groupBy("shard", "kind").agg(F.ceil(F.sum("c") / block).cast("int").alias("blocks"))
+    kinds = written(kinds.select("shard", F.coalesce(F.col("kind").cast("string"), F.lit("-")).alias("kind"), "blocks"), "shard-kinds")
+    named = shards.join(written(sized.select("shard", "component", F.coalesce(F.col("kind").cast("string"), F.lit("-")).alias("kind")), "shard-components"), ["shard", "component"])
+    own = named.join(kinds, ["shard", "kind"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    other = kinds.select(F.col("shard").alias("of"), F.col("kind").alias("o_kind"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
+    me, it = F.concat_ws(":", "kind", "own"), F.concat_ws(":", "o_kind", "o")
+    met = own.join(other, (F.col("shard") == F.col("of")) & ((F.col("kind") != F.col("o_kind")) | (F.col("kind") == "-")))
+    met = met.select("shard", F.least(me, it).alias("i"), F.greatest(me, it).alias("j"), (me <= it).alias("left"), (me >= it).alias("right"), "id", "component")
+    rows = met.join(sets.withColumnRenamed("id", "s_id"), F.col("id") == F.col("s_id")).drop("s_id")
+
+    def compare(table: pa.Table) -> pa.Table:
+        left, right = (np.asarray(table.column(c).combine_chunks().cast(pa.int8())).astype(bool) for c in ("left", "right"))
+        ids, comp = (np.asarray(table.column(c).combine_chunks()) for c in ("id", "component"))
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("s").to_pylist()]
+        n = np.array([len(x) for x in sets])
+        _, tok = np.unique(np.concatenate(sets), return_inverse=True)
+        doc = np.repeat(np.arange(len(sets)), n)
+        often = np.bincount(tok)
+        common = np.zeros((len(sets), len(sets)), np.float32)
+        order = np.argsort(tok, kind="stable")
+        tok, doc = tok[order], doc[order]
+        keep = often[tok] > 1
+        tok, doc = np.unique(tok[keep], return_inverse=True)[1], doc[keep]
+        for a in range(0, int(tok.max()) + 1 if len(tok) else 0, 4096):  # some shingles at a time
+            lo, hi = np.searchsorted(tok, (a, a + 4096))
+            x = np.zeros((len(sets), 4096), np.float32)
+            x[doc[lo:hi], tok[lo:hi] - a] = 1
+            common += x @ x.T
+        common = common.astype(np.int64)
+        ok = bounds.den * common >= bounds.num * (n[:, None] + n[None, :] - common)
+        ok &= (left[:, None] & right[None, :]) & (comp[:, None] != comp[None, :])
+        i, j = np.nonzero(ok)
+        names, at = np.unique(comp, return_inverse=True)  # one link is enough to join two components
+        a, b = forest(len(names), at[i], at[j])
+        return pa.table({"a": pa.array(names[a]), "b": pa.array(names[b])})
+
+    return rows.groupBy("shard", "i", "j").applyInArrow(compare, _PAIR)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, bounds: Bounds) -> DataFrame:
@@ -306,8 +361,14 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     apart = member.join(groups.filter("members > 1").select("gid"), "gid", "left_semi")
     other = apart.select("gid", F.col("id").alias("b"), F.col("component").alias("of_b"))
     within = apart.join(other, "gid").filter("id < b and component <> of_b").select(F.col("id").alias("a"), "b")
-    left = written(across.union(within).distinct().join(tested, ["a", "b"], "left_anti"), "cross-pairs")
+    across = written(across, "across")
+    left = written(across.filter("kind = 0").select("a", "b").union(within).distinct().join(tested, ["a", "b"], "left_anti"), "cross-pairs")
     more = links_of(left, "cross-pairs")
+    shards = across.filter("kind = 1").select(F.col("a").alias("shard"), "b").join(member.select("id", "component"), F.col("b") == F.col("id")).select("shard", "id", "component")
+    if not shards.isEmpty():
+        shards = written(shards, "shards")
+        sets = written(_sets(docs, written(shards.select("id").distinct(), "shard-ids"), id_col, text_col, k), "shard-sets")
+        more = more.union(written(shard_links(shards, sets, bounds), "shard-links"))
     comps = written(components(stars.union(more)), "components")
     of_class = classes.join(comps, F.col("id") == F.col("node"), "left").select("n", "h1", "h2", "g", F.coalesce("component", "id").alias("component_id"))
     of_class = written(of_class, "class-components").withColumnsRenamed({"n": "c_n", "h1": "c_h1", "h2": "c_h2", "g": "c_g"})
