@@ -133,7 +133,7 @@ def generalize_url(url: Column) -> Column:
     def segment(s: Column) -> Column:
         digits = F.rlike(s, F.lit("^[0-9]+$"))
         hashed = F.rlike(s, F.lit("^[0-9a-fA-F-]{8,}$")) & F.rlike(s, F.lit("[0-9]"))
-        mixed = F.regexp_replace(F.regexp_replace(s, _ESCAPED, r"\\$1"), "[0-9]+", r"\\\\d+")
+        mixed = F.regexp_replace(F.regexp_replace(s, _ESCAPED, r"\\$1"), "[0-9]+", r"\\d+")
         literal = F.regexp_replace(s, r"([\\.+*?()|\[\]{}^$#&~-])", r"\\$1")
         return F.when(s == "", s).when(digits, F.lit(r"\d+")).when(hashed, F.lit("[a-f0-9-]+")).when(F.rlike(s, F.lit("[0-9]")), mixed).otherwise(literal)
 
