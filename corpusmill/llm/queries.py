@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusmill.llm import embeddings, html_text, jaccard, packing, quality, secrets, tokenfiles, url_filter, warc
+from corpusmill.llm import embeddings, html_text, jaccard, packing, pieces, quality, secrets, tokenfiles, url_filter, warc
 from corpusmill.llm.shared import new_path
 
 
@@ -54,6 +54,12 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=4, num=85, den=100)
 
 
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _vocabulary("piece_bpe_32k.model")
+    found = pieces.decode(pieces.encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), path), path)
+    return found.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), F.crc32(F.encode("decoded", "UTF-8")).alias("text_crc32"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-files")
     tokenfiles.write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, _vocabulary(), end_id=0)
@@ -62,5 +68,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", F.col("n_tokens").cast("long").alias("n_tokens"), "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_html_text, op4_secrets, op5_url_filter, op6_warc, op7_embeddings, op8_jaccard, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_html_text, op4_secrets, op5_url_filter, op6_warc, op7_embeddings, op8_jaccard, op9_pieces, op10_token_files)}
 ORACLE_SQL: dict[str, str] = {}
