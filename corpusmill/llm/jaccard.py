@@ -62,7 +62,7 @@ def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     begins = ~space & (np.concatenate([[True], space[:-1]]) | edge[:-1])
     finishes = ~space & (np.concatenate([space[1:], [True]]) | edge[1:])
     first, last = np.flatnonzero(begins), np.flatnonzero(finishes) + 1
-    up, down = _powers(max(1 << 22, 1 << int(len(data)).bit_length()))
+    up, down = _powers(max(1 << 20, 1 << int(len(data)).bit_length()))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUES[data] * up[: len(data)])])
     words = mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64))
     doc = np.searchsorted(ends_of, first, side="right")
@@ -153,7 +153,7 @@ def prepared(docs: DataFrame, id_col: str, text_col: str, k: int, bounds: Bounds
 
     def prepare(batches):
         for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
+            for batch in slices(whole, "text", 1 << 20):
                 sets = shingle_sets(batch.column(1), k)
                 n = np.array([len(s) for s in sets], np.int64)
                 p = [s[:m] for s, m in zip(sets, bounds.prefix(n).tolist(), strict=True)]
@@ -308,7 +308,7 @@ def verified(pairs: DataFrame, sets: DataFrame, bounds: Bounds) -> DataFrame:
     def check(batches):
         for batch in batches:
             a, b, x, y = (batch.column(i) for i in range(4))
-            ok = [bounds.linked(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True)]
+            ok = [bounds.linked(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)) for p, q in zip(x, y, strict=True)]
             yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
@@ -321,7 +321,7 @@ def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, k: int) -
 
     def make(batches):
         for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
+            for batch in slices(whole, "text", 1 << 20):
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), k)], pa.binary())], names=["id", "s"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
