@@ -120,7 +120,7 @@ def _scatter(bucket: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
     cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, int)
-    ends = np.append(cuts[1:], len(bucket))
+    ends = np.append(cuts[1:], len(bucket))[: len(cuts)]
     names = ["bucket", *(f"c{i}" for i in range(len(columns)))]
     arrays = [pa.array(bucket[cuts].astype(np.int32), pa.int32())]
     for c in columns:
@@ -139,7 +139,7 @@ def _gather(batches, *types) -> list[np.ndarray]:
 
 def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     cuts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, int)
-    return cuts, np.append(cuts[1:], len(x)) - cuts
+    return cuts, np.append(cuts[1:], len(x))[: len(cuts)] - cuts
 
 
 def _rows(schema: str, *columns):
