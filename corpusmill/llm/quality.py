@@ -42,8 +42,8 @@ def _lines(text: Column) -> Column:
 
 
 def _line_hash(line: Column) -> Column:
-    """Of the line in lower case, with digits masked, white space runs as one space, and trimmed."""
-    return F.xxhash64(F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]+", "0"), _SPACE, " ")))
+    """Of the line in lower case, with white space runs as one space, and trimmed."""
+    return F.xxhash64(F.trim(F.regexp_replace(F.lower(line), _SPACE, " ")))
 
 
 def frequent_lines(lines: DataFrame, hosts: DataFrame, max_docs: int, max_share: float) -> DataFrame:

@@ -41,20 +41,20 @@ def test_frequent_lines(spark):
     r = random.Random(5)
     body = lambda: " ".join(str(r.random()) for _ in range(30))
     footer = "All rights reserved by us 2024"
-    rows = [(i, f"{body()}\n{footer.replace('2024', str(i))}", "h") for i in range(30)]  # the line varies in digits only
-    rows += [(100 + i, f"{footer} 1\nmore of it\n" + " ".join("abcdefghijkl"), "other") for i in range(3)]  # rare on its host
+    rows = [(i, f"{body()}\n {footer.upper() if i % 2 else footer}\t", "h") for i in range(30)]
+    rows += [(100 + i, f"{footer}\nmore of it\n" + " ".join("abcdefghijkl"), "other") for i in range(3)]  # rare on its host
     copy = "\n".join(body() for _ in range(4))
     rows += [(200 + i, copy, "h") for i in range(40)]  # copies of one clean document
     near = [body() for _ in range(6)]
     rows += [(300 + i, "\n".join([*near, body()]), "h") for i in range(40)]  # near copies
-    rows += [(400 + i, f"{footer} {i}\n" + "tiny", "h") for i in range(20)]  # fail for being short
-    rows += [(500 + i, "\n".join([f"{footer} {i}"] * 12 + [f"own words of number x{body()[:40]}"]), None) for i in range(20)]  # depleted, and repeats
-    rows += [(600, f"{body()}\n{footer} 7", "h")] * 2
+    rows += [(400 + i, f"{footer}\n" + "tiny", "h") for i in range(20)]  # fail for being short
+    rows += [(500 + i, "\n".join([footer] * 12 + [f"own words of number x{body()[:40]}"]), None) for i in range(20)]  # depleted, and repeats
+    rows += [(600, f"{body()}\n{footer}", "h")] * 2
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = quality.quality_rules(df, max_docs=10, max_share=0.01).collect()
     assert len(got) == len(rows)
     x = {r.doc_id: r for r in got}
-    assert all(x[i].kept and x[i].n_removed_lines == 1 and "rights" not in x[i].clean_text for i in range(30))
+    assert all(x[i].kept and x[i].n_removed_lines == 1 and "rights" not in x[i].clean_text.lower() for i in range(30))
     assert all(x[100 + i].n_removed_lines == 0 for i in range(3))
     assert all(x[200 + i].kept and x[200 + i].clean_text == copy for i in range(40))
     assert all(x[300 + i].kept and x[300 + i].n_removed_lines == 0 for i in range(40))
@@ -81,7 +81,7 @@ def test_trigram_queries():
     assert secrets.trigram_query("abcd") == ("and", ("abc", "bcd"))
     assert secrets.trigram_query("[0-9]+") is None
     assert secrets.trigram_query("(foo|ba)x*") is None  # ba says nothing
-    assert secrets.trigram_query("(foo|bar)") == ("or", ("foo", "bar"))
+    assert secrets.trigram_query("(foo|bar)") == ("or", ("bar", "foo"))
     assert secrets.trigram_query("a?bcd") is not None
 
 
