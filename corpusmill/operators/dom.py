@@ -134,7 +134,7 @@ def parse(html: str, fragment: bool = False) -> Node:
                         del stack[k:]
                         break
             continue
-        attrs = _attrs(rest)
+        attrs = _attrs(rest) if rest else {}
         if tag in ("html", "head", "body") and not fragment:
             target = {"html": root, "head": head, "body": body}[tag]
             for k, v in attrs.items():
@@ -180,12 +180,14 @@ def parse_fragment(html: str) -> Node:
 
 
 def _numbered(root: Node) -> Node:
-    root.id = 0
-    for i, n in enumerate(root.walk(), 1):
-        n.id = i
-    for n in [root, *root.walk()]:
-        for i, c in enumerate(n.elements()):
-            c.index = i
+    todo, i = [root], 0
+    while todo:
+        n = todo.pop()
+        n.id, i = i, i + 1
+        kids = n.elements()
+        for k, c in enumerate(kids):
+            c.index = k
+        todo += kids[::-1]
     return root
 
 

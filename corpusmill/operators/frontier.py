@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusmill.functions import urls as U
 from corpusmill.operators import dom
+from corpusmill.sources.shared import written
 
 
 
@@ -134,19 +136,16 @@ def crawl(pages: DataFrame, start: DataFrame, extract: Callable[[DataFrame], Dat
     """Multi-hop expansion over stored pages, breadth first: (visited, frontier left).
 
     start: url, callback, meta, depth. extract(page rows with callback, meta, depth) gives rows of the same columns to
-    follow. Each round joins the frontier with the pages; visited urls never come again. Rounds are checkpointed."""
-    spark = pages.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
+    follow. Each round joins the frontier with the pages; visited urls never come again. Each round is a written table."""
     columns = ["url", "callback", "meta", "depth"]
-    frontier, visited = start.select(*columns).dropDuplicates(["url"]), None
+    frontier = start.select(*columns).dropDuplicates(["url"])
+    rounds_: list[DataFrame] = []
     for _ in range(rounds):
-        here = frontier.join(pages, "url").checkpoint()
-        visited = here if visited is None else visited.unionByName(here).checkpoint()
+        here = written(frontier.join(pages, "url"), "visited")
+        rounds_.append(here)
+        known = reduce(DataFrame.union, [h.select("url") for h in rounds_])
         new = extract(here).select(*columns).dropDuplicates(["url"])
-        frontier = new.join(visited.select("url"), "url", "left_anti").checkpoint()
+        frontier = written(new.join(known, "url", "left_anti"), "frontier")
         if frontier.isEmpty():
             break
-    return visited, frontier
+    return reduce(DataFrame.unionByName, rounds_), frontier

@@ -453,7 +453,7 @@ def site(spark: SparkSession, details: int = 10, chapters: int = 30) -> DataFram
     n = spark.range(details).withColumnRenamed("id", "b")
     home = spark.range(1).select(F.lit(f"{base}/").alias("url"), F.concat(F.lit("<ul>"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(details - 1)), lambda i: F.format_string('<li><a class="book" href="/book/%d">b%d</a></li>', i, i)), ""), F.lit("</ul>")).alias("html"))
     detail = n.select(F.format_string(f"{base}/book/%d", "b").alias("url"), F.concat(F.lit("<ol>"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(chapters - 1)), lambda i: F.format_string('<li><a href="/book/%d/%d">c</a></li>', F.col("b"), i)), ""), F.lit("</ol>")).alias("html"))
-    chapter = n.crossJoin(F.broadcast(spark.range(chapters).withColumnRenamed("id", "c"))).select(F.format_string(f"{base}/book/%d/%d", "b", "c").alias("url"), F.concat(F.lit('<div class="text">'), F.repeat(F.lit("lorem "), 1300), F.lit("</div>")).alias("html"))
+    chapter = n.select("b", F.explode(F.sequence(F.lit(0), F.lit(chapters - 1))).alias("c")).select(F.format_string(f"{base}/book/%d/%d", "b", "c").alias("url"), F.concat(F.lit('<div class="text">'), F.repeat(F.lit("lorem "), 1300), F.lit("</div>")).alias("html"))
     return home.union(detail).union(chapter)
 
 
