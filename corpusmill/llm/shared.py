@@ -1,43 +1,12 @@
-"""Folders that the driver and all executors share, and tables written there to cut lineage."""
+"""Tables written to the folder that the driver and all executors share, and checks of columns."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from corpusmill.sources.shared import new_path, shared_dir, written
 
-_CONF = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it is unset (tests), a temporary one is set."""
-    root = spark.conf.get(_CONF, None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
-        spark.conf.set(_CONF, root)
-    return root.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/corpusmill/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back: later stages never recompute it, executors may be lost."""
-    path = new_path(df.sparkSession, name)
-    w = df.write.option("compression", "zstd")
-    if partition_by:
-        w = w.partitionBy(partition_by)
-    w.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a folder below the shared one that no later plan reads."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+__all__ = ["need", "new_path", "shared_dir", "written"]
 
 
 def need(df: DataFrame, *columns: str) -> None:
