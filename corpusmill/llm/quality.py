@@ -81,28 +81,28 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hosts = docs.groupBy(F.col(host_col).alias("host")).agg(F.count(F.lit(1)).alias("host_docs"))
     frequent = written(frequent_lines(lines, hosts, max_docs, max_share), "frequent-lines").select(F.col("host").alias("f_host"), F.col("h").alias("f_h"))
     hits = lines.join(frequent, (F.col("h") == F.col("f_h")) & F.col("host").eqNullSafe(F.col("f_host")))
-    hits = written(hits.groupBy("k_id", "host", "k_text").agg(F.collect_set("h").alias("hot")), "line-hits").select(F.col("k_id").alias("h_id"), F.col("host").alias("h_host"), F.col("k_text").alias("h_text"), "hot")
+    hits = written(hits.groupBy("k_id", "host", "k_text").agg(F.collect_set("h").alias("hot")), "line-hits").select(F.col("k_id").alias("_cm_id"), F.col("host").alias("_cm_host"), F.col("k_text").alias("_cm_of_text"), F.col("hot").alias("_cm_hot"))
 
     words = words_of(text)
-    measured = docs.withColumns({"words_": words, "lines_": _lines(text), "k_text_": F.xxhash64(text)})
+    measured = docs.withColumns({"_cm_words": words, "_cm_lines": _lines(text), "_cm_text": F.xxhash64(text)})
     measured = measured.withColumns({
-        "n_words": F.size("words_").cast("long"),
-        "word_chars": F.length(F.array_join("words_", "")).cast("long"),
+        "n_words": F.size("_cm_words").cast("long"),
+        "word_chars": F.length(F.array_join("_cm_words", "")).cast("long"),
         "n_symbols": (F.length(text) - F.length(F.regexp_replace(text, "[#*$%&|<>]", ""))).cast("long"),
-        "n_dup_lines": (F.size("lines_") - F.size(F.array_distinct("lines_"))).cast("long"),
-        "n_repeat_words": repeated_words(F.col("words_"), window),
-        "sizes_": F.transform("lines_", lambda x: F.struct(_line_hash(x).alias("h"), F.size(words_of(x)).alias("n"))),
+        "n_dup_lines": (F.size("_cm_lines") - F.size(F.array_distinct("_cm_lines"))).cast("long"),
+        "n_repeat_words": repeated_words(F.col("_cm_words"), window),
+        "_cm_sizes": F.transform("_cm_lines", lambda x: F.struct(_line_hash(x).alias("h"), F.size(words_of(x)).alias("n"))),
     })
-    measured = measured.drop("words_", "lines_")
-    joined = measured.join(hits, (F.col("k_text_") == F.col("h_text")) & F.col(id_col).eqNullSafe(F.col("h_id")) & F.col(host_col).eqNullSafe(F.col("h_host")), "left")
-    gone = F.filter("sizes_", lambda x: F.array_contains(F.col("hot"), x["h"]))
+    measured = measured.drop("_cm_words", "_cm_lines")
+    joined = measured.join(hits, (F.col("_cm_text") == F.col("_cm_of_text")) & F.col(id_col).eqNullSafe(F.col("_cm_id")) & F.col(host_col).eqNullSafe(F.col("_cm_host")), "left")
+    gone = F.filter("_cm_sizes", lambda x: F.array_contains(F.col("_cm_hot"), x["h"]))
     left = F.col("n_words") - F.col("n_removed_words")
-    plain = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(F.col("hot"), _line_hash(x)))
-    joined = joined.withColumn("gone_", F.when(F.col("hot").isNotNull(), gone)).withColumns({
+    plain = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(F.col("_cm_hot"), _line_hash(x)))
+    joined = joined.withColumn("_cm_gone", F.when(F.col("_cm_hot").isNotNull(), gone)).withColumns({
         "base_failed": (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")),
-        "n_removed_words": F.coalesce(F.aggregate("gone_", F.lit(0).cast("long"), lambda a, x: a + x["n"]), F.lit(0).cast("long")),
-        "n_removed_lines": F.coalesce(F.size("gone_"), F.lit(0)).cast("long"),
-        "clean_text": F.when(F.col("hot").isNull(), F.col(text_col)).otherwise(F.array_join(plain, "\n")),
+        "n_removed_words": F.coalesce(F.aggregate("_cm_gone", F.lit(0).cast("long"), lambda a, x: a + x["n"]), F.lit(0).cast("long")),
+        "n_removed_lines": F.coalesce(F.size("_cm_gone"), F.lit(0)).cast("long"),
+        "clean_text": F.when(F.col("_cm_hot").isNull(), F.col(text_col)).otherwise(F.array_join(plain, "\n")),
     })
     joined = joined.withColumn("kept", ~F.col("base_failed") & (left >= min_words) & (100 * left >= min_left_percent * F.col("n_words")))
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns], *_OUT)

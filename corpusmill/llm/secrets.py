@@ -142,7 +142,7 @@ def _named(query) -> set[str]:
 class TrigramIndex:
     """Posting lists of the given trigrams over one block of texts."""
 
-    def __init__(self, texts: pa.Array, table: np.ndarray, numbers: dict[str, int]):
+    def __init__(self, texts: pa.Array, table: np.ndarray, begins: np.ndarray, numbers: dict[str, int]):
         texts = texts.cast(pa.large_binary())
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] else np.zeros(0, np.uint8)
@@ -150,7 +150,7 @@ class TrigramIndex:
         found_at, found = [], []
         for a in range(int(offsets[0]), max(int(offsets[-1]) - 2, int(offsets[0])), 4 << 20):  # a few MB at a time
             x = _LOWER[data[a : min(a + (4 << 20) + 2, int(offsets[-1]))]]
-            first = np.flatnonzero(_starts(table)[x[:-2]])  # few letters begin a named trigram
+            first = np.flatnonzero(begins[x[:-2]])  # few letters begin a named trigram
             codes = table[x[first].astype(np.int32) << 16 | x[first + 1].astype(np.int32) << 8 | x[first + 2]]
             hit = np.flatnonzero(codes)
             found.append(codes[hit])
@@ -178,23 +178,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-@lru_cache(maxsize=4)
-def _firsts(key: tuple[str, ...]) -> np.ndarray:
-    out = np.zeros(256, bool)
-    out[[ord(t[0]) for t in key]] = True
-    return out
-
-
-_tables: dict = {}
-
-
-def _starts(table: np.ndarray) -> np.ndarray:
-    return _tables[id(table)]
-
-
 @lru_cache(maxsize=4)
 def _compiled(rules: tuple[Rule, ...]):
-    """Per rule its expression and query; the trigrams' numbers; and a table from three bytes to a number.
+    """Per rule its expression and query; the trigrams' numbers; a table from three bytes to a number; and the bytes that begin one.
 
     Trigrams beyond ASCII are left out of queries: case folding there is not byte by byte."""
     queries = [trigram_query(r.pattern) for r in rules]
@@ -203,8 +189,9 @@ def _compiled(rules: tuple[Rule, ...]):
     table = np.zeros(1 << 24, np.int16)
     for t, i in numbers.items():
         table[ord(t[0]) << 16 | ord(t[1]) << 8 | ord(t[2])] = i
-    _tables[id(table)] = _firsts(tuple(numbers)) if numbers else np.zeros(256, bool)
-    return [(r, re.compile(_longer(r)), q) for r, q in zip(rules, queries, strict=True)], numbers, table
+    begins = np.zeros(256, bool)
+    begins[[ord(t[0]) for t in numbers]] = True
+    return [(r, re.compile(_longer(r)), q) for r, q in zip(rules, queries, strict=True)], numbers, table, begins
 
 
 def _longer(rule: Rule) -> str:
@@ -214,8 +201,8 @@ def _longer(rule: Rule) -> str:
 
 def find(texts: pa.Array, rules: tuple[Rule, ...] = RULES) -> list[list[tuple[int, str, int]]]:
     """(start, kind, end) of each text, by start, then in the order of rules; leftmost and not overlapping per kind."""
-    compiled, numbers, table = _compiled(rules)
-    index = TrigramIndex(texts, table, numbers)
+    compiled, numbers, table, begins = _compiled(rules)
+    index = TrigramIndex(texts, table, begins, numbers)
     out: list[list] = [[] for _ in range(len(texts))]
     for k, (rule, expression, query) in enumerate(compiled):
         for row in index.answer(query).tolist():

@@ -115,11 +115,11 @@ def judge(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, url_col: str = "
     host, path = host_and_path(F.col(url_col).cast("string"))
     found = pages.withColumns({"host": host, "path": path})
     name, verdict = longest_rule(rules, F.col("host"), F.col("path"))
-    found = found.withColumns({"rule": name, "said_": verdict, "segs_": _shape(F.col("path"))}).withColumn("shape_", F.array_join("segs_", "/"))
-    labelled, bad = F.col("said_").isNotNull().cast("long"), (F.col("said_") == "block").cast("long")
-    counted = found.groupBy("host", F.col("shape_").alias("shape")).agg(F.first("segs_").alias("segs"), F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(bad, F.lit(0))).alias("bad"), F.sum(labelled).alias("labelled"))
+    found = found.withColumns({"rule": name, "_cm_said": verdict, "_cm_segs": _shape(F.col("path"))}).withColumn("_cm_shape", F.array_join("_cm_segs", "/"))
+    labelled, bad = F.col("_cm_said").isNotNull().cast("long"), (F.col("_cm_said") == "block").cast("long")
+    counted = found.groupBy("host", F.col("_cm_shape").alias("shape")).agg(F.first("_cm_segs").alias("segs"), F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(bad, F.lit(0))).alias("bad"), F.sum(labelled).alias("labelled"))
     tree = template_tree(written(counted, "paths"), max_children, min_share)
-    judged = written(judged_templates(tree, reject), "templates").withColumnsRenamed({"host": "t_host", "shape": "t_shape"})
-    found = found.join(judged, (F.col("host") == F.col("t_host")) & (F.col("shape_") == F.col("t_shape")), "left")
-    found = found.withColumn("verdict", F.coalesce("said_", F.when(F.col("rejected"), F.lit("block")).otherwise(F.lit("allow"))))
+    judged = written(judged_templates(tree, reject), "templates").withColumnsRenamed({"host": "_cm_host", "shape": "_cm_of_shape", "rejected": "_cm_rejected"})
+    found = found.join(judged, (F.col("host") == F.col("_cm_host")) & (F.col("_cm_shape") == F.col("_cm_of_shape")), "left")
+    found = found.withColumn("verdict", F.coalesce("_cm_said", F.when(F.col("_cm_rejected"), F.lit("block")).otherwise(F.lit("allow"))))
     return found.select(*[F.col(f"`{c}`") for c in pages.columns], *_OUT)

@@ -51,7 +51,9 @@ def test_frequent_lines(spark):
     rows += [(500 + i, "\n".join([footer] * 12 + [f"own words of number x{body()[:40]}"]), None) for i in range(20)]  # depleted, and repeats
     rows += [(600, f"{body()}\n{footer}", "h")] * 2
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    df = df.withColumns({c: F.lit("x") for c in ("host", "hot", "h", "k_id", "kept", "n")})
     got = quality.quality_rules(df, max_docs=10, max_share=0.01).collect()
+    assert {r.host for r in got} == {r.hot for r in got} == {"x"}
     assert len(got) == len(rows)
     x = {r.doc_id: r for r in got}
     assert all(x[i].kept and x[i].n_removed_lines == 1 and "rights" not in x[i].clean_text.lower() for i in range(30))
@@ -109,6 +111,7 @@ def test_tree_on_pages_it_has_not_seen():
 def test_url_rules(spark):
     urls = {"https://a.com/x": ("com/", "allow"), "https://EXAMPLE.com/en/1": ("example.com/en/", "block"), "https://www.example.com/en/": ("www.example.com/en/", "allow"), "http://x.net/es/q?u": ("net/es/", "block"), "http://x.net/de/": (None, "allow"), "https://a.com": (None, "allow"), "nothing": (None, "allow"), None: (None, "allow"), "a://b://c/d": (None, "allow")}
     df = spark.createDataFrame([(i, u, "old") for i, u in enumerate(urls)], "page_id long, url string, verdict string")
+    df = df.withColumns({c: F.lit("x") for c in ("rejected", "shape", "segs", "host", "n")})
     got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(df).collect()}
     assert [got[i] for i in range(len(urls))] == list(urls.values())
     hosts = {r.page_id: (r.host, r.path) for r in url_filter.judge(df).collect()}
