@@ -27,7 +27,8 @@ _OUTER = frozenset("nav aside footer form dialog menu button fieldset".split())
 _INNER = frozenset("article main".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # A word of a class, id or role that tells of something other than the article.
-_HINT = re.compile(r"(?i)(?:^|[\s_-])(?:nav(?:bar|igation)?|menus?|side-?bar|foot(?:er)?|site-?header|page-?header|masthead|top-?bar|ads?|advert(?:s|isement|ising)?|sponsor(?:ed|s)?|promo(?:tion|s)?|banner|cookies?|consent|notices?|notification|alert|modal|popup|overlay|newsletter|subscribe|subscription|signup|login|search|share|sharing|social|related|recommend(?:ed|ations)?|comments?|comment-?list|replies|reply|disqus|breadcrumbs?|pagination|pager|widget|copyright|legal|contentinfo|complementary|disclaimer|skip-?link)(?=$|[\s_-])")
+_HINT = re.compile(r"(?i)(?:^|[\s_-])(?:nav(?:bar|igation)?|menus?|side-?bar|foot(?:er)?|site-?header|page-?header|masthead|top-?bar|ads?|advert(?:s|isement|ising)?|sponsor(?:ed|s)?|promo(?:tion|s)?|banner|cookies?|consent|notices?|notification|alert|modal|popup|overlay|newsletter|subscribe|subscription|signup|login|search|share|sharing|social|related|recommend(?:ed|ations)?|comments?|comment-?list|replies|reply|disqus|breadcrumbs?|pagination|pager|widget|copyright|legal|contentinfo|complementary|disclaimer|skip-?link|gdpr|toolbar|discussion|feedback)(?=$|[\s_-])")
+_HEADER = re.compile(r"(?i)(?:^|[\s_-])header(?=$|[\s_-])")  # of the page, unless within the article or named after it
 _BODY_HINT = re.compile(r"(?i)(?:^|[\s_-])(?:article|post|entry|story|main|content|body)(?=$|[\s_-])")
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[|\]\]>|<[!?][^>]*+(?:>|\Z)|</?([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|</?([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S)
@@ -101,7 +102,7 @@ def blocks(html: str) -> list[Block]:
             inside, outside, heading = state
             if name in _INNER or (said and _BODY_HINT.search(said) and not _HINT.search(said)):
                 inside, outside = True, outside and name not in _INNER
-            elif name in _OUTER or name in ("head", "title") or (said and _HINT.search(said)) or (name == "header" and not inside):
+            elif name in _OUTER or name in ("head", "title") or (said and _HINT.search(said)) or ((name == "header" or (said and _HEADER.search(said))) and not inside):
                 outside = name != "body" and name != "html"
             if name in ("p", "li", "td", "th", "tr", "option", "dt", "dd"):  # ends a sibling that was left open
                 while stack and stack[-1][0] in ("p", name):
