@@ -64,7 +64,7 @@ class PieceModel:
         got = self.pairs.get((a, b))
         if got is None:
             got = self.merged(a + b) == [a, b]
-            if len(self.pairs) < 500_000:
+            if len(self.pairs) < 100_000:
                 self.pairs[a, b] = got
         return got
 
