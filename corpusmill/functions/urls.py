@@ -114,7 +114,7 @@ def valid_url(url: Column) -> Column:
 
     u = trim(url)
     h, literal6 = host(u), F.regexp_extract(authority(u), r"(\[[^\]]*\])", 1)
-    octet = lambda i: F.try_element_at(F.split(h, r"\."), F.lit(i)).try_cast("int") if hasattr(Column, "try_cast") else F.try_element_at(F.split(h, r"\."), F.lit(i)).cast("int")
+    octet = lambda i: F.try_element_at(F.split(h, r"\."), F.lit(i)).try_cast("int")
     v4 = F.rlike(h, F.lit(r"^\d{1,3}(?:\.\d{1,3}){3}$"))
     a, b = octet(1), octet(2)
     private = a.isin(127, 10, 0) & ((a != 0) | (h == "0.0.0.0")) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254)) | a.between(224, 239) | (h == "255.255.255.255")
