@@ -27,7 +27,7 @@ _INNER_SPACE = rf"{_WS} (?:{_WS}|$)"
 class BpeEncoder:
     """memo: once a worker remembers so many distinct chunks (some 60 bytes each), it encodes further ones anew."""
 
-    def __init__(self, path: str, memo: int = 600_000):
+    def __init__(self, path: str, memo: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
@@ -144,7 +144,7 @@ def encoder(path: str) -> BpeEncoder:
     return BpeEncoder(path)
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
+def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
     """The batch in runs of rows whose texts take about `most` bytes, a single longer text being a run of its own."""
     lens = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
     at, held = 0, 0
