@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from corpusmill.llm.bpe import encoder, slices
-from corpusmill.llm.shared import need, written
+from corpusmill.llm.shared import arrow_rows, need, written
 
 _SCHEMA = "doc_id long, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long, grp long"
 _NAMES = [x.split()[0] for x in _SCHEMA.split(", ")]
@@ -132,7 +132,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", t
         return merge
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    table = written(source.mapInArrow(first, _SCHEMA), "pack0")
+    with arrow_rows(docs.sparkSession, 1000):
+        table = written(source.mapInArrow(first, _SCHEMA), "pack0")
     out, level = [table.filter("sequence_id is not null")], 0
     groups = (table.agg(F.max("grp")).first()[0] or 0) + 1
     while True:

@@ -146,8 +146,9 @@ class TrigramIndex:
         for a in range(int(offsets[0]), max(int(offsets[-1]) - 2, int(offsets[0])), 4 << 20):  # a few MB at a time
             x = _LOWER[data[a : min(a + (4 << 20) + 2, int(offsets[-1]))]]
             first = np.flatnonzero(begins[x[:-2]])  # few letters begin a named trigram
-            codes = table[x[first].astype(np.int32) << 16 | x[first + 1].astype(np.int32) << 8 | x[first + 2]]
-            hit = np.flatnonzero(codes)
+            b, c = x[first + 1], x[first + 2]
+            codes = table[x[first].astype(np.int32) << 14 | (b & 127).astype(np.int32) << 7 | c & 127]
+            hit = np.flatnonzero((codes > 0) & ((b | c) < 128))
             found.append(codes[hit])
             found_at.append(first[hit] + a)
         at, code = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found_at, found))
@@ -181,9 +182,9 @@ def _compiled(rules: tuple[Rule, ...]):
     queries = [trigram_query(r.pattern) for r in rules]
     queries = [q if q is None or all(t.isascii() for t in _named(q)) else None for q in queries]
     numbers = {t: i + 1 for i, t in enumerate(sorted(set().union(*map(_named, queries))))}
-    table = np.zeros(1 << 24, np.int16)
+    table = np.zeros(1 << 21, np.int16)
     for t, i in numbers.items():
-        table[ord(t[0]) << 16 | ord(t[1]) << 8 | ord(t[2])] = i
+        table[ord(t[0]) << 14 | ord(t[1]) << 7 | ord(t[2])] = i
     begins = np.zeros(256, bool)
     begins[[ord(t[0]) for t in numbers]] = True
     return [(r, re.compile(_longer(r)), q) for r, q in zip(rules, queries, strict=True)], numbers, table, begins

@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 
 from corpusmill.sources.shared import new_path, shared_dir, written
 
-__all__ = ["need", "new_path", "shared_dir", "written"]
+__all__ = ["arrow_rows", "need", "new_path", "shared_dir", "written"]
 
 
 def need(df: DataFrame, *columns: str) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"columns {missing} are missing; there are {df.columns}")
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int):
+    """For actions within: at most so many rows at once go to a Python worker, whose memory they take."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
