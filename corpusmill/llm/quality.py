@@ -41,19 +41,35 @@ def _lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
 
+def _plain_line(line: Column) -> Column:
+    """The line in lower case, with white space runs as one space, and trimmed: lines are compared so."""
+    return F.trim(F.regexp_replace(F.lower(line), _SPACE, " "))
+
+
 def _line_hash(line: Column) -> Column:
-    """Of the line in lower case, with white space runs as one space, and trimmed."""
-    return F.xxhash64(F.trim(F.regexp_replace(F.lower(line), _SPACE, " ")))
+    return F.xxhash64(_plain_line(line))
 
 
-def frequent_lines(lines: DataFrame, hosts: DataFrame, max_docs: int, max_share: float) -> DataFrame:
+def frequent_lines(lines: DataFrame, max_docs: int, max_share: float) -> DataFrame:
     """host, h of lines in more distinct documents of a host than both limits allow.
 
-    lines: host, h and sig, which stands for the rest of the document: its smallest other line hash. Copies and
-    near copies of one document have the same, so they count once, and a group of copies makes no line frequent.
+    lines: a row per line of each document, with host, doc (hash of its whole set of lines), doc_lines and doc_chars (the
+    set's size and characters), h and n (the line's hash and characters). Documents with the same set of lines are one. So
+    are near copies: those that, but for one line of at most a sixth of the characters, consist of the same lines, each in
+    more than max_docs documents. No other documents are merged, whatever lines they share. A host's documents are counted likewise.
     """
-    counted = lines.groupBy("host", "h").agg(F.countDistinct("sig").alias("docs")).filter(F.col("docs") > max_docs)
-    total = hosts.select(F.col("host").alias("of_host"), "host_docs")
+    often = lines.groupBy("host", "h").agg(F.countDistinct("doc").alias("docs")).filter(F.col("docs") > max_docs)
+    often = written(often, "often").select(F.col("host").alias("o_host"), F.col("h").alias("o_h"))
+    hits = lines.join(often, (F.col("h") == F.col("o_h")) & F.col("host").eqNullSafe(F.col("o_host")))
+    hits = hits.groupBy("host", "doc").agg(F.max("doc_lines").alias("doc_lines"), F.max("doc_chars").alias("doc_chars"), F.array_sort(F.collect_set(F.struct("h", "n"))).alias("hot"))
+    other = F.col("doc_chars") - F.aggregate("hot", F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    near = (F.col("doc_lines") - F.size("hot") == 1) & (6 * other <= F.col("doc_chars"))
+    hits = written(hits.select("host", "doc", "hot", F.when(near, F.xxhash64("hot")).alias("near")), "often-hits")
+    merged = hits.filter("near is not null").select(F.col("host").alias("m_host"), F.col("doc").alias("m_doc"), "near")
+    total = lines.select("host", "doc").distinct().join(merged, (F.col("doc") == F.col("m_doc")) & F.col("host").eqNullSafe(F.col("m_host")), "left")
+    total = total.groupBy(F.col("host").alias("of_host")).agg(F.countDistinct(F.coalesce("near", "doc")).alias("host_docs"))
+    counted = hits.select("host", F.coalesce("near", "doc").alias("doc"), F.explode("hot.h").alias("h"))
+    counted = counted.groupBy("host", "h").agg(F.countDistinct("doc").alias("docs")).filter(F.col("docs") > max_docs)
     return counted.join(total, F.col("host").eqNullSafe(F.col("of_host"))).filter(F.col("docs") > F.lit(max_share) * F.col("host_docs")).select("host", "h")
 
 
@@ -61,8 +77,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """docs with counts, clean_text (text without frequent lines) and kept.
 
     Base rules: n_words below min_words, or more than max_repeat_percent of the words in windows that repeat within
-    the text, fail. A line is removed where more than max_docs documents, and more than max_share of the
-    documents, of its host have it; a document is depleted, and not kept, if fewer than min_words words or less
+    the text, fail. A line is removed where more than max_docs distinct documents, and more than max_share of the
+    distinct documents, of its host have it (see frequent_lines); a document is depleted, and not kept, if fewer than min_words words or less
     than min_left_percent of its words are left.
 
     Null texts count as empty, and fail. Null hosts form a host of their own. Rows that repeat get the same result
@@ -73,13 +89,12 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     key = [F.col(id_col).alias("k_id"), F.col(host_col).alias("host"), F.xxhash64(text).alias("k_text")]
 
-    hashed = docs.select(*key, F.array_distinct(F.transform(_lines(text), _line_hash)).alias("hs"))
-    least = F.array_min("hs")
-    rest = F.array_min(F.filter("hs", lambda x: x != F.col("least")))
-    each = hashed.withColumn("least", least).withColumn("second", rest).select("k_id", "host", "k_text", "least", "second", F.explode("hs").alias("h"))
-    lines = written(each.select("k_id", "host", "k_text", "h", F.when(F.col("h") != F.col("least"), F.col("least")).otherwise(F.coalesce("second", F.lit(0))).alias("sig")), "lines")
-    hosts = docs.groupBy(F.col(host_col).alias("host")).agg(F.count(F.lit(1)).alias("host_docs"))
-    frequent = written(frequent_lines(lines, hosts, max_docs, max_share), "frequent-lines").select(F.col("host").alias("f_host"), F.col("h").alias("f_h"))
+    plain_lines = F.transform(_lines(text), _plain_line)
+    hashed = docs.select(*key, F.array_sort(F.array_distinct(F.transform(plain_lines, lambda x: F.struct(F.xxhash64(x).alias("h"), F.length(x).alias("n"))))).alias("ls"))
+    chars = F.aggregate("ls", F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    each = hashed.select("k_id", "host", "k_text", F.xxhash64("ls").alias("doc"), F.size("ls").alias("doc_lines"), chars.alias("doc_chars"), F.explode("ls").alias("l"))
+    lines = written(each.select("k_id", "host", "k_text", "doc", "doc_lines", "doc_chars", "l.h", "l.n"), "lines")
+    frequent = written(frequent_lines(lines, max_docs, max_share), "frequent-lines").select(F.col("host").alias("f_host"), F.col("h").alias("f_h"))
     hits = lines.join(frequent, (F.col("h") == F.col("f_h")) & F.col("host").eqNullSafe(F.col("f_host")))
     hits = written(hits.groupBy("k_id", "host", "k_text").agg(F.collect_set("h").alias("hot")), "line-hits").select(F.col("k_id").alias("_cm_id"), F.col("host").alias("_cm_host"), F.col("k_text").alias("_cm_of_text"), F.col("hot").alias("_cm_hot"))
 

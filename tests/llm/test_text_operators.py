@@ -64,6 +64,31 @@ def test_frequent_lines(spark):
     assert x[600].kept and x[600].n_removed_lines == 1
 
 
+def test_frequent_lines_equal_a_count_of_documents(spark):
+    r = random.Random(6)
+    shared = [f"shared line number {i:02d} of all" for i in range(12)]
+    own = lambda: f"own {r.random():.18f} of it"
+    rows = [("eight", r.sample(shared[:8], 5)) for _ in range(300)]  # nothing else: depleted
+    rows += [("ten", [*shared[:10], *[own() for _ in range(5)]]) for _ in range(30)]
+    rows += [("mixed", [*r.sample(shared, r.randint(0, 8)), own(), own()]) for _ in range(60)]
+    rows += [("few", [*shared[:3], own(), own()]) for _ in range(10)]
+    same = [*shared[2:6], own(), own()]
+    rows += [("copies", r.sample(same, 6)) for _ in range(25)] + [("copies", [shared[2], own(), own()]) for _ in range(9)]  # 10 with that line
+    rows += [("rare", [*shared[:2], own(), own()]) for _ in range(11)] + [("rare", [own(), own()]) for _ in range(100)]  # 11 of 111
+    docs, total = collections.defaultdict(set), collections.defaultdict(set)
+    for host, ls in rows:
+        total[host].add(frozenset(ls))
+        for x in ls:
+            docs[host, x].add(frozenset(ls))
+    gone = {k for k, v in docs.items() if len(v) > 10 and len(v) > 0.1 * len(total[k[0]])}
+    assert {h for h, _ in gone} == {"eight", "ten", "mixed"}
+    df = spark.createDataFrame([(i, "\n".join(ls), h) for i, (h, ls) in enumerate(rows)], "doc_id long, text string, source string")
+    got = {x.doc_id: x for x in quality.quality_rules(df, max_docs=10, max_share=0.1).collect()}
+    for i, (h, ls) in enumerate(rows):
+        assert got[i].clean_text.split("\n") == ([x for x in ls if (h, x) not in gone] or [""]), (h, ls, got[i])
+    assert not any(got[i].kept for i, (h, _) in enumerate(rows) if h == "eight")
+
+
 def brute_secrets(t):
     out = [(m.start(), k, m.end()) for k, r in enumerate(secrets.RULES) for m in re.finditer(r.pattern, t or "") if m.end(r.group) - m.start(r.group) >= r.least]
     return [(a, secrets.RULES[k].kind, b) for a, k, b in sorted(out)]
