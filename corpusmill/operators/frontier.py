@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -132,20 +133,26 @@ def block_patterns(domains: list[str]) -> list[str]:
     return [p for d in domains for p in (f"*://*.{d}/*", f"*://{d}/*")]
 
 
-def crawl(pages: DataFrame, start: DataFrame, extract: Callable[[DataFrame], DataFrame], rounds: int) -> tuple[DataFrame, DataFrame]:
+def crawl(pages: DataFrame, start: DataFrame, extract: Callable[[DataFrame], DataFrame], rounds: int | None = None, most: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Multi-hop expansion over stored pages, breadth first: (visited, frontier left).
 
     start: url, callback, meta, depth. extract(page rows with callback, meta, depth) gives rows of the same columns to
-    follow. Each round joins the frontier with the pages; visited urls never come again. Each round is a written table."""
+    follow. Each round joins the frontier with the pages; visited urls never come again. Each round is a written table, and
+    sixteen of them become one, so that long chains keep small plans. It ends when the frontier is empty, after the round
+    in which `most` pages are reached, or after `rounds` if given."""
     columns = ["url", "callback", "meta", "depth"]
     frontier = start.select(*columns).dropDuplicates(["url"])
-    rounds_: list[DataFrame] = []
-    for _ in range(rounds):
+    rounds_: list[tuple[int, DataFrame]] = []  # rounds that a table holds, table
+    found = 0
+    for _ in count() if rounds is None else range(rounds):
         here = written(frontier.join(pages, "url"), "visited")
-        rounds_.append(here)
-        known = reduce(DataFrame.union, [h.select("url") for h in rounds_])
+        rounds_.append((1, here))
+        while len(rounds_) >= 16 and rounds_[-16][0] == rounds_[-1][0]:
+            rounds_[-16:] = [(16 * rounds_[-1][0], written(reduce(DataFrame.unionByName, [h for _, h in rounds_[-16:]]), "visited"))]
+        known = reduce(DataFrame.union, [h.select("url") for _, h in rounds_])
         new = extract(here).select(*columns).dropDuplicates(["url"])
         frontier = written(new.join(known, "url", "left_anti"), "frontier")
-        if frontier.isEmpty():
+        found += here.count()
+        if frontier.isEmpty() or most is not None and found >= most:
             break
-    return reduce(DataFrame.unionByName, rounds_), frontier
+    return reduce(DataFrame.unionByName, [h for _, h in rounds_]), frontier

@@ -112,11 +112,11 @@ def on_content(pages: DataFrame, selectors: tuple[str, ...], clean: Callable[[Co
     return pages.select(F.to_json(F.map_concat(old, first)).alias("value"), F.col("url").alias("source_url"), *(["callback"] if "callback" in pages.columns else []))
 
 
-def crawl_site(pages: DataFrame, start_urls: list[str], css: str, follow: str | None = None, options: Options = Options(), rounds: int = 16) -> DataFrame:
+def crawl_site(pages: DataFrame, start_urls: list[str], css: str, follow: str | None = None, options: Options = Options()) -> DataFrame:
     """Items {text, html} of the matches of css on all pages reached from start_urls by links, over stored pages.
 
     Links must match `follow` if given, and stay within the options' domains and depth; at most max_pages pages (100 if not given,
-    1000 at most), nearest first."""
+    1000 at most), nearest first. It goes on until no link is left or so many pages are reached, however many hops that takes."""
     if not start_urls:
         raise ValueError("start_urls is empty")
     spark = pages.sparkSession
@@ -133,8 +133,9 @@ def crawl_site(pages: DataFrame, start_urls: list[str], css: str, follow: str |
         out = frontier.depth_limit(out, options.max_depth)
         return frontier.in_domains(out, list(options.allowed_domains), U.host(F.col("url")))
 
-    visited, _ = frontier.crawl(pages, start, extract, rounds)
-    visited = visited.orderBy("depth", "url").limit(min(options.max_pages or 100, 1000))
+    most = min(options.max_pages or 100, 1000)
+    visited, _ = frontier.crawl(pages, start, extract, most=most)
+    visited = visited.orderBy("depth", "url").limit(most)
     nodes = visited.select("url", F.explode(dom.select_all(F.col("html"), css)).alias("n"))
     return as_items(nodes.select(F.to_json(F.struct(F.col("n.html").alias("html"), F.col("n.text").alias("text"))).alias("value"), F.col("url").alias("source_url")), "site")
 

@@ -141,6 +141,15 @@ def test_site(spark):
         S.crawl_site(site, ["http://127.0.0.1/"], "p")
 
 
+def test_site_with_a_long_chain(spark):
+    rows = [(f"https://site.example/{i}", f'<p>{i}</p><a href="/{i + 1}">next</a><a href="/0">first</a>') for i in range(20)]
+    site = spark.createDataFrame(rows, "url string, html string")
+    got = S.crawl_site(site, ["https://site.example/0"], "p", options=S.Options(max_pages=1000))
+    assert sorted(r.source_url for r in got.collect()) == sorted(u for u, _ in rows)
+    got = S.crawl_site(site, ["https://site.example/0"], "p", options=S.Options(max_pages=3))
+    assert sorted(r.source_url for r in got.collect()) == [u for u, _ in rows[:3]]
+
+
 def test_entry_without_llm(spark):
     import __spark_entry__ as entry
 
