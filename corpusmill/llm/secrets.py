@@ -62,6 +62,7 @@ def _walk(nodes):
     few, and each maximal run of known text gives an AND of its trigrams."""
     runs: list = [{""}]
     queries: list = []
+    whole = True  # the run is all of the sequence so far
 
     def close() -> None:
         queries.append(_of(runs[0]))
@@ -72,13 +73,14 @@ def _walk(nodes):
         if options is None:
             queries.append(query)
             close()
+            whole = False
         elif len(runs[0]) * len(options) <= _MOST:
             runs[0] = {a + b for a, b in product(runs[0], options)}
         else:
             close()
             runs[0] = options
-    exact = runs[0] if len(nodes) and all(_strings(op, arg)[0] is not None for op, arg in nodes) else ({""} if not len(nodes) else None)
-    return exact, None, ("and", [*queries, _of(runs[0])])
+            whole = False
+    return runs[0] if whole else None, None, ("and", [*queries, _of(runs[0])])
 
 
 def _strings(op, arg):

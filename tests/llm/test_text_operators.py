@@ -112,6 +112,13 @@ def test_trigram_queries():
     assert secrets.trigram_query("a?bcd") is not None
 
 
+def test_groups_of_many_strings_are_verified():
+    rule = secrets.Rule("k", "x([abc][abc][abc])y", 1)
+    assert secrets.trigram_query(rule.pattern) is None
+    assert secrets.find(pa.array(["xabcy", "xby", "no"]), (rule,)) == [[(0, "k", 5)], [], []]
+    assert secrets.find(pa.array(["preabcendpost"]), (secrets.Rule("k", "pre([abc][abc][abc]end)post", 1),)) == [[(0, "k", 13)]]
+
+
 def test_scan_and_redact(spark):
     df = spark.createDataFrame([(1, "é password=abcdef12 end", 0), (2, None, 0), (3, "clean", 0)], "doc_id long, text string, start int")
     got = secrets.scan(df).orderBy("doc_id")
