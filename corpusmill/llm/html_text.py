@@ -22,6 +22,7 @@ from corpusmill.llm.shared import need
 # Elements that do not end a block, and those whose content is no text of the page.
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _HIDDEN = frozenset("script style noscript template iframe object svg math textarea select canvas audio video".split())
+_RAW = frozenset("script style iframe textarea".split())  # of these, whatever follows is content up to the end tag
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _OUTER = frozenset("nav aside footer form dialog menu button fieldset".split())
 _INNER = frozenset("article main".split())
@@ -53,6 +54,7 @@ def blocks(html: str) -> list[Block]:
     stack: list[tuple[str, bool, bool, bool]] = []  # tag, inside, outside, heading: as they hold below it
     state = (False, False, False)
     at, end = 0, len(html)
+    unclosed: set[str] = set()  # hidden elements without a further end tag, whose start tags are ignored
 
     def put(text: str) -> None:
         nonlocal linked
@@ -86,8 +88,13 @@ def blocks(html: str) -> list[Block]:
             continue
         if name in _HIDDEN and opens and not (attrs or "").rstrip().endswith("/"):
             close()
-            over = re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*+(?:>|\Z)", re.I).search(html, at)
-            at = over.end() if over else end
+            over = None if name in unclosed else re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*+(?:>|\Z)", re.I).search(html, at)
+            if over:
+                at = over.end()
+            elif name in _RAW:
+                at = end
+            else:
+                unclosed.add(name)
             continue
         if name in _INLINE:
             if name == "br":

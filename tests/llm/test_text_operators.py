@@ -135,6 +135,14 @@ def test_main_text(spark):
     assert got == {1: "T & x\nOne two three four\nFive six", 2: "", 3: "", 4: "cut off", 5: ""}
 
 
+def test_unclosed_hidden_elements():
+    shown = lambda html: [b.text for b in html_text.blocks(html)]
+    for tag in sorted(html_text._HIDDEN - html_text._RAW):
+        assert shown(f"<p>a</p><{tag}>x</{tag}><p>b</p><{tag} class=c><p>c</p><{tag}><p>d") == ["a", "b", "c", "d"], tag
+    for tag in html_text._RAW:
+        assert shown(f"<p>a</p><{tag}>x</{tag}><p>b</p><{tag}><p>c</p>") == ["a", "b"], tag
+
+
 def test_tree_on_pages_it_has_not_seen():
     x, y = html_text.labelled_blocks(150, seed=99)
     assert (html_text.trained().predict(x) == y).mean() > 0.98
