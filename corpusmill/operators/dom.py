@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusmill.functions import text as T
+from corpusmill.sources.shared import written
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -440,14 +441,16 @@ def siblings(e: DataFrame, id_col: str = "page_id") -> DataFrame:
     return with_siblings.join(kids, (F.col(id_col) == F.col("k_page")) & (F.col("node_id") == F.col("k_parent")), "left").drop("k_page", "k_parent")
 
 
-def ancestors(e: DataFrame, id_col: str = "page_id", most: int = 256) -> DataFrame:
-    """(id_col, node_id, ancestor, distance), level by level up to the deepest element, at most `most` levels."""
-    up = e.select(F.col(id_col).alias("u_page"), F.col("node_id").alias("u_node"), F.col("parent_id").alias("u_parent"))
-    level = e.filter("parent_id is not null").select(id_col, "node_id", F.col("parent_id").alias("ancestor"), F.lit(1).alias("distance"))
-    out, deepest = level, e.agg(F.max("depth")).first()[0] or 0
-    for d in range(2, min(deepest, most) + 1):
-        level = level.join(up, (F.col(id_col) == F.col("u_page")) & (F.col("ancestor") == F.col("u_node")) & F.col("u_parent").isNotNull()).select(id_col, "node_id", F.col("u_parent").alias("ancestor"), F.lit(d).alias("distance"))
-        out = out.union(level)
+def ancestors(e: DataFrame, id_col: str = "page_id") -> DataFrame:
+    """(id_col, node_id, ancestor, distance), up to the root of the deepest element; each step doubles the distance."""
+    out = e.filter("parent_id is not null").select(id_col, "node_id", F.col("parent_id").alias("ancestor"), F.lit(1).alias("distance"))
+    deepest, far = e.agg(F.max("depth")).first()[0] or 0, 1
+    while far < deepest:
+        out = written(out, "ancestors")
+        up = out.select(F.col(id_col).alias("u_page"), F.col("node_id").alias("u_node"), F.col("ancestor").alias("u_ancestor"), F.col("distance").alias("u_distance"))
+        above = out.filter(F.col("distance") == far).join(up, (F.col(id_col) == F.col("u_page")) & (F.col("ancestor") == F.col("u_node")))
+        out = out.union(above.select(id_col, "node_id", F.col("u_ancestor").alias("ancestor"), (F.col("distance") + F.col("u_distance")).alias("distance")))
+        far *= 2
     return out
 
 

@@ -40,6 +40,13 @@ def test_elements(spark):
     assert [r[0] for r in e.filter("tag = 'li'").orderBy("node_id").select(dom.generate_selector(F.col("attrs"))).collect()] == ["div.a", "div", 'div[data-q="1"]']
 
 
+def test_ancestors_of_deep_elements(spark):
+    rows = [(p, i, i - 1 if i else None, i) for p, n in ((1, 300), (2, 3)) for i in range(n)]
+    e = spark.createDataFrame(rows, "page_id long, node_id int, parent_id int, depth int")
+    got = sorted(tuple(r) for r in dom.ancestors(e).collect())
+    assert got == sorted((p, i, i - d, d) for p, i, _, _ in rows for d in range(1, i + 1))
+
+
 def test_follow(spark):
     html = '<a href="/1">one</a><a>no</a><a href="">x</a><a href="/2"> </a><a href="mailto:q">m</a><a href="https://o.org/É">o</a><a href="3#f">three</a>'
     pages = spark.createDataFrame([("https://e.com/d/", html)], "url string, html string")
