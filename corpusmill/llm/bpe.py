@@ -11,6 +11,7 @@ from __future__ import annotations
 import gc
 import json
 import os
+import re
 from array import array
 from functools import lru_cache
 
@@ -22,6 +23,7 @@ import pyarrow.compute as pc
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _WS = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 _INNER_SPACE = rf"{_WS} (?:{_WS}|$)"
+_FEED = re.compile(r"(?<=\S)\n(?=\S)")
 
 
 class BpeEncoder:
@@ -58,6 +60,17 @@ class BpeEncoder:
         return array("I", [t.id for t in self.tok.model.tokenize(shown)])
 
     def _chunk(self, chunk: str) -> array:
+        """Ids of a chunk. A line feed between characters that are no white space is a piece of its own, so lines are coded one by one."""
+        if "\n" not in chunk or any(a in chunk for a in self.added):
+            return self._line(chunk)
+        out, feed = array("I"), self._short("\n")
+        for i, line in enumerate(_FEED.split(chunk)):
+            if i:
+                out += feed
+            out += self._line(line)
+        return out
+
+    def _line(self, chunk: str) -> array:
         head = chunk.rstrip(".,")
         if head[:1] == " " and head[1:].isalpha():
             got = self.words.get(head)
@@ -66,22 +79,24 @@ class BpeEncoder:
                 if len(self.words) < self.memo // 5:
                     self.words[head] = got
             return got if len(head) == len(chunk) else got + self._short(chunk[len(head) :])
-        left, line, right = chunk.partition("\n")
-        if line and left and right and not left[-1].isspace() and not right[0].isspace() and not any(a in chunk for a in self.added):
-            return self._chunk(left) + self._short(line) + self._chunk(right)
         if not chunk.isascii() and head.isalpha():
             return self._piece(head) + (self._short(chunk[len(head) :]) if len(head) < len(chunk) else array("I"))
         if not self.usual.fullmatch(chunk) or any(a in chunk for a in self.added):
             return self._whole(chunk)
         out = array("I")
         for piece in self.pattern.findall(chunk):
-            out += self._piece(piece) if len(piece) > 2 else self._short(piece)
+            out += self._short(piece)
         return out
 
     def _short(self, piece: str) -> array:
+        """Remembers pieces of one or two characters only, so that what it holds has a bound."""
+        if len(piece) > 2:
+            return self._piece(piece)
         got = self.short.get(piece)
         if got is None:
-            got = self.short[piece] = self._piece(piece)
+            got = self._piece(piece)
+            if len(self.short) < self.memo // 5:
+                self.short[piece] = got
         return got
 
     def _encoded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

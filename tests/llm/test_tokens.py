@@ -92,3 +92,19 @@ def test_token_files(spark):
     empty = new_path(spark, "test-ids")
     tokenfiles.write_token_files(frame(spark, rows).limit(0), empty, path, end_id=0)
     assert tokenfiles.read_token_files(spark, empty).count() == 0
+
+
+LONG = ["word\n" * 100_000, "漢字仮名\n" * 2000, "\n".join(f"https://e.com/a/{i}?x={i * 7}" for i in range(3000)), "x" * 1_000_000, "漢" * 100_000, "a\n\nb\n c\nd \ne\x1c\nf\x85\ng\n" * 20, "..." * 5000 + "\nab,,,,\n,", "one word\nof lines " * 20_000]
+
+
+def test_long_texts_equal_the_library():
+    path, tok = tokenizer()
+    coder = encoder(path)
+    for t in LONG:
+        assert coder.encode(pa.array([t]))[1].tolist() == tok.encode(t, add_special_tokens=False).ids, t[:20]
+    assert all(len(k) <= 2 for k in coder.short)
+
+
+def test_long_texts_through_the_operators(spark):
+    path, _ = tokenizer()
+    check_pieces(LONG, packing.pack(frame(spark, LONG), path, end_id=1).collect(), 1)
