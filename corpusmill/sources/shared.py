@@ -4,16 +4,22 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CONF = "spark.checkpoint.dir"
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()  # of the tables that written() returned
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it is unset (tests), a temporary one is set."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset and all tasks run on this machine (tests), a
+    temporary one is set; on a cluster that is an error, as executors would not see each other's files."""
     root = spark.conf.get(_CONF, None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not master.split("[")[0] == "local":
+            raise ValueError(f"{_CONF} must name a folder that all machines of {master} share")
         root = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
         spark.conf.set(_CONF, root)
     return root.rstrip("/")
@@ -30,4 +36,29 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     if partition_by:
         w = w.partitionBy(partition_by)
     w.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that written() returned and that no later plan reads: what was made of them must be written itself."""
+    for t in tables:
+        path = _PATHS.pop(t, None)
+        if path is not None:
+            jvm = t.sparkSession._jvm
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def free_prefix(df: DataFrame, prefix: str = "_cm") -> str:
+    """A prefix that no column of df begins with, in any case, for columns in between."""
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix + "_"
+
+
+def without(df: DataFrame, names, *but: str) -> list[str]:
+    """The columns of df, as Spark names them, that are not among names in any case, or are in but."""
+    taken = {n.lower() for n in names} - {b.lower() for b in but}
+    return [f"`{c.replace('`', '``')}`" for c in df.columns if c.lower() not in taken]
