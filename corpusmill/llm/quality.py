@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpusmill.llm.shared import need, written
+from corpusmill.llm.shared import discard, free_prefix, need, without, written
 
 _SPACE = r"[\x20\x09-\x0D]+"
 _OUT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_words", "n_removed_lines", "clean_text", "kept"]
@@ -50,8 +50,8 @@ def _line_hash(line: Column) -> Column:
     return F.xxhash64(_plain_line(line))
 
 
-def frequent_lines(lines: DataFrame, max_docs: int, max_share: float) -> DataFrame:
-    """host, h of lines in more distinct documents of a host than both limits allow.
+def frequent_lines(lines: DataFrame, max_docs: int, max_share: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Two tables that the third is made of, and host, h of lines in more distinct documents of a host than both limits allow.
 
     lines: a row per line of each document, with host, doc (hash of its whole set of lines), doc_lines and doc_chars (the
     set's size and characters), h and n (the line's hash and characters). Documents with the same set of lines are one. So
@@ -59,8 +59,9 @@ def frequent_lines(lines: DataFrame, max_docs: int, max_share: float) -> DataFra
     more than max_docs documents. No other documents are merged, whatever lines they share. A host's documents are counted likewise.
     """
     often = lines.groupBy("host", "h").agg(F.countDistinct("doc").alias("docs")).filter(F.col("docs") > max_docs)
-    often = written(often, "often").select(F.col("host").alias("o_host"), F.col("h").alias("o_h"))
-    hits = lines.join(often, (F.col("h") == F.col("o_h")) & F.col("host").eqNullSafe(F.col("o_host")))
+    often = written(often, "often")
+    named = often.select(F.col("host").alias("o_host"), F.col("h").alias("o_h"))
+    hits = lines.join(named, (F.col("h") == F.col("o_h")) & F.col("host").eqNullSafe(F.col("o_host")))
     hits = hits.groupBy("host", "doc").agg(F.max("doc_lines").alias("doc_lines"), F.max("doc_chars").alias("doc_chars"), F.array_sort(F.collect_set(F.struct("h", "n"))).alias("hot"))
     other = F.col("doc_chars") - F.aggregate("hot", F.lit(0).cast("long"), lambda a, x: a + x["n"])
     near = (F.col("doc_lines") - F.size("hot") == 1) & (6 * other <= F.col("doc_chars"))
@@ -70,10 +71,24 @@ def frequent_lines(lines: DataFrame, max_docs: int, max_share: float) -> DataFra
     total = total.groupBy(F.col("host").alias("of_host")).agg(F.countDistinct(F.coalesce("near", "doc")).alias("host_docs"))
     counted = hits.select("host", F.coalesce("near", "doc").alias("doc"), F.explode("hot.h").alias("h"))
     counted = counted.groupBy("host", "h").agg(F.countDistinct("doc").alias("docs")).filter(F.col("docs") > max_docs)
-    return counted.join(total, F.col("host").eqNullSafe(F.col("of_host"))).filter(F.col("docs") > F.lit(max_share) * F.col("host_docs")).select("host", "h")
+    return often, hits, counted.join(total, F.col("host").eqNullSafe(F.col("of_host"))).filter(F.col("docs") > F.lit(max_share) * F.col("host_docs")).select("host", "h")
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = 10, window: int = 5, max_repeat_percent: int = 20, max_docs: int = 10, max_share: float = 0.001, min_left_percent: int = 30) -> DataFrame:
+def host_tables(frequent: DataFrame) -> DataFrame:
+    """host, hot: a host's frequent lines as a hash table, an array of arrays of which the h-th, counted modulo its size, has h."""
+    sized = frequent.groupBy(F.col("host").alias("of_host")).agg(F.greatest(F.lit(1), F.least(F.lit(256), F.expr("count(1) div 4"))).cast("int").alias("slots"))
+    placed = frequent.join(sized, F.col("host").eqNullSafe(F.col("of_host")))
+    slots = placed.groupBy("host", "slots", F.pmod("h", F.col("slots")).cast("int").alias("slot")).agg(F.collect_set("h").alias("hs"))
+    hosts = slots.groupBy("host", "slots").agg(F.map_from_entries(F.collect_list(F.struct("slot", "hs"))).alias("by_slot"))
+    filled = F.transform(F.sequence(F.lit(0), F.col("slots") - 1), lambda i: F.coalesce(F.try_element_at("by_slot", i), F.array().cast("array<bigint>")))
+    return hosts.select("host", filled.alias("hot"))
+
+
+def _is_hot(hot: Column, line: Column) -> Column:
+    return _let(_line_hash(line), lambda h: F.array_contains(F.get(hot, F.pmod(h, F.size(hot)).cast("int")), h))
+
+
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = 10, window: int = 5, max_repeat_percent: int = 20, max_docs: int = 10, max_share: float = 0.001, min_left_percent: int = 30, broadcast_lines: int = 2_000_000) -> DataFrame:
     """docs with counts, clean_text (text without frequent lines) and kept.
 
     Base rules: n_words below min_words, or more than max_repeat_percent of the words in windows that repeat within
@@ -81,43 +96,51 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     distinct documents, of its host have it (see frequent_lines); a document is depleted, and not kept, if fewer than min_words words or less
     than min_left_percent of its words are left.
 
-    Null texts count as empty, and fail. Null hosts form a host of their own. Rows that repeat get the same result
-    each. Input columns named like results are replaced. No rows give no rows.
+    Only line hashes are shuffled. The frequent lines become one row a host, in which each document's lines are
+    looked up; these rows are broadcast while they have broadcast_lines hashes at most (some 16 bytes each), and beyond that
+    joined by host, where Spark splits large hosts.
+
+    Null texts count as empty, and fail. Very long ones are measured whole. Null hosts form a host of their own. Rows that repeat, or share
+    an id, get a result each. Input columns named like results, in any case, are replaced. No rows give no rows.
     """
     need(docs, id_col, text_col, host_col)
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in _OUT or c in (id_col, text_col, host_col)])
+    rest = without(docs, _OUT, id_col, text_col, host_col)
+    p = free_prefix(docs)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    key = [F.col(id_col).alias("k_id"), F.col(host_col).alias("host"), F.xxhash64(text).alias("k_text")]
 
     plain_lines = F.transform(_lines(text), _plain_line)
-    hashed = docs.select(*key, F.array_sort(F.array_distinct(F.transform(plain_lines, lambda x: F.struct(F.xxhash64(x).alias("h"), F.length(x).alias("n"))))).alias("ls"))
+    hashed = docs.select(F.col(host_col).alias("host"), F.array_sort(F.array_distinct(F.transform(plain_lines, lambda x: F.struct(F.xxhash64(x).alias("h"), F.length(x).alias("n"))))).alias("ls"))
     chars = F.aggregate("ls", F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    each = hashed.select("k_id", "host", "k_text", F.xxhash64("ls").alias("doc"), F.size("ls").alias("doc_lines"), chars.alias("doc_chars"), F.explode("ls").alias("l"))
-    lines = written(each.select("k_id", "host", "k_text", "doc", "doc_lines", "doc_chars", "l.h", "l.n"), "lines")
-    frequent = written(frequent_lines(lines, max_docs, max_share), "frequent-lines").select(F.col("host").alias("f_host"), F.col("h").alias("f_h"))
-    hits = lines.join(frequent, (F.col("h") == F.col("f_h")) & F.col("host").eqNullSafe(F.col("f_host")))
-    hits = written(hits.groupBy("k_id", "host", "k_text").agg(F.collect_set("h").alias("hot")), "line-hits").select(F.col("k_id").alias("_cm_id"), F.col("host").alias("_cm_host"), F.col("k_text").alias("_cm_of_text"), F.col("hot").alias("_cm_hot"))
-
-    words = words_of(text)
-    measured = docs.withColumns({"_cm_words": words, "_cm_lines": _lines(text), "_cm_text": F.xxhash64(text)})
+    each = hashed.select("host", F.xxhash64("ls").alias("doc"), F.size("ls").alias("doc_lines"), chars.alias("doc_chars"), F.explode("ls").alias("l"))
+    lines = written(each.select("host", "doc", "doc_lines", "doc_chars", "l.h", "l.n"), "lines")
+    often, hits, frequent = frequent_lines(lines, max_docs, max_share)
+    frequent = written(frequent, "frequent-lines")
+    discard(lines, often, hits)
+    hosts = written(host_tables(frequent), "frequent-by-host").select(F.col("host").alias(f"{p}host"), F.col("hot").alias(f"{p}hot"))
+    if frequent.count() <= broadcast_lines:
+        hosts = F.broadcast(hosts)
+    discard(frequent)
+
+    hot = F.col(f"{p}hot")
+    measured = docs.select(*rest).join(hosts, F.col(host_col).eqNullSafe(F.col(f"{p}host")), "left")
+    measured = measured.withColumns({f"{p}words": words_of(text), f"{p}lines": _lines(text)})
     measured = measured.withColumns({
-        "n_words": F.size("_cm_words").cast("long"),
-        "word_chars": F.length(F.array_join("_cm_words", "")).cast("long"),
+        "n_words": F.size(f"{p}words").cast("long"),
+        "word_chars": F.length(F.array_join(f"{p}words", "")).cast("long"),
         "n_symbols": (F.length(text) - F.length(F.regexp_replace(text, "[#*$%&|<>]", ""))).cast("long"),
-        "n_dup_lines": (F.size("_cm_lines") - F.size(F.array_distinct("_cm_lines"))).cast("long"),
-        "n_repeat_words": repeated_words(F.col("_cm_words"), window),
-        "_cm_sizes": F.transform("_cm_lines", lambda x: F.struct(_line_hash(x).alias("h"), F.size(words_of(x)).alias("n"))),
+        "n_dup_lines": (F.size(f"{p}lines") - F.size(F.array_distinct(f"{p}lines"))).cast("long"),
+        "n_repeat_words": repeated_words(F.col(f"{p}words"), window),
+        f"{p}gone": F.when(hot.isNotNull(), F.transform(F.filter(f"{p}lines", lambda x: _is_hot(hot, x)), lambda x: F.size(words_of(x)))),
     })
-    measured = measured.drop("_cm_words", "_cm_lines")
-    joined = measured.join(hits, (F.col("_cm_text") == F.col("_cm_of_text")) & F.col(id_col).eqNullSafe(F.col("_cm_id")) & F.col(host_col).eqNullSafe(F.col("_cm_host")), "left")
-    gone = F.filter("_cm_sizes", lambda x: F.array_contains(F.col("_cm_hot"), x["h"]))
-    left = F.col("n_words") - F.col("n_removed_words")
-    plain = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(F.col("_cm_hot"), _line_hash(x)))
-    joined = joined.withColumn("_cm_gone", F.when(F.col("_cm_hot").isNotNull(), gone)).withColumns({
+    measured = measured.withColumns({
         "base_failed": (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")),
-        "n_removed_words": F.coalesce(F.aggregate("_cm_gone", F.lit(0).cast("long"), lambda a, x: a + x["n"]), F.lit(0).cast("long")),
-        "n_removed_lines": F.coalesce(F.size("_cm_gone"), F.lit(0)).cast("long"),
-        "clean_text": F.when(F.col("_cm_hot").isNull(), F.col(text_col)).otherwise(F.array_join(plain, "\n")),
+        "n_removed_words": F.coalesce(F.aggregate(f"{p}gone", F.lit(0).cast("long"), lambda a, n: a + n), F.lit(0).cast("long")),
+        "n_removed_lines": F.coalesce(F.size(f"{p}gone"), F.lit(0)).cast("long"),
+    })
+    without_hot = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~_is_hot(hot, x)), "\n")
+    left = F.col("n_words") - F.col("n_removed_words")
+    measured = measured.withColumns({
+        "clean_text": F.when(F.col("n_removed_lines") == 0, F.col(text_col)).otherwise(without_hot),
+        "kept": ~F.col("base_failed") & (left >= min_words) & (100 * left >= min_left_percent * F.col("n_words")),
     })
-    joined = joined.withColumn("kept", ~F.col("base_failed") & (left >= min_words) & (100 * left >= min_left_percent * F.col("n_words")))
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], *_OUT)
+    return measured.select(*rest, *_OUT)

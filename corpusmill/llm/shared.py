@@ -6,9 +6,9 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.sources.shared import new_path, shared_dir, written
+from corpusmill.sources.shared import discard, free_prefix, new_path, shared_dir, without, written
 
-__all__ = ["arrow_rows", "need", "new_path", "shared_dir", "written"]
+__all__ = ["arrow_rows", "discard", "free_prefix", "need", "new_path", "shared_dir", "without", "written"]
 
 
 def need(df: DataFrame, *columns: str) -> None:

@@ -89,6 +89,18 @@ def test_frequent_lines_equal_a_count_of_documents(spark):
     assert not any(got[i].kept for i, (h, _) in enumerate(rows) if h == "eight")
 
 
+def test_headers_and_footers_that_occur_together(spark):
+    r = random.Random(9)
+    own = lambda: " ".join(str(r.random()) for _ in range(9))
+    rows = [(i, f"The header of all pages\n{own()}\nAll rights reserved by the footer", "h", "in") for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, Kept string").withColumns({c: F.lit("x") for c in ("_cm_hot", "Clean_Text", "HOST")})
+    for most in (2_000_000, 0):  # by broadcast, and by a join
+        got = quality.quality_rules(df, broadcast_lines=most)
+        assert len(got.columns) == len({c.lower() for c in got.columns})
+        found = got.agg(F.sum("n_removed_lines"), F.count_if("kept"), F.min("HOST"), F.min("_cm_hot")).first()
+        assert tuple(found) == (2000, 1000, "x", "x")
+
+
 def brute_secrets(t):
     out = [(m.start(), k, m.end()) for k, r in enumerate(secrets.RULES) for m in re.finditer(r.pattern, t or "") if m.end(r.group) - m.start(r.group) >= r.least]
     return [(a, secrets.RULES[k].kind, b) for a, k, b in sorted(out)]
