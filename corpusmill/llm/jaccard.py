@@ -1,28 +1,31 @@
 """Exact n-gram Jaccard join by grouped prefixes.
 
-Documents with equal shingle sets are collapsed, and those with equal prefixes and sizes form one group. The prefix of
+Documents with equal shingle sets are one class, and classes with equal prefixes and sizes form one group. The prefix of
 a group is the n - ceil(t n) + l smallest hashes of its n shingles: two documents of similarity t or more have at
 least min(l, l') of them in common. So shingles that no other group's prefix has are dropped, and a group
 with fewer than that left has no partner. Of what is left, ordered by the number of groups that have it, the rarest
 lead to candidates. In each such bucket the groups are compared with one leader first; after the links that this
 gives, only groups of different components still meet. Group pairs are filtered by size, expanded to their
 members, and verified on the whole sets.
+
+Prefix shingles are packed into blocks, a row for each of many buckets, whose number grows with the input. Shingles
+that very many groups have are found beforehand; they need no counting, come last in the order, and are dealt out by group.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from corpusmill.llm.bpe import slices
 from corpusmill.llm.graph import components, forest
-from corpusmill.llm.shared import need, written
+from corpusmill.llm.shared import arrow_rows, discard, need, written
 
-_BASE, _BUCKETS = np.uint64(0x9E3779B97F4A7C55), 1024
+_BASE = np.uint64(0x9E3779B97F4A7C55)
+_SLICE, _ROWS = 1 << 20, 1000  # bytes of text at once; rows that go to a Python worker at once
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,39 +37,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-    up, down = np.full(n, _BASE), np.full(n, inverse)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Number of words of each text, and the words' SipHash values in order."""
+    split = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+    flat, counts = split.flatten().cast(pa.large_binary()), np.asarray(pc.list_value_length(split)).astype(np.int64)
+    some = np.asarray(pc.binary_length(flat)) > 0
+    doc = np.repeat(np.arange(len(counts)), counts)[some]
+    coded = pc.dictionary_encode(flat.filter(pa.array(some)))
+    lower = np.array([None, *(w.lower() for w in coded.dictionary.to_pylist())], object)[1:]  # of bytes, so A-Z only
+    hashes = pd.util.hash_array(lower, categorize=False) if len(lower) else np.zeros(0, np.uint64)
+    return np.bincount(doc, minlength=len(counts)), hashes[np.asarray(coded.indices)]
 
 
-_VALUES = mix(np.arange(1, 257, dtype=np.uint64))
-_VALUES[65:91] = _VALUES[97:123]  # A-Z as a-z
 _ONE = np.ones(1, bool)
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, *range(9, 14)]] = True
 
 
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     """Of each text the sorted distinct 64-bit hashes of its k-word shingles; with fewer words, of all of them as one."""
-    texts = texts.cast(pa.large_binary()).fill_null(b"")
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    sizes = np.diff(offsets)
-    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
-    ends_of = offsets[1:] - offsets[0]
-    space = _SPACE[data]
-    edge = np.zeros(len(data) + 1, bool)
-    edge[np.concatenate([[0], ends_of])] = True
-    begins = ~space & (np.concatenate([[True], space[:-1]]) | edge[:-1])
-    finishes = ~space & (np.concatenate([space[1:], [True]]) | edge[1:])
-    first, last = np.flatnonzero(begins), np.flatnonzero(finishes) + 1
-    up, down = _powers(max(1 << 20, 1 << int(len(data)).bit_length()))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUES[data] * up[: len(data)])])
-    words = mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64))
-    doc = np.searchsorted(ends_of, first, side="right")
-    counts = np.bincount(doc, minlength=len(sizes))
+    counts, words = _words(texts)
     at = np.concatenate([[0], np.cumsum(counts)])
     h = words[: max(0, len(words) - k + 1)].copy()
     for j in range(1, k):
@@ -107,152 +95,262 @@ class Bounds:
         """Prefix shingles in common with any partner, at least: of the smallest one, which has overlap(n) shingles."""
         return self.extra(self.overlap(n))
 
-    def sizes_fit(self, n, m):
-        return self.den * np.minimum(n, m) >= self.num * np.maximum(n, m)
+    def fit(self, n, m):
+        """Column: sizes of which one set may be as similar to the other as asked for."""
+        return self.den * F.least(n, m) >= self.num * F.greatest(n, m)
 
     def linked(self, a: np.ndarray, b: np.ndarray) -> bool:
         common = len(np.intersect1d(a, b, assume_unique=True))
         return self.den * common >= self.num * (len(a) + len(b) - common)
 
 
-def _scatter(bucket: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+def _low(q: np.ndarray) -> np.ndarray:
+    """The size that a step of a twelfth of a power of two stands for, at most as large as the sizes of that step."""
+    return np.maximum(1, np.floor(2.0 ** (q / 12) * (1 - 1e-9))).astype(np.int64)
+
+
+def _step(n: np.ndarray) -> np.ndarray:
+    return np.minimum(255, np.floor(12 * np.log2(np.maximum(n, 1)))).astype(np.uint8)
+
+
+def _sums(sets: list[np.ndarray], salt: int) -> np.ndarray:
+    """A hash of each set, independent of order."""
+    n = np.array([len(s) for s in sets], np.int64)
+    out, some = np.zeros(len(sets), np.uint64), n > 0
+    if some.any():
+        flat = mix(np.concatenate(sets) + np.uint64(salt))
+        out[some] = np.add.reduceat(flat, (np.cumsum(n) - n)[some])
+    return out
+
+
+def _prefixes(sets: list[np.ndarray], bounds: Bounds) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    """Sizes, prefixes, the group of each (which stands for prefix and size), and a second hash of it."""
+    n = np.array([len(s) for s in sets], np.int64)
+    p = [s[:m] for s, m in zip(sets, bounds.prefix(n).tolist(), strict=True)]
+    return n, p, mix(_sums(p, 3) + n.astype(np.uint64)).view(np.int64), mix(_sums(p, 5) ^ n.astype(np.uint64)).view(np.int64)
+
+
+class _Seen:
+    """The groups that a task has met."""
+
+    def __init__(self):
+        self.held: set = set()
+
+    def new(self, g: np.ndarray, g2: np.ndarray, n: np.ndarray) -> list[int]:
+        out = []
+        for i, key in enumerate(zip(g.tolist(), g2.tolist(), strict=True)):
+            if n[i] and key not in self.held:
+                self.held.add(key)
+                out.append(i)
+        return out
+
+
+def _scatter(bucket: np.ndarray, *columns: np.ndarray) -> list[tuple]:
     """A row for each bucket that occurs, with its entries of the columns as binary."""
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
-    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, int)
-    ends = np.append(cuts[1:], len(bucket))[: len(cuts)]
-    names = ["bucket", *(f"c{i}" for i in range(len(columns)))]
-    arrays = [pa.array(bucket[cuts].astype(np.int32), pa.int32())]
-    for c in columns:
-        c = c[order]
-        arrays.append(pa.array([c[a:b].tobytes() for a, b in zip(cuts.tolist(), ends.tolist(), strict=True)], pa.binary()))
-    return pa.RecordBatch.from_arrays(arrays, names=names)
-
-
-def _gather(batches, *types) -> list[np.ndarray]:
-    held: list[list] = [[] for _ in types]
-    for batch in batches:
-        for i in range(len(types)):
-            held[i] += [b for b in batch.column(i + 1).to_pylist() if b]
-    return [np.frombuffer(b"".join(h), dtype=t) for h, t in zip(held, types, strict=True)]
+    cuts, counts = _runs(bucket)
+    columns = [c[order] for c in columns]
+    return [(int(bucket[a]), *(c[a : a + n].tobytes() for c in columns)) for a, n in zip(cuts.tolist(), counts.tolist(), strict=True)]
 
 
-def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    cuts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, int)
-    return cuts, np.append(cuts[1:], len(x))[: len(cuts)] - cuts
+def _blocks(rows: list[tuple], names: str):
+    schema = pa.schema([(n, pa.int32() if n == "bucket" else pa.binary()) for n in names.split()])
+    for a in range(0, len(rows), 4096):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[a : a + 4096], strict=True), schema, strict=True)], schema=schema)
 
 
-def _rows(schema: str, *columns):
-    names = [x.split()[0] for x in schema.split(", ")]
-    for a in range(0, len(columns[0]), 1 << 16):
-        yield pa.RecordBatch.from_arrays([pa.array(c[a : a + (1 << 16)]) for c in columns], names=names)
+def _by_bucket(batches):
+    """(bucket, columns as lists of binary) of rows that are sorted by bucket; one bucket is held at a time."""
+    at, held = None, []
+    for batch in batches:
+        columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+        for row in zip(*columns, strict=True):
+            if row[0] != at:
+                if held:
+                    yield at, list(zip(*held, strict=True))[1:]
+                at, held = row[0], []
+            held.append(row)
+    if held:
+        yield at, list(zip(*held, strict=True))[1:]
 
 
-def prepared(docs: DataFrame, id_col: str, text_col: str, k: int, bounds: Bounds) -> DataFrame:
-    """doc_id, n, h1 and h2 (which stand for the set), g (for prefix and size), prefix (binary) of each row."""
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    cuts = np.flatnonzero(np.concatenate([_ONE, x[1:] != x[:-1]])) if len(x) else np.zeros(0, int)
+    return cuts, np.append(cuts[1:], len(x))[: len(cuts)] - cuts
 
-    def prepare(batches):
-        for whole in batches:
-            for batch in slices(whole, "text", 1 << 20):
-                sets = shingle_sets(batch.column(1), k)
-                n = np.array([len(s) for s in sets], np.int64)
-                p = [s[:m] for s, m in zip(sets, bounds.prefix(n).tolist(), strict=True)]
-                total = lambda xs, salt: np.array([mix(x + np.uint64(salt)).sum(dtype=np.uint64) for x in xs], np.uint64).view(np.int64)
-                g = mix(total(p, 3).view(np.uint64) + n.astype(np.uint64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total(sets, 1)), pa.array(total(sets, 2)), pa.array(g), pa.array([x.tobytes() for x in p], pa.binary())], names=["doc_id", "n", "h1", "h2", "g", "prefix"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return written(source.mapInArrow(prepare, "doc_id long, n long, h1 long, h2 long, g long, prefix binary"), "shingles")
+_PACKED = "bucket int, tok binary, g binary, q binary"
+
+
+class _Source:
+    """The texts to be joined, and what is made of them task by task."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, k: int, bounds: Bounds):
+        text = F.col(text_col).cast("string")
+        self.k, self.bounds = k, bounds
+        self.rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t"))
+
+    def hashed(self, chunk: int = 1 << 21, listed: int = 8) -> DataFrame:
+        """doc_id, t (hash of the text), n, h1 and h2 (for the set), g (for prefix and size) of each row. Rows with n = -1 list, in often,
+        the prefix shingles that at least `listed` of the groups in a run of `chunk` prefix shingles have, and their numbers."""
+        k, bounds = self.k, self.bounds
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        names = ["doc_id", "t", "n", "h1", "h2", "g", "often"]
+
+        def often(held: list[np.ndarray]):
+            tok, count = np.unique(np.concatenate(held), return_counts=True)
+            tok, count = tok[count >= listed], count[count >= listed]
+            packed = tok.tobytes() + count.astype(np.uint64).tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((None, 0, -1, 0, 0, 0, packed), types, strict=True)], names=names)
+
+        def run(batches):
+            seen, held, size = _Seen(), [], 0
+            for whole in batches:
+                for batch in slices(whole, "text", _SLICE):
+                    sets = shingle_sets(batch.column(1), k)
+                    n, p, g, g2 = _prefixes(sets, bounds)
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n), pa.array(_sums(sets, 1).view(np.int64)), pa.array(_sums(sets, 2).view(np.int64)), pa.array(g), pa.nulls(len(n), pa.binary())], names=names)
+                    for i in seen.new(g, g2, n):
+                        held.append(p[i])
+                        size += len(p[i])
+                    if size >= chunk:
+                        yield often(held)
+                        held, size = [], 0
+            if held:
+                yield often(held)
+
+        return self.rows.mapInArrow(run, "doc_id long, t long, n long, h1 long, h2 long, g long, often binary")
+
+    def blocks(self, buckets: int, hot: np.ndarray) -> DataFrame:
+        """Prefix shingles by bucket: tok (4 bytes, which with the bucket name the shingle), g and size of each group that a task meets.
+        Shingles in hot (sorted) go to buckets by group, from `buckets` on, with tok as 8 bytes."""
+        k, bounds = self.k, self.bounds
+
+        def run(batches):
+            seen = _Seen()
+            for whole in batches:
+                for batch in slices(whole, "text", _SLICE):
+                    n, p, g, g2 = _prefixes(shingle_sets(batch.column(1), k), bounds)
+                    new = seen.new(g, g2, n)
+                    if not new:
+                        continue
+                    lens = np.array([len(p[i]) for i in new])
+                    raw = np.concatenate([p[i] for i in new])
+                    name = _names(raw, buckets)
+                    owner = np.repeat(np.arange(len(new)), lens)
+                    own, q = g[new], _step(n[new])
+                    order = np.lexsort((name, owner))
+                    same = (owner[order][1:] == owner[order][:-1]) & (name[order][1:] == name[order][:-1])
+                    if same.any():  # shingles of one set with one name: the group asks for as many fewer in common
+                        for i, c in zip(*np.unique(owner[order][1:][same], return_counts=True), strict=True):
+                            want = max(1, int(bounds.shared(n[new[i]])) - int(c))
+                            while q[i] and bounds.shared(_low(q[i : i + 1]))[0] > want:
+                                q[i] -= 1
+                    is_hot = hot[np.minimum(np.searchsorted(hot, raw), len(hot) - 1)] == raw if len(hot) else np.zeros(len(raw), bool)
+                    cold, warm = ~is_hot, np.flatnonzero(is_hot)
+                    rows = _scatter((name & np.uint64(buckets - 1))[cold].astype(np.int64), (name[cold] >> np.uint64(32)).astype(np.uint32), own[owner[cold]], q[owner[cold]])
+                    if len(warm):
+                        rows += _scatter(buckets + (mix(own[owner[warm]].view(np.uint64)) & np.uint64(buckets - 1)).astype(np.int64), name[warm], own[owner[warm]], q[owner[warm]])
+                    yield from _blocks(rows, "bucket tok g q")
+
+        return self.rows.mapInArrow(run, _PACKED)
+
+    def sets(self, reps: DataFrame) -> DataFrame:
+        """node and s (the whole set) of the documents in reps: node, doc_id, t."""
+        k = self.k
+
+        def run(batches):
+            for whole in batches:
+                for batch in slices(whole, "text", _SLICE):
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), k)], pa.binary())], names=["node", "s"])
+
+        wanted = reps.select("node", F.col("doc_id").alias("r_id"), F.col("t").alias("r_t"))
+        found = self.rows.join(wanted, (F.col("t") == F.col("r_t")) & F.col("doc_id").eqNullSafe(F.col("r_id")))
+        return found.select("node", "text").mapInArrow(run, "node long, s binary").dropDuplicates(["node"])
+
+
+def _names(tok: np.ndarray, buckets: int) -> np.ndarray:
+    """The lowest bits are a shingle's bucket, the upper 32 its name there; nothing in between."""
+    return mix(tok) & np.uint64(0xFFFFFFFF << 32 | buckets - 1)
+
+
+def hot_shingles(rows: DataFrame, most: int) -> np.ndarray:
+    """Sorted prefix shingles that are listed with `most` groups or more. There are at most as many as the input has prefix shingles,
+    divided by `most`; each takes 8 bytes on the driver and in the tasks."""
+
+    def listed(batches):
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                tok, count = np.split(np.frombuffer(x, np.uint64), 2)
+                yield pa.RecordBatch.from_arrays([pa.array(tok.view(np.int64)), pa.array(count.view(np.int64))], names=["tok", "c"])
 
+    counts = rows.filter("n = -1").select("often").mapInArrow(listed, "tok long, c long").groupBy("tok").agg(F.sum("c").alias("c"))
+    return np.sort(np.array([r.tok for r in counts.filter(F.col("c") >= most).select("tok").collect()], np.int64).view(np.uint64))
 
-def candidate_keys(groups: DataFrame, bounds: Bounds) -> DataFrame:
-    """tok, gid, n, m: the buckets that each group is in. groups: gid, n, prefix."""
-    packed = "bucket int, c0 binary, c1 binary, c2 binary"
 
-    def by_token(batches):
-        for batch in batches:
-            gid, n = (np.asarray(batch.column(i)).astype(np.int64) for i in (0, 1))
-            lens = np.asarray(pc.binary_length(batch.column(2))) // 8
-            tok = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64)
-            yield _scatter(tok & np.uint64(_BUCKETS - 1), tok, np.repeat(gid, lens), np.repeat(n, lens).astype(np.int32))
+def candidate_keys(blocks: DataFrame, buckets: int, bounds: Bounds) -> DataFrame:
+    """tok, g, m: the buckets that each group is in, and how many of its prefix shingles other groups have."""
+    counted = _PACKED + ", often binary"
 
     def shared_only(batches):
-        tok, gid, n = _gather(batches, np.uint64, np.int64, np.int32)
-        order = np.argsort(tok, kind="stable")
-        tok, gid, n = tok[order], gid[order], n[order]
-        cuts, counts = _runs(tok)
-        df = np.repeat(counts, counts)
-        many = df > 1
-        tok, gid, n, df = tok[many], gid[many], n[many], df[many]
-        yield _scatter(mix(gid.view(np.uint64)) & np.uint64(_BUCKETS - 1), tok, gid, n, np.minimum(df, 2**31 - 1).astype(np.int32))
-
-    schema = "tok long, gid long, n long, m long"
+        for bucket, (toks, gs, qs) in _by_bucket(batches):
+            if bucket >= buckets:
+                tok, g, q = (np.frombuffer(b"".join(x), t) for x, t in ((toks, np.uint64), (gs, np.int64), (qs, np.uint8)))
+                many = np.ones(len(tok), bool)
+                df = np.full(len(tok), 255, np.uint8)
+            else:
+                tok, g, q = (np.frombuffer(b"".join(x), t) for x, t in ((toks, np.uint32), (gs, np.int64), (qs, np.uint8)))
+                order = np.lexsort((q, g, tok))
+                tok, g, q = tok[order], g[order], q[order]
+                first = np.concatenate([_ONE, (tok[1:] != tok[:-1]) | (g[1:] != g[:-1])]) if len(tok) else np.zeros(0, bool)
+                tok, g, q = tok[first], g[first], q[first]  # tasks that met the same group
+                _, counts = _runs(tok)
+                df = np.repeat(np.minimum(254, 6 * np.log2(counts)).astype(np.uint8), counts)
+                many = np.repeat(counts > 1, counts)
+                tok = tok.astype(np.uint64) << np.uint64(32) | np.uint64(bucket)
+            yield from _blocks(_scatter((mix(g[many].view(np.uint64)) & np.uint64(buckets - 1)).astype(np.int64), tok[many], g[many], q[many], df[many]), "bucket tok g q often")
 
     def rarest(batches):
-        tok, gid, n, df = _gather(batches, np.uint64, np.int64, np.int32, np.int32)
-        order = np.lexsort((tok, df, gid))
-        tok, gid, n = tok[order], gid[order], n[order].astype(np.int64)
-        cuts, m = _runs(gid)
-        keys = m - bounds.shared(n[cuts]) + 1
-        place = np.arange(len(gid)) - np.repeat(cuts, m)
-        keep = place < np.repeat(keys, m)
-        yield from _rows(schema, tok[keep].view(np.int64), gid[keep], n[keep], np.repeat(m, m)[keep])
-
-    first = groups.select("gid", "n", "prefix").mapInArrow(by_token, packed).repartition("bucket").mapInArrow(shared_only, packed + ", c3 binary")
-    return first.repartition("bucket").mapInArrow(rarest, schema)
+        for _, columns in _by_bucket(batches):
+            tok, g, q, df = (np.frombuffer(b"".join(x), t) for x, t in zip(columns, (np.uint64, np.int64, np.uint8, np.uint8), strict=True))
+            order = np.lexsort((tok, df, g))
+            tok, g, q = tok[order], g[order], q[order]
+            first = np.concatenate([_ONE, (tok[1:] != tok[:-1]) | (g[1:] != g[:-1])]) if len(tok) else np.zeros(0, bool)
+            least = np.minimum.reduceat(q, _runs(g)[0]) if len(g) else q
+            tok, g = tok[first], g[first]
+            cuts, m = _runs(g)
+            keep = np.arange(len(g)) - np.repeat(cuts, m) < np.repeat(m - bounds.shared(bounds_low(least)) + 1, m)
+            yield pa.RecordBatch.from_arrays([pa.array(tok[keep].view(np.int64)), pa.array(g[keep]), pa.array(np.repeat(m, m)[keep])], names=["tok", "g", "m"])
+
+    bounds_low = _low
+    dealt = blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(shared_only, counted)
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(rarest, "tok long, g long, m long")
 
 
 _PAIR = "a long, b long"
 
 
 def leader_pairs(keys: DataFrame, bounds: Bounds) -> DataFrame:
-    """a < b: in each bucket the group with the largest part of its prefix shared, with all that fit it in size."""
-
-    def star(batches):
-        held = [np.concatenate([np.asarray(b.column(i)) for b in batches_]) if batches_ else np.zeros(0, np.int64) for batches_ in [list(batches)] for i in range(4)]
-        tok, gid, n, m = held
-        order = np.lexsort((gid, -(m / np.maximum(n, 1)), tok))
-        tok, gid, n = tok[order], gid[order], n[order]
-        cuts, counts = _runs(tok)
-        lead, size = np.repeat(gid[cuts], counts), np.repeat(n[cuts], counts)
-        ok = (lead != gid) & bounds.sizes_fit(size, n)
-        pairs = np.unique(np.stack([np.minimum(lead, gid)[ok], np.maximum(lead, gid)[ok]], axis=1), axis=0)
-        yield from _rows(_PAIR, pairs[:, 0], pairs[:, 1])
-
-    return keys.repartition("tok").mapInArrow(star, _PAIR).distinct()
-
-
-def cross_pairs(keys: DataFrame, bounds: Bounds, small: int = 64) -> DataFrame:
-    """kind, a, b of the buckets with several components. keys: tok, gid, n, m, component.
-
-    kind 0: a < b of one bucket, which fit in size and are in different components. A bucket of more than `small`
-    documents gives, instead of its pairs, kind 1: that b is in the shard a, named by its smallest document;
-    shards of many buckets coincide, as large buckets come from the same copies or passages."""
-
-    def cross(batches):
-        batches = list(batches)
-        tok, gid, n, m, comp = (np.concatenate([np.asarray(b.column(i)) for b in batches]) if batches else np.zeros(0, np.int64) for i in range(5))
-        order = np.lexsort((gid, tok))
-        tok, gid, n, comp = tok[order], gid[order], n[order], comp[order]
-        cuts, counts = _runs(tok)
-        if not len(cuts):
-            return
-        several = np.repeat(np.minimum.reduceat(comp, cuts) != np.maximum.reduceat(comp, cuts), counts)
-        large = np.repeat(counts > small, counts)
-        shards = np.stack([np.repeat(gid[cuts], counts), gid], axis=1)[several & large]
-        keep = several & ~large
-        tok, gid, n, comp = tok[keep], gid[keep], n[keep], comp[keep]
-        found = [np.zeros((0, 2), np.int64)]
-        for d in range(1, min(small, len(tok))):
-            ok = (tok[d:] == tok[:-d]) & (comp[d:] != comp[:-d]) & bounds.sizes_fit(n[d:], n[:-d])
-            if not (tok[d:] == tok[:-d]).any():
-                break
-            found.append(np.stack([gid[:-d][ok], gid[d:][ok]], axis=1))
-        for kind, rows in ((0, np.concatenate(found)), (1, shards)):
-            rows = np.unique(rows, axis=0)
-            yield from _rows("kind int, a long, b long", np.full(len(rows), kind, np.int32), rows[:, 0], rows[:, 1])
-
-    return keys.repartition("tok").mapInArrow(cross, "kind int, a long, b long").distinct()
+    """a < b: in each bucket the group with the largest part of its prefix shared, with all that fit it in size.
+    keys: tok, gid, n, m. Leaders are an aggregate, so no bucket is gathered."""
+    leads = keys.groupBy("tok").agg(F.max_by(F.struct("gid", "n"), F.struct(F.col("m") / F.col("n"), -F.col("gid"))).alias("l"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    met = keys.join(leads.select("tok", F.col("l.gid").alias("lead"), F.col("l.n").alias("lead_n")), "tok").filter((F.col("gid") != F.col("lead")) & bounds.fit(F.col("n"), F.col("lead_n")))
+    return met.select(F.least("gid", "lead").alias("a"), F.greatest("gid", "lead").alias("b")).distinct()
+
+
+def cross_pairs(keys: DataFrame, bounds: Bounds, small: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Of the buckets with several components, pairs a < b and shards. keys: tok, node, n, component.
+
+    Buckets of up to `small` documents give the pairs that fit in size and are in different components; larger ones
+    (shard, node, component), where the shard is named by its smallest document; shards of many buckets coincide, as
+    large buckets come from the same copies or passages."""
+    stats = keys.groupBy("tok").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"), F.min("node").alias("shard")).filter("low <> high")
+    several = written(keys.join(stats.drop("low", "high"), "tok"), "several")
+    a = several.filter(F.col("size") <= small).select("tok", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_c"))
+    b = a.select("tok", F.col("a").alias("b"), F.col("a_n").alias("b_n"), F.col("a_c").alias("b_c"))
+    pairs = a.join(b, "tok").filter((F.col("a") < F.col("b")) & (F.col("a_c") != F.col("b_c")) & bounds.fit(F.col("a_n"), F.col("b_n"))).select("a", "b").distinct()
+    return pairs, several.filter(F.col("size") > small).select("shard", F.col("node").alias("id"), "component").distinct()
 
 
 def shard_links(shards: DataFrame, sets: DataFrame, bounds: Bounds, block: int = 512) -> DataFrame:
@@ -303,7 +401,7 @@ def shard_links(shards: DataFrame, sets: DataFrame, bounds: Bounds, block: int =
 
 
 def verified(pairs: DataFrame, sets: DataFrame, bounds: Bounds) -> DataFrame:
-    """The pairs whose sets are as similar as asked for. sets: id, s."""
+    """The pairs whose sets are as similar as asked for. sets: node, s."""
 
     def check(batches):
         for batch in batches:
@@ -311,66 +409,78 @@ def verified(pairs: DataFrame, sets: DataFrame, bounds: Bounds) -> DataFrame:
             ok = [bounds.linked(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)) for p, q in zip(x, y, strict=True)]
             yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
-    both = with_b.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a")
+    with_b = pairs.join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+    both = with_b.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a")
     return both.select("a", "b", "x", "y").mapInArrow(check, _PAIR)
 
 
-def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """id and s (the whole set) of the documents in ids."""
+def joined_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, num: int = 85, den: int = 100, most: int = 1 << 20, bucket: int = 1 << 20) -> DataFrame:
+    """doc_id, t (xxhash64 of the text), n_shingles, component_id (the smallest id that links lead to) and component (a number
+    for it) of every row.
 
-    def make(batches):
-        for whole in batches:
-            for batch in slices(whole, "text", 1 << 20):
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), k)], pa.binary())], names=["id", "s"])
-
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    wanted = source.join(ids.select("id"), F.col("doc_id") == F.col("id"), "left_semi")
-    return wanted.mapInArrow(make, "id long, s binary").dropDuplicates(["id"])
-
-
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row: the smallest id that links lead to, itself included.
-
-    Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased; a text with fewer than k words has them as one shingle, one
-    without words or null links with nothing. Two rows link when den * intersection >= num * union. Ids are
-    unique longs; where one repeats, the rows with it count as linked. Rows with a null id get a null component.
+    Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased; a text with fewer than k words has them as one shingle. Two
+    rows link when den * intersection >= num * union. Rows whose text is null, or has no words, link with nothing: n_shingles is 0,
+    component null, component_id their own id. Rows with one id and different texts are different documents; equal rows are
+    linked. Where all ids of a component are null, component_id is null. Texts of any length are taken whole. No rows give no rows; other
+    columns are not read. most: a shingle that so many groups have is dealt out by group. bucket: shingles of a bucket, on average.
     """
     need(docs, id_col, text_col)
-    bounds = Bounds(num, den)
-    rows = prepared(docs, id_col, text_col, k, bounds)
-    full = rows.filter("n > 0 and doc_id is not null")
-    classes = written(full.groupBy("n", "h1", "h2", "g").agg(F.min("doc_id").alias("id")), "classes")
-    groups = written(classes.groupBy("n", "g").agg(F.min("id").alias("gid"), F.count(F.lit(1)).alias("members")), "groups")
-    prefixes = full.select(F.col("doc_id").alias("gid"), "n", "g", "prefix").join(groups.select("gid", "n", "g"), ["gid", "n", "g"], "left_semi").dropDuplicates(["gid"])
-    keys = written(candidate_keys(prefixes, bounds), "keys")
-    members = written(classes.join(groups.select("n", "g", "gid"), ["n", "g"]).select("gid", "id"), "members")
-    plural = members.join(groups.filter("members > 1").select("gid"), "gid", "left_semi")
-    inner = plural.filter("gid <> id").select(F.col("gid").alias("a"), F.col("id").alias("b"))
+    spark, bounds = docs.sparkSession, Bounds(num, den)
+    source = _Source(docs, id_col, text_col, k, bounds)
+    with arrow_rows(spark, _ROWS):
+        hashed = written(source.hashed(), "jaccard-rows")
+    rows = hashed.filter("n >= 0")
+    numbered = rows.filter("n > 0").groupBy("n", "h1", "h2", "g").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "t")).alias("rep"))
+    classes = written(numbered.select("n", "h1", "h2", "g", F.col("rep.doc_id").alias("doc_id"), F.col("rep.t").alias("t"), F.monotonically_increasing_id().alias("node")), "jaccard-classes")
+    groups = written(classes.groupBy("n", "g").agg(F.min("node").alias("gid"), F.count(F.lit(1)).alias("members")), "jaccard-groups")
+    members = written(classes.join(groups, ["n", "g"]).select("gid", "node", "n", "members"), "jaccard-members")
+
+    total = (rows.agg(F.sum("n")).first()[0] or 0) * 5 * (den - num) // (3 * den)
+    buckets = min(1 << 22, max(1024, 1 << (total // bucket).bit_length()))
+    with arrow_rows(spark, _ROWS):
+        found = candidate_keys(source.blocks(buckets, hot_shingles(hashed, most)), buckets, bounds)
+        found = written(found, "jaccard-found")
+    keys = written(found.join(groups.select("g", "gid", "n"), "g").select("tok", "gid", "n", "m"), "jaccard-keys")
 
     def links_of(pairs: DataFrame, name: str) -> DataFrame:
-        ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), name + "-ids")
-        return written(verified(pairs, written(_sets(docs, ids, id_col, text_col, k), name + "-sets"), bounds), name + "-links")
-
-    tested = written(leader_pairs(keys, bounds).union(inner).distinct(), "leader-pairs")
-    stars = links_of(tested, "leader-pairs")
-    known = written(components(stars), "components")
-    member = members.join(known, F.col("id") == F.col("node"), "left").select("gid", "id", F.coalesce("component", "id").alias("component"))
-    member = written(member, "member-components")
-    across = cross_pairs(keys.join(member, "gid").select("tok", F.col("id").alias("gid"), "n", "m", "component"), bounds)
-    apart = member.join(groups.filter("members > 1").select("gid"), "gid", "left_semi")
-    other = apart.select("gid", F.col("id").alias("b"), F.col("component").alias("of_b"))
-    within = apart.join(other, "gid").filter("id < b and component <> of_b").select(F.col("id").alias("a"), "b")
-    across = written(across, "across")
-    left = written(across.filter("kind = 0").select("a", "b").union(within).distinct().join(tested, ["a", "b"], "left_anti"), "cross-pairs")
-    more = links_of(left, "cross-pairs")
-    shards = across.filter("kind = 1").select(F.col("a").alias("shard"), "b").join(member.select("id", "component"), F.col("b") == F.col("id")).select("shard", "id", "component")
+        ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        wanted = written(classes.join(ids, "node", "left_semi").select("node", "doc_id", "t"), name + "-ids")
+        with arrow_rows(spark, _ROWS):
+            sets = written(source.sets(wanted), name + "-sets")
+            out = written(verified(pairs, sets, bounds), name + "-links")
+        discard(wanted, sets)
+        return out
+
+    inner = members.filter("members > 1 and gid <> node").select(F.col("gid").alias("a"), F.col("node").alias("b"))
+    tested = written(leader_pairs(keys, bounds).union(inner).distinct(), "jaccard-leader-pairs")
+    stars = links_of(tested, "jaccard-leader")
+    known = written(components(stars), "jaccard-components")
+    member = members.join(known.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("gid", "node", "n", "members", F.coalesce("component", "node").alias("component"))
+    member = written(member, "jaccard-member-components")
+    met = keys.select("tok", "gid").join(member, "gid").select("tok", "node", "n", "component")
+    met = met.union(member.filter("members > 1").select(F.xxhash64(F.lit("group"), "gid"), "node", "n", "component"))  # a group is a bucket, too
+    pairs, shards = cross_pairs(met, bounds)
+    left = written(pairs.join(tested, ["a", "b"], "left_anti"), "jaccard-cross-pairs")
+    more = links_of(left, "jaccard-cross")
+    shards = written(shards, "jaccard-shards")
     if not shards.isEmpty():
-        shards = written(shards, "shards")
-        sets = written(_sets(docs, written(shards.select("id").distinct(), "shard-ids"), id_col, text_col, k), "shard-sets")
-        more = more.union(written(shard_links(shards, sets, bounds), "shard-links"))
-    comps = written(components(stars.union(more)), "components")
-    of_class = classes.join(comps, F.col("id") == F.col("node"), "left").select("n", "h1", "h2", "g", F.coalesce("component", "id").alias("component_id"))
-    of_class = written(of_class, "class-components").withColumnsRenamed({"n": "c_n", "h1": "c_h1", "h2": "c_h2", "g": "c_g"})
-    out = rows.drop("prefix").join(of_class, (F.col("h1") == F.col("c_h1")) & (F.col("h2") == F.col("c_h2")) & (F.col("n") == F.col("c_n")) & (F.col("g") == F.col("c_g")), "left")
-    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+        ids = written(classes.join(shards.select(F.col("id").alias("node")).distinct(), "node", "left_semi").select("node", "doc_id", "t"), "jaccard-shard-ids")
+        with arrow_rows(spark, _ROWS):
+            sets = written(source.sets(ids), "jaccard-shard-sets")
+        across = written(shard_links(shards, sets.withColumnRenamed("node", "id"), bounds), "jaccard-shard-links")
+        discard(ids, sets)
+        more = more.union(across)
+    comps = written(components(stars.union(more)), "jaccard-components")
+    of_class = classes.join(comps.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("n", "h1", "h2", "g", "doc_id", F.coalesce("component", "node").alias("component"))
+    of_class = written(of_class, "jaccard-class-components")
+    least = of_class.groupBy(F.col("component").alias("of")).agg(F.min("doc_id").alias("component_id"))
+    named = written(of_class.join(least, F.col("component") == F.col("of")).select(F.col("n").alias("c_n"), F.col("h1").alias("c_h1"), F.col("h2").alias("c_h2"), F.col("g").alias("c_g"), "component", "component_id"), "jaccard-classes")
+    out = rows.drop("often").join(named, (F.col("h1") == F.col("c_h1")) & (F.col("h2") == F.col("c_h2")) & (F.col("n") == F.col("c_n")) & (F.col("g") == F.col("c_g")), "left")
+    out = written(out.select("doc_id", "t", F.col("n").alias("n_shingles"), F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "component"), "jaccard-rows")
+    discard(hashed, classes, groups, members, found, keys, tested, stars, known, member, left, shards, of_class, comps, named)
+    return out
+
+
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+    """id_col, n_shingles, component_id of every row: the smallest id that links lead to, itself included; see joined_rows()."""
+    return joined_rows(docs, id_col, text_col, k, num, den).select(F.col("doc_id").alias(id_col), "n_shingles", "component_id")

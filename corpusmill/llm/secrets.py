@@ -243,22 +243,18 @@ def span_list(spans: Column, kinds: tuple[str, ...] = ()) -> Column:
 
 
 def redact(docs: DataFrame, text_col: str = "text", spans_col: str = "spans", mark: str = "[secret]") -> DataFrame:
-    """docs with each stretch of text_col that spans cover replaced by mark; spans that overlap or touch count as one."""
+    """docs with each stretch of text_col that spans cover replaced by mark; spans that overlap or touch count as one.
 
-    @F.pandas_udf("string")
-    def redacted(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([_redacted(t, s, mark) for t, s in zip(texts, spans, strict=True)], dtype=object)
+    A null text, null spans and an empty list of them leave the text as it is. Expressions only: the text is cut between the spans. Every
+    other column stays."""
+    text, start, end = F.col(text_col), lambda s: s["start"], lambda s: s["end"]
+    spans = F.array_sort(F.transform(spans_col, lambda s: F.struct(start(s).alias("start"), end(s).alias("end"))))
+    first = F.struct(F.lit("").alias("done"), F.lit(-1).alias("at"))
 
-    hit = F.size(spans_col) > 0
-    return docs.withColumn(text_col, F.when(hit, redacted(F.when(hit, F.col(text_col)), F.when(hit, F.col(spans_col)))).otherwise(F.col(text_col)))
+    def add(acc: Column, s: Column) -> Column:
+        apart = (acc["at"] < 0) | (start(s) > acc["at"])
+        done = F.when(apart, F.concat(acc["done"], text.substr(F.greatest(acc["at"], F.lit(0)) + 1, start(s) - F.greatest(acc["at"], F.lit(0))), F.lit(mark))).otherwise(acc["done"])
+        return F.struct(done.alias("done"), F.greatest(acc["at"], end(s)).alias("at"))
 
-
-def _redacted(text, spans, mark):
-    if text is None or spans is None:
-        return text
-    out, at = [], 0
-    for s in sorted(spans, key=lambda s: s["start"]):
-        if s["start"] > at or not out:
-            out += [text[at : s["start"]], mark]
-        at = max(at, s["end"])
-    return "".join([*out, text[at:]])
+    redacted = F.aggregate(spans, first, add, lambda acc: F.concat(acc["done"], text.substr(acc["at"] + 1, F.length(text))))
+    return docs.withColumn(text_col, F.when((F.size(spans_col) > 0) & text.isNotNull(), redacted).otherwise(text))

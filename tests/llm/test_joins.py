@@ -23,19 +23,22 @@ def corpus(seed=5, n=260):
     return [*rows, (900, None), (901, ""), (902, " \n"), (903, "é É a"), (904, "é É A"), (905, "é é a")]
 
 
-@pytest.mark.parametrize(("k", "num", "small"), [(4, 85, 64), (5, 80, 64), (4, 85, 2)])
-def test_jaccard_equals_all_pairs(spark, monkeypatch, k, num, small):
+@pytest.mark.parametrize(("k", "num", "small", "most"), [(4, 85, 64, 1 << 20), (5, 80, 64, 1 << 20), (4, 85, 2, 9), (5, 80, 64, 12)])
+def test_jaccard_equals_all_pairs(spark, monkeypatch, k, num, small, most):
     monkeypatch.setattr(jaccard.cross_pairs, "__defaults__", (small,))
     monkeypatch.setattr(jaccard.shard_links, "__defaults__", (8,))
     rows = corpus()
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n long")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_classes(df, k=k, num=num).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.joined_rows(df, k=k, num=num, most=most).collect()}
     assert got == brute(rows, k, num)
 
 
 def test_jaccard_of_nothing_and_of_repeats(spark):
-    df = spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e")], "doc_id long, text string")
-    assert sorted((r.doc_id or 0, r.component_id) for r in jaccard.jaccard_classes(df).collect()) == [(0, None), (1, 1), (1, 1)]
+    other = "z y x w v u t s"
+    rows = [(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e"), (5, "a b c d e"), (5, other), (3, other), (None, "q"), (None, "q"), (7, None), (None, None), (None, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("Node", "n", "T", "component_id")})
+    got = sorted(((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in jaccard.jaccard_classes(df).collect()))
+    assert got == sorted([(0, 0, 0), (0, 0, 0), (0, 1, 0), (0, 1, 0), (0, 2, 1), (1, 2, 1), (1, 2, 1), (3, 5, 3), (5, 2, 1), (5, 5, 3), (7, 0, 7)])
     assert jaccard.jaccard_classes(df.limit(0)).count() == 0
 
 
@@ -44,6 +47,14 @@ def test_shingles():
     assert [len(x) for x in got] == [1, 2, 1, 0, 0] and got[0][0] in got[1]
 
 
+def test_words_that_a_polynomial_hash_confuses():
+    one, other = "a", "b"  # Thue-Morse words
+    for _ in range(11):
+        one, other = one + other, other + one
+    sets = jaccard.shingle_sets(pa.array([f"x {one} y z", f"x {other} y z", f"x {one.upper()} y z"]), 4)
+    assert sets[0][0] != sets[1][0] and sets[0][0] == sets[2][0]
+
+
 def test_components(spark):
     r = random.Random(2)
     links = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(0, i) for i in range(200, 260)] + [(300 + i, 301 + i) for i in range(30)]

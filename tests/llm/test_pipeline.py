@@ -45,3 +45,23 @@ def test_queries_run_on_the_smallest_folder(spark):
     folder = "/root/testdata/sf0.001"
     for name in ("op2_quality_rules", "op4_secrets", "op5_url_filter"):
         assert queries.QUERIES[name](spark, folder).count() > 0
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in every column, empty texts, repeated rows and ids, extra columns, no rows."""
+    good = " ".join(f"word{i}" for i in range(40))
+    near = good + " more"
+    rows = [(3, near, "en", "h", 1), (1, good, None, None, None), (1, good, None, None, None), (None, good, "x", "h", 2), (4, None, None, None, None), (4, "", "en", "h", 0), (5, near[::-1], "en", "h", 9), (5, "other " + " ".join(f"w{i}x" for i in range(30)) + " secret=abcdefgh1", "en", "h", 9), (None, None, None, None, None), (6, "漢" * 200_000, "zh", "h", 1), (7, "line of it\n" * 20_000, "en", "h", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit("x") for c in ("Kept", "node", "t", "spans", "_cm_hot", "ids")})
+    kept = P.quality_rules(spark, docs, "")
+    assert kept.columns == P.COLUMNS
+    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 1, 3, 5, 5]
+    left = P.near_duplicates(spark, docs, "")
+    got = sorted(((r.doc_id or 0), (r.text or "")[:5]) for r in left.collect())
+    assert got == sorted([(1, good[:5]), (4, ""), (4, ""), (5, near[::-1][:5]), (5, "other"), (0, ""), (6, "漢" * 5), (7, "line ")])
+    marked = {(r.doc_id, r.text) for r in P.secret_scan(spark, left, "").collect() if r.text and "[secret]" in r.text}
+    assert [i for i, _ in marked] == [5]
+    pieces = P.packed(spark, left, "").collect()
+    assert sum(p.doc_id == 4 for p in pieces) == 2 and sum(p.length for p in pieces if p.doc_id is None) == 1
+    for _, stage in P.STAGES:
+        assert stage(spark, docs.limit(0), "").count() == 0

@@ -91,7 +91,7 @@ def test_frequent_lines_equal_a_count_of_documents(spark):
 
 def test_headers_and_footers_that_occur_together(spark):
     r = random.Random(9)
-    own = lambda: " ".join(str(r.random()) for _ in range(9))
+    own = lambda: " ".join(str(r.random()) for _ in range(15))
     rows = [(i, f"The header of all pages\n{own()}\nAll rights reserved by the footer", "h", "in") for i in range(1000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, Kept string").withColumns({c: F.lit("x") for c in ("_cm_hot", "Clean_Text", "HOST")})
     for most in (2_000_000, 0):  # by broadcast, and by a join
