@@ -256,8 +256,9 @@ class _Source:
 
         return self.rows.mapInArrow(run, _PACKED)
 
-    def sets(self, reps: DataFrame) -> DataFrame:
-        """node and s (the whole set) of the documents in reps: node, doc_id, t."""
+    def sets(self, reps: DataFrame, most: int = 1_000_000) -> DataFrame:
+        """node and s (the whole set) of the documents in reps: node, doc_id, t; a written table, which is broadcast while it has `most`
+        rows at most (24 bytes each), so that only the sets are shuffled; beyond that the texts are, by their hash."""
         k = self.k
 
         def run(batches):
@@ -266,6 +267,7 @@ class _Source:
                     yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), k)], pa.binary())], names=["node", "s"])
 
         wanted = reps.select("node", F.col("doc_id").alias("r_id"), F.col("t").alias("r_t"))
+        wanted = F.broadcast(wanted) if reps.count() <= most else wanted
         found = self.rows.join(wanted, (F.col("t") == F.col("r_t")) & F.col("doc_id").eqNullSafe(F.col("r_id")))
         return found.select("node", "text").mapInArrow(run, "node long, s binary").dropDuplicates(["node"])
 
@@ -446,9 +448,8 @@ def joined_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         wanted = written(classes.join(ids, "node", "left_semi").select("node", "doc_id", "t"), name + "-ids")
         with arrow_rows(spark, _ROWS):
-            sets = written(source.sets(wanted), name + "-sets")
-            out = written(verified(pairs, sets, bounds), name + "-links")
-        discard(wanted, sets)
+            out = written(verified(pairs, source.sets(wanted), bounds), name + "-links")
+        discard(wanted)
         return out
 
     inner = members.filter("members > 1 and gid <> node").select(F.col("gid").alias("a"), F.col("node").alias("b"))
@@ -466,9 +467,8 @@ def joined_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not shards.isEmpty():
         ids = written(classes.join(shards.select(F.col("id").alias("node")).distinct(), "node", "left_semi").select("node", "doc_id", "t"), "jaccard-shard-ids")
         with arrow_rows(spark, _ROWS):
-            sets = written(source.sets(ids), "jaccard-shard-sets")
-        across = written(shard_links(shards, sets.withColumnRenamed("node", "id"), bounds), "jaccard-shard-links")
-        discard(ids, sets)
+            across = written(shard_links(shards, source.sets(ids).withColumnRenamed("node", "id"), bounds), "jaccard-shard-links")
+        discard(ids)
         more = more.union(across)
     comps = written(components(stars.union(more)), "jaccard-components")
     of_class = classes.join(comps.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("n", "h1", "h2", "g", "doc_id", F.coalesce("component", "node").alias("component"))
