@@ -198,3 +198,15 @@ def test_warc(spark):
     kept = {r.page_id: r.record_type for r in warc.read_records(warc.write_archives(df, warc.archive_path(spark), min_bytes=5)).collect()}
     assert [i for i, t in kept.items() if t == "revisit"] == [6]
     assert warc.read_records(warc.write_archives(df.limit(0), warc.archive_path(spark))).count() == 0
+
+
+def test_secrets_of_odd_texts(spark):
+    import time
+
+    began = time.time()
+    assert secrets.find(pa.array(["eyJ" * 200_000, "x" * 1_000_000, "token " * 100_000])) == [[], [], []]
+    assert time.time() - began < 20
+    df = spark.createDataFrame([(1, "password=abcdef12", 3), (1, "password=abcdef12", 3), (None, None, None), (2, "", 0)], "doc_id long, text string, Spans int")
+    got = secrets.redact(secrets.scan(df)).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == [(0, ""), (1, "[secret]"), (1, "[secret]"), (2, "")]
+    assert secrets.redact(secrets.scan(df.limit(0))).count() == 0
