@@ -1,9 +1,9 @@
 """URL filter: rules by host and path, and for the rest a tree of path templates judged by labelled purity.
 
 Per host, paths form a tree of segments. Segments that are numbers, long hexadecimal strings or mixtures with digits
-become wildcards by their form, and at every level those among very many siblings by their rarity. Branches whose
-share of bad labels does not differ significantly from that of all branches of their shape are merged. A template
-is rejected when its smoothed share of bad labels is high.
+become wildcards by their form, and at every level those among very many siblings by their rarity. A branch whose
+share of bad labels does not differ significantly from that of the branch it grows from, as when it has no labels, merges with
+that one and takes its share; others have their own, smoothed towards it. A template is rejected when its share is high.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpusmill.llm.shared import need, written
+from corpusmill.llm.shared import discard, free_prefix, need, without, written
 
 
 @dataclass(frozen=True)
@@ -53,73 +53,97 @@ def longest_rule(rules: tuple[UrlRule, ...], host: Column, path: Column) -> tupl
 
 
 def _shape(path: Column) -> Column:
-    """The path with segments that vary by their form as wildcards; extensions stay. Beyond 12 segments one * stands for all."""
+    """The path's segments, those that vary by their form as wildcards; extensions stay."""
     form = lambda s: F.when(s == "", s).when(s.rlike(r"^\d+(?:\.[A-Za-z]{1,5})?$|^[0-9a-fA-F-]{16,}(?:\.[A-Za-z]{1,5})?$|\d.*\d.*\d"), F.concat(F.lit("*"), F.regexp_extract(s, r"(\.[A-Za-z]{1,5})$", 1))).otherwise(s)
-    parts = F.transform(F.split(path, "/"), form)
-    return F.when(F.size(parts) > 12, F.concat(F.slice(parts, 1, 12), F.array(F.lit("*")))).otherwise(parts)
+    return F.transform(F.split(path, "/"), form)
+
+
+def _nodes(k_from: int = 0) -> Column:
+    """Of segs the branches that the template lies in, from level k_from on: level, and hash of all segments up to there."""
+    return F.transform(F.sequence(F.lit(k_from), F.greatest(F.size("segs"), F.lit(k_from))), lambda k: F.struct(k.alias("k"), F.xxhash64(k, F.slice("segs", F.lit(1), k)).alias("node")))
 
 
 def template_tree(counted: DataFrame, max_children: int = 50, min_share: float = 0.02) -> DataFrame:
-    """host, shape, segs (the template), n, bad, labelled. counted: host, shape (distinct per host), segs, n, bad, labelled.
+    """counted, a written table, with segs as the template. counted: host, shape (distinct per host), segs, n, bad, labelled.
 
-    Level by level, of a node with more than max_children children those with less than min_share of its urls
-    become one wildcard. All steps are aggregates and joins over distinct shapes.
+    Of a branch with more than max_children children those with less than min_share of its urls become one wildcard, the upper
+    levels first. A round makes one level's wildcards, and goes to the next one that needs any, so there are as many rounds as such levels.
+    All steps are aggregates and joins over distinct shapes.
     """
-    depth = counted.agg(F.max(F.size("segs"))).first()[0] or 0
-    tree = counted
-    for k in range(depth):
-        at = tree.filter(F.size("segs") > k).select("host", F.array_join(F.slice("segs", 1, k), "/").alias("above"), F.get("segs", F.lit(k)).alias("child"), "n")
-        kids = at.groupBy("host", "above", "child").agg(F.sum("n").alias("n"))
-        nodes = kids.groupBy("host", "above").agg(F.count(F.lit(1)).alias("children"), F.sum("n").alias("all")).filter(F.col("children") > max_children)
-        rare = written(kids.join(nodes, ["host", "above"]).filter((F.col("n") < min_share * F.col("all")) & (F.col("child") != "")).select(F.col("host").alias("r_host"), F.col("above").alias("r_above"), F.col("child").alias("r_child")), "rare-branches")
-        if rare.isEmpty():
-            continue
-        hit = (F.col("host") == F.col("r_host")) & (F.array_join(F.slice("segs", 1, k), "/") == F.col("r_above")) & (F.get("segs", F.lit(k)) == F.col("r_child")) & (F.size("segs") > k)
-        starred = F.transform("segs", lambda s, i: F.when(i == k, F.lit("*")).otherwise(s))  # noqa: B023
-        tree = written(tree.join(rare, hit, "left").withColumn("segs", F.when(F.col("r_child").isNotNull(), starred).otherwise(F.col("segs"))).drop("r_host", "r_above", "r_child"), "template-tree")
-    return tree
-
-
-def judged_templates(tree: DataFrame, reject: float = 0.7, z: float = 1.96) -> DataFrame:
+    tree, level = counted, 0
+    while True:
+        at = tree.filter(F.size("segs") > level).select("host", "segs", "n", F.explode(F.filter(_nodes(level), lambda x: x["k"] < F.size("segs"))).alias("x"))
+        kids = at.select("host", "x.k", "x.node", F.get("segs", F.col("x.k")).alias("child"), "n").groupBy("host", "k", "node", "child").agg(F.sum("n").alias("n"))
+        wide = kids.groupBy("host", "k", "node").agg(F.count(F.lit(1)).alias("children"), F.sum("n").alias("all")).filter(F.col("children") > max_children)
+        rare = kids.join(wide, ["host", "k", "node"]).filter((F.col("n") < min_share * F.col("all")) & ~F.col("child").isin("", "*"))
+        rare = written(rare.select(F.col("host").alias("r_host"), F.col("k").alias("r_k"), F.col("node").alias("r_node"), F.col("child").alias("r_child")), "rare-branches")
+        level = rare.agg(F.min("r_k")).first()[0]
+        if level is None:
+            discard(rare)
+            return tree
+        node = F.xxhash64(F.lit(level), F.slice("segs", 1, level))
+        hit = (F.col("host") == F.col("r_host")) & (node == F.col("r_node")) & (F.get("segs", F.lit(level)) == F.col("r_child")) & (F.size("segs") > level)
+        starred = F.transform("segs", lambda s, i: F.when(i == level, F.lit("*")).otherwise(s))  # noqa: B023
+        grown = tree.join(rare.filter(F.col("r_k") == level), hit, "left").withColumn("segs", F.when(F.col("r_child").isNotNull(), starred).otherwise(F.col("segs")))
+        before, tree = tree, written(grown.select(*tree.columns), "template-tree")
+        discard(rare, before)
+        level += 1
+
+
+def judged_templates(tree: DataFrame, reject: float = 0.9, z: float = 1.96, strength: float = 2.0) -> DataFrame:
     """host, shape, template, bad_share and rejected.
 
-    Templates of one host that differ only in words are pooled; one with labels merges with its pool unless its share
-    of bad labels differs by more than z standard errors. bad_share = (bad + 1) / (labelled + 2) of the template,
-    or of the pool it merged with; without any label it is 1/2, which rejects nothing.
+    From the host down: the host's share is (bad + strength / 2) / (labelled + strength); a branch whose own share is within z
+    standard errors of that of the branch above, or that has no labels, takes that one; else its share is (bad + strength * above) /
+    (labelled + strength). So templates without labels have the share of the branch they merge with, and 1/2 on hosts without labels.
     """
-    tree = tree.withColumn("template", F.array_join("segs", "/")).withColumn("pool", F.array_join(F.transform("segs", lambda s: F.when(s == "", s).otherwise(F.lit("*"))), "/"))
-    sums = [F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled")]
-    own = tree.groupBy("host", "pool", "template").agg(*sums)
-    pools = own.groupBy("host", "pool").agg(F.sum("bad").alias("p_bad"), F.sum("labelled").alias("p_labelled"))
-    both = own.join(pools, ["host", "pool"])
-    share = (F.col("p_bad") + 1) / (F.col("p_labelled") + 2)
-    off = F.abs(F.col("bad") / F.greatest(F.col("labelled"), F.lit(1)) - share) / F.sqrt(share * (1 - share) / F.greatest(F.col("labelled"), F.lit(1)))
-    merged = (F.col("labelled") > 0) & (off <= z)
-    judged = both.withColumn("bad_share", F.when(merged, share).otherwise((F.col("bad") + 1) / (F.col("labelled") + 2)))
-    judged = judged.select("host", "template", "bad_share", (F.col("bad_share") >= reject).alias("rejected"))
-    return tree.select("host", "shape", "template").join(judged, ["host", "template"])
-
-
-def judge(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, url_col: str = "url", max_children: int = 50, min_share: float = 0.02, reject: float = 0.7) -> DataFrame:
-    """pages with host, path, rule, verdict, template and bad_share (null in no case but these two where a url has no template).
-
-    The longest rule decides; where none fits, the template tree does, whose labels are the rules' verdicts on
-    the urls that they fit. Urls that are null or without :// have an empty host and path, and are judged like
-    others. Repeated rows count as often as they occur. Input columns named like results are replaced. At most
-    500 rules, which become one expression.
+    tree = tree.withColumn("template", F.array_join("segs", "/"))
+    at = tree.select("host", "template", "bad", "labelled", F.explode(_nodes()).alias("x")).select("host", "template", "bad", "labelled", "x.k", "x.node")
+    nodes = at.groupBy("host", "k", "node").agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"))
+    chains = at.select("host", "template", "k", "node").distinct().join(nodes, ["host", "k", "node"])
+    chains = chains.groupBy("host", "template").agg(F.array_sort(F.collect_list(F.struct("k", "bad", "labelled"))).alias("chain"))
+
+    def below(above: Column, x: Column) -> Column:
+        own = (x["bad"] + strength * above) / (x["labelled"] + strength)
+        n = F.greatest(x["labelled"], F.lit(1))
+        alike = (x["labelled"] == 0) | (F.abs(x["bad"] / n - above) <= z * F.sqrt(above * (1 - above) / n))
+        return F.when((x["k"] > 0) & alike, above).otherwise(own)
+
+    judged = chains.select("host", "template", F.aggregate("chain", F.lit(0.5), below).alias("bad_share"))
+    return tree.select("host", "shape", "template").join(judged, ["host", "template"]).withColumn("rejected", F.col("bad_share") >= reject)
+
+
+def judge(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, url_col: str = "url", labels: DataFrame | None = None, max_children: int = 50, min_share: float = 0.02, reject: float = 0.9) -> DataFrame:
+    """pages with host, path, rule, verdict, template and bad_share.
+
+    The longest rule decides; where none fits, the template tree does. Its labels are the rules' verdicts on the urls that they fit,
+    and, if given, labels (url, bad: 0 or 1), in which repeated rows count as often as they occur. Urls that are null or without :// have an empty host and path, and are
+    judged like others; paths of any length are taken whole. Repeated rows count as often as they occur. No rows give no rows. Input columns named like results, in
+    any case, are replaced. At most 500 rules, which become one expression.
     """
     need(pages, url_col)
     if len(rules) > _MOST_RULES:
         raise ValueError(f"at most {_MOST_RULES} rules")
-    pages = pages.select(*[F.col(f"`{c}`") for c in pages.columns if c not in _OUT or c == url_col])
-    host, path = host_and_path(F.col(url_col).cast("string"))
-    found = pages.withColumns({"host": host, "path": path})
-    name, verdict = longest_rule(rules, F.col("host"), F.col("path"))
-    found = found.withColumns({"rule": name, "_cm_said": verdict, "_cm_segs": _shape(F.col("path"))}).withColumn("_cm_shape", F.array_join("_cm_segs", "/"))
-    labelled, bad = F.col("_cm_said").isNotNull().cast("long"), (F.col("_cm_said") == "block").cast("long")
-    counted = found.groupBy("host", F.col("_cm_shape").alias("shape")).agg(F.first("_cm_segs").alias("segs"), F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(bad, F.lit(0))).alias("bad"), F.sum(labelled).alias("labelled"))
+    rest, p = without(pages, _OUT, url_col), free_prefix(pages)
+
+    def placed(rows: DataFrame) -> DataFrame:
+        host, path = host_and_path(F.col(url_col).cast("string"))
+        rows = rows.withColumns({f"{p}host": host, f"{p}path": path})
+        name, verdict = longest_rule(rules, F.col(f"{p}host"), F.col(f"{p}path"))
+        return rows.withColumns({f"{p}rule": name, f"{p}said": verdict, f"{p}segs": _shape(F.col(f"{p}path"))}).withColumn(f"{p}shape", F.array_join(f"{p}segs", "/"))
+
+    found = placed(pages.select(*rest))
+    said = F.col(f"{p}said")
+    each = found.select(f"{p}host", f"{p}shape", f"{p}segs", F.lit(1).alias("n"), F.coalesce((said == "block").cast("long"), F.lit(0)).alias("bad"), said.isNotNull().cast("long").alias("labelled"))
+    if labels is not None:
+        need(labels, "url", "bad")
+        given = placed(labels.select(F.col("url").alias(url_col), F.col("bad").cast("long").alias(f"{p}bad")).filter(F.col(f"{p}bad").isNotNull()))
+        each = each.union(given.select(f"{p}host", f"{p}shape", f"{p}segs", F.lit(0), f"{p}bad", F.lit(1).cast("long")))
+    counted = each.groupBy(F.col(f"{p}host").alias("host"), F.col(f"{p}shape").alias("shape")).agg(F.first(f"{p}segs").alias("segs"), F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"))
     tree = template_tree(written(counted, "paths"), max_children, min_share)
-    judged = written(judged_templates(tree, reject), "templates").withColumnsRenamed({"host": "_cm_host", "shape": "_cm_of_shape", "rejected": "_cm_rejected"})
-    found = found.join(judged, (F.col("host") == F.col("_cm_host")) & (F.col("_cm_shape") == F.col("_cm_of_shape")), "left")
-    found = found.withColumn("verdict", F.coalesce("_cm_said", F.when(F.col("_cm_rejected"), F.lit("block")).otherwise(F.lit("allow"))))
-    return found.select(*[F.col(f"`{c}`") for c in pages.columns], *_OUT)
+    judged = written(judged_templates(tree, reject), "templates")
+    discard(tree)
+    judged = judged.select(F.col("host").alias(f"{p}of_host"), F.col("shape").alias(f"{p}of_shape"), "template", "bad_share", F.col("rejected").alias(f"{p}rejected"))
+    found = found.join(judged, (F.col(f"{p}host") == F.col(f"{p}of_host")) & (F.col(f"{p}shape") == F.col(f"{p}of_shape")), "left")
+    method = F.when(F.col(f"{p}rejected"), F.lit("block")).otherwise(F.lit("allow"))
+    return found.select(*rest, F.col(f"{p}host").alias("host"), F.col(f"{p}path").alias("path"), F.col(f"{p}rule").alias("rule"), F.coalesce(said, method).alias("verdict"), "template", "bad_share")

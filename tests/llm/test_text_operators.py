@@ -176,12 +176,62 @@ def test_templates_reject_by_purity(spark):
     rows = [f"https://bad.com/ads/1{i}" for i in range(30)] + [f"https://bad.com/ads/2{i}" for i in range(30)] + [f"https://bad.com/news/{i}" for i in range(30)]
     df = spark.createDataFrame([(i, u) for i, u in enumerate(rows)], "page_id long, url string")
     got = {r.url: r.verdict for r in url_filter.judge(df, block).collect()}
+    assert got["https://bad.com/ads/21"] == "block" and got["https://bad.com/news/3"] == "block"  # no label says otherwise, so it merges with its host
+    good = spark.createDataFrame([(f"https://bad.com/news/{i}", 0) for i in range(9)], "url string, bad int")
+    got = {r.url: r.verdict for r in url_filter.judge(df, block, labels=good).collect()}
     assert got["https://bad.com/ads/21"] == "block" and got["https://bad.com/news/3"] == "allow"
     words = [f"https://h.org/tag/word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(100)]
     counted = url_filter.judge(spark.createDataFrame([(u,) for u in words], "url string"), block, max_children=20).select("template").distinct().collect()
     assert [r.template for r in counted] == ["/tag/*"]
 
 
+def brute_shares(rows, z=1.96, strength=2.0):
+    """(host, template) -> share, for templates (tuples of segments) with labels 0, 1 or None."""
+    nodes = collections.defaultdict(lambda: [0, 0])
+    for host, t, bad in rows:
+        for k in range(len(t) + 1):
+            if bad is not None:
+                nodes[host, t[:k]][0] += bad
+                nodes[host, t[:k]][1] += 1
+    out = {}
+    for host, t, _ in rows:
+        share = 0.5
+        for k in range(len(t) + 1):
+            bad, n = nodes[host, t[:k]]
+            if k and (n == 0 or abs(bad / n - share) <= z * (share * (1 - share) / n) ** 0.5):
+                continue
+            share = (bad + strength * share) / (n + strength)
+        out[host, t] = share
+    return out
+
+
+def test_template_tree_equals_a_count(spark):
+    r = random.Random(11)
+    kinds = [(f"h{h}.org", ("", a, b, "*")) for h in range(4) for a in ("x", "y", "z") for b in ("p", "q")]
+    purity = {k: r.choice([0.0, 0.05, 0.95, 1.0]) for k in kinds}
+    rows = [(h, t, (int(r.random() < purity[h, t])) if r.random() < 0.5 and t[1] != "z" else None) for h, t in (r.choice(kinds) for _ in range(900))]
+    urls = [(f"https://{h}" + "/".join(t).replace("*", str(1000 + i)), bad) for i, (h, t, bad) in enumerate(rows)]
+    df = spark.createDataFrame([(u,) for u, _ in urls], "url string")
+    labels = spark.createDataFrame([x for x in urls if x[1] is not None] + [("https://h0.org/x/p/5", None)], "url string, bad int")
+    got = {(r.host, tuple(r.template.split("/"))): (r.bad_share, r.verdict) for r in url_filter.judge(df, (), labels=labels).collect()}
+    want = brute_shares(rows)
+    assert got.keys() == want.keys()
+    assert all(abs(got[k][0] - want[k]) < 1e-9 and got[k][1] == ("block" if want[k] >= 0.9 else "allow") for k in want)
+    held_out = [(got[h, t][1] == "block") == (purity[h, t] > 0.5) for h, t, bad in rows if bad is None and t[1] != "z"]
+    assert sum(held_out) > 0.9 * len(held_out)
+
+
+def test_odd_urls(spark):
+    deep = "https://d.org" + "".join(f"/s{chr(97 + i % 26)}" for i in range(300))
+    rows = [(1, deep + "/a"), (2, deep + "/b"), (3, None), (3, None), (4, ""), (5, "https://e.org/" + "x" * 100_000), (None, "https://d.org")]
+    df = spark.createDataFrame(rows, "page_id long, url string").withColumns({c: F.lit("x") for c in ("Host", "VERDICT", "_cm_shape", "segs", "node")})
+    got = url_filter.judge(df).collect()
+    assert len(got) == len(rows) and len({r.template for r in got if r.page_id in (1, 2)}) == 2
+    assert {(r["_cm_shape"], r.node) for r in got} == {("x", "x")} and len(df.columns) + 4 == len(got[0])
+    many = spark.createDataFrame([(f"https://t.org/{a}/{b}w{c}",) for a in "ab" for b in "klmnopq" for c in "abcdefghijkl"], "url string")
+    assert {r.template for r in url_filter.judge(many, (), max_children=20).select("template").distinct().collect()} == {"/a/*", "/b/*"}
+
+
 def test_warc(spark):
     rows = [(1, "u", "a"), (2, "v\r\nx", "a"), (3, None, None), (4, "w", ""), (5, "é", "bé"), (6, "q", "long text"), (7, "q", "long text")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("file", F.lit("clash"))
