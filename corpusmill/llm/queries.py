@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusmill.llm import embeddings, html_text, jaccard, packing, pieces, quality, secrets, tokenfiles, url_filter, warc
+from corpusmill.llm.oracle import ORACLE_SQL
 from corpusmill.llm.shared import new_path
 
 
@@ -69,4 +70,4 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_html_text, op4_secrets, op5_url_filter, op6_warc, op7_embeddings, op8_jaccard, op9_pieces, op10_token_files)}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
