@@ -109,8 +109,9 @@ def read_records(index: DataFrame, with_payload: bool = True, stripe: int = 8 <<
     """The records that index names, whose rows may be any selection of an index: page_id, url, payload_bytes,
     payload_digest, record_type, refers_to, and payload (null for revisits, or without with_payload).
 
-    Rows of one stripe of a file go to one task; there, records that lie at most max_gap bytes apart are read at
-    once, up to a stripe's length."""
+    There are as many tasks as the wanted records fill stripes, and rows of one stripe of a file go to one of them; there, records that
+    lie at most max_gap bytes apart are read at once, up to a stripe's length (a longer record is read alone). Repeated index rows give
+    repeated records; a row whose file, offset or length is null is an error; no rows give no records; other columns are not read."""
 
     def read(batches):
         held: list[tuple] = []
@@ -136,7 +137,9 @@ def read_records(index: DataFrame, with_payload: bool = True, stripe: int = 8 <<
         if held:
             yield fetch()
 
-    wanted = index.select("file", "offset", "length").repartition("file", (F.col("offset") / stripe).cast("long"))
+    wanted = index.select("file", "offset", "length")
+    tasks = max(1, -(-(wanted.agg(F.sum("length")).first()[0] or 0) // stripe))
+    wanted = wanted.repartition(tasks, "file", (F.col("offset") / stripe).cast("long"))
     return wanted.sortWithinPartitions("file", "offset").mapInArrow(read, _RECORDS)
 
 
