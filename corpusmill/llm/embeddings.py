@@ -13,10 +13,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusmill.llm.graph import components, forest
-from corpusmill.llm.shared import need, written
+from corpusmill.llm.shared import discard, need, written
 
 _SLACK = 1e-9  # beyond rounding errors of sums in double precision
 
@@ -83,6 +83,12 @@ def close_pairs(x: np.ndarray, y: np.ndarray, axes: np.ndarray, t: float, same:
             yield ii[ok], jj[ok]
 
 
+def _numbers(vectors: DataFrame, column: str) -> Column:
+    """Single precision stays as it is until products are formed, which are in double precision."""
+    single = dict(vectors.dtypes)[column] == "array<float>"
+    return F.col(column) if single else F.col(column).cast("array<double>")
+
+
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, block: int = 4096) -> DataFrame:
     """id_col, n_links, component_id, kept per row of vectors.
 
@@ -93,7 +99,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     no result.
     """
     need(vectors, id_col, vector_col, label_col)
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), _numbers(vectors, vector_col).alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists("v", lambda x: x != 0)
     rows = rows.withColumn("v", F.when(sound, F.col("v")))
@@ -124,8 +130,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     # A home block meets itself and later home blocks, and each block of the visitors from each neighbour.
     inner = homes.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("label", "d", "c0", "c1", F.lit(0).alias("from"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"), (F.col("own") >= F.col("other")).alias("right"), "rep", "copies", "v")
     visits = moved.filter("guest").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i")).select("label", "d", "c0", "c1", "from", "i", F.col("own").alias("j"), F.lit(False).alias("left"), F.lit(True).alias("right"), "rep", "copies", "v")
-    met = visits.select("label", "d", "c0", "c1", "from", "j").distinct()
-    hosts = homes.select("label", "d", "c0", "c1", F.col("own").alias("i"), "rep", "copies", "v").join(written(met, "visits"), key).select("label", "d", "c0", "c1", "from", "i", "j", F.lit(True).alias("left"), F.lit(False).alias("right"), "rep", "copies", "v")
+    met = written(visits.select("label", "d", "c0", "c1", "from", "j").distinct(), "visits")
+    hosts = homes.select("label", "d", "c0", "c1", F.col("own").alias("i"), "rep", "copies", "v").join(met, key).select("label", "d", "c0", "c1", "from", "i", "j", F.lit(True).alias("left"), F.lit(False).alias("right"), "rep", "copies", "v")
     tiles = inner.unionByName(visits).unionByName(hosts)
 
     def compare(table: pa.Table) -> pa.Table:
@@ -152,6 +158,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     comps = components(found.filter("a is not null").select("a", "b"))
     known = reps.join(near, "rep", "left").join(comps, F.col("rep") == F.col("node"), "left")
     known = written(known.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "vector-classes")
+    discard(found, placed, sizes, met)
     known = known.withColumnsRenamed({"label": "k_label", "v": "k_v"})
     out = rows.join(known, (F.col("label") == F.col("k_label")) & (F.col("v") == F.col("k_v")), "left")
     return out.select(F.col("vec_id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col(id_col) == F.col("component_id"))
