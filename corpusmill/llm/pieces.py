@@ -209,7 +209,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """doc_id, key (of the row), ids (little-endian unsigned 32-bit), as the library gives them for the whole text.
 
     Texts up to `chunk` characters are encoded by the library at once; longer ones are cut into chunks of that many, which go
-    to tasks of their own. Null and empty texts have no ids. Rows with repeated or null doc_ids stay apart by key.
+    to tasks of their own. In a chunk the lattice covers what lies before its first and after its last word; the words in between
+    have the same pieces whatever surrounds them, and are encoded by the library. Null and empty texts have no ids. Rows with repeated or null doc_ids stay apart by key.
     A model that normalises texts, or is no byte-pair model, is applied to whole texts only.
     """
     need(docs, id_col, text_col)
@@ -260,14 +261,16 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     rows = written(source.mapInArrow(first, _FIRST), "pieces")
     long = rows.filter("chunks > 1").repartition("key", "chunk")
     matrices = written(long.select("key", "chunk", "chunks", "b", "e", "s").mapInPandas(transfers, "key long, chunk int, m array<array<int>>"), "piece-matrices")
-    states = written(matrices.groupBy("key").applyInPandas(scan, "key long, chunk int, l array<int>, r array<int>"), "piece-states")
+    tasks = max(1, matrices.count() // 256)  # else Spark would put the small matrices of many documents into one task
+    states = written(matrices.repartition(tasks, "key").groupBy("key").applyInPandas(scan, "key long, chunk int, l array<int>, r array<int>"), "piece-states")
     traced = rows.filter("chunks > 1").join(states, ["key", "chunk"]).select("key", "doc_id", "chunk", "b", "e", "s", "l", "r").mapInPandas(trace, "key long, doc_id long, chunk int, ids binary")
     whole = traced.groupBy("key").applyInPandas(join, "key long, doc_id long, ids binary")
     return rows.filter("chunks = 1").select("key", "doc_id", "ids").union(whole.select("key", "doc_id", "ids"))
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
-    """rows with the text of their ids; null for null."""
+    """rows with the text of their ids; null for null, empty for none. Ids of any number are decoded whole; every other column stays, but
+    one named like out, in any case, is replaced; repeated rows get the same text; no rows give no rows."""
     need(rows, ids_col)
 
     @F.pandas_udf("string")
