@@ -45,21 +45,26 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, part, start_in_part, n_tokens and ids; filters on doc_id skip stripes and row groups."""
+    """doc_id, part, start_in_part, n_tokens and ids; filters on doc_id skip stripes and row groups. A folder without rows gives
+    none; columns that other writers added are not read."""
     return spark.read.schema(_SCHEMA).orc(path)
 
 
 def with_starts(rows: DataFrame, parts: DataFrame) -> DataFrame:
     """start: the number of ids in all documents before. parts is read_token_files() of the whole folder, of which only
-    the counts are read; there is one sum a file, so their table is small enough to broadcast."""
+    the counts are read; there is one sum a file, whose table Spark broadcasts if it is small. Every row of rows gets its start, rows with
+    null or repeated ids as well; without rows there are none."""
     sums = parts.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    return rows.join(F.broadcast(sums), "part").withColumn("start", F.col("before") + F.col("start_in_part")).drop("before")
+    return rows.join(sums, "part").withColumn("start", F.col("before") + F.col("start_in_part")).drop("before")
 
 
 def digests(rows: DataFrame) -> DataFrame:
-    """ids replaced by ids_crc32, the unsigned CRC-32 of the ids as little-endian unsigned 32-bit integers."""
+    """ids replaced by ids_crc32, the unsigned CRC-32 of the ids as little-endian unsigned 32-bit integers.
+
+    rows are those of read_token_files(); null or repeated doc_ids stay as they are, null ids are not written and so not expected; no
+    rows give no rows; other columns are dropped."""
 
     def crc(batches):
         for batch in batches:
