@@ -1,7 +1,7 @@
 """Main text of web pages: flat text blocks, classified by a decision tree over shallow features.
 
 A page becomes a flat list of blocks, the stretches of text between block-level tags. Word count and link density of a
-block and of its neighbours, whether it is a heading, and what kind of container it stands in feed a small
+block and of its neighbours, its level as a heading, and what kind of container it stands in feed a small
 decision tree. The tree is trained here, on the labelled blocks of pages that labelled_blocks() writes.
 """
 
@@ -41,7 +41,7 @@ class Block:
     text: str
     words: int
     linked: int
-    heading: bool
+    heading: int  # its level, or 0
     inside: bool
     outside: bool
 
@@ -51,8 +51,8 @@ def blocks(html: str) -> list[Block]:
     out: list[Block] = []
     held: list[str] = []
     linked, links = 0, 0
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, inside, outside, heading: as they hold below it
-    state = (False, False, False)
+    stack: list[tuple[str, bool, bool, int]] = []  # tag, inside, outside, heading: as they hold below it
+    state = (False, False, 0)
     at, end = 0, len(html)
     unclosed: set[str] = set()  # hidden elements without a further end tag, whose start tags are ignored
 
@@ -117,14 +117,14 @@ def blocks(html: str) -> list[Block]:
             elif stack and stack[-1][0] == "p":
                 stack.pop()
             if not stack:
-                inside, outside, heading = inside, outside, False
-            stack.append((name, inside, outside, heading or name in _HEADINGS))
+                heading = 0
+            stack.append((name, inside, outside, int(name[1]) if name in _HEADINGS else heading))
         else:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     del stack[k:]
                     break
-        state = stack[-1][1:] if stack else (False, False, False)
+        state = stack[-1][1:] if stack else (False, False, 0)
     close()
     return out
 
@@ -193,7 +193,7 @@ class DecisionTree:
         return out >= 0.5
 
 
-def labelled_blocks(pages: int = 300, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+def labelled_blocks(pages: int = 900, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels (1: main text) of the blocks of written pages of several layouts, the training table."""
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9)))
@@ -208,7 +208,7 @@ def labelled_blocks(pages: int = 300, seed: int = 7) -> tuple[np.ndarray, np.nda
             parts.append(f'<div class="{rng.choice(("ad", "notice", "cookie-banner", "promo"))}">@{says(3, 30)}</div>')
         short = layout != "plain"  # without any hint, a few words are no article
         body = f"<h1>={says(3, 10)}</h1>" + "".join(
-            f"<p>={says(1 if short and rng.random() < 0.2 else 20, 120)}" + (f' <a href="/">{says(1, 3)}</a> {says(5, 9)}' if rng.random() < 0.2 else "") + "</p>"
+            f"<p>={says(1 if short and rng.random() < 0.2 else 15, rng.choice((30, 60, 120)))}" + (f' <a href="/">{says(1, 3)}</a> {says(5, 9)}' if rng.random() < 0.2 else "") + "</p>"
             if rng.random() < 0.85 else f"<h2>={says(2, 6)}</h2>" if rng.random() < 0.5 else f"<ul><li>={says(8, 20)}</li><li>={says(8, 20)}</li></ul>"
             for _ in range(rng.randint(3, 12))
         )
@@ -221,7 +221,7 @@ def labelled_blocks(pages: int = 300, seed: int = 7) -> tuple[np.ndarray, np.nda
             parts.append(wrap("aside", "sidebar", f"<h3>@{says(1, 3)}</h3>" + menu()))
         if rng.random() < 0.3:
             parts.append(f"<form><p>@{says(2, 8)}</p></form>")
-        parts.append(wrap("footer", "footer", f"<p>@{says(3, 20)}</p>"))
+        parts.append(wrap("footer", "footer", f"<p>@{says(3, 20 if short else 10)}</p>"))
         found = blocks("<body>" + "".join(parts) + "</body>")
         x.append(features(found))
         y += [b.text[0] == "=" for b in found]
@@ -229,7 +229,7 @@ def labelled_blocks(pages: int = 300, seed: int = 7) -> tuple[np.ndarray, np.nda
 
 
 @lru_cache(maxsize=2)
-def trained(pages: int = 300, seed: int = 7) -> DecisionTree:
+def trained(pages: int = 900, seed: int = 7) -> DecisionTree:
     return DecisionTree().fit(*labelled_blocks(pages, seed))
 
 

@@ -260,3 +260,35 @@ def test_secrets_of_odd_texts(spark):
     got = secrets.redact(secrets.scan(df)).collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in got) == [(0, ""), (1, "[secret]"), (1, "[secret]"), (2, "")]
     assert secrets.redact(secrets.scan(df.limit(0))).count() == 0
+
+
+TEXT = "The river rose during the night and by morning the lower fields lay under water as far as the old mill and its bridge"
+MORE_TEXT = "Nobody in the village could remember a flood that came so early in the year, and most had moved their animals up the hill"
+# Pages written by hand: html, and the texts that are the article's.
+WRITTEN = [
+    (f"<body><div><ul><li><a href=/>Home</a><li><a href=/n>News</a></ul></div><div><h1>Flood</h1><p>{TEXT}</p><p>{MORE_TEXT}</p></div><div><p>Copyright the paper</p></div></body>", ["Flood", TEXT, MORE_TEXT]),
+    (f"<html><body><h1>Flood in the valley</h1><p>{TEXT}<p>{MORE_TEXT}</body></html>", ["Flood in the valley", TEXT, MORE_TEXT]),
+    (f"<table><tr><td><a href=1>Start</a> <a href=2>Archive</a></td><td><h1>Flood</h1><p>{TEXT}</p><h2>After</h2><p>{MORE_TEXT}</p></td></tr></table>", ["Flood", TEXT, "After", MORE_TEXT]),
+    (f'<div id="wrapper"><div id="masthead"><a href=/>The Paper</a></div><div class="story-body"><h1>Flood</h1><p>Short.</p><p>{TEXT}</p></div><div class="sidebar-right"><p>{MORE_TEXT}</p></div></div>', ["Flood", "Short.", TEXT]),
+    (f'<main><header><h1>Flood</h1></header><p>{TEXT}</p><aside>{MORE_TEXT}</aside></main><footer><p>{MORE_TEXT}</p></footer>', ["Flood", TEXT]),
+    (f'<article><p>{TEXT}</p><blockquote>Yes.</blockquote><ul><li>one</li><li>two</li></ul><form><input><button>Send</button></form></article><section id=comments><p>{MORE_TEXT}</p></section>', [TEXT, "Yes.", "one", "two"]),
+    (f'<body><div class="cookie-notice"><p>{MORE_TEXT}</p><button>OK</button></div><div role="main"><h1>A &amp; B</h1><p>{TEXT} &#233;</p></div></body>', ["A & B", TEXT + " é"]),
+    (f'<article><h1>Flood</h1><p>{TEXT}</p><div class="ad-slot">Buy now</div><p>{MORE_TEXT}</p><div class="share-buttons"><a href=#>Share</a></div></article>', ["Flood", TEXT, MORE_TEXT]),
+    (f'<div class="post"><pre>line one\nline  two</pre><p>{TEXT}</p></div><div class="related-posts"><ul><li><a href=/1>{MORE_TEXT}</a></li></ul></div>', ["line one line two", TEXT]),
+    (f'<nav><a href=/>Home</a></nav><article lang=de><p>Kurz</p><p>{TEXT}</p></article><script>document.write("<p>{MORE_TEXT}</p>")</script><style>p {{}}</style>', ["Kurz", TEXT]),
+]
+
+
+def test_main_text_of_pages_written_by_hand():
+    tree = html_text.trained()
+    for html, want in WRITTEN:
+        assert html_text.main_text(html, tree).split("\n") == want, html
+
+
+def test_main_text_of_odd_pages():
+    tree = html_text.trained()
+    deep = "<div>" * 20_000 + f"<article><p>{TEXT}</p>"
+    assert html_text.main_text(deep, tree) == TEXT
+    long = "<article>" + f"<p>{TEXT}</p>" * 20_000
+    assert html_text.main_text(long, tree).count("\n") == 19_999
+    assert html_text.main_text("<article><p>" + "x" * 1_000_000, tree) == "x" * 1_000_000
