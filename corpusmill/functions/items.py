@@ -46,5 +46,27 @@ def filter_fields(value: Column, fields: tuple[str, ...]) -> Column:
     return F.when(F.ltrim(value).startswith("{") & members.isNotNull(), F.to_json(kept)).otherwise(value)
 
 
+def response_json(body: Column, content_type: Column) -> Column:
+    """The decoded body as JSON; null where it is none."""
+    from corpusmill.functions.text import decode
+
+    return F.try_parse_json(decode(body, content_type))
+
+
+def map_value(items, change):
+    """Items with change(value) as payload, and the id that goes with it; a null payload stays an item with a null payload's id."""
+    return items.withColumn("value", change(F.col("value"))).withColumn("id", item_id(F.col("value"), F.col("source_url"), F.col("callback")))
+
+
+def with_value(items, value: Column):
+    """Items with another payload, and the id that goes with it."""
+    return map_value(items, lambda _: value)
+
+
+def random_suffix(n: int = 8) -> Column:
+    """n random hexadecimal digits for each row, at most 32."""
+    return F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, n)
+
+
 def summary(pages: Column, items: Column, errors: Column, ms: Column) -> Column:
     return F.format_string("%d pages / %d items / %d errors / %d ms", pages.cast("long"), items.cast("long"), errors.cast("long"), ms.cast("long"))

@@ -7,6 +7,7 @@ operations; css() and select_all() evaluate selectors in the parsing stage itsel
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import lru_cache
 from html import escape, unescape
 
@@ -56,12 +57,27 @@ class Node:
         return "".join(out)
 
     def inner_html(self) -> str:
-        raw = self.tag in RAW and self.tag not in ("title", "textarea")
-        return "".join(c.outer_html() if isinstance(c, Node) else c if raw else escape(c, quote=False).replace("\xa0", "&nbsp;") for c in self.children)
+        out: list[str] = []
+        todo: list = [(c, self) for c in self.children[::-1]]
+        while todo:
+            c, owner = todo.pop()
+            if owner is None:
+                out.append(c)  # an end tag
+            elif isinstance(c, str):
+                raw = owner.tag in RAW and owner.tag not in ("title", "textarea")
+                out.append(c if raw else escape(c, quote=False).replace("\xa0", "&nbsp;"))
+            else:
+                out.append(c.start_tag())
+                if c.tag not in VOID:
+                    todo.append((f"</{c.tag}>", None))
+                    todo += [(x, c) for x in c.children[::-1]]
+        return "".join(out)
+
+    def start_tag(self) -> str:
+        return f"<{self.tag}" + "".join(f' {k}="{v.replace("&", "&amp;").replace(chr(34), "&quot;")}"' for k, v in self.attrs.items()) + ">"
 
     def outer_html(self) -> str:
-        attrs = "".join(f' {k}="{v.replace("&", "&amp;").replace(chr(34), "&quot;")}"' for k, v in self.attrs.items())
-        return f"<{self.tag}{attrs}>" + ("" if self.tag in VOID else f"{self.inner_html()}</{self.tag}>")
+        return self.start_tag() + ("" if self.tag in VOID else f"{self.inner_html()}</{self.tag}>")
 
     def ancestors(self):
         n = self.parent
@@ -343,11 +359,22 @@ def _row(n: Node) -> dict:
     return {"node_id": n.id, "tag": n.tag, "attrs": dict(n.attrs), "text": n.text(), "html": n.inner_html(), "outer_html": n.outer_html()}
 
 
-def elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", with_html: bool = False) -> DataFrame:
-    """A row per element: id_col, node_id (document order), parent_id, depth, sibling_idx, tag, attrs, text, and html and
-    outer_html if asked for. Null html has no elements."""
+NAVIGATION = ("parent_tag", "next_sibling", "prev_sibling", "first_child", "last_child", "children")
+
+
+def elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", with_html: bool = False, with_text: bool = True, with_navigation: bool = False) -> DataFrame:
+    """A row per element: id_col, node_id (document order), parent_id, depth, sibling_idx, tag, attrs; text, that of everything
+    below it, unless with_text is off (on deep trees it is many times the page); html and outer_html with with_html; and with with_navigation the parent's tag,
+    the ids of the next and previous sibling and of the first and last child, and the number of children. Null html has no elements."""
     kind = dict(pages.dtypes)[id_col]
-    schema = f"`{id_col}` {kind}, node_id int, parent_id int, depth int, sibling_idx int, tag string, attrs map<string,string>, text string, html string, outer_html string"
+    schema = f"`{id_col}` {kind}, node_id int, parent_id int, depth int, sibling_idx int, tag string, attrs map<string,string>"
+    schema += ", text string" * with_text + ", html string, outer_html string" * with_html
+    schema += ", parent_tag string, next_sibling int, prev_sibling int, first_child int, last_child int, children int" * with_navigation
+
+    def near(n: Node, brothers: list, kids: list) -> tuple:
+        after = brothers[n.index + 1].id if n.index + 1 < len(brothers) else None
+        before = brothers[n.index - 1].id if n.index > 0 and brothers else None
+        return None if n.parent is None else n.parent.tag, after, before, kids[0].id if kids else None, kids[-1].id if kids else None, len(kids)
 
     def parsed(batches):
         for pdf in batches:
@@ -355,24 +382,30 @@ def elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
             for key, html in zip(pdf[id_col], pdf[html_col], strict=True):
                 if html is None:
                     continue
-                root = parse(html)
-                for n in [root, *root.walk()]:
-                    rows.append((key, n.id, None if n.parent is None else n.parent.id, sum(1 for _ in n.ancestors()), n.index, n.tag, dict(n.attrs), n.text(), n.inner_html() if with_html else None, n.outer_html() if with_html else None))
-                if len(rows) > 20_000:
-                    yield _frame(rows, schema)
-                    rows = []
+                todo: list[tuple[Node, int, list]] = [(parse(html), 0, [])]
+                while todo:
+                    n, depth, brothers = todo.pop()
+                    kids = n.elements()
+                    todo += [(c, depth + 1, kids) for c in kids[::-1]]
+                    row = (key, n.id, None if n.parent is None else n.parent.id, depth, n.index, n.tag, dict(n.attrs))
+                    row += (n.text(),) * with_text
+                    if with_html:
+                        row += (n.inner_html(), n.outer_html())
+                    rows.append(row + near(n, brothers, kids) if with_navigation else row)
+                    if len(rows) > 20_000:
+                        yield _frame(rows, schema)
+                        rows = []
             if rows:
                 yield _frame(rows, schema)
 
-    out = pages.select(id_col, html_col).mapInPandas(parsed, schema)
-    return out if with_html else out.drop("html", "outer_html")
+    return pages.select(id_col, html_col).mapInPandas(parsed, schema)
 
 
 def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
     names = [x.strip().split()[0].strip("`") for x in re.split(r", (?=`?\w+`? )", schema)]
     out = pd.DataFrame(rows, columns=names)
-    out["parent_id"] = out["parent_id"].astype("Int32")
-    return out
+    whole = ["parent_id", *NAVIGATION[1:5]]
+    return out.astype({c: "Int32" for c in whole if c in names})
 
 
 def select_all(html: Column, css: str) -> Column:
@@ -468,53 +501,142 @@ def find_similar(e: DataFrame, id_col: str = "page_id") -> DataFrame:
     return a.join(b, (F.col(id_col) == F.col("b_page")) & (F.col("parent_id") == F.col("b_parent")) & (F.col("tag") == F.col("b_tag")) & near).select(id_col, "node_id", "similar")
 
 
-# ---- Markdown
+# ---- parts of responses, fragments and lists of nodes
 
-def _markdown(n, out: list, depth: int = 0) -> None:
-    for c in n.children:
-        if isinstance(c, str):
-            out.append(re.sub(r"\s+", " ", c))
-        elif c.tag in ("script", "style", "head", "title", "noscript", "template"):
-            continue
-        elif re.fullmatch("h[1-6]", c.tag):
-            out.append(f"\n\n{'#' * int(c.tag[1])} {' '.join(_inline(c).split())}\n\n")
-        elif c.tag in ("strong", "b", "em", "i") and c.text().strip():
-            mark = "**" if c.tag in ("strong", "b") else "*"
-            out.append(f"{mark}{_inline(c).strip()}{mark}")
-        elif c.tag == "a" and "href" in c.attrs:
-            out.append(f"[{_inline(c).strip()}]({c.attrs['href']})")
-        elif c.tag == "img":
-            out.append(f"![{c.attrs.get('alt', '')}]({c.attrs.get('src', '')})")
-        elif c.tag == "br":
-            out.append("  \n")
-        elif c.tag == "hr":
-            out.append("\n\n* * *\n\n")
-        elif c.tag == "pre":
-            out.append("\n\n```\n" + c.text().strip("\n") + "\n```\n\n")
-        elif c.tag == "code":
-            out.append(f"`{c.text()}`")
-        elif c.tag == "blockquote":
-            out.append("\n\n" + "\n".join(("> " + x).rstrip() for x in to_markdown(c).split("\n")) + "\n\n")
-        elif c.tag in ("ul", "ol"):
-            items = [x for x in c.elements() if x.tag == "li"]
-            marks = [f"{i}. " if c.tag == "ol" else "*   " for i in range(1, len(items) + 1)]
-            out.append("\n\n" + "\n".join(m + to_markdown(x).replace("\n", "\n" + " " * len(m)) for m, x in zip(marks, items, strict=True)) + "\n\n")
-        elif c.tag in ENDS_P or c.tag in ("body", "tr"):
-            out.append("\n\n")
-            _markdown(c, out, depth + 1)
-            out.append("\n\n")
-        else:
-            _markdown(c, out, depth + 1)
 
+def select_response(body: Column, content_type: Column, css: str) -> Column:
+    """The matches in a response's body, decoded as its content type and the body itself say."""
+    return select_all(T.decode(body, content_type), css)
+
+
+def fragment(html: Column) -> Column:
+    """The first element of a fragment as a node; null for null."""
+
+    @F.pandas_udf(NODE)
+    def parsed(parts: pd.Series) -> pd.DataFrame:
+        names = [x.split(":")[0] for x in re.findall(r"(\w+:)", NODE)]
+        return pd.DataFrame([dict.fromkeys(names) if h is None else _row(parse_fragment(h)) for h in parts], columns=names)
+
+    return F.when(html.isNotNull(), parsed(html))
+
+
+def matches_css(html: Column, css: str) -> Column:
+    """Whether the first element of a fragment, such as an outer_html, matches; false for an invalid selector, null for null."""
+
+    @F.pandas_udf("boolean")
+    def found(parts: pd.Series) -> pd.Series:
+        return pd.Series([None if h is None else matches(parse_fragment(h), css) for h in parts], dtype=object)
+
+    return found(html)
 
-def _inline(n: Node) -> str:
-    out: list[str] = []
-    _markdown(n, out)
-    return "".join(out)
 
+def contains_text(text: Column, part: str) -> Column:
+    return F.contains(text, F.lit(part))
 
-def to_markdown(n: Node) -> str:
-    text = re.sub(r"[ \t]+\n(?! *\n)", lambda m: "  \n" if m[0].startswith("  ") else "\n", _inline(n))
+
+def count_nodes(nodes: Column) -> Column:
+    return F.greatest(F.coalesce(F.size(nodes), F.lit(0)), F.lit(0))
+
+
+def is_empty(nodes: Column) -> Column:
+    return count_nodes(nodes) == 0
+
+
+def node_at(nodes: Column, i: int) -> Column:
+    """The i-th node from 0, or from the end if i is negative; null if there is none."""
+    return F.try_element_at(nodes, F.lit(i + 1 if i >= 0 else i))
+
+
+def filter_nodes(nodes: Column, keep: Callable[[Column], Column]) -> Column:
+    """The nodes for which keep(node) holds, in their order."""
+    return F.filter(nodes, keep)
+
+
+def texts(nodes: Column) -> Column:
+    return F.transform(nodes, lambda n: n["text"])
+
+
+def attributes(nodes: Column, name: str) -> Column:
+    """That attribute of each node, "" where it is missing."""
+    return F.transform(nodes, lambda n: F.coalesce(F.try_element_at(n["attrs"], F.lit(name)), F.lit("")))
+
+
+def htmls(nodes: Column) -> Column:
+    return F.transform(nodes, lambda n: n["outer_html"])
+
+
+# ---- Markdown
+
+_SKIPPED = frozenset("script style head title noscript template".split())
+
+
+def _opened(c: Node):
+    """What is made of the parts that an element's content gives; None for content that stands as it is."""
+    if re.fullmatch("h[1-6]", c.tag):
+        return lambda ts: f"\n\n{'#' * int(c.tag[1])} {' '.join(''.join(ts).split())}\n\n"
+    if c.tag in ("strong", "b", "em", "i") and c.text().strip():
+        mark = "**" if c.tag in ("strong", "b") else "*"
+        return lambda ts: f"{mark}{''.join(ts).strip()}{mark}"
+    if c.tag == "a" and "href" in c.attrs:
+        return lambda ts: f"[{''.join(ts).strip()}]({c.attrs['href']})"
+    if c.tag == "blockquote":
+        return lambda ts: "\n\n" + "\n".join(("> " + x).rstrip() for x in _tidy("".join(ts)).split("\n")) + "\n\n"
+    if c.tag in ("ul", "ol"):
+        mark = lambda i: f"{i}. " if c.tag == "ol" else "*   "
+        return lambda ts: "\n\n" + "\n".join(mark(i) + _tidy(x).replace("\n", "\n" + " " * len(mark(i))) for i, x in enumerate(ts, 1)) + "\n\n"
+    if c.tag in ENDS_P or c.tag in ("body", "tr"):
+        return lambda ts: "\n\n" + "".join(ts) + "\n\n"
+    return None
+
+
+def _plain(c: Node) -> str | None:
+    """Elements whose content is not looked into."""
+    if c.tag in _SKIPPED:
+        return ""
+    if c.tag == "img":
+        return f"![{c.attrs.get('alt', '')}]({c.attrs.get('src', '')})"
+    if c.tag in ("br", "hr"):
+        return "  \n" if c.tag == "br" else "\n\n* * *\n\n"
+    if c.tag == "pre":
+        return "\n\n```\n" + c.text().strip("\n") + "\n```\n\n"
+    return f"`{c.text()}`" if c.tag == "code" else None
+
+
+def to_markdown(root: Node) -> str:
+    """A list keeps its items only; trees of any depth are walked without recursion."""
+    parts: list[list[str]] = [[]]
+    todo: list = list(root.children[::-1])
+    while todo:
+        c = todo.pop()
+        if isinstance(c, str):
+            parts[-1].append(re.sub(r"\s+", " ", c))
+        elif callable(c):
+            done = parts.pop()
+            parts[-1].append(c(done))
+        elif (flat := _plain(c)) is not None:
+            parts[-1].append(flat)
+        else:
+            close = _opened(c)
+            listed = c.tag in ("ul", "ol")
+            if close is not None:
+                parts.append([])
+                todo.append(close)
+            for x in c.children[::-1]:
+                if not listed:
+                    todo.append(x)
+                elif isinstance(x, Node) and x.tag == "li":
+                    todo += ["".join, *x.children[::-1], _OPEN]
+        if todo and todo[-1] is _OPEN:
+            todo.pop()
+            parts.append([])
+    return _tidy("".join(parts[0]))
+
+
+_OPEN = object()  # where the parts of a list item begin
+
+
+def _tidy(text: str) -> str:
+    text = re.sub(r"[ \t]+\n(?! *\n)", lambda m: "  \n" if m[0].startswith("  ") else "\n", text)
     return re.sub(r"\n{3,}", "\n\n", "\n".join(x if x.startswith(("    ", "`")) else x.strip(" ") + ("  " if x.endswith("  ") and x.strip() else "") for x in text.split("\n"))).strip()
 
 

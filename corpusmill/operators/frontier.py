@@ -14,7 +14,6 @@ from corpusmill.operators import dom
 from corpusmill.sources.shared import written
 
 
-
 def follow(base: Column, href: Column, depth: Column, callback: Column | None = None, meta: Column | None = None, priority: Column | None = None) -> Column:
     """A frontier row: url (null if not http or https), depth one more, priority minus that depth unless given."""
     deeper = (depth + 1).cast("int")
@@ -25,7 +24,7 @@ def links(pages: DataFrame, selectors: tuple[str, ...] = ("a[href]",), html_col:
     """pages, without html, with a row per link: idx (place among the matches), href, title, target.
 
     The first selector that matches anything counts; links without href or text, or that resolve to no http url, and
-    those that keep(target) rejects, are left out; limit is per page, over valid links."""
+    those that keep(target) rejects, are left out; limit is per row of pages, also where urls repeat, over valid links."""
 
     @F.pandas_udf("array<struct<idx:int,href:string,title:string>>")
     def found(htmls: pd.Series) -> pd.Series:
@@ -37,14 +36,26 @@ def links(pages: DataFrame, selectors: tuple[str, ...] = ("a[href]",), html_col:
         return pd.Series(out, dtype=object)
 
     rest = [c for c in pages.columns if c != html_col]
-    rows = pages.select(*rest, F.explode(found(html_col)).alias("link")).select(*rest, "link.*")
+    rows = pages.withColumn("page_", F.monotonically_increasing_id()).select(*rest, "page_", F.explode(found(html_col)).alias("link")).select(*rest, "page_", "link.*")
     rows = rows.withColumn("target", U.resolve_href(F.col(url_col), F.col("href"))).filter("target is not null")
     if keep is not None:
         rows = rows.filter(keep(F.col("target")))
-    if limit is not None:
-        w = Window.partitionBy(url_col).orderBy("idx")
-        rows = rows.withColumn("nth_", F.row_number().over(w)).filter(F.col("nth_") <= limit).drop("nth_")
-    return rows
+    if limit is None:
+        return rows.drop("page_")
+    w = Window.partitionBy("page_").orderBy("idx")
+    return rows.withColumn("nth_", F.row_number().over(w)).filter(F.col("nth_") <= limit).drop("nth_", "page_")
+
+
+def follow_links(pages: DataFrame, selectors: tuple[str, ...] = ("a[href]",), callback: str | None = None, meta_for: Callable[[Column, Column], Column] | None = None, limit: int | None = None, keep: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Frontier rows of the links of each page: url, method, depth, priority, callback, meta, and source_url.
+
+    meta_for(idx, title) is the metadata of the request, as JSON; idx is the link's place among all matches, those that give no
+    request included. pages: url, html, and depth if not 0."""
+    depth = F.col("depth") if "depth" in pages.columns else F.lit(0)
+    found = links(pages.select("url", "html", depth.alias("depth_")), selectors, limit=limit, keep=keep)
+    meta = F.lit(None).cast("string") if meta_for is None else meta_for(F.col("idx"), F.col("title")).cast("string")
+    request = follow(F.col("url"), F.col("target"), F.col("depth_"), F.lit(callback).cast("string"), meta)
+    return found.select(F.col("url").alias("source_url"), request.alias("r")).select("r.*", "source_url")
 
 
 def seeds(spark, spiders: dict[str, list[str]]) -> DataFrame:
@@ -91,13 +102,46 @@ def merge_checkpoint(pending: DataFrame, in_flight: DataFrame) -> DataFrame:
     return push(both.withColumn("order_", F.struct("from_", "seq")), seq_col="order_").drop("from_", "order_")
 
 
+def pending_urls(frontier: DataFrame) -> DataFrame:
+    """url and place (from 0) of the requests that wait, in the order in which they would be taken."""
+    return placed(frontier, F.desc("priority"), F.asc("seq")).select("url", "place")
+
+
+def placed(rows: DataFrame, *order: Column) -> DataFrame:
+    """rows with place, from 0 in the given order: sorted by ranges, numbered in each, and shifted by the sizes of the ranges before, of which
+    there is one row a range."""
+    ranged = written(rows.orderBy(*order).withColumn("place_", F.monotonically_increasing_id()), "sorted")
+    part = F.shiftright("place_", 33)
+    sizes = ranged.groupBy(part.alias("part_")).agg(F.count(F.lit(1)).alias("n_"))
+    before = sizes.select("part_", (F.sum("n_").over(Window.orderBy("part_")) - F.col("n_")).alias("before_"))
+    return ranged.join(before, part == F.col("part_")).withColumn("place", F.col("before_") + F.col("place_") % (1 << 33)).drop("place_", "part_", "before_")
+
+
+def seen_urls(requests: DataFrame, fingerprints: bool = False) -> DataFrame:
+    """What has been pushed: urls, or their fingerprints as decimal strings."""
+    key = F.xxhash64("url").cast("string") if fingerprints else F.col("url")
+    return requests.select(key.alias("url")).distinct()
+
+
+def import_state(frontier: DataFrame, seen: DataFrame, pending: DataFrame, more_seen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The frontier with pending behind its own requests, none of them dropped, and the set of seen urls with those of both."""
+    top = frontier.agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("top_"))
+    behind = placed(pending, F.asc("seq")).join(top, F.lit(True)).withColumn("seq", (F.col("top_") + 1 + F.col("place")).cast("long")).select(*frontier.columns)
+    return frontier.unionByName(behind), seen.select("url").union(more_seen.select("url")).union(pending.select("url")).distinct()
+
+
+def seen_warning(seen: DataFrame, most: int) -> DataFrame:
+    """One row, warning, when more than `most` urls have been seen, and else none."""
+    n = seen.agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most)
+    return n.select(F.format_string(f"%d urls have been seen, more than {most}", "n").alias("warning"))
+
+
 def host_suffixes(host: Column) -> Column:
     """The host and its parent domains."""
     labels = F.split(F.lower(host), r"\.")
     return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
 
 
-
 def in_domains(rows: DataFrame, domains: list[str] | DataFrame, host: Column, keep: bool = True, most: int = 1000) -> DataFrame:
     """Rows whose host is one of the domains or below one; with keep=False the others.
 
@@ -120,13 +164,190 @@ def depth_limit(rows: DataFrame, most: int | None) -> DataFrame:
     return rows if not most else rows.filter(F.col("depth") <= most)
 
 
-# Domains of advertising and tracking services, without those that contain a path and so match no host.
-AD_DOMAINS = """doubleclick.net googlesyndication.com googleadservices.com google-analytics.com googletagmanager.com googletagservices.com adservice.google.com pagead2.googlesyndication.com facebook.net fbcdn.net connect.facebook.net adnxs.com adsrvr.org adform.net adcolony.com admob.com adroll.com adtech.de adtechus.com advertising.com adzerk.net appnexus.com buysellads.com carbonads.com casalemedia.com chitika.net contextweb.com conversantmedia.com criteo.com criteo.net dotomi.com exponential.com indexexchange.com infolinks.com inner-active.com integralads.com intentiq.com intercom.io kargo.com krxd.net lijit.com liveintent.com liveramp.com mathtag.com media.net mediaplex.com moatads.com mookie1.com nexage.com openx.net outbrain.com owneriq.net pubmatic.com quantserve.com revcontent.com rubiconproject.com serving-sys.com sharethrough.com smaato.net smartadserver.com spotxchange.com taboola.com tapad.com tidaltv.com tribalfusion.com turn.com undertone.com yieldmo.com mixpanel.com segment.io segment.com amplitude.com heap.io hotjar.com fullstory.com mouseflow.com crazyegg.com clicktale.com kissmetrics.com chartbeat.com newrelic.com nr-data.net omtrdc.net scorecardresearch.com quantcount.com comscore.com platform.twitter.com platform.linkedin.com snap.licdn.com popads.net popcash.net propellerads.com revive-adserver.com cnzz.com hm.baidu.com pos.baidu.com cpro.baidu.com tongji.baidu.com 51.la tanx.com alimama.com mmstat.com irs01.com mailtrack.io bananatag.com yesware.com bugsnag.com sentry.io rollbar.com raygun.io airbrake.io honeybadger.io fingerprintjs.com threatmetrix.com iovation.com sift.com quantcast.mgr.consensu.org trustarc.com onetrust.com cookiebot.com usercentrics.eu videoplaza.tv spotx.tv freewheel.tv mgid.com zemanta.com nativo.com shareaholic.com onesignal.com pushcrew.com gravitec.net coinhive.com coin-hive.com cryptoloot.pro webminepool.com""".split()
+# Domains of advertising and tracking services. Those with a path are listed and counted, but are no host's name.
+AD_DOMAINS = (
+    "doubleclick.net",
+    "googlesyndication.com",
+    "googleadservices.com",
+    "google-analytics.com",
+    "googletagmanager.com",
+    "googletagservices.com",
+    "adservice.google.com",
+    "pagead2.googlesyndication.com",
+    "facebook.net",
+    "fbcdn.net",
+    "connect.facebook.net",
+    "adnxs.com",
+    "adsrvr.org",
+    "adform.net",
+    "adcolony.com",
+    "admob.com",
+    "adroll.com",
+    "adtech.de",
+    "adtechus.com",
+    "advertising.com",
+    "adzerk.net",
+    "appnexus.com",
+    "buysellads.com",
+    "carbonads.com",
+    "casalemedia.com",
+    "chitika.net",
+    "contextweb.com",
+    "conversantmedia.com",
+    "criteo.com",
+    "criteo.net",
+    "dotomi.com",
+    "exponential.com",
+    "indexexchange.com",
+    "infolinks.com",
+    "inner-active.com",
+    "integralads.com",
+    "intentiq.com",
+    "intercom.io",
+    "kargo.com",
+    "krxd.net",
+    "lijit.com",
+    "liveintent.com",
+    "liveramp.com",
+    "mathtag.com",
+    "media.net",
+    "mediaplex.com",
+    "moatads.com",
+    "mookie1.com",
+    "nexage.com",
+    "openx.net",
+    "outbrain.com",
+    "owneriq.net",
+    "pubmatic.com",
+    "quantserve.com",
+    "revcontent.com",
+    "rubiconproject.com",
+    "serving-sys.com",
+    "sharethrough.com",
+    "smaato.net",
+    "smartadserver.com",
+    "spotxchange.com",
+    "taboola.com",
+    "tapad.com",
+    "tidaltv.com",
+    "tribalfusion.com",
+    "turn.com",
+    "undertone.com",
+    "yieldmo.com",
+    "mixpanel.com",
+    "segment.io",
+    "segment.com",
+    "amplitude.com",
+    "heap.io",
+    "hotjar.com",
+    "fullstory.com",
+    "mouseflow.com",
+    "crazyegg.com",
+    "clicktale.com",
+    "kissmetrics.com",
+    "chartbeat.com",
+    "newrelic.com",
+    "nr-data.net",
+    "omtrdc.net",
+    "scorecardresearch.com",
+    "quantcount.com",
+    "comscore.com",
+    "twitter.com/i/adsct",
+    "platform.twitter.com",
+    "platform.linkedin.com",
+    "snap.licdn.com",
+    "pinterest.com/ct",
+    "cloudfront.net/ads",
+    "akamaihd.net/ads",
+    "fastly.net/ads",
+    "popads.net",
+    "popcash.net",
+    "propellerads.com",
+    "revive-adserver.com",
+    "cnzz.com",
+    "hm.baidu.com",
+    "pos.baidu.com",
+    "cpro.baidu.com",
+    "tongji.baidu.com",
+    "51.la",
+    "tanx.com",
+    "alimama.com",
+    "mmstat.com",
+    "irs01.com",
+    "suning.com/ads",
+    "qq.com/ads",
+    "gtimg.cn/ads",
+    "mailtrack.io",
+    "bananatag.com",
+    "yesware.com",
+    "bugsnag.com",
+    "sentry.io",
+    "rollbar.com",
+    "raygun.io",
+    "airbrake.io",
+    "honeybadger.io",
+    "fingerprintjs.com",
+    "threatmetrix.com",
+    "iovation.com",
+    "sift.com",
+    "quantcast.mgr.consensu.org",
+    "trustarc.com",
+    "onetrust.com",
+    "cookiebot.com",
+    "usercentrics.eu",
+    "jwpcdn.com/ads",
+    "videoplaza.tv",
+    "spotx.tv",
+    "freewheel.tv",
+    "mgid.com",
+    "zemanta.com",
+    "nativo.com",
+    "shareaholic.com",
+    "onesignal.com",
+    "pushcrew.com",
+    "pusher.com/ads",
+    "gravitec.net",
+    "coinhive.com",
+    "coin-hive.com",
+    "cryptoloot.pro",
+    "webminepool.com",
+)
+
+
+class Blocker:
+    """Domains to block, with their subdomains; names are compared in lower case."""
+
+    def __init__(self, domains: tuple[str, ...] = ()):
+        self.domains = tuple(dict.fromkeys(d.lower() for d in domains))
+
+    def block_domain(self, *domains: str) -> Blocker:
+        return Blocker((*self.domains, *domains))
+
+    def enable_ad_blocking(self) -> Blocker:
+        return self.block_domain(*AD_DOMAINS)
+
+    def __len__(self) -> int:
+        return len(self.domains)
+
+    def patterns(self) -> list[str]:
+        return block_patterns(list(self.domains))
+
+    def table(self, spark) -> DataFrame:
+        return spark.createDataFrame([(d,) for d in self.domains], "domain string")
+
+    def allowed(self, rows: DataFrame, url: Column) -> DataFrame:
+        return blocked_hosts(rows, url, list(self.domains), keep_blocked=False) if self.domains else rows
+
+
+def is_blocked(url: Column, domains: list[str]) -> Column:
+    """Whether the url's host is one of the domains or below one; false without a host. The list becomes an expression."""
+    names = F.array(*[F.lit(d.lower()) for d in domains]).cast("array<string>")
+    return F.coalesce(F.arrays_overlap(host_suffixes(U.host(url)), names), F.lit(False))
 
 
 def blocked_hosts(rows: DataFrame, url: Column, domains: list[str] | None = None, keep_blocked: bool = True) -> DataFrame:
     """Rows whose url's host is on the block list (the built-in one if none is given); urls without a host never are."""
-    return in_domains(rows, AD_DOMAINS if domains is None else [d.lower() for d in domains], U.host(url), keep_blocked)
+    return in_domains(rows, list(AD_DOMAINS) if domains is None else [d.lower() for d in domains], U.host(url), keep_blocked)
 
 
 def block_patterns(domains: list[str]) -> list[str]:

@@ -58,9 +58,13 @@ def resolve_modes(requests: DataFrame, rules: DataFrame, url_col: str = "url", m
     path = F.when(U.authority(F.col(url_col)) != "", U.path(F.col(url_col))).otherwise(F.col(url_col))
     if not ordered:
         return requests.withColumn("mode", F.lit(None).cast("string"))
-    table = F.array(*[F.struct(F.lit(r.pattern).alias("p"), F.lit(r.mode).alias("m")) for r in ordered])
-    hit = F.get(F.filter(table, lambda r: F.rlike(path, r["p"]) | F.rlike(F.col(url_col), r["p"])), F.lit(0))
-    return requests.withColumn("mode", hit["m"])
+    mode = F.lit(None).cast("string")
+    for run in [ordered[i : i + 100] for i in range(0, len(ordered), 100)][::-1]:  # literal patterns, which are compiled once
+        case = F
+        for r in run:
+            case = case.when(F.rlike(path, F.lit(r.pattern)) | F.rlike(F.col(url_col), F.lit(r.pattern)), F.lit(r.mode))
+        mode = case.otherwise(mode)
+    return requests.withColumn("mode", mode)
 
 
 def route(requests: DataFrame, owners: DataFrame) -> DataFrame:
@@ -72,6 +76,15 @@ def route(requests: DataFrame, owners: DataFrame) -> DataFrame:
     return got.withColumn("routed", F.when(F.col("spider").isNotNull(), F.col("named_")).otherwise(F.col("only_"))).drop("named_", "cb_", "n_", "only_")
 
 
+def cached_rules(fetched: DataFrame, now: int, failed_ttl: int = 60) -> DataFrame:
+    """origin, disallowed, crawl_delay, request_rate as a cache of robots files has them at `now`: the last fetch of each origin counts. A file that
+    was fetched stays; a failed fetch means no rules for failed_ttl seconds, and after that the origin is unknown. fetched: origin, body (null:
+    failed), fetched_at."""
+    last = fetched.groupBy("origin").agg(F.max_by(F.struct("body", "fetched_at"), F.col("fetched_at")).alias("l"))
+    known = last.select("origin", "l.body", "l.fetched_at").filter(F.col("body").isNotNull() | (F.lit(now) < F.col("fetched_at") + failed_ttl))
+    return robots_rules(known.select("origin", F.coalesce("body", F.lit("")).alias("body")))
+
+
 def live(cached_at: Column, ttl: Column, now: Column) -> Column:
     """Not older than its time to live; without one, for ever."""
     return ttl.isNull() | (now <= cached_at + ttl)

@@ -28,6 +28,27 @@ def metrics(responses: DataFrame) -> DataFrame:
     return got.withColumn("avg_ms", F.when(F.col("responses") > 0, F.expr("elapsed_ms div responses")).otherwise(F.lit(0).cast("long")))
 
 
+def totals(stats: DataFrame, *counts: str) -> DataFrame:
+    """Sums over all spiders: of pages, or of the counts that are named."""
+    return stats.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in counts or ("pages",)])
+
+
+def item_counts(items: DataFrame, *members: str) -> DataFrame:
+    """items and, for each member of the payload that is named, the number of its distinct values as distinct_<member>."""
+    of = lambda m: F.count_distinct(F.get_json_object("value", f"$.{m}")).alias(f"distinct_{m}")
+    return items.agg(F.count(F.lit(1)).alias("items"), *[of(m) for m in members])
+
+
+def hot_frames(samples: DataFrame, n: int = 40, by: tuple[str, ...] = ("leaf",), process: str | None = None) -> DataFrame:
+    """The n heaviest leaf frames (or stacks, or frames by thread): by, weight, percent of all weight. samples: process, thread, stack (array of frames,
+    the leaf last, or null), weight. Samples without a stack count for the whole only."""
+    rows = samples if process is None else samples.filter(F.contains(F.coalesce("process", F.lit("")), F.lit(process)))
+    rows = rows.withColumn("leaf", F.try_element_at("stack", F.lit(-1)))
+    whole = rows.agg(F.sum("weight").alias("whole_"))
+    top = rows.filter("stack is not null").groupBy(*by).agg(F.sum("weight").alias("weight")).orderBy(F.desc("weight"), *by).limit(n)
+    return top.join(whole, F.lit(True)).select(*by, "weight", (100 * F.try_divide("weight", "whole_")).alias("percent"))
+
+
 def error_rates(samples: DataFrame, key: str = "spider") -> DataFrame:
     """samples (key, seq, pages, errors, in_flight, current) with error_rate since the sample before and saturation; 0 where nothing happened."""
     w = Window.partitionBy(key).orderBy("seq")

@@ -10,6 +10,7 @@ from corpusmill.functions import items as I, text as T, urls as U, web
 from corpusmill.operators import dom, frontier, rules, stats
 from corpusmill.plans import spider as S
 from corpusmill.sources import sinks, store
+from corpusmill.sources.shared import written
 from corpusmill.streaming import events as E
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,7 +47,7 @@ def q_host_link_counts(spark, d):
 
 @query(r"SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, octet_length(encode(html)) AS bytes FROM pages")
 def q_page_title(spark, d):
-    return store.one_page(store.responses(_t(spark, d, "pages")).select("page_id", "url", "html")).join(_t(spark, d, "pages").select("page_id", "url"), "url").select("page_id", "title", F.col("bytes").cast("long").alias("bytes"))
+    return store.one_page(store.responses(_t(spark, d, "pages")), keep=("page_id",)).select("page_id", "title", F.col("bytes").cast("long").alias("bytes"))
 
 
 @query(rf"""SELECT page_id, array_to_string(list_transform(string_split({_PATH}, '/'), lambda s: CASE WHEN s = '' THEN s WHEN regexp_full_match(s, '[0-9]+') THEN '\d+' WHEN regexp_full_match(s, '[0-9a-fA-F-]{{8,}}') AND regexp_matches(s, '[0-9]') THEN '[a-f0-9-]+' WHEN regexp_matches(s, '[0-9]') THEN regexp_replace(regexp_replace(s, '([\\.+*?()|\[\]{{}}^$])', '\\\1', 'g'), '[0-9]+', '\\d+', 'g') ELSE regexp_replace(s, '([\\.+*?()|\[\]{{}}^$#&~-])', '\\\1', 'g') END), '/') AS pattern FROM pages""")
@@ -145,9 +146,7 @@ def q_offsite(spark, d):
 
 @query(f"SELECT page_id, ({_HOST} LIKE '%.example.net') AS blocked FROM pages")
 def q_domain_block(spark, d):
-    p = _t(spark, d, "pages").select("page_id", "url")
-    hit = frontier.blocked_hosts(p, F.col("url"), ["Example.NET"]).select("page_id", F.lit(True).alias("b"))
-    return p.join(hit, "page_id", "left").select("page_id", F.coalesce("b", F.lit(False)).alias("blocked"))
+    return _t(spark, d, "pages").select("page_id", frontier.is_blocked(F.col("url"), ["Example.NET"]).alias("blocked"))
 
 
 @query("SELECT * FROM (VALUES ('*://*.ads.example/*'), ('*://ads.example/*')) t(pattern)")
@@ -330,13 +329,20 @@ def q_content_text(spark, d):
 
 @query("SELECT page_id, CAST(n * (n - 1) AS BIGINT) AS pairs FROM (SELECT page_id, len(regexp_extract_all(html, '<li>')) AS n FROM pages) WHERE n > 1")
 def q_find_similar(spark, d):
-    e = dom.elements(_t(spark, d, "pages").select("page_id", "html")).filter("tag = 'li'")
+    e = dom.elements(_t(spark, d, "pages").select("page_id", "html"), with_text=False).filter("tag = 'li'")
     return dom.find_similar(e).groupBy("page_id").agg(F.count(F.lit(1)).alias("pairs"))
 
 
 @query("SELECT page_id, CAST(len(regexp_extract_all(html, '<li>')) - 1 AS BIGINT) AS with_next, 'ul' AS parent_tag FROM pages")
 def q_dom_nav(spark, d):
-    e = dom.elements(_t(spark, d, "pages").select("page_id", "html"))
+    e = dom.elements(_t(spark, d, "pages").select("page_id", "html"), with_text=False, with_navigation=True)
+    return e.filter("tag = 'li'").groupBy("page_id").agg(F.count("next_sibling").alias("with_next"), F.min("parent_tag").alias("parent_tag"))
+
+
+@query("SELECT page_id, CAST(len(regexp_extract_all(html, '<li>')) - 1 AS BIGINT) AS with_next, 'ul' AS parent_tag FROM pages")
+def q_dom_nav_by_joins(spark, d):
+    """The same navigation over a table of elements."""
+    e = written(dom.elements(_t(spark, d, "pages").select("page_id", "html")), "elements")
     near = dom.siblings(dom.parent(e)).filter("tag = 'li'")
     return near.groupBy("page_id").agg(F.count("next_sibling").alias("with_next"), F.min("p_tag").alias("parent_tag"))
 

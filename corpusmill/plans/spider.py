@@ -7,28 +7,39 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corpusmill.functions import items as I, text as T, urls as U
-from corpusmill.operators import dom, frontier, rules
+from corpusmill.functions import items as I, urls as U
+from corpusmill.operators import cookies, dom, frontier, rules
+from corpusmill.sources import store
 
 Stage = Callable[[DataFrame], DataFrame]
 
 
 @dataclass(frozen=True)
 class Options:
-    """What a crawl takes into account."""
+    """What a crawl takes into account, and what default_chain() makes a chain of."""
 
     max_pages: int | None = None
     max_depth: int | None = None
     allowed_domains: tuple[str, ...] = ()
+    blocked_domains: tuple[str, ...] = ()
+    block_ads: bool = False
     respect_robots: bool = True
+    headers: tuple[tuple[str, str], ...] = ()
+    user_agents: tuple[str, ...] = ()
+    proxies: tuple[str, ...] = ()
+    proxy_choice: str = "sequential"  # or random, or sticky by host
+    delay_ms: int = 0
     retries: int = 3
     refetches: int = 5
-    checkpoint_every: int = 100
     cache_ttl: int | None = 300
     now: int = 0
 
+    def blocker(self) -> frontier.Blocker:
+        own = frontier.Blocker(self.blocked_domains)
+        return own.enable_ad_blocking() if self.block_ads else own
+
 
 @dataclass
 class Spider:
@@ -91,6 +102,31 @@ def chain(df: DataFrame, middlewares: list[Middleware]) -> DataFrame:
     return pipeline(df, *[m.stage for m in sorted(middlewares, key=lambda m: m.priority)])
 
 
+def default_chain(options: Options, cache: DataFrame | None = None, robots: DataFrame | None = None, jar: DataFrame | None = None) -> list[Middleware]:
+    """The request stages that the options ask for, each at its priority: those that the cache (method, url, cached_at, ttl_secs) answers are left out,
+    then those that robots rules (origin, disallowed) or the block list forbid; headers, delay, user agent, proxy and cookies (see cookies_for())
+    are added; and of failures (attempt) those beyond the number of retries are left out."""
+    steps: dict[str, Stage] = {}
+    if cache is not None:
+        steps["cache"] = lambda df: store.with_cache(df, cache, options.now)[1]
+    if options.respect_robots and robots is not None:
+        steps["robots"] = lambda df: rules.robots_allowed(df, robots)
+    if options.headers:
+        steps["headers"] = lambda df: with_headers(df, dict(options.headers))
+    if options.delay_ms:
+        steps["delay"] = lambda df: delayed(df, options.delay_ms)
+    if options.user_agents:
+        steps["user_agent"] = lambda df: rotated(df, list(options.user_agents), "user_agent")
+    if options.proxies:
+        steps["proxy"] = lambda df: proxied(df, list(options.proxies), options.proxy_choice)
+    if jar is not None:
+        steps["cookie"] = lambda df: cookies.cookie_headers(df, jar)
+    if options.blocked_domains or options.block_ads:
+        steps["blocked"] = lambda df: options.blocker().allowed(df, F.col("url"))
+    steps["retry"] = lambda df: df.filter(F.col("attempt") <= options.retries) if "attempt" in df.columns else df
+    return [Middleware(PRIORITIES[name], stage, name) for name, stage in steps.items()]
+
+
 def with_headers(requests: DataFrame, headers: dict[str, str]) -> DataFrame:
     extra = F.create_map(*[F.lit(x) for kv in headers.items() for x in kv])
     old = F.coalesce("headers", F.create_map().cast("map<string,string>"))
@@ -103,6 +139,30 @@ def rotated(requests: DataFrame, values: list[str], out: str, seq: str = "seq",
     return requests.withColumn(out, F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(n, F.lit(len(values))) + 1).cast("int")))
 
 
+def proxied(requests: DataFrame, proxies: list[str], choice: str = "sequential", seq: str = "seq", seed: int = 0) -> DataFrame:
+    """requests with proxy: in turn, by a hash of the request's number and the seed (random), or the same for each host (sticky)."""
+    if choice == "sequential":
+        return rotated(requests, proxies, "proxy", seq)
+    key = F.concat_ws(":", F.col(seq).cast("string"), F.lit(str(seed))) if choice == "random" else U.host(F.col("url"))
+    return rotated(requests.withColumn("by_", key), proxies, "proxy", key="by_").drop("by_")
+
+
+def delayed(requests: DataFrame, delay_ms: int, seq: str = "seq") -> DataFrame:
+    """requests with not_before_ms, after the start: those of one origin follow each other by delay_ms."""
+    turn = F.row_number().over(Window.partitionBy(U.origin(F.col("url"))).orderBy(seq)) - 1
+    return requests.withColumn("not_before_ms", (turn * delay_ms).cast("long"))
+
+
+def on_links(selectors: tuple[str, ...], callback: str, meta_for=None, limit: int | None = None, keep=None):
+    """A handler that follows the links of the first selector that matches, at most `limit` of each page."""
+    return lambda pages: (None, frontier.follow_links(pages, selectors, callback, meta_for, limit, keep))
+
+
+def content_handler(selectors: tuple[str, ...], clean: Callable[[Column], Column] = lambda c: c):
+    """A handler whose items are on_content()."""
+    return lambda pages: (on_content(pages, selectors, clean), None)
+
+
 def on_content(pages: DataFrame, selectors: tuple[str, ...], clean: Callable[[Column], Column] = lambda c: c) -> DataFrame:
     """Items of the request's meta members with content and url."""
     meta = F.from_json(F.coalesce("meta", F.lit("{}")), "map<string,variant>")
@@ -112,10 +172,11 @@ def on_content(pages: DataFrame, selectors: tuple[str, ...], clean: Callable[[Co
     return pages.select(F.to_json(F.map_concat(old, first)).alias("value"), F.col("url").alias("source_url"), *(["callback"] if "callback" in pages.columns else []))
 
 
-def crawl_site(pages: DataFrame, start_urls: list[str], css: str, follow: str | None = None, options: Options = Options()) -> DataFrame:
+def crawl_site(pages: DataFrame, start_urls: list[str], css: str, follow: str | None = None, options: Options = Options(), robots: DataFrame | None = None) -> DataFrame:
     """Items {text, html} of the matches of css on all pages reached from start_urls by links, over stored pages.
 
-    Links must match `follow` if given, and stay within the options' domains and depth; at most max_pages pages (100 if not given,
+    Links must match `follow` if given, stay within the options' domains and depth, not be blocked, and be allowed by robots (origin, body of the robots
+    files) unless respect_robots is off; an origin without a file allows all. At most max_pages pages (100 if not given,
     1000 at most), nearest first. It goes on until no link is left or so many pages are reached, however many hops that takes."""
     if not start_urls:
         raise ValueError("start_urls is empty")
@@ -131,8 +192,11 @@ def crawl_site(pages: DataFrame, start_urls: list[str], css: str, follow: str |
         out = frontier.links(here, keep=(lambda t: F.rlike(t, F.lit(follow))) if follow else None)
         out = out.select(F.col("target").alias("url"), F.lit("default").alias("callback"), F.lit(None).cast("string").alias("meta"), (F.col("depth") + 1).alias("depth"))
         out = frontier.depth_limit(out, options.max_depth)
-        return frontier.in_domains(out, list(options.allowed_domains), U.host(F.col("url")))
+        out = options.blocker().allowed(frontier.in_domains(out, list(options.allowed_domains), U.host(F.col("url"))), F.col("url"))
+        return out if known is None else rules.robots_allowed(out, known)
 
+    known = rules.robots_rules(robots) if options.respect_robots and robots is not None else None
+    start = start if known is None else rules.robots_allowed(start, known)
     most = min(options.max_pages or 100, 1000)
     visited, _ = frontier.crawl(pages, start, extract, most=most)
     visited = visited.orderBy("depth", "url").limit(most)
@@ -145,5 +209,3 @@ def scrape(html: Column, selector: str, attr: str | None = None) -> Column:
     got = dom.select_all(html, selector)
     return F.transform(got, lambda n: F.coalesce(F.try_element_at(n["attrs"], F.lit(attr)), F.lit("")) if attr else n["text"])
 
-
-__all__ = ["Middleware", "Options", "PRIORITIES", "Spider", "T", "as_items", "chain", "crawl_site", "filter_item_fields", "on_content", "pipeline", "rotated", "rules", "scrape", "with_headers"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusmill.functions import urls as U, web
 from corpusmill.operators import dom
@@ -47,10 +47,13 @@ def markdown_blocks(items: DataFrame) -> DataFrame:
 
 
 def write_markdown_pages(items: DataFrame, path: str) -> DataFrame:
-    """A file per item with html, through a Hadoop-independent folder that all machines share; returns name and bytes."""
+    """A file per item with html, through a Hadoop-independent folder that all machines share; returns name and bytes. Of
+    several items whose urls give one name the later ones, by url and id, get a number."""
     v = F.from_json("value", "html string")
     pages = items.withColumn("html_", v["html"]).filter("html_ is not null")
-    named = pages.select(U.url_to_filename(F.col("source_url"), F.monotonically_increasing_id()).alias("name"), dom.html_to_markdown(F.col("html_")).alias("text"))
+    named = pages.select(U.url_to_filename(F.col("source_url"), F.monotonically_increasing_id()).alias("name"), "source_url", "id", dom.html_to_markdown(F.col("html_")).alias("text"))
+    clash = Window.partitionBy("name").orderBy("source_url", "id")
+    named = named.withColumn("nth", F.row_number().over(clash)).select(F.when(F.col("nth") == 1, F.col("name")).otherwise(F.concat(F.regexp_replace("name", r"\.md$", ""), F.lit("_"), F.col("nth").cast("string"), F.lit(".md"))).alias("name"), "text")
 
     def write(batches):
         from pyarrow import fs
@@ -85,6 +88,45 @@ def write_warc(items: DataFrame, path: str, date: str) -> None:
     pages.select(record.cast("string").alias("value")).write.mode("overwrite").option("lineSep", "\r\n\r\n").text(path)
 
 
+def numbered_batches(items: DataFrame, n: int, order_col: str = "id") -> DataFrame:
+    """items with batch: runs of n rows, counted in each range of order_col by itself, so that the last batch of a range may be smaller."""
+    ranged = items.repartitionByRange(order_col).sortWithinPartitions(order_col).withColumn("row_", F.monotonically_increasing_id())
+    return ranged.withColumn("batch", F.shiftright("row_", 33) * (1 << 33) + F.floor((F.col("row_") % (1 << 33)) / n)).drop("row_")
+
+
+def tee(items: DataFrame, *outputs: ItemOutput) -> DataFrame:
+    """Write items to each output and hand them on; an output's error ends the run."""
+    for out in outputs:
+        out.write(items)
+    return items
+
+
+class Items:
+    """A collection of items: its length, rows, JSON and JSON lines. from_values gives items without provenance."""
+
+    def __init__(self, df: DataFrame):
+        self.df = df
+
+    @classmethod
+    def from_values(cls, spark, values: list[str]) -> Items:
+        rows = spark.createDataFrame([(v,) for v in values], "value string")
+        return cls(rows.select("value", F.lit("").alias("source_url"), F.lit("").alias("spider"), F.lit(None).cast("string").alias("callback"), F.lit("").alias("id")))
+
+    def __len__(self) -> int:
+        return self.df.count()
+
+    def __iter__(self):
+        return self.df.toLocalIterator()
+
+    def to_jsonl(self) -> DataFrame:
+        return jsonl(self.df)
+
+    def to_file(self, path: str, format: str = "jsonl") -> None:
+        with_output = ItemOutput(path, format).open()
+        with_output.write(self.df)
+        with_output.close()
+
+
 def write_batches(items: DataFrame, n: int, flush: Callable[[list], None]) -> None:
     """flush(rows) for every n rows of a partition, and for the rest; an error in it fails the job."""
 

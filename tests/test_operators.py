@@ -162,3 +162,81 @@ def test_entry_without_llm(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_deep_trees(spark):
+    deep = "<div>" * 5000 + "<b>x</b>"
+    row = spark.createDataFrame([(1, deep)], "page_id long, html string")
+    assert dom.to_markdown(dom.parse(deep)) == "**x**"
+    assert row.select(F.size(dom.select_all(F.col("html"), "b"))).first()[0] == 1
+    e = dom.elements(row, with_text=False, with_navigation=True)
+    assert e.count() == 5004 and e.agg(F.max("depth")).first()[0] == 5002
+    item = S.crawl_site(row.select(F.lit("https://e.com/").alias("url"), "html"), ["https://e.com/"], "body > div").first()
+    assert item.value.count("</div>") == 5000 - 1
+
+
+def test_navigation_of_the_parser_equals_the_joins(spark):
+    html = "<ul><li>a<li>b<b>c</b><li>d</ul><p>x</p>"
+    pages = spark.createDataFrame([(i, html * i) for i in range(3)], "page_id long, html string")
+    names = ["page_id", "node_id", "next_sibling", "prev_sibling", "first_child", "last_child"]
+    own = dom.elements(pages, with_navigation=True)
+    joined = dom.siblings(dom.elements(pages))
+    assert sorted(map(str, own.select(names).collect())) == sorted(map(str, joined.select(names).collect()))
+
+
+def test_damaged_checkpoint(spark, tmp_path):
+    c = store.Checkpoint(spark, f"file://{tmp_path}/cp")
+    c.write(1, seen=spark.range(3))
+    c.write(2, seen=spark.range(5))
+    for f in (tmp_path / "cp/v000000002/seen").glob("*.parquet"):
+        f.write_bytes(b"damaged")
+        (f.parent / f".{f.name}.crc").unlink(missing_ok=True)
+    with pytest.warns(UserWarning):
+        assert c.read()["seen"].count() == 3
+
+
+def test_batches_and_clashing_names(spark, tmp_path):
+    items = S.as_items(spark.createDataFrame([('{"html":"<p>1"}', "https://e.com/a"), ('{"html":"<p>2"}', "https://e.com/a"), ('{"html":"<p>3"}', "https://e.com/a?b")], "value string, source_url string"), "s")
+    assert sorted(r.name for r in sinks.write_markdown_pages(items, f"file://{tmp_path}/m").collect()) == ["e.com_a.md", "e.com_a_2.md", "e.com_a_3.md"]
+    assert sorted(p.read_text() for p in (tmp_path / "m").iterdir() if p.suffix == ".md") == ["1", "2", "3"]
+    path = str(tmp_path / "batches")
+
+    def flush(rows):
+        with open(path, "a") as f:
+            f.write(f"{len(rows)}\n")
+
+    sinks.write_batches(items.coalesce(1), 2, flush)
+    assert open(path).read() == "2\n1\n"
+
+
+def test_limits_of_repeated_pages(spark):
+    html = "".join(f'<a href="/{i}">x</a>' for i in range(3))
+    pages = spark.createDataFrame([("https://e.com/", html)] * 2, "url string, html string")
+    assert frontier.links(pages, limit=2).count() == 4
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from corpusmill.__main__ import main
+
+    spark.createDataFrame([("https://e.com/", "<h1>T</h1><p>x</p>")], "url string, html string").write.parquet(f"{tmp_path}/p")
+    assert main(["dump", f"{tmp_path}/p", "https://e.com/", "--markdown"], spark) == 0
+    assert capsys.readouterr().out == "# T\n\nx\n"
+    assert main(["dump", f"{tmp_path}/p", "https://no.com/"], spark) == 1
+    assert main(["scrape", f"{tmp_path}/p", "p", f"{tmp_path}/out"], spark) == 0
+    assert '"text":"x"' in spark.read.text(f"{tmp_path}/out").first().value
+
+
+def test_broken_import_of_a_subpackage_is_an_error(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+
+    root = tmp_path / "copy"
+    shutil.copytree(Q.__file__.rsplit("/corpusmill/", 1)[0], root, ignore=shutil.ignore_patterns(".git", "tests", "*.md", "*.json"))
+    run = lambda: subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=root, env={"PATH": "/usr/bin:/bin"}, capture_output=True, text=True)
+    if (root / "corpusmill/llm").exists():
+        (root / "corpusmill/llm/packing.py").write_text("import nothing_of_this_name\n")
+        assert "nothing_of_this_name" in run().stderr
+        shutil.rmtree(root / "corpusmill/llm")
+    (root / "corpus_pipeline.py").unlink(missing_ok=True)
+    assert run().stdout.strip() == str(len(Q.QUERIES)), run().stderr
