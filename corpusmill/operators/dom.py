@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusmill.functions import text as T
-from corpusmill.sources.shared import written
+from corpusmill.sources.shared import spread, written
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -338,7 +338,10 @@ def select(n: Node, css: str) -> list[Node]:
         chains = compile_selector(css)
     except SelectorError:
         return []
-    return [d for d in n.walk() if any(_chain(d, c) for c in chains)]
+    tags = [next((x for kind, x in c[0][1] if kind == "tag"), "*") for c in chains]
+    if "*" in tags:
+        return [d for d in n.walk() if any(_chain(d, c) for c in chains)]
+    return [d for d in n.walk() if d.tag in tags and any(_chain(d, c) for c in chains)]  # most elements go by their tag
 
 
 def generate_selector(attrs: Column) -> Column:
@@ -398,7 +401,7 @@ def elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
             if rows:
                 yield _frame(rows, schema)
 
-    return pages.select(id_col, html_col).mapInPandas(parsed, schema)
+    return spread(pages.select(id_col, html_col)).mapInPandas(parsed, schema)
 
 
 def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
@@ -433,7 +436,7 @@ def css(pages: DataFrame, html_col: str, fields: dict[str, tuple[str, str | None
                 out[k].append([n.text() if attr is None else n.attrs.get(attr, "") for n in nodes])
         return pd.DataFrame(out)
 
-    return pages.withColumn("css_", extracted(F.col(html_col))).select(*pages.columns, *[F.col(f"css_.{k}").alias(k) for k in fields])
+    return spread(pages).withColumn("css_", extracted(F.col(html_col))).select(*pages.columns, *[F.col(f"css_.{k}").alias(k) for k in fields])
 
 
 def content_text(html: Column, selectors: tuple[str, ...]) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusmill.functions import urls as U
 from corpusmill.operators import dom
-from corpusmill.sources.shared import written
+from corpusmill.sources.shared import spread, written
 
 
 def follow(base: Column, href: Column, depth: Column, callback: Column | None = None, meta: Column | None = None, priority: Column | None = None) -> Column:
@@ -36,7 +36,7 @@ def links(pages: DataFrame, selectors: tuple[str, ...] = ("a[href]",), html_col:
         return pd.Series(out, dtype=object)
 
     rest = [c for c in pages.columns if c != html_col]
-    rows = pages.withColumn("page_", F.monotonically_increasing_id()).select(*rest, "page_", F.explode(found(html_col)).alias("link")).select(*rest, "page_", "link.*")
+    rows = spread(pages).withColumn("page_", F.monotonically_increasing_id()).select(*rest, "page_", F.explode(found(html_col)).alias("link")).select(*rest, "page_", "link.*")
     rows = rows.withColumn("target", U.resolve_href(F.col(url_col), F.col("href"))).filter("target is not null")
     if keep is not None:
         rows = rows.filter(keep(F.col("target")))

@@ -10,7 +10,7 @@ from corpusmill.functions import items as I, text as T, urls as U, web
 from corpusmill.operators import dom, frontier, rules, stats
 from corpusmill.plans import spider as S
 from corpusmill.sources import sinks, store
-from corpusmill.sources.shared import written
+from corpusmill.sources.shared import spread, written
 from corpusmill.streaming import events as E
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -324,7 +324,7 @@ def q_select_links(spark, d):
 
 @query(r"SELECT page_id, regexp_extract(html, '(?s)<div class=\"ad\">(.*?)</div>', 1) AS body FROM pages".replace('\\"', '"'))
 def q_content_text(spark, d):
-    return _t(spark, d, "pages").select("page_id", dom.content_text(F.col("html"), ("p[onclick=alert(", "section.none", "div.ad")).alias("body"))
+    return spread(_t(spark, d, "pages").select("page_id", "html")).select("page_id", dom.content_text(F.col("html"), ("p[onclick=alert(", "section.none", "div.ad")).alias("body"))
 
 
 @query("SELECT page_id, CAST(n * (n - 1) AS BIGINT) AS pairs FROM (SELECT page_id, len(regexp_extract_all(html, '<li>')) AS n FROM pages) WHERE n > 1")
@@ -360,7 +360,7 @@ def q_follow_links_n(spark, d):
 
 @query()
 def q_markdown(spark, d):
-    return _t(spark, d, "pages").select("page_id", dom.html_to_markdown(F.col("html")).alias("markdown"))
+    return spread(_t(spark, d, "pages").select("page_id", "html")).select("page_id", dom.html_to_markdown(F.col("html")).alias("markdown"))
 
 
 @query(r"""SELECT page_id, sha256(encode('WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'WARC-Date: 2024-01-01T00:00:00Z' || chr(13) || chr(10) || 'Content-Type: application/http; msgtype=response' || chr(13) || chr(10) || 'Content-Length: ' || (19 + octet_length(encode(html))) || chr(13) || chr(10) || chr(13) || chr(10) || 'HTTP/1.1 200 OK' || chr(13) || chr(10) || chr(13) || chr(10) || html)) AS digest FROM pages""")

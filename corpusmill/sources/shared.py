@@ -62,3 +62,15 @@ def without(df: DataFrame, names, *but: str) -> list[str]:
     """The columns of df, as Spark names them, that are not among names in any case, or are in but."""
     taken = {n.lower() for n in names} - {b.lower() for b in but}
     return [f"`{c.replace('`', '``')}`" for c in df.columns if c.lower() not in taken]
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores: a scan of fewer partitions than there are cores, as of one small file, is dealt out anew before Python works
+    on it. Larger inputs, and plans that shuffle anyway, stay as they are."""
+    if df.isStreaming:
+        return df
+    plan = df._jdf.queryExecution()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if plan.executedPlan().nodeName().startswith("AdaptiveSparkPlan") or plan.toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
