@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from corpusmill.llm.bpe import encoder, slices
-from corpusmill.llm.shared import need
+from corpusmill.llm.shared import need, written
 
 _SCHEMA = "doc_id long, part int, start_in_part long, n_tokens int, ids array<int>"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("start_in_part", pa.int64()), ("n_tokens", pa.int32()), ("ids", pa.list_(pa.int32()))])
@@ -57,6 +57,7 @@ def with_starts(rows: DataFrame, parts: DataFrame) -> DataFrame:
     sums = parts.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    sums = written(sums, "token-file-sums")  # of known size, so that rows are not shuffled while Spark finds it out
     return rows.join(sums, "part").withColumn("start", F.col("before") + F.col("start_in_part")).drop("before")
 
 

@@ -108,3 +108,39 @@ def test_long_texts_equal_the_library():
 def test_long_texts_through_the_operators(spark):
     path, _ = tokenizer()
     check_pieces(LONG, packing.pack(frame(spark, LONG), path, end_id=1).collect(), 1)
+
+
+def test_files_have_bloom_filters_and_their_stripes_are_skipped(spark):
+    path, _ = tokenizer()
+    out = new_path(spark, "test-ids")
+    rows = [(2 * i, f"text number {i} " * 40) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    tokenfiles.write_token_files(df, out, path, end_id=0, stripe_bytes=4096, row_group=1000)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    files = [s.getPath() for s in jvm.org.apache.hadoop.fs.Path(out).getFileSystem(conf).listStatus(jvm.org.apache.hadoop.fs.Path(out)) if s.getPath().getName().endswith(".orc")]
+    orc = jvm.org.apache.orc.OrcFile
+    rows_of = groups = blooms = 0
+    for f in files:
+        reader = orc.createReader(f, orc.readerOptions(conf))
+        rows_of += reader.getNumberOfRows()
+        for stripe in reader.getStripes():
+            footer = reader.rows().readStripeFooter(stripe)
+            kinds = [footer.getStreams(i).getKind().toString() for i in range(footer.getStreamsCount())]
+            blooms += any(k.startswith("BLOOM_FILTER") for k in kinds)
+            groups += "ROW_INDEX" in kinds
+    assert rows_of == 4000 and blooms == groups > 0
+    read = tokenfiles.read_token_files(spark, out)
+    assert read.filter("doc_id = 5").count() == 0 and read.filter("doc_id = 6").count() == 1
+    some = read.filter("doc_id >= 7000")
+    assert some.count() == 500
+
+
+def test_odd_rows_of_token_files(spark):
+    path, _ = tokenizer()
+    df = spark.createDataFrame([(1, None, "x"), (1, "", "x"), (1, "a b", "x"), (None, "c", "x"), (None, None, None)], "doc_id long, text string, Part string")
+    out = new_path(spark, "test-ids")
+    tokenfiles.write_token_files(df, out, path, end_id=0)
+    read = tokenfiles.read_token_files(spark, out)
+    got = tokenfiles.with_starts(tokenfiles.digests(read), read).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, None, 1, 1, 1] and sorted(r.n_tokens for r in got) == [1, 1, 1, 2, 3]
+    assert got[-1].start + got[-1].n_tokens == sum(r.n_tokens for r in got)
