@@ -350,6 +350,11 @@ def blocked_hosts(rows: DataFrame, url: Column, domains: list[str] | None = None
     return in_domains(rows, list(AD_DOMAINS) if domains is None else [d.lower() for d in domains], U.host(url), keep_blocked)
 
 
+def block_patterns_of(domain: Column) -> Column:
+    """The patterns of block_patterns() for a domain of each row, as an array."""
+    return F.array(F.concat(F.lit("*://*."), domain, F.lit("/*")), F.concat(F.lit("*://"), domain, F.lit("/*")))
+
+
 def block_patterns(domains: list[str]) -> list[str]:
     return [p for d in domains for p in (f"*://*.{d}/*", f"*://{d}/*")]
 

@@ -606,3 +606,53 @@ def q_seen_with_ttl(spark, d):
     e = _t(spark, d, "events").select("user_id", "event_id", F.col("event_id").alias("ts_ms"))
     first = written(seen.new_of(e.filter("event_id < 500"), 0, 500), "new")
     return first.union(written(seen.new_of(e.filter("event_id >= 500"), 1, 600), "new")).select("user_id", "event_id")
+
+
+# ---- functions that other queries hold against constants, over whole tables
+
+
+@query("SELECT url, 'page' AS callback, 0 AS depth, 0 AS priority FROM pages")
+def q_sitemap_of_pages(spark, d):
+    files = _t(spark, d, "pages").select(F.concat(F.lit("<urlset><url><loc>\n "), "url", F.lit("</loc></url><url><loc> </loc></url></urlset>")).alias("body"))
+    return rules.sitemap(files, "page")
+
+
+@query(r"SELECT page_id, regexp_replace(html, '[^\x{0}-\x{7F}\x{A0}-\x{FF}]', '', 'g') AS western, html AS as_meta FROM pages")
+def q_decode_pages(spark, d):
+    western = F.regexp_replace("html", r"[^\x00-\x7F\xA0-\xFF]", "")
+    by_type = T.decode(F.encode(western, "ISO-8859-1"), F.lit("text/html; charset=latin1"))
+    return _t(spark, d, "pages").select("page_id", by_type.alias("western"), T.decode(F.encode("html", "UTF-8"), F.lit("")).alias("as_meta"))
+
+
+@query(f"""SELECT page_id, {_ORIGIN} || '/' || list_reduce([url_encode(substr(href, 2)), '%2C', '%21', '%27', '%28', '%29', '%2A', '%3A', '%3B', '%40', '%26', '%24', '%25'], lambda a, c: replace(a, c, url_decode(c))) AS target
+FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)">', 1)) AS href FROM pages)""")
+def q_resolve_links(spark, d):
+    return frontier.links(_t(spark, d, "pages").select("page_id", "url", "html")).select("page_id", "target")
+
+
+@query("""SELECT page_id, page_id % 6 IN (1, 4) AS ok FROM pages""")
+def q_valid_urls_of_pages(spark, d):
+    n = F.col("page_id")
+    part = (n % 250).cast("string")
+    url = F.element_at(F.array(F.concat(F.lit("http://10.0.0."), part), F.col("url"), F.concat(F.lit("http://192.168."), part, F.lit(".1:80/x")), F.concat(F.lit("ftp://e.com/"), part), F.concat(F.lit("http://8.8."), part, F.lit(".8/")), F.concat(F.lit("http://172.16."), part, F.lit(".9/"))), (n % 6 + 1).cast("int"))
+    return _t(spark, d, "pages").select("page_id", U.valid_url(url).alias("ok"))
+
+
+@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'turnstile' WHEN 1 THEN 'managed' WHEN 2 THEN 'js_challenge' ELSE 'none' END AS kind FROM pages""")
+def q_challenges_of_pages(spark, d):
+    sign = F.element_at(F.array(F.lit('<div class="cf-turnstile">'), F.lit('<p id="challenge-stage">'), F.lit("<p id=challenge-running>"), F.lit("")), (F.col("page_id") % 4 + 1).cast("int"))
+    return _t(spark, d, "pages").select("page_id", web.challenge_type(F.concat("html", sign)).alias("kind"))
+
+
+@query("SELECT page_id, '/p' || page_id || ',/q' AS disallowed, (page_id % 5)::DOUBLE AS crawl_delay, 1.0::DOUBLE / (page_id % 7 + 1) AS request_rate FROM pages")
+def q_robots_of_pages(spark, d):
+    n = F.col("page_id").cast("string")
+    body = F.concat(F.lit("# x\nUser-agent: bot\nDisallow: /\nUser-agent: *\nDisallow: /p"), n, F.lit("\nDisallow: /q\nCrawl-delay: "), (F.col("page_id") % 5).cast("string"), F.lit("\nRequest-rate: 1/"), (F.col("page_id") % 7 + 1).cast("string"))
+    got = rules.robots_rules(_t(spark, d, "pages").select(n.alias("origin"), body.alias("body")))
+    return got.select(F.col("origin").cast("long").alias("page_id"), F.array_join("disallowed", ",").alias("disallowed"), "crawl_delay", "request_rate")
+
+
+@query(f"""SELECT page_id, '{{"theme":"x"}}' AS canonical, unnest(['*://*.' || {_HOST} || '/*', '*://' || {_HOST} || '/*']) AS pattern FROM pages""")
+def q_patterns_of_hosts(spark, d):
+    hosts = _t(spark, d, "pages").select("page_id", U.host(F.col("url")).alias("h"))
+    return hosts.select("page_id", I.canonical_json(F.lit('{ "theme" : "x" }')).alias("canonical"), F.explode(frontier.block_patterns_of(F.col("h"))).alias("pattern"))
