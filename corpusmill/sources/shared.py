@@ -64,13 +64,15 @@ def without(df: DataFrame, names, *but: str) -> list[str]:
     return [f"`{c.replace('`', '``')}`" for c in df.columns if c.lower() not in taken]
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, least: int = 256 << 10) -> DataFrame:
     """df over all cores: a scan of fewer partitions than there are cores, as of one small file, is dealt out anew before Python works
-    on it. Larger inputs, and plans that shuffle anyway, stay as they are."""
+    on it. Inputs below `least` bytes, larger inputs, and plans that shuffle anyway stay as they are."""
     if df.isStreaming:
         return df
     plan = df._jdf.queryExecution()
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if int(plan.optimizedPlan().stats().sizeInBytes()) < least:
+        return df
     if plan.executedPlan().nodeName().startswith("AdaptiveSparkPlan") or plan.toRdd().getNumPartitions() >= cores:
         return df
     return df.repartition(cores)

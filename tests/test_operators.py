@@ -234,7 +234,7 @@ def test_broken_import_of_a_subpackage_is_an_error(tmp_path):
     root = tmp_path / "copy"
     shutil.copytree(Q.__file__.rsplit("/corpusmill/", 1)[0], root, ignore=shutil.ignore_patterns(".git", "tests", "*.md", "*.json"))
     run = lambda: subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=root, env={"PATH": "/usr/bin:/bin"}, capture_output=True, text=True)
-    if (root / "corpusmill/llm").exists():
+    if (root / "corpusmill/llm/queries.py").exists():
         (root / "corpusmill/llm/packing.py").write_text("import nothing_of_this_name\n")
         assert "nothing_of_this_name" in run().stderr
         shutil.rmtree(root / "corpusmill/llm")
