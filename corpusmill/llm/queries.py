@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusmill.llm import embeddings, html_text, jaccard, packing, pieces, quality, secrets, tokenfiles, url_filter, warc
+from corpusmill.llm import align, embeddings, html_text, jaccard, packing, phrases, pieces, quality, secrets, tokenfiles, url_filter, warc, whiten
 from corpusmill.llm.oracle import ORACLE_SQL
 from corpusmill.llm.shared import new_path
 
@@ -69,5 +69,20 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", F.col("n_tokens").cast("long").alias("n_tokens"), "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_html_text, op4_secrets, op5_url_filter, op6_warc, op7_embeddings, op8_jaccard, op9_pieces, op10_token_files)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, fits = whiten.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), components=16)
+    found = whiten.by_component(rows, fits)
+    return found.select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.compare_with_edits(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = align.align(spark.read.parquet(f"{sf_dir}/documents.parquet"), _vocabulary(), _vocabulary("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_html_text, op4_secrets, op5_url_filter, op6_warc, op7_embeddings, op8_jaccard, op9_pieces, op10_token_files, op11_whitening, op12_fingerprints, op13_alignment)}
 __all__ = ["ORACLE_SQL", "QUERIES"]
