@@ -23,12 +23,8 @@ repeated AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM twice, range(5) r(j)
 plain AS (SELECT doc_id, host, list_transform(ls, lambda x: trim(regexp_replace(lower(x), '{_SPACE}', ' ', 'g'))) AS ps, list_transform(ls, lambda x: len({_words("x")})) AS ns FROM w),
 docs AS (SELECT doc_id, host, list_sort(list_distinct(ps)) AS doc FROM plain),
 lines AS (SELECT DISTINCT host, doc, unnest(doc) AS l FROM docs),
-often AS (SELECT host, l FROM lines GROUP BY host, l HAVING count(DISTINCT doc) > 10),
-hits AS (SELECT a.host, a.doc, list_sort(list(a.l)) AS hot FROM lines a JOIN often o ON a.l = o.l AND a.host IS NOT DISTINCT FROM o.host GROUP BY a.host, a.doc),
-sized AS (SELECT *, coalesce(list_sum(list_transform(doc, lambda x: length(x))), 0) AS chars, coalesce(list_sum(list_transform(hot, lambda x: length(x))), 0) AS hot_chars FROM hits),
-named AS (SELECT host, doc, hot, CASE WHEN len(doc) - len(hot) = 1 AND 6 * (chars - hot_chars) <= chars THEN hot ELSE doc END AS as_doc FROM sized),
-totals AS (SELECT l.host, count(DISTINCT coalesce(n.as_doc, l.doc)) AS host_docs FROM (SELECT DISTINCT host, doc FROM lines) l LEFT JOIN named n ON l.doc = n.doc AND l.host IS NOT DISTINCT FROM n.host GROUP BY l.host),
-counted AS (SELECT host, l, count(DISTINCT as_doc) AS docs FROM (SELECT host, as_doc, unnest(hot) AS l FROM named) GROUP BY host, l HAVING count(DISTINCT as_doc) > 10),
+totals AS (SELECT host, count(DISTINCT doc) AS host_docs FROM lines GROUP BY host),
+counted AS (SELECT host, l, count(DISTINCT doc) AS docs FROM lines GROUP BY host, l HAVING count(DISTINCT doc) > 10),
 frequent AS (SELECT c.host, c.l FROM counted c JOIN totals t ON c.host IS NOT DISTINCT FROM t.host WHERE c.docs > 0.001 * t.host_docs),
 removed AS (SELECT e.doc_id, sum(e.n) AS n FROM (SELECT doc_id, host, unnest(ps) AS l, unnest(ns) AS n FROM plain) e JOIN frequent f ON e.l = f.l AND e.host IS NOT DISTINCT FROM f.host GROUP BY e.doc_id),
 counts AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,

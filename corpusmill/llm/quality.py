@@ -50,28 +50,12 @@ def _line_hash(line: Column) -> Column:
     return F.xxhash64(_plain_line(line))
 
 
-def frequent_lines(lines: DataFrame, max_docs: int, max_share: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Two tables that the third is made of, and host, h of lines in more distinct documents of a host than both limits allow.
-
-    lines: a row per line of each document, with host, doc (hash of its whole set of lines), doc_lines and doc_chars (the
-    set's size and characters), h and n (the line's hash and characters). Documents with the same set of lines are one. So
-    are near copies: those that, but for one line of at most a sixth of the characters, consist of the same lines, each in
-    more than max_docs documents. No other documents are merged, whatever lines they share. A host's documents are counted likewise.
-    """
+def frequent_lines(lines: DataFrame, max_docs: int, max_share: float) -> DataFrame:
+    """host, h of lines in more distinct documents of a host than both limits allow. lines: a row per line of each document, with host, doc (a hash
+    of its whole set of lines) and h. Documents with the same set of lines are one; all others count each, however alike they are."""
+    total = lines.groupBy(F.col("host").alias("of_host")).agg(F.countDistinct("doc").alias("host_docs"))
     often = lines.groupBy("host", "h").agg(F.countDistinct("doc").alias("docs")).filter(F.col("docs") > max_docs)
-    often = written(often, "often")
-    named = often.select(F.col("host").alias("o_host"), F.col("h").alias("o_h"))
-    hits = lines.join(named, (F.col("h") == F.col("o_h")) & F.col("host").eqNullSafe(F.col("o_host")))
-    hits = hits.groupBy("host", "doc").agg(F.max("doc_lines").alias("doc_lines"), F.max("doc_chars").alias("doc_chars"), F.array_sort(F.collect_set(F.struct("h", "n"))).alias("hot"))
-    other = F.col("doc_chars") - F.aggregate("hot", F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    near = (F.col("doc_lines") - F.size("hot") == 1) & (6 * other <= F.col("doc_chars"))
-    hits = written(hits.select("host", "doc", "hot", F.when(near, F.xxhash64("hot")).alias("near")), "often-hits")
-    merged = hits.filter("near is not null").select(F.col("host").alias("m_host"), F.col("doc").alias("m_doc"), "near")
-    total = lines.select("host", "doc").distinct().join(merged, (F.col("doc") == F.col("m_doc")) & F.col("host").eqNullSafe(F.col("m_host")), "left")
-    total = total.groupBy(F.col("host").alias("of_host")).agg(F.countDistinct(F.coalesce("near", "doc")).alias("host_docs"))
-    counted = hits.select("host", F.coalesce("near", "doc").alias("doc"), F.explode("hot.h").alias("h"))
-    counted = counted.groupBy("host", "h").agg(F.countDistinct("doc").alias("docs")).filter(F.col("docs") > max_docs)
-    return often, hits, counted.join(total, F.col("host").eqNullSafe(F.col("of_host"))).filter(F.col("docs") > F.lit(max_share) * F.col("host_docs")).select("host", "h")
+    return often.join(total, F.col("host").eqNullSafe(F.col("of_host"))).filter(F.col("docs") > F.lit(max_share) * F.col("host_docs")).select("host", "h")
 
 
 def host_tables(frequent: DataFrame) -> DataFrame:
@@ -108,14 +92,10 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     p = free_prefix(docs)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
-    plain_lines = F.transform(_lines(text), _plain_line)
-    hashed = docs.select(F.col(host_col).alias("host"), F.array_sort(F.array_distinct(F.transform(plain_lines, lambda x: F.struct(F.xxhash64(x).alias("h"), F.length(x).alias("n"))))).alias("ls"))
-    chars = F.aggregate("ls", F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    each = hashed.select("host", F.xxhash64("ls").alias("doc"), F.size("ls").alias("doc_lines"), chars.alias("doc_chars"), F.explode("ls").alias("l"))
-    lines = written(each.select("host", "doc", "doc_lines", "doc_chars", "l.h", "l.n"), "lines")
-    often, hits, frequent = frequent_lines(lines, max_docs, max_share)
-    frequent = written(frequent, "frequent-lines")
-    discard(lines, often, hits)
+    hashed = docs.select(F.col(host_col).alias("host"), F.array_sort(F.array_distinct(F.transform(_lines(text), _line_hash))).alias("hs"))
+    lines = written(hashed.select("host", F.xxhash64("hs").alias("doc"), F.explode("hs").alias("h")), "lines")
+    frequent = written(frequent_lines(lines, max_docs, max_share), "frequent-lines")
+    discard(lines)
     hosts = written(host_tables(frequent), "frequent-by-host").select(F.col("host").alias(f"{p}host"), F.col("hot").alias(f"{p}hot"))
     if frequent.count() <= broadcast_lines:
         hosts = F.broadcast(hosts)
