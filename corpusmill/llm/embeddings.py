@@ -21,6 +21,13 @@ from corpusmill.llm.shared import discard, need, written
 _SLACK = 1e-9  # beyond rounding errors of sums in double precision
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows in double precision, each times the power of two that brings its largest component below one, so that no square overflows, and
+    none that counts vanishes. Cosines do not change by it."""
+    x = np.asarray(x, dtype=np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True, initial=0))[1])
+
+
 def principal_axes(vectors: DataFrame, parts: int = 16) -> dict[int, np.ndarray]:
     """Per number of dimensions an orthogonal matrix whose columns are the axes, of falling variance. vectors: v, array of
     numbers. Second moments are summed over all rows, in tasks first; the driver gets at most `parts` matrices
@@ -30,7 +37,7 @@ def principal_axes(vectors: DataFrame, parts: int = 16) -> dict[int, np.ndarray]
         sums: dict = {}
         for pdf in batches:
             for d, group in pdf.groupby(pdf["v"].map(len)):
-                x = np.stack(group["v"].to_numpy()).astype(np.float64)
+                x = scaled(np.stack(group["v"].to_numpy()))
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 sums[d] = sums.get(d, 0) + x.T @ x
         from pyspark import TaskContext
@@ -53,6 +60,7 @@ def principal_axes(vectors: DataFrame, parts: int = 16) -> dict[int, np.ndarray]
 
 def close_pairs(x: np.ndarray, y: np.ndarray, axes: np.ndarray, t: float, same: bool, step: int = 512):
     """Index pairs (i of x, j of y) with cosine >= t; if same, x is y and i < j. Yields arrays, some rows of x at a time."""
+    x, y = scaled(x), scaled(y)
     nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
     zx, zy = x / nx[:, None] @ axes, y / ny[:, None] @ axes
     d = x.shape[1]
@@ -94,7 +102,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     Rows link when their labels are equal and not null and their vectors, of one length, have a cosine of threshold
     at least. A vector that is null, empty or zero, or has a null or non-finite component, links with nothing, not even
-    an equal one. Repeated rows count as different vectors; component_id is the smallest id in the component,
+    an equal one. Repeated rows, and rows with one id and different vectors, count as different vectors; component_id is the smallest id in the component,
     kept is id = component_id. Ids are longs; rows with a null id have no links and null results besides. No rows,
     no result.
     """
@@ -103,7 +111,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists("v", lambda x: x != 0)
     rows = rows.withColumn("v", F.when(sound, F.col("v")))
-    reps = written(rows.filter("v is not null").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "vectors")
+    reps = written(rows.filter("v is not null").groupBy("label", "v").agg(F.min("vec_id").alias("least_id"), F.count(F.lit(1)).alias("copies")).withColumn("rep", F.monotonically_increasing_id()), "vectors")
     axes = principal_axes(reps)
     width = float(np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6)
 
@@ -111,7 +119,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     def cell(v: pd.Series) -> pd.DataFrame:
         out = np.zeros((len(v), 2), np.int64)
         for d, index in v.groupby(v.map(len)).groups.items():
-            x = np.stack(v.loc[index].to_numpy()).astype(np.float64)
+            x = scaled(np.stack(v.loc[index].to_numpy()))
             x /= np.linalg.norm(x, axis=1, keepdims=True)
             z = np.floor(x @ axes[d][:, :2] / width).astype(np.int64)
             out[v.index.get_indexer(index), : z.shape[1]] = z
@@ -156,9 +164,11 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     found = written(tiles.groupBy("label", "d", "c0", "c1", "from", "i", "j").applyInArrow(compare, "rep long, links long, a long, b long"), "vector-links")
     near = found.filter("rep is not null").groupBy("rep").agg(F.sum("links").alias("links"))
     comps = components(found.filter("a is not null").select("a", "b"))
-    known = reps.join(near, "rep", "left").join(comps, F.col("rep") == F.col("node"), "left")
-    known = written(known.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "vector-classes")
-    discard(found, placed, sizes, met)
+    least = reps.select("rep", "least_id").join(comps, F.col("rep") == F.col("node")).groupBy("component").agg(F.min("least_id").alias("component_id"))
+    found_in = written(comps.join(least, "component").select("node", "component_id"), "vector-components")
+    known = reps.join(near, "rep", "left").join(found_in, F.col("rep") == F.col("node"), "left")
+    known = written(known.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "least_id").alias("component_id")), "vector-classes")
+    discard(found, placed, sizes, met, reps, found_in)
     known = known.withColumnsRenamed({"label": "k_label", "v": "k_v"})
     out = rows.join(known, (F.col("label") == F.col("k_label")) & (F.col("v") == F.col("k_v")), "left")
     return out.select(F.col("vec_id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col(id_col) == F.col("component_id"))

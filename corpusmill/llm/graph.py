@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from corpusmill.llm.shared import written
+from corpusmill.llm.shared import discard, written
 
 
 def _stars(edges: DataFrame) -> bool:
@@ -22,12 +22,13 @@ def components(edges: DataFrame) -> DataFrame:
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "cc")
     while not _stars(now):
         both = now.union(now.select("b", "a"))
-        least = written(both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.first("a")).alias("m")), "cc-min")
-        large = both.join(least, F.col("a") == F.col("u")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+        of_all = written(both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.first("a")).alias("m")), "cc-min")
+        large = both.join(of_all, F.col("a") == F.col("u")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         large = written(large.distinct(), "cc-large")
         least = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         small = large.join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
-        now = written(small.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), "cc")
+        before, now = now, written(small.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), "cc")
+        discard(before, of_all, large)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
 
 

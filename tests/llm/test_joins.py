@@ -136,3 +136,11 @@ def test_pieces(spark):
         assert np.frombuffer(r.ids, np.uint32).tolist() == sp.encode(rows[r.doc_id] or "")
         assert r.decoded == (rows[r.doc_id] or "")
     assert pieces.encode(df.limit(0), path).count() == 0
+
+
+def test_vectors_of_any_size_and_repeated_ids(spark):
+    rows = [(1, 0, [1e200, 2e200]), (2, 0, [2e200, 4e200]), (3, 0, [1e-200, 2e-200]), (4, 0, [5e-324, 0.0]), (9, 0, [3.0, 0.0]), (10, 0, [1e-300, -1e300])]
+    rows += [(5, 1, [1.0, 0.0]), (5, 1, [0.0, 1.0]), (7, 1, [2.0, 0.01]), (8, 1, [0.01, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embeddings.near_duplicates(df).collect())
+    assert got == [(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 1, 4), (5, 1, 5), (5, 1, 5), (7, 1, 5), (8, 1, 5), (9, 1, 4), (10, 0, 10)]
