@@ -23,7 +23,8 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("start_in_par
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", stripe_bytes: int = 64 << 20, row_group: int = 10_000, false_positives: float = 0.01) -> None:
     """Encode every text, append end_id, and write files in ascending order of id_col.
 
-    A null text is written as end_id alone. Rows with a null id come first; rows of one id are ordered by text.
+    A null text is written as end_id alone. Rows with a null id come first; rows of one id are ordered by a hash of their text, and by the text, and may
+    fill several files.
     Without rows, files without rows are written. Only the two named columns are read.
     """
     need(docs, id_col, text_col)
@@ -39,7 +40,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(n, part, np.int32)), pa.array(starts), pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.view(np.int32)))], schema=_ARROW)
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = source.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(encode, _SCHEMA)
+    rows = source.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text").mapInArrow(encode, _SCHEMA)
     options = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": false_positives, "orc.create.index": "true", "orc.row.index.stride": row_group, "orc.stripe.size": stripe_bytes}
     rows.write.options(**options).orc(path)
 

@@ -144,3 +144,17 @@ def test_odd_rows_of_token_files(spark):
     got = tokenfiles.with_starts(tokenfiles.digests(read), read).orderBy("start").collect()
     assert [r.doc_id for r in got] == [None, None, 1, 1, 1] and sorted(r.n_tokens for r in got) == [1, 1, 1, 2, 3]
     assert got[-1].start + got[-1].n_tokens == sum(r.n_tokens for r in got)
+
+
+def test_rows_of_one_id_spread_over_files(spark):
+    docs = spark.range(4000).select(F.when(F.col("id") % 2 == 0, 7).cast("long").alias("doc_id"), F.concat(F.lit("text number "), "id").alias("text"))
+    path = new_path(spark, "token-files-test")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which would put so few rows together
+    tokenfiles.write_token_files(docs, path, tokenizer()[0], end_id=0)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    rows = tokenfiles.read_token_files(spark, path)
+    sizes = [r["count"] for r in rows.groupBy("part").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 2000
+    starts = tokenfiles.with_starts(tokenfiles.digests(rows), rows).orderBy("start").collect()
+    assert [r.doc_id for r in starts] == [None] * 2000 + [7] * 2000
+    assert all(b.start == a.start + a.n_tokens for a, b in zip(starts, starts[1:], strict=False))
