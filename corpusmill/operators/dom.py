@@ -7,342 +7,17 @@ operations; css() and select_all() evaluate selectors in the parsing stage itsel
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable
-from functools import lru_cache
-from html import escape, unescape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusmill.functions import text as T
+from corpusmill.operators.html_tree import ENDS_P, Node, parse, parse_fragment
+from corpusmill.operators.selectors import Matcher, matches, select
 from corpusmill.sources.shared import spread, written
 
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HEAD = frozenset("title meta link base style script noscript template".split())
-# Which open elements a start tag closes, and where the search for them ends.
-CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "optgroup": ("option", "optgroup"), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("td", "th", "tr", "tbody", "thead", "tfoot"), "thead": ("td", "th", "tr", "tbody", "thead"), "tfoot": ("td", "th", "tr", "tbody", "thead")}
-SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "option": ("select", "datalist"), "optgroup": ("select",)}
-ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-TABLE = frozenset("td th tr thead tbody tfoot caption colgroup col".split())
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S)
-_ATTR = re.compile(r"""([^\s=/"'>]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?""")
-
-
-class Node:
-    __slots__ = ("attrs", "children", "id", "index", "parent", "tag")
-
-    def __init__(self, tag: str, attrs: dict, parent: Node | None):
-        self.tag, self.attrs, self.parent, self.children, self.id, self.index = tag, attrs, parent, [], -1, 0
-
-    def elements(self) -> list[Node]:
-        return [c for c in self.children if isinstance(c, Node)]
-
-    def walk(self):
-        """Descendants in document order."""
-        todo = self.elements()[::-1]
-        while todo:
-            n = todo.pop()
-            yield n
-            todo += n.elements()[::-1]
-
-    def text(self) -> str:
-        out, todo = [], [self]
-        while todo:
-            n = todo.pop()
-            if isinstance(n, str):
-                out.append(n)
-            else:
-                todo += n.children[::-1]
-        return "".join(out)
-
-    def inner_html(self) -> str:
-        out: list[str] = []
-        todo: list = [(c, self) for c in self.children[::-1]]
-        while todo:
-            c, owner = todo.pop()
-            if owner is None:
-                out.append(c)  # an end tag
-            elif isinstance(c, str):
-                raw = owner.tag in RAW and owner.tag not in ("title", "textarea")
-                out.append(c if raw else escape(c, quote=False).replace("\xa0", "&nbsp;"))
-            else:
-                out.append(c.start_tag())
-                if c.tag not in VOID:
-                    todo.append((f"</{c.tag}>", None))
-                    todo += [(x, c) for x in c.children[::-1]]
-        return "".join(out)
-
-    def start_tag(self) -> str:
-        return f"<{self.tag}" + "".join(f' {k}="{v.replace("&", "&amp;").replace(chr(34), "&quot;")}"' for k, v in self.attrs.items()) + ">"
-
-    def outer_html(self) -> str:
-        return self.start_tag() + ("" if self.tag in VOID else f"{self.inner_html()}</{self.tag}>")
-
-    def ancestors(self):
-        n = self.parent
-        while n is not None:
-            yield n
-            n = n.parent
-
-
-def _attrs(text: str) -> dict:
-    out: dict = {}
-    for name, a, b, c in _ATTR.findall(text):
-        out.setdefault(name.lower(), unescape(a or b or c))
-    return out
-
-
-def parse(html: str, fragment: bool = False) -> Node:
-    """The html element of a page, with head and body, or a div around a fragment.
-
-    Left-open p, li, dt, dd, option and table parts end where their siblings begin; void elements have no content;
-    raw text ends at its end tag; input that breaks off is closed."""
-    root = Node("div" if fragment else "html", {}, None)
-    head = body = root
-    if not fragment:
-        head, body = Node("head", {}, root), Node("body", {}, root)
-        root.children += [head, body]
-    in_head, stack, at = not fragment, [], 0
-    top = lambda: stack[-1] if stack else (head if in_head else body)
-
-    def put(text: str) -> None:
-        nonlocal in_head
-        if text:
-            if in_head and not stack and not text.isspace():
-                in_head = False
-            if in_head and not stack:
-                return
-            t = top()
-            if t.children and isinstance(t.children[-1], str):
-                t.children[-1] += text
-            else:
-                t.children.append(text)
-
-    def close(tags, scope=()) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k].tag in scope:
-                return
-            if stack[k].tag in tags:
-                del stack[k:]
-                if not stack or stack[-1].tag not in tags:
-                    return
-
-    while at < len(html):
-        m = _TAG.search(html, at)
-        if not m:
-            put(unescape(html[at:]))
-            break
-        put(unescape(html[at : m.start()]))
-        at = m.end()
-        end, tag, rest = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not tag:
-            continue
-        tag = tag.lower()
-        if end:
-            if tag == "head":
-                in_head = False
-                stack.clear()
-            elif tag == "p" and not any(n.tag == "p" for n in stack):
-                top().children.append(Node("p", {}, top()))
-            else:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k].tag == tag:
-                        del stack[k:]
-                        break
-            continue
-        attrs = _attrs(rest) if rest else {}
-        if tag in ("html", "head", "body") and not fragment:
-            target = {"html": root, "head": head, "body": body}[tag]
-            for k, v in attrs.items():
-                target.attrs.setdefault(k, v)
-            if tag == "body":
-                in_head = False
-                stack.clear()
-            continue
-        if in_head and not stack and tag not in HEAD:
-            in_head = False
-        if tag in ENDS_P:
-            close(("p",), ("button", "td", "th", "table"))
-        if tag in CLOSES:
-            close(CLOSES[tag], SCOPE.get(tag, ("table",)))
-        if tag in ("td", "th") and stack and stack[-1].tag in ("tbody", "thead", "tfoot", "table"):
-            for made in (("tbody", "tr") if stack[-1].tag == "table" else ("tr",)):
-                stack.append(Node(made, {}, top()))
-                stack[-2].children.append(stack[-1])
-        elif tag == "tr" and stack and stack[-1].tag == "table":
-            stack.append(Node("tbody", {}, top()))
-            stack[-2].children.append(stack[-1])
-        node = Node(tag, attrs, top())
-        top().children.append(node)
-        if tag in VOID or rest.rstrip().endswith("/") and tag in ("path", "svg", "use"):
-            continue
-        if tag in RAW:
-            over = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*+(?:>|\Z)", re.I).search(html, at)
-            inner, at = (html[at : over.start()], over.end()) if over else (html[at:], len(html))
-            if inner:
-                node.children.append(unescape(inner) if tag in ("title", "textarea") else inner)
-            continue
-        stack.append(node)
-    return _numbered(root)
-
-
-def parse_fragment(html: str) -> Node:
-    """The first element of a fragment; table parts keep their tag; without an element, the div that holds the text."""
-    first = re.search(r"<([a-zA-Z][^\s/>]*)", html)
-    root = parse(f"<table>{html}</table>" if first and first[1].lower() in TABLE else html, fragment=True)
-    if first and first[1].lower() in TABLE:
-        return next((n for n in root.walk() if n.tag == first[1].lower()), root)
-    return next(root.walk(), root)
-
-
-def _numbered(root: Node) -> Node:
-    todo, i = [root], 0
-    while todo:
-        n = todo.pop()
-        n.id, i = i, i + 1
-        kids = n.elements()
-        for k, c in enumerate(kids):
-            c.index = k
-        todo += kids[::-1]
-    return root
-
-
-# ---- selectors
-
-_SIMPLE = re.compile(r"""\s*(?:(?P<tag>\*|[a-zA-Z][\w-]*)|\#(?P<id>[\w-]+)|\.(?P<cls>[\w-]+)|\[\s*(?P<attr>[\w:-]+)\s*(?:(?P<op>[~|^$*]?=)\s*(?:"(?P<v1>[^"]*)"|'(?P<v2>[^']*)'|(?P<v3>[\w-]+))\s*)?\]|:(?P<pseudo>first-child|last-child|only-child|empty|root|nth-child\(\s*(?P<nth>[^)]*)\)|not\((?P<neg>[^()]*)\)))""")
-_NTH = re.compile(r"(?:([+-]?\d*)n\s*(?:([+-])\s*(\d+))?|([+-]?\d+))$")
-
-
-class SelectorError(ValueError):
-    pass
-
-
-def _nth(text: str) -> tuple[int, int]:
-    text = {"odd": "2n+1", "even": "2n"}.get(text.strip().lower(), text.strip().lower())
-    m = _NTH.match(text)
-    if not m:
-        raise SelectorError(text)
-    if m[4]:
-        return 0, int(m[4])
-    a = int(m[1] + "1") if m[1] in ("", "+", "-") else int(m[1])
-    return a, int((m[2] or "+") + (m[3] or "0"))
-
-
-def _compound(text: str, at: int):
-    tests = []
-    while at < len(text):
-        if text[at].isspace() or text[at] in ">+~,":
-            break
-        m = _SIMPLE.match(text, at)
-        if not m or (m["tag"] and tests):
-            raise SelectorError(text)
-        at = m.end()
-        if m["tag"]:
-            tests.append(("tag", m["tag"].lower()))
-        elif m["id"]:
-            tests.append(("attr", ("id", "=", m["id"])))
-        elif m["cls"]:
-            tests.append(("attr", ("class", "~=", m["cls"])))
-        elif m["attr"]:
-            tests.append(("attr", (m["attr"].lower(), m["op"], next((v for v in (m["v1"], m["v2"], m["v3"]) if v is not None), None))))
-        elif m["nth"] is not None:
-            tests.append(("nth", _nth(m["nth"])))
-        elif m["neg"] is not None:
-            inner, end = _compound(m["neg"].strip(), 0)
-            if end != len(m["neg"].strip()) or not inner:
-                raise SelectorError(text)
-            tests.append(("not", inner))
-        else:
-            tests.append((m["pseudo"], None))
-    return tests, at
-
-
-@lru_cache(maxsize=512)
-def compile_selector(css: str):
-    """Alternatives of (combinator, tests), the last compound first; SelectorError if css is invalid."""
-    out, at, chain, comb = [], 0, [], " "
-    css = css.strip()
-    while True:
-        while at < len(css) and css[at].isspace():
-            at += 1
-        tests, at = _compound(css, at)
-        if not tests:
-            raise SelectorError(css)
-        chain.append((comb, tests))
-        gap = re.match(r"\s*([>+~,]?)\s*", css[at:])
-        at, sign = at + gap.end(), gap[1]
-        if at >= len(css) and not sign or sign == ",":
-            out.append(chain[::-1])
-            chain = []
-            if sign != ",":
-                return out
-        comb = sign if sign in (">", "+", "~") else " "
-
-
-def _holds(n: Node, tests) -> bool:
-    for kind, x in tests:
-        if kind == "tag":
-            ok = x == "*" or n.tag == x
-        elif kind == "attr":
-            name, op, v = x
-            own = n.attrs.get(name)
-            ok = own is not None and (op is None or (op == "=" and own == v) or (op == "~=" and v in own.split()) or (op == "^=" and bool(v) and own.startswith(v)) or (op == "$=" and bool(v) and own.endswith(v)) or (op == "*=" and bool(v) and v in own) or (op == "|=" and (own == v or own.startswith(v + "-"))))
-        elif kind == "nth":
-            a, b = x
-            k = n.index + 1 - b
-            ok = n.parent is not None and (k == 0 if a == 0 else k % a == 0 and k // a >= 0)
-        elif kind == "not":
-            ok = not _holds(n, x)
-        elif kind == "first-child":
-            ok = n.parent is not None and n.index == 0
-        elif kind == "last-child":
-            ok = n.parent is not None and n.parent.elements()[-1] is n
-        elif kind == "only-child":
-            ok = n.parent is not None and len(n.parent.elements()) == 1
-        elif kind == "empty":
-            ok = not n.children
-        else:
-            ok = n.parent is None
-        if not ok:
-            return False
-    return True
-
-
-def _chain(n: Node, chain, i: int = 0) -> bool:
-    comb, tests = chain[i]
-    if not _holds(n, tests):
-        return False
-    if i + 1 == len(chain):
-        return True
-    if comb == " ":
-        return any(_chain(a, chain, i + 1) for a in n.ancestors())
-    if n.parent is None:
-        return False
-    if comb == ">":
-        return _chain(n.parent, chain, i + 1)
-    before = n.parent.elements()[: n.index]
-    return any(_chain(b, chain, i + 1) for b in (before[-1:] if comb == "+" else before))
-
-
-def matches(n: Node, css: str) -> bool:
-    try:
-        return any(_chain(n, c) for c in compile_selector(css))
-    except SelectorError:
-        return False
-
-
-def select(n: Node, css: str) -> list[Node]:
-    """Descendants that match, in document order; none for an invalid selector."""
-    try:
-        chains = compile_selector(css)
-    except SelectorError:
-        return []
-    tags = [next((x for kind, x in c[0][1] if kind == "tag"), "*") for c in chains]
-    if "*" in tags:
-        return [d for d in n.walk() if any(_chain(d, c) for c in chains)]
-    return [d for d in n.walk() if d.tag in tags and any(_chain(d, c) for c in chains)]  # most elements go by their tag
-
 
 def generate_selector(attrs: Column) -> Column:
     """#id, else tag.firstclass, else tag[k="v"] of the first other attribute by name; the tag is the attribute of that name, or div."""
@@ -430,9 +105,8 @@ def css(pages: DataFrame, html_col: str, fields: dict[str, tuple[str, str | None
     def extracted(pages: pd.Series) -> pd.DataFrame:
         out = {k: [] for k in fields}
         for h in pages:
-            root = None if h is None else parse(h)
-            for k, (selector, attr) in fields.items():
-                nodes = [] if root is None else select(root, selector)
+            found = [[] for _ in fields] if h is None else Matcher(parse(h)).select(selector for selector, _ in fields.values())
+            for (k, (_, attr)), nodes in zip(fields.items(), found, strict=True):
                 out[k].append([n.text() if attr is None else n.attrs.get(attr, "") for n in nodes])
         return pd.DataFrame(out)
 
@@ -446,8 +120,7 @@ def content_text(html: Column, selectors: tuple[str, ...]) -> Column:
     def raw(pages: pd.Series) -> pd.Series:
         out = []
         for h in pages:
-            root = parse(h or "")
-            out.append(next((found[0].text() for s in selectors if (found := select(root, s))), ""))
+            out.append(next((found[0].text() for found in Matcher(parse(h or "")).select(selectors) if found), ""))
         return pd.Series(out, dtype=object)
 
     return T.clean_lines(raw(html))
@@ -456,9 +129,14 @@ def content_text(html: Column, selectors: tuple[str, ...]) -> Column:
 def nested_select(html: Column, outer: str, inner: str) -> Column:
     """Texts of inner matches under each outer match in turn; nested outer matches give theirs twice."""
 
+    def within(html: str) -> list[str]:
+        outside, inside = Matcher(parse(html)).select([outer, inner])
+        ids = [n.id for n in inside]
+        return [n.text() for o in outside for n in inside[bisect_right(ids, o.id) : bisect_right(ids, o.last)]]
+
     @F.pandas_udf("array<string>")
     def found(pages: pd.Series) -> pd.Series:
-        return pd.Series([[] if h is None else [n.text() for o in select(parse(h), outer) for n in select(o, inner)] for h in pages], dtype=object)
+        return pd.Series([[] if h is None else within(h) for h in pages], dtype=object)
 
     return found(html)
 

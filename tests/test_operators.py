@@ -19,7 +19,7 @@ def test_select():
 
 
 def test_tree():
-    t = dom.parse("<title>a &amp; b</title><p>x<p>y<br>z<table><tr><td>1<td>2</table><script>if (a<b) {}</script><div>cut <b>off")
+    t = dom.parse("<!doctype html><title>a &amp; b</title><p>x<p>y<br>z<table><tr><td>1<td>2</table><script>if (a<b) {}</script><div>cut <b>off")
     assert t.outer_html() == "<html><head><title>a &amp; b</title></head><body><p>x</p><p>y<br>z</p><table><tbody><tr><td>1</td><td>2</td></tr></tbody></table><script>if (a<b) {}</script><div>cut <b>off</b></div></body></html>"
     assert dom.parse_fragment("<td>cell</td>").tag == "td"
     assert dom.parse_fragment('<a href="/x" class="link">t</a>').attrs == {"href": "/x", "class": "link"}
