@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from corpusmill.functions import text as T
 from corpusmill.operators.html_tree import ENDS_P, Node, parse, parse_fragment
 from corpusmill.operators.selectors import Matcher, matches, select
-from corpusmill.sources.shared import spread, written
+from corpusmill.operators.structure import ancestors
+from corpusmill.sources.shared import spread
 
 
 def generate_selector(attrs: Column) -> Column:
@@ -37,17 +38,23 @@ def _row(n: Node) -> dict:
     return {"node_id": n.id, "tag": n.tag, "attrs": dict(n.attrs), "text": n.text(), "html": n.inner_html(), "outer_html": n.outer_html()}
 
 
+__all__ = ["Matcher", "ancestors", "matches", "parse", "parse_fragment", "select"]
 NAVIGATION = ("parent_tag", "next_sibling", "prev_sibling", "first_child", "last_child", "children")
 
 
-def elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", with_html: bool = False, with_text: bool = True, with_navigation: bool = False) -> DataFrame:
-    """A row per element: id_col, node_id (document order), parent_id, depth, sibling_idx, tag, attrs; text, that of everything
-    below it, unless with_text is off (on deep trees it is many times the page); html and outer_html with with_html; and with with_navigation the parent's tag,
-    the ids of the next and previous sibling and of the first and last child, and the number of children. Null html has no elements."""
+POSITIONS = ("siblings", "type_idx", "type_count")
+
+
+def elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", with_html: bool = False, with_text: bool = True, with_navigation: bool = False, with_positions: bool = False) -> DataFrame:
+    """A row per element: id_col, node_id (document order), last_id (of the last element below it, else its own), parent_id, depth, sibling_idx, tag, attrs; text, that of everything
+    below it, unless with_text is off (on deep trees it is many times the page); html and outer_html with with_html; with with_navigation the parent's tag,
+    the ids of the next and previous sibling and of the first and last child, and the number of children; and with with_positions the number of siblings with itself, the place among
+    those of its tag and their number, and whether it is empty. Null html has no elements."""
     kind = dict(pages.dtypes)[id_col]
-    schema = f"`{id_col}` {kind}, node_id int, parent_id int, depth int, sibling_idx int, tag string, attrs map<string,string>"
+    schema = f"`{id_col}` {kind}, node_id int, last_id int, parent_id int, depth int, sibling_idx int, tag string, attrs map<string,string>"
     schema += ", text string" * with_text + ", html string, outer_html string" * with_html
     schema += ", parent_tag string, next_sibling int, prev_sibling int, first_child int, last_child int, children int" * with_navigation
+    schema += ", siblings int, type_idx int, type_count int, is_empty boolean" * with_positions
 
     def near(n: Node, brothers: list, kids: list) -> tuple:
         after = brothers[n.index + 1].id if n.index + 1 < len(brothers) else None
@@ -60,16 +67,20 @@ def elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
             for key, html in zip(pdf[id_col], pdf[html_col], strict=True):
                 if html is None:
                     continue
-                todo: list[tuple[Node, int, list]] = [(parse(html), 0, [])]
+                root = parse(html)
+                places = Matcher(root) if with_positions else None
+                todo: list[tuple[Node, int, list]] = [(root, 0, [])]
                 while todo:
                     n, depth, brothers = todo.pop()
                     kids = n.elements()
                     todo += [(c, depth + 1, kids) for c in kids[::-1]]
-                    row = (key, n.id, None if n.parent is None else n.parent.id, depth, n.index, n.tag, dict(n.attrs))
+                    row = (key, n.id, n.last, None if n.parent is None else n.parent.id, depth, n.index, n.tag, dict(n.attrs))
                     row += (n.text(),) * with_text
                     if with_html:
                         row += (n.inner_html(), n.outer_html())
-                    rows.append(row + near(n, brothers, kids) if with_navigation else row)
+                    if with_navigation:
+                        row += near(n, brothers, kids)
+                    rows.append((*row, len(brothers) or 1, *places.of_type(n), not n.children) if places else row)
                     if len(rows) > 20_000:
                         yield _frame(rows, schema)
                         rows = []
@@ -155,31 +166,46 @@ def siblings(e: DataFrame, id_col: str = "page_id") -> DataFrame:
     return with_siblings.join(kids, (F.col(id_col) == F.col("k_page")) & (F.col("node_id") == F.col("k_parent")), "left").drop("k_page", "k_parent")
 
 
-def ancestors(e: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """(id_col, node_id, ancestor, distance), up to the root of the deepest element; each step doubles the distance."""
-    out = e.filter("parent_id is not null").select(id_col, "node_id", F.col("parent_id").alias("ancestor"), F.lit(1).alias("distance"))
-    deepest, far = e.agg(F.max("depth")).first()[0] or 0, 1
-    while far < deepest:
-        out = written(out, "ancestors")
-        up = out.select(F.col(id_col).alias("u_page"), F.col("node_id").alias("u_node"), F.col("ancestor").alias("u_ancestor"), F.col("distance").alias("u_distance"))
-        above = out.filter(F.col("distance") == far).join(up, (F.col(id_col) == F.col("u_page")) & (F.col("ancestor") == F.col("u_node")))
-        out = out.union(above.select(id_col, "node_id", F.col("u_ancestor").alias("ancestor"), (F.col("distance") + F.col("u_distance")).alias("distance")))
-        far *= 2
-    return out
-
-
 def find_by_text(e: DataFrame, text: str, tag: str | None = None, exact: bool = False) -> DataFrame:
     own = T.trim(F.col("text")) == text.strip() if exact else F.contains("text", F.lit(text))
     return e.filter(own & ((F.col("tag") == tag) if tag else F.lit(True)))
 
 
-def find_similar(e: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """(id_col, node_id, similar): siblings of the same tag whose classes differ by one at most in number, attributes by two."""
+def _kinds(e: DataFrame, id_col: str) -> DataFrame:
+    """Elements with a parent, and what makes them similar to siblings: tag, number of classes, number of attributes."""
     words = F.size(F.filter(F.split(F.coalesce(F.try_element_at("attrs", F.lit("class")), F.lit("")), r"\s+"), lambda x: x != ""))
-    a = e.filter("parent_id is not null").select(id_col, "parent_id", "tag", "node_id", words.alias("cls"), F.size("attrs").alias("n_attrs"))
-    b = a.select(F.col(id_col).alias("b_page"), F.col("parent_id").alias("b_parent"), F.col("tag").alias("b_tag"), F.col("node_id").alias("similar"), F.col("cls").alias("b_cls"), F.col("n_attrs").alias("b_n"))
-    near = (F.abs(F.col("cls") - F.col("b_cls")) <= 1) & (F.abs(F.col("n_attrs") - F.col("b_n")) <= 2) & (F.col("node_id") != F.col("similar"))
-    return a.join(b, (F.col(id_col) == F.col("b_page")) & (F.col("parent_id") == F.col("b_parent")) & (F.col("tag") == F.col("b_tag")) & near).select(id_col, "node_id", "similar")
+    return e.filter("parent_id is not null").select(id_col, "parent_id", "tag", words.alias("cls"), F.size("attrs").alias("n_attrs"), "node_id")
+
+
+def similar_kinds(e: DataFrame, id_col: str = "page_id") -> DataFrame:
+    """id_col, parent_id, tag, cls, n_attrs, like_cls, like_attrs, n, n_like: of the children of each parent the kinds that are there, in pairs that are similar, with the
+    number of elements of either kind; a kind is also similar to itself. As many rows as kinds, not as elements: each kind is looked up under
+    the 15 kinds around it."""
+    key = [id_col, "parent_id", "tag"]
+    kinds = _kinds(e, id_col).groupBy(*key, "cls", "n_attrs").agg(F.count(F.lit(1)).alias("n"))
+    around = F.array(*[F.struct(F.lit(a).alias("c"), F.lit(b).alias("a")) for a in (-1, 0, 1) for b in (-2, -1, 0, 1, 2)])
+    near = kinds.select("*", F.explode(around).alias("m")).withColumns({"like_cls": F.col("cls") + F.col("m.c"), "like_attrs": F.col("n_attrs") + F.col("m.a")}).drop("m")
+    other = kinds.select(*key, F.col("cls").alias("like_cls"), F.col("n_attrs").alias("like_attrs"), F.col("n").alias("n_like"))
+    return near.join(other, [*key, "like_cls", "like_attrs"]).select(*key, "cls", "n_attrs", "like_cls", "like_attrs", "n", "n_like")
+
+
+def count_similar(e: DataFrame, id_col: str = "page_id") -> DataFrame:
+    """id_col, node_id, similar: how many siblings of each element with a parent are similar to it (see find_similar), without making the pairs."""
+    key = [id_col, "parent_id", "tag", "cls", "n_attrs"]
+    counts = similar_kinds(e, id_col).groupBy(*key).agg((F.sum("n_like") - 1).alias("similar"))
+    return _kinds(e, id_col).join(counts, key).select(id_col, "node_id", "similar")
+
+
+def find_similar(e: DataFrame, id_col: str = "page_id", of: DataFrame | None = None) -> DataFrame:
+    """(id_col, node_id, similar): siblings of the same tag whose classes differ by one at most in number, attributes by two. of: the elements (id_col, node_id)
+    for which they are wanted; without it all pairs come out, whose number grows with the square of that of siblings."""
+    key = [id_col, "parent_id", "tag"]
+    a = _kinds(e, id_col)
+    wanted = a if of is None else a.join(of.select(id_col, "node_id").distinct(), [id_col, "node_id"], "left_semi").select(a.columns)
+    likes = similar_kinds(e, id_col).select(*key, "cls", "n_attrs", "like_cls", "like_attrs")
+    b = a.select(*key, F.col("cls").alias("like_cls"), F.col("n_attrs").alias("like_attrs"), F.col("node_id").alias("similar"))
+    pairs = wanted.join(likes, [*key, "cls", "n_attrs"]).join(b, [*key, "like_cls", "like_attrs"])
+    return pairs.filter("node_id <> similar").select(id_col, "node_id", "similar")
 
 
 # ---- parts of responses, fragments and lists of nodes

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 from itertools import count
 
 import pandas as pd
@@ -11,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusmill.functions import urls as U
 from corpusmill.operators import dom
-from corpusmill.sources.shared import spread, written
+from corpusmill.sources.shared import new_path, spread, written
 
 
 def follow(base: Column, href: Column, depth: Column, callback: Column | None = None, meta: Column | None = None, priority: Column | None = None) -> Column:
@@ -359,26 +358,110 @@ def block_patterns(domains: list[str]) -> list[str]:
     return [p for d in domains for p in (f"*://*.{d}/*", f"*://{d}/*")]
 
 
-def crawl(pages: DataFrame, start: DataFrame, extract: Callable[[DataFrame], DataFrame], rounds: int | None = None, most: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Multi-hop expansion over stored pages, breadth first: (visited, frontier left).
+# ---- crawls: a search over a table of links
 
-    start: url, callback, meta, depth. extract(page rows with callback, meta, depth) gives rows of the same columns to
-    follow. Each round joins the frontier with the pages; visited urls never come again. Each round is a written table, and
-    sixteen of them become one, so that long chains keep small plans. It ends when the frontier is empty, after the round
-    in which `most` pages are reached, or after `rounds` if given."""
-    columns = ["url", "callback", "meta", "depth"]
-    frontier = start.select(*columns).dropDuplicates(["url"])
-    rounds_: list[tuple[int, DataFrame]] = []  # rounds that a table holds, table
-    found = 0
+
+class LinkTable:
+    """Links in the shared folder, in directories by a hash of their source, so that a round of a crawl reads those of its frontier's sources only.
+
+    links: source, place (of the link among the source's), url, and, where they matter, callback and meta of the request, and only_for (the callback
+    of the source for which the link is followed; null: any). stored: url of all pages that there are."""
+
+    FORM = "source string, place long, url string, callback string, meta string, only_for string"
+
+    def __init__(self, links: DataFrame, stored: DataFrame, buckets: int = 32):
+        self.spark, self.buckets = links.sparkSession, buckets
+        root = new_path(self.spark, "links")
+        self.links_path, self.stored_path = f"{root}/links", f"{root}/stored"
+        for name in ("callback", "meta", "only_for"):
+            if name not in links.columns:
+                links = links.withColumn(name, F.lit(None).cast("string"))
+        rows = links.select("source", F.col("place").cast("long").alias("place"), "url", "callback", "meta", "only_for", self.bucket("source"))
+        rows.repartition("bucket_", F.pmod("place", F.lit(4))).write.partitionBy("bucket_").parquet(self.links_path)
+        stored.select("url").distinct().withColumn("bucket_", self.bucket("url")).repartition("bucket_").write.partitionBy("bucket_").parquet(self.stored_path)
+
+    def bucket(self, url: str) -> Column:
+        return F.pmod(F.xxhash64(url), F.lit(self.buckets)).cast("int").alias("bucket_")
+
+    def links(self, buckets: list[int]) -> DataFrame:
+        return self.spark.read.schema(self.FORM + ", bucket_ int").parquet(self.links_path).filter(F.col("bucket_").isin(buckets))
+
+    def stored(self, buckets: list[int]) -> DataFrame:
+        return self.spark.read.schema("url string, bucket_ int").parquet(self.stored_path).filter(F.col("bucket_").isin(buckets))
+
+
+_ROUND = "url string, callback string, meta string, depth int, place long, stored boolean, round int, bucket_ int"
+
+
+def _below(spark, path: str, name: str, whole: bool = False) -> list[int]:
+    """The values of name=value directories below path; whole: only those whose writing ended well."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return []
+    found = [x.getPath() for x in fs.listStatus(at) if x.getPath().getName().startswith(f"{name}=")]
+    return sorted(int(p.getName().split("=")[1]) for p in found if not whole or fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def crawl(table: LinkTable, start: DataFrame, state: str | None = None, rounds: int | None = None, most: int | None = None, max_depth: int | None = None) -> DataFrame:
+    """url, callback, meta, depth, place, stored, round of all requests that links lead to from start (url, place, and callback and meta if they matter), each
+    url once, stored or not; place is the order of requests, from 0.
+
+    Rounds go from the requests found last to those that they lead to and that were not found before, so that no link is followed twice. As in a
+    queue of one crawler, the first push of an url wins: of a round's links to it, the one of the earliest source, and of that the first in place; that link gives callback,
+    metadata and depth. A round reads the links of its own sources' buckets, and the requests so far of its targets' buckets. It ends when nothing new is found, at max_depth, with
+    the round in which `most` stored pages are reached, or after `rounds` more rounds.
+
+    Every round is a table below state, which is a checkpoint: with the same state a crawl that was broken off goes on behind its last whole round."""
+    spark = table.spark
+    state = state or new_path(spark, "crawl")
+    path = f"{state}/requests"
+
+    def put(rows: DataFrame, r: int) -> None:
+        near = table.stored(buckets) if (buckets := _below(spark, f"{state}/new/step={r}", "bucket_")) else None
+        if near is None:
+            spark.createDataFrame([], _ROUND).drop("round").write.mode("overwrite").partitionBy("bucket_").parquet(f"{path}/round={r}")
+            return
+        near = near.select(F.col("url").alias("n_url"))
+        rows = rows.join(near, F.col("url") == F.col("n_url"), "left").select("url", "callback", "meta", "depth", "place", F.col("n_url").isNotNull().alias("stored"), table.bucket("url"))
+        rows.repartition("bucket_").write.mode("overwrite").partitionBy("bucket_").parquet(f"{path}/round={r}")
+
+    def step(rows: DataFrame, r: int) -> DataFrame:
+        """The first push of each url, by the order of sources and places; a table by buckets."""
+        first = rows.groupBy("url").agg(F.min_by(F.struct("callback", "meta", "depth"), F.struct("source_place", "place")).alias("r_"), F.min(F.struct("source_place", "place")).alias("o_"))
+        first = first.select("url", "r_.*", "o_.*", table.bucket("url"))
+        first.write.mode("overwrite").partitionBy("bucket_").parquet(f"{state}/new/step={r}")
+        return spark.read.schema("url string, callback string, meta string, depth int, source_place long, place long, bucket_ int").parquet(f"{state}/new/step={r}")
+
+    def ordered(rows: DataFrame, base: int) -> DataFrame:
+        rows = rows.withColumnRenamed("place", "link_place")
+        return placed(rows, F.asc("source_place"), F.asc("link_place"), F.asc("url")).withColumn("place", F.col("place") + base)
+
+    def so_far(last: int) -> DataFrame:
+        return spark.read.schema(_ROUND).parquet(path).filter(F.col("round") <= last)
+
+    whole = _below(spark, path, "round", whole=True)
+    if not whole:
+        for name in ("callback", "meta"):
+            if name not in start.columns:
+                start = start.withColumn(name, F.lit(None).cast("string"))
+        rows = start.select("url", "callback", "meta", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("source_place"), F.col("place").cast("long").alias("place"))
+        put(ordered(step(rows, 0), 0), 0)
+        whole = [0]
+    r = whole[-1]
+    counts = so_far(r).agg(F.count(F.lit(1)).alias("n"), F.count_if("stored").alias("stored"), F.count_if(F.col("round") == r).alias("last")).first()
+    n, found, last = counts.n, counts.stored, counts.last
     for _ in count() if rounds is None else range(rounds):
-        here = written(frontier.join(pages, "url"), "visited")
-        rounds_.append((1, here))
-        while len(rounds_) >= 16 and rounds_[-16][0] == rounds_[-1][0]:
-            rounds_[-16:] = [(16 * rounds_[-1][0], written(reduce(DataFrame.unionByName, [h for _, h in rounds_[-16:]]), "visited"))]
-        known = reduce(DataFrame.union, [h.select("url") for _, h in rounds_])
-        new = extract(here).select(*columns).dropDuplicates(["url"])
-        frontier = written(new.join(known, "url", "left_anti"), "frontier")
-        found += here.count()
-        if frontier.isEmpty() or most is not None and found >= most:
+        if not last or most is not None and found >= most or max_depth is not None and r >= max_depth:
             break
-    return reduce(DataFrame.unionByName, [h for _, h in rounds_]), frontier
+        here = spark.read.schema(_ROUND).parquet(path).filter((F.col("round") == r) & F.col("stored"))
+        here = here.select(F.col("url").alias("source"), F.col("callback").alias("of_callback"), F.col("place").alias("source_place"))
+        links_ = table.links(_below(spark, f"{path}/round={r}", "bucket_")).join(here, "source").filter("only_for is null or only_for = of_callback")
+        new = step(links_.select("url", "callback", "meta", F.lit(r + 1).alias("depth"), "source_place", "place"), r + 1)
+        buckets = _below(spark, f"{state}/new/step={r + 1}", "bucket_")
+        known = so_far(r).filter(F.col("bucket_").isin(buckets)).select(F.col("url").alias("k_url")) if buckets else None
+        put(ordered(new if known is None else new.join(known, F.col("url") == F.col("k_url"), "left_anti"), n), r + 1)
+        r += 1
+        got = so_far(r).filter(F.col("round") == r).agg(F.count(F.lit(1)).alias("n"), F.count_if("stored").alias("stored")).first()
+        last, n, found = got.n, n + got.n, found + got.stored
+    return so_far(r).drop("bucket_")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from corpusmill.operators import scan
 
 
 def crawl_stats(events: DataFrame) -> DataFrame:
@@ -50,11 +52,12 @@ def hot_frames(samples: DataFrame, n: int = 40, by: tuple[str, ...] = ("leaf",),
 
 
 def error_rates(samples: DataFrame, key: str = "spider") -> DataFrame:
-    """samples (key, seq, pages, errors, in_flight, current) with error_rate since the sample before and saturation; 0 where nothing happened."""
-    w = Window.partitionBy(key).orderBy("seq")
-    d = lambda c: F.col(c) - F.coalesce(F.lag(c).over(w), F.lit(0))
+    """samples (key, seq, pages, errors, in_flight, current) with error_rate since the sample before and saturation; 0 where nothing happened.
+    pages and errors are counts so far, so that those of the sample before are the largest before."""
+    samples = scan.running(samples, [key], ["seq"], maxima={"pages_": F.col("pages"), "errors_": F.col("errors")})
+    d = lambda c: F.col(c) - F.coalesce(F.col(f"{c}_"), F.lit(0))
     rate = F.coalesce(F.try_divide(d("errors"), d("pages") + d("errors")), F.lit(0.0))
-    return samples.withColumns({"error_rate": rate, "saturation": F.coalesce(F.try_divide(F.col("in_flight"), F.col("current")), F.lit(0.0))})
+    return samples.withColumns({"error_rate": rate, "saturation": F.coalesce(F.try_divide(F.col("in_flight"), F.col("current")), F.lit(0.0))}).drop("pages_", "errors_")
 
 
 class Stop:
@@ -101,9 +104,11 @@ def never() -> Stop:
 def dispatched(events: DataFrame, stop: Stop, spider: str = "spider", seq: str = "seq", callback: str = "callback", ts_ms: str = "ts_ms") -> DataFrame:
     """The page rows at whose turn the condition did not hold, counts being those of the rows before them.
 
-    events: event_type page, item or error. Counting in order is per spider, which is one window each, as a crawl is one sequence."""
-    before = Window.partitionBy(spider).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-    own = Window.partitionBy(spider, callback).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-    count = lambda kind, w: F.coalesce(F.sum((F.col("event_type") == kind).cast("long")).over(w), F.lit(0))
-    counted = events.withColumns({"pages_": count("page", before), "items_": count("item", before), "errors_": count("error", before), "callback_pages_": count("page", own), "elapsed_": F.col(ts_ms) - F.min(ts_ms).over(Window.partitionBy(spider))})
+    events: event_type page, item or error, and seq, which tells a spider's rows apart. Counts run over ranges of a spider's rows, and of a callback's, so that a spider
+    that has all rows is split (see scan.running)."""
+    one = lambda kind: F.when(F.col("event_type") == kind, 1).otherwise(0).cast("long")
+    counted = scan.running(events, [spider], [seq], {"pages_": one("page"), "items_": one("item"), "errors_": one("error")})
+    counted = scan.running(counted, [spider, callback], [seq], {"callback_pages_": one("page")})
+    begins = events.groupBy(F.col(spider).alias("of_")).agg(F.min(ts_ms).alias("begin_"))
+    counted = counted.join(begins, F.col(spider).eqNullSafe(F.col("of_"))).withColumn("elapsed_", F.col(ts_ms) - F.col("begin_"))
     return counted.filter((F.col("event_type") == "page") & ~stop.column).select(*events.columns)

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusmill.functions import items as I, text as T, urls as U, web
-from corpusmill.operators import control, cookies, dom, frontier, rules, stats
+from corpusmill.operators import control, cookies, dom, frontier, rules, scan, stats, structure
 from corpusmill.plans import spider as S, tools
-from corpusmill.plans.queries import _EV, _HOST, _STATUS, _events, _le8, _status, _t, query, site
+from corpusmill.plans.queries import _EV, _HOST, _STATUS, _events, _le8, _status, _t, query
 from corpusmill.sources import sinks, store
 from corpusmill.sources.shared import new_path, written
-from corpusmill.streaming import events as E, listeners as L
+from corpusmill.streaming import events as E, keyed, listeners as L
 
 _ORIGIN = "regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)"
 _A = """regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1)"""
@@ -174,8 +174,7 @@ def q_outer_html(spark, d):
 @query(f"SELECT page_id, CAST(4 * {_LI} AS BIGINT) AS pairs, CAST(4 AS INTEGER) AS farthest FROM pages WHERE {_LI} > 0")
 def q_ancestors(spark, d):
     e = written(dom.elements(_t(spark, d, "pages").select("page_id", "html"), with_text=False), "elements")
-    li = e.filter("tag = 'li'").select(F.col("page_id").alias("l_page"), F.col("node_id").alias("l_node"))
-    up = dom.ancestors(e).join(li, (F.col("page_id") == F.col("l_page")) & (F.col("node_id") == F.col("l_node")), "left_semi")
+    up = structure.contained(e, e.filter("tag = 'li'"))
     return up.groupBy("page_id").agg(F.count(F.lit(1)).alias("pairs"), F.max("distance").alias("farthest"))
 
 
@@ -363,14 +362,135 @@ def q_on_content(spark, d):
     return items.select(F.substring(of("book"), 2, 20).cast("long").alias("page_id"), of("content").alias("content"), of("url").alias("url"), of("book").alias("book"))
 
 
-@query("SELECT 270::BIGINT AS items, 300::BIGINT AS without_robots")
+# Pages as a site in which each links to three others; the SQL walks all paths of links, of which an url's first push is the first of the shortest.
+_HOPS = ("3 * p + 1", "5 * p + 2", "p * p")
+_WALK = """WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages), e AS (SELECT page_id AS s, k, (CASE k WHEN 0 THEN 3 * page_id + 1 WHEN 1 THEN 5 * page_id + 2 ELSE page_id * page_id END) % n AS t FROM pages, n, range(3) r(k)),
+walk AS (SELECT page_id AS p, 0 AS depth, [page_id] AS path, NULL::VARCHAR AS callback FROM pages WHERE page_id IN (1, 7)
+UNION ALL SELECT t, depth + 1, list_append(path, k), 'c' || k FROM walk JOIN e ON p = s WHERE depth < {0} {1}),
+found AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY p ORDER BY depth, path) = 1)"""
+
+
+def _site(spark, d, html: Column | None = None) -> DataFrame:
+    p = _t(spark, d, "pages")
+    n = p.count()
+    hops = F.concat(*[F.concat(F.lit('<a href="/'), (F.expr(h.replace("p", "page_id")) % n).cast("string"), F.lit('">hop</a>')) for h in _HOPS])
+    return p.select("page_id", F.concat(F.lit("https://site.example/"), F.col("page_id").cast("string")).alias("url"), F.concat(F.lit('<div class="hops">'), hops, F.lit("</div>"), F.col("html") if html is None else html).alias("html"))
+
+
+@query(_WALK.format(6, "") + " SELECT p AS page_id, depth, callback, row_number() OVER (ORDER BY depth, path) - 1 AS place FROM found")
+def q_crawl_table(spark, d):
+    """Broken off after three rounds, and gone on with from its state."""
+    site = _site(spark, d)
+    links = frontier.links(site.select("url", "html"), ("div.hops a",)).select(F.col("url").alias("source"), F.col("idx").alias("place"), F.col("target").alias("url"), F.concat(F.lit("c"), F.col("idx").cast("string")).alias("callback"))
+    table, state = frontier.LinkTable(links, site), new_path(spark, "crawl")
+    start = site.filter("page_id in (1, 7)").select("url", F.col("page_id").alias("place"))
+    frontier.crawl(table, start, state, rounds=3)
+    found = frontier.crawl(table, start, state, max_depth=6)
+    return found.select(F.regexp_extract("url", "[0-9]+$", 0).cast("long").alias("page_id"), "depth", "callback", "place")
+
+
+@query(_WALK.format(5, "") + ", top AS (SELECT p FROM found ORDER BY depth, path LIMIT 120) SELECT page_id, regexp_extract(html, '<h1>(.*?)</h1>', 1) AS heading FROM pages WHERE page_id IN (SELECT p FROM top)")
+def q_crawl_site(spark, d):
+    site = _site(spark, d)
+    got = S.crawl_site(site.select("url", "html"), ["https://site.example/1", "https://site.example/7"], "article h1", follow=r"/\d+$", options=S.Options(max_pages=120, max_depth=5, allowed_domains=("site.example",)))
+    return got.select(F.regexp_extract("source_url", "[0-9]+$", 0).cast("long").alias("page_id"), F.get_json_object("value", "$.html").alias("heading"))
+
+
+@query(_WALK.format(5, "AND CAST(t AS VARCHAR) NOT LIKE '2%'") + " SELECT p AS page_id FROM found")
 def q_crawl_robots(spark, d):
-    robots = spark.createDataFrame([("https://site.example", "User-agent: *\nDisallow: /book/3\n")], "origin string, body string")
-    ask = {"max_pages": 1000, "allowed_domains": ("site.example",)}
-    pages = site(spark)
-    kept = S.crawl_site(pages, ["https://site.example/"], "div.text", options=S.Options(**ask), robots=robots).agg(F.count(F.lit(1)).alias("items"))
-    free = S.crawl_site(pages, ["https://site.example/"], "div.text", options=S.Options(respect_robots=False, **ask), robots=robots).agg(F.count(F.lit(1)).alias("without_robots"))
-    return kept.join(free, F.lit(True))
+    robots = spark.createDataFrame([("https://site.example", "User-agent: *\nDisallow: /2\n")], "origin string, body string")
+    options = S.Options(max_pages=1000, max_depth=5, allowed_domains=("site.example",))
+    site = _site(spark, d, F.lit("<p>x</p>")).select("url", "html")
+    kept = S.crawl_site(site, ["https://site.example/1", "https://site.example/7"], "p", options=options, robots=robots)
+    return kept.select(F.regexp_extract("source_url", "[0-9]+$", 0).cast("long").alias("page_id"))
+
+
+# ---- structure
+
+_CSS = {"items": "nav > ul > li", "first": "ul > li:first-child a", "last": "li:nth-last-child(1)", "later": "li ~ li", "odd": "li:nth-child(odd)", "headed": "article:has(> h1)", "others": "li:not(:first-child, :last-child)", "none": "footer li, p["}
+_LIS = "len(regexp_extract_all(html, '<li>'))"
+
+
+@query(f"SELECT page_id, {_LIS} AS items, least({_LIS}, 1) AS first, least({_LIS}, 1) AS last, greatest({_LIS} - 1, 0) AS later, ({_LIS} + 1) // 2 AS odd, len(regexp_extract_all(html, '<article><h1>')) AS headed, greatest({_LIS} - 2, 0) AS others, 0::BIGINT AS none FROM pages")
+def q_select_rows(spark, d):
+    e = dom.elements(_t(spark, d, "pages").select("page_id", "html"), with_text=False, with_positions=True)
+    marked = structure.select_rows(written(e, "elements"), _CSS)
+    return marked.groupBy("page_id").agg(*[F.count_if(name).alias(name) for name in _CSS])
+
+
+@query(f"SELECT page_id, {_LIS} AS pairs, {_LIS} AS inside, 2 * {_LIS} AS below, {_LIS} AS nearest FROM pages WHERE {_LIS} > 0")
+def q_contained(spark, d):
+    """Links in navigation: as pairs, as counts, and by the numbers of elements below the list."""
+    e = written(dom.elements(_t(spark, d, "pages").select("page_id", "html"), with_text=False), "elements")
+    nav, ul, a = (e.filter(F.col("tag") == t) for t in ("nav", "ul", "a"))
+    pairs = structure.contained(nav, a).groupBy("page_id").agg(F.count(F.lit(1)).alias("pairs"))
+    counts = structure.count_inside(ul, a).groupBy("page_id").agg(F.sum("inside").alias("inside"), F.sum(structure.descendants()).alias("below"))
+    close = structure.contained(ul.union(nav), a, nearest=True).join(ul.select("page_id", F.col("node_id").alias("outer")), ["page_id", "outer"]).groupBy("page_id").agg(F.count(F.lit(1)).alias("nearest"))
+    return pairs.join(counts, "page_id").join(close, "page_id")
+
+
+@query("""SELECT page_id, '<p><b>' || page_id || '</b></p><p><b>x</b></p>' AS formatting, page_id || '<table><tbody><tr><td>y</td></tr></tbody></table>' AS fostered, '<a>' || page_id || '</a><a>z</a>' AS anchors, len(regexp_extract_all(html, '<p>')) > 0 AS whole FROM pages""")
+def q_damaged_pages(spark, d):
+    """Pages into which defects are put; what repairs them shows in the repaired parts, and the page's own elements are still there."""
+    p = _t(spark, d, "pages")
+    n = F.col("page_id").cast("string")
+    defects = F.concat(F.lit("<div id=f><p><b>"), n, F.lit("<p>x</div></b><div id=t><table>"), n, F.lit("<tr><td>y</table></div><div id=a><a>"), n, F.lit("<a>z</a></div>"))
+    made = p.select("page_id", F.concat(F.regexp_extract("html", "(?s)^(.*?<body>)", 1), defects, F.regexp_extract("html", "(?s)<body>(.*)$", 1)).alias("html"))
+    got = made.select("page_id", *[dom.select_all(F.col("html"), css).alias(name) for name, css in (("f", "#f"), ("t", "#t"), ("a", "#a"), ("ps", "body article p"))])
+    one = lambda c: F.col(c)[0]["html"]
+    return got.select("page_id", one("f").alias("formatting"), one("t").alias("fostered"), one("a").alias("anchors"), (F.size("ps") > 0).alias("whole"))
+
+
+@query(f"SELECT page_id, {_LIS} AS elements, {_LIS} * ({_LIS} - 1) AS similar FROM pages WHERE {_LIS} > 0")
+def q_count_similar(spark, d):
+    e = dom.elements(_t(spark, d, "pages").select("page_id", "html"), with_text=False).filter("tag = 'li'")
+    return dom.count_similar(e).groupBy("page_id").agg(F.count(F.lit(1)).alias("elements"), F.sum("similar").alias("similar"))
+
+
+@query("""WITH RECURSIVE r AS (SELECT user_id, event_id, CAST(floor(value) AS BIGINT) + 40 * (event_id // 8) AS a, row_number() OVER (PARTITION BY user_id ORDER BY CAST(floor(value) AS BIGINT) + 40 * (event_id // 8), event_id) AS k FROM events),
+b AS (SELECT user_id, event_id, a, k, greatest(a, -1000000) + 500 AS t, a AS starts FROM r WHERE k = 1 UNION ALL SELECT r.user_id, r.event_id, r.a, r.k, greatest(b.t, r.a) + 500, greatest(r.a, b.t - 1000) FROM b JOIN r ON r.user_id = b.user_id AND r.k = b.k + 1)
+SELECT event_id, starts FROM b""")
+def q_token_bucket(spark, d):
+    e = _t(spark, d, "events").select("user_id", "event_id", (F.floor("value").cast("long") + 40 * F.expr("event_id div 8")).alias("arrives"))
+    return scan.paced(e, ["user_id"], ["arrives", "event_id"], "arrives", 500, burst=3).select("event_id", "starts")
+
+
+def _batches(spark, d, columns: list[str], parts: int = 3):
+    """The events as files, one after the other in order, each a batch of a stream, and a function that adds the next one."""
+    e = _t(spark, d, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms")).select(columns)
+    folder = new_path(spark, "events")
+    of = F.floor(F.col("event_id") * parts / F.lit(_t(spark, d, "events").count()))
+    for i in range(parts):
+        yield folder, e.schema, lambda i=i: e.filter(of == i).coalesce(1).write.mode("append").parquet(folder)
+
+
+@query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY user_id, event_type")
+def q_state_seen(spark, d):
+    """A query that is stopped and started again between files; the state of the keys is that of its checkpoint."""
+    at, out = new_path(spark, "stream-checkpoint"), new_path(spark, "first")
+    keyed.use_rocks(spark)
+    for folder, schema, add in _batches(spark, d, ["event_id", "user_id", "event_type", "ts_ms"]):
+        add()
+        first = keyed.first_of_key(E.event_source(spark, folder, schema, 1), ["user_id", "event_type"], order=["event_id"])
+        first.writeStream.format("parquet").option("path", out).option("checkpointLocation", at).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select("user_id", "event_type", "event_id")
+
+
+@query("""WITH RECURSIVE r AS (SELECT user_id, event_id, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+b AS (SELECT user_id, event_id, ms, k, ms AS last FROM r WHERE k = 1 UNION ALL SELECT r.user_id, r.event_id, r.ms, r.k, CASE WHEN r.ms > b.last + 86400000 THEN r.ms ELSE b.last END FROM b JOIN r ON r.user_id = b.user_id AND r.k = b.k + 1)
+SELECT user_id, event_id FROM b WHERE last = ms AND NOT EXISTS (SELECT 1 FROM b c WHERE c.user_id = b.user_id AND c.k = b.k - 1 AND c.last = b.last)""")
+def q_state_expiring(spark, d):
+    """The first event of each user, and again after a day without an accepted one; no event is late, as the watermark allows for all of them."""
+    at, out = new_path(spark, "stream-checkpoint"), new_path(spark, "first")
+    keyed.use_rocks(spark)
+    e = _t(spark, d, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"))
+    folder = new_path(spark, "events")
+    e.repartitionByRange(3, "ts_ms").sortWithinPartitions("ts_ms").write.parquet(folder)
+    # files are read in the order of their names' times, and so of the events
+    events = E.event_source(spark, folder, e.schema, 1000).withWatermark("ts", "1 hour")
+    first = keyed.first_of_key(events, ["user_id"], order=["ts_ms", "event_id"], ttl_ms=86_400_000)
+    first.writeStream.format("parquet").option("path", out).option("checkpointLocation", at).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select("user_id", "event_id")
 
 
 # ---- joins and the frontier

@@ -453,22 +453,6 @@ def q_autoscale(spark, d):
     return got.select(F.row_number().over(Window.partitionBy("spider").orderBy("ts_ms")).alias("step"), "target")
 
 
-def site(spark: SparkSession, details: int = 10, chapters: int = 30) -> DataFrame:
-    """A three-level site: a home page, detail pages, and their chapter pages of 8 KB."""
-    base = "https://site.example"
-    n = spark.range(details).withColumnRenamed("id", "b")
-    home = spark.range(1).select(F.lit(f"{base}/").alias("url"), F.concat(F.lit("<ul>"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(details - 1)), lambda i: F.format_string('<li><a class="book" href="/book/%d">b%d</a></li>', i, i)), ""), F.lit("</ul>")).alias("html"))
-    detail = n.select(F.format_string(f"{base}/book/%d", "b").alias("url"), F.concat(F.lit("<ol>"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(chapters - 1)), lambda i: F.format_string('<li><a href="/book/%d/%d">c</a></li>', F.col("b"), i)), ""), F.lit("</ol>")).alias("html"))
-    chapter = n.select("b", F.explode(F.sequence(F.lit(0), F.lit(chapters - 1))).alias("c")).select(F.format_string(f"{base}/book/%d/%d", "b", "c").alias("url"), F.concat(F.lit('<div class="text">'), F.repeat(F.lit("lorem "), 1300), F.lit("</div>")).alias("html"))
-    return home.union(detail).union(chapter)
-
-
-@query("SELECT 300::BIGINT AS items, 300::BIGINT AS ids, 3::BIGINT AS levels")
-def q_crawl_site(spark, d):
-    got = S.crawl_site(site(spark), ["https://site.example/"], "div.text", options=S.Options(max_pages=1000, allowed_domains=("site.example",)))
-    return got.agg(F.count(F.lit(1)).alias("items"), F.countDistinct("id").alias("ids")).withColumn("levels", F.lit(3).cast("long"))
-
-
 @query("SELECT 'default' AS callback, count(*) AS items FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT 'odd', count(*) FROM pages WHERE page_id % 2 = 1")
 def q_spider_handlers(spark, d):
     p = _t(spark, d, "pages").withColumn("callback", F.when(F.col("page_id") % 2 == 1, "odd"))

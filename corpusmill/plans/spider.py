@@ -7,10 +7,10 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusmill.functions import items as I, urls as U
-from corpusmill.operators import cookies, dom, frontier, rules
+from corpusmill.operators import cookies, dom, frontier, rules, scan
 from corpusmill.sources import store
 
 Stage = Callable[[DataFrame], DataFrame]
@@ -148,9 +148,17 @@ def proxied(requests: DataFrame, proxies: list[str], choice: str = "sequential",
 
 
 def delayed(requests: DataFrame, delay_ms: int, seq: str = "seq") -> DataFrame:
-    """requests with not_before_ms, after the start: those of one origin follow each other by delay_ms."""
-    turn = F.row_number().over(Window.partitionBy(U.origin(F.col("url"))).orderBy(seq)) - 1
-    return requests.withColumn("not_before_ms", (turn * delay_ms).cast("long"))
+    """requests with not_before_ms, after the start: those of one origin follow each other by delay_ms. seq tells an origin's requests apart; origins
+    with many requests are split."""
+    turn = scan.numbered(requests.withColumn("of_", U.origin(F.col("url"))), ["of_"], [seq], "turn_")
+    return turn.withColumn("not_before_ms", (F.col("turn_") * delay_ms).cast("long")).drop("of_", "turn_")
+
+
+def throttled(requests: DataFrame, delay_ms: int, burst: int = 1, arrival: str = "arrives_ms", seq: str = "seq") -> DataFrame:
+    """requests with not_before_ms: when each may be sent if an origin takes `burst` at once and one more every delay_ms, in the order of their
+    arrival (see scan.paced)."""
+    paced = scan.paced(requests.withColumn("of_", U.origin(F.col("url"))), ["of_"], [arrival, seq], arrival, delay_ms, burst, "not_before_ms")
+    return paced.drop("of_")
 
 
 def on_links(selectors: tuple[str, ...], callback: str, meta_for=None, limit: int | None = None, keep=None):
@@ -172,35 +180,35 @@ def on_content(pages: DataFrame, selectors: tuple[str, ...], clean: Callable[[Co
     return pages.select(F.to_json(F.map_concat(old, first)).alias("value"), F.col("url").alias("source_url"), *(["callback"] if "callback" in pages.columns else []))
 
 
-def crawl_site(pages: DataFrame, start_urls: list[str], css: str, follow: str | None = None, options: Options = Options(), robots: DataFrame | None = None) -> DataFrame:
+def crawl_site(pages: DataFrame, start_urls: list[str], css: str, follow: str | None = None, options: Options = Options(), robots: DataFrame | None = None, state: str | None = None) -> DataFrame:
     """Items {text, html} of the matches of css on all pages reached from start_urls by links, over stored pages.
 
     Links must match `follow` if given, stay within the options' domains and depth, not be blocked, and be allowed by robots (origin, body of the robots
     files) unless respect_robots is off; an origin without a file allows all. At most max_pages pages (100 if not given,
-    1000 at most), nearest first. It goes on until no link is left or so many pages are reached, however many hops that takes."""
+    1000 at most), in the order of their requests. It goes on until no link is left or so many pages are reached, however many hops that takes. Links are
+    taken out of the pages once, beforehand; state is a folder from which a crawl that was broken off goes on."""
     if not start_urls:
         raise ValueError("start_urls is empty")
     spark = pages.sparkSession
     if follow:
         re.compile(follow)
-    start = spark.createDataFrame([(u,) for u in start_urls], "url string")
+    start = spark.createDataFrame(list(enumerate(start_urls)), "place long, url string")
     if start.filter(~U.valid_url(F.col("url"))).count():
         raise ValueError("a start url is not allowed")
-    start = start.withColumns({"callback": F.lit("default"), "meta": F.lit(None).cast("string"), "depth": F.lit(0)})
+    known = rules.robots_rules(robots) if options.respect_robots and robots is not None else None
 
-    def extract(here: DataFrame) -> DataFrame:
-        out = frontier.links(here, keep=(lambda t: F.rlike(t, F.lit(follow))) if follow else None)
-        out = out.select(F.col("target").alias("url"), F.lit("default").alias("callback"), F.lit(None).cast("string").alias("meta"), (F.col("depth") + 1).alias("depth"))
-        out = frontier.depth_limit(out, options.max_depth)
-        out = options.blocker().allowed(frontier.in_domains(out, list(options.allowed_domains), U.host(F.col("url"))), F.col("url"))
-        return out if known is None else rules.robots_allowed(out, known)
+    def allowed(urls: DataFrame, own: bool = True) -> DataFrame:
+        if own:
+            urls = options.blocker().allowed(frontier.in_domains(urls, list(options.allowed_domains), U.host(F.col("url"))), F.col("url"))
+        return urls if known is None else rules.robots_allowed(urls, known)
 
-    known = rules.robots_rules(robots) if options.respect_robots and robots is not None else None
-    start = start if known is None else rules.robots_allowed(start, known)
+    links = frontier.links(pages.select("url", "html"), keep=(lambda t: F.rlike(t, F.lit(follow))) if follow else None)
+    links = allowed(links.select(F.col("url").alias("source"), F.col("idx").alias("place"), F.col("target").alias("url")))
+    table = frontier.LinkTable(links.withColumn("callback", F.lit("default")), pages)
     most = min(options.max_pages or 100, 1000)
-    visited, _ = frontier.crawl(pages, start, extract, most=most)
-    visited = visited.orderBy("depth", "url").limit(most)
-    nodes = visited.select("url", F.explode(dom.select_all(F.col("html"), css)).alias("n"))
+    requests = frontier.crawl(table, allowed(start, own=False), state, most=most, max_depth=options.max_depth or None)
+    visited = requests.filter("stored").orderBy("place").limit(most).select("url", "place")
+    nodes = pages.join(visited, "url").select("url", F.explode(dom.select_all(F.col("html"), css)).alias("n"))
     return as_items(nodes.select(F.to_json(F.struct(F.col("n.html").alias("html"), F.col("n.text").alias("text"))).alias("value"), F.col("url").alias("source_url")), "site")
 
 

@@ -7,6 +7,8 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from corpusmill.operators import scan
+
 
 def event_source(spark: SparkSession, folder: str, schema, files_per_trigger: int = 8) -> DataFrame:
     """A stream over the Parquet files of a folder; several queries may read it, each with all events."""
@@ -59,11 +61,9 @@ def run_available(stream: DataFrame, checkpoint: str, sink: Callable[[DataFrame,
 
 
 def attempts(failures: DataFrame, key: str = "url", order: str = "seq", most: int = 3) -> DataFrame:
-    """failures with the number of the attempt and whether it is tried again."""
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    return failures.withColumn("attempt", n).withColumn("again", F.col("attempt") <= most)
+    """failures with the number of the attempt and whether it is tried again; a key of many failures is split."""
+    n = scan.numbered(failures, [key], [order], "attempt")
+    return n.withColumn("attempt", (F.col("attempt") + 1).cast("int")).withColumn("again", F.col("attempt") <= most)
 
 
 def autoscale(samples: DataFrame, start: int, least: int, most: int, key: str = "spider", error_limit: float = 0.2, low: float = 0.7, high: float = 0.9, up: int = 2, down: int = 4, up_every_ms: int = 5000, down_every_ms: int = 2000) -> DataFrame:
