@@ -57,11 +57,13 @@ def follow_links(pages: DataFrame, selectors: tuple[str, ...] = ("a[href]",), ca
     return found.select(F.col("url").alias("source_url"), request.alias("r")).select("r.*", "source_url")
 
 
-def seeds(spark, spiders: dict[str, list[str]]) -> DataFrame:
-    """A depth-0 request per start url, each url once."""
-    rows = [(u, s, i) for i, (u, s) in enumerate((u, s) for s, us in spiders.items() for u in us)]
-    df = spark.createDataFrame(rows, "url string, spider string, seq long").withColumns({"depth": F.lit(0), "priority": F.lit(0), "method": F.lit("GET")})
-    return push(df)
+def seeds(spark, spiders: dict[str, list[str]] | DataFrame) -> DataFrame:
+    """A depth-0 request per start url, each url once: of the spider that names it first. spiders: start urls by name, or a table of url, spider, seq."""
+    df = spiders
+    if not isinstance(spiders, DataFrame):
+        rows = [(u, s, i) for i, (u, s) in enumerate((u, s) for s, us in spiders.items() for u in us)]
+        df = spark.createDataFrame(rows, "url string, spider string, seq long")
+    return push(df.withColumns({"depth": F.lit(0), "priority": F.lit(0), "method": F.lit("GET")}))
 
 
 def push(requests: DataFrame, seen: DataFrame | None = None, url_col: str = "url", seq_col: str = "seq") -> DataFrame:

@@ -34,10 +34,29 @@ _JSONL = f"""'{{"value":' || {_VALUE} || ',"source_url":"' || url || '","spider"
 # ---- sources and stores
 
 
-@query("SELECT * FROM (VALUES ('https://a.example/1', 'a', 0, 0, 'GET'), ('https://a.example/2', 'a', 0, 0, 'GET'), ('https://b.example/', 'b', 0, 0, 'GET')) t(url, spider, depth, priority, method)")
+@query("SELECT DISTINCT ON (url) url, 's' || (page_id % 3) AS spider, 0 AS depth, 0 AS priority, 'GET' AS method FROM (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/' AS url FROM pages) ORDER BY url, page_id")
 def q_seeds(spark, d):
-    spiders = {"a": ["https://a.example/1", "https://a.example/2", "https://a.example/1"], "b": ["https://a.example/2", "https://b.example/"]}
-    return frontier.seeds(spark, spiders).select("url", "spider", "depth", "priority", "method")
+    """The origins of all pages as start urls of three spiders; each url is the first one's that names it."""
+    p = _t(spark, d, "pages").select(F.concat(U.origin(F.col("url")), F.lit("/")).alias("url"), F.concat(F.lit("s"), (F.col("page_id") % 3).cast("string")).alias("spider"), F.col("page_id").alias("seq"))
+    return frontier.seeds(spark, p).select("url", "spider", "depth", "priority", "method")
+
+
+@query("""SELECT '{"value":{"p":' || page_id || '},"source_url":"","spider":"","callback":null,"id":""}' AS line, count(*) OVER () AS n FROM pages""")
+def q_items(spark, d):
+    held = sinks.Items.from_values(spark, _t(spark, d, "pages").select(F.to_json(F.struct(F.col("page_id").alias("p"))).alias("value")))
+    return held.to_jsonl().select(F.col("value").alias("line"), F.lit(len(held)).cast("long").alias("n"))
+
+
+@query(f"""SELECT page_id, CASE WHEN page_id % 3 > 0 THEN array_to_string(list_transform(range(page_id % 3), lambda i: 'c' || i || '=' || page_id), '; ') END AS header,
+CASE WHEN page_id % 2 = 0 THEN 'old=1; new=' || page_id END AS again, true AS same, false AS other FROM pages""")
+def q_cookies(spark, d):
+    n = F.col("page_id")
+    jar = F.transform(F.sequence(F.lit(0), (n % 3).cast("int") - 1, F.lit(1)), lambda i: F.struct(F.concat(F.lit("c"), i.cast("string")).alias("name"), n.cast("string").alias("value")))
+    jar = F.when(n % 3 > 0, jar).otherwise(F.array().cast("array<struct<name:string,value:string>>"))
+    again = web.cookie_challenge(F.when(n % 2 == 0, 403).otherwise(200), F.lit("short"), F.concat(F.lit("new="), n.cast("string"), F.lit("; path=/")), F.lit("old=1"))
+    host = U.host(F.col("url"))
+    match = lambda h: web.cookie_matches(F.concat(F.lit("."), host), F.lit("/"), h, F.lit("/x"))
+    return _t(spark, d, "pages").select("page_id", web.cookie_header(jar).alias("header"), again.alias("again"), match(F.concat(F.lit("a."), host)).alias("same"), match(F.concat(F.lit("a"), host)).alias("other"))
 
 
 @query("SELECT page_id, CASE WHEN octet_length(encode(html)) > 3000 THEN 'body of ' || octet_length(encode(html)) || ' bytes, more than 3000' END AS error, octet_length(encode(html)) <= 3000 AS has_body FROM pages")
@@ -135,12 +154,6 @@ def q_batches(spark, d):
     return sizes.agg(F.sum("n").alias("items"), (F.max("n") <= 10).alias("within"))
 
 
-@query("""SELECT * FROM (VALUES ('{"value":{"a":1},"source_url":"","spider":"","callback":null,"id":""}', 2::BIGINT), ('{"value":2,"source_url":"","spider":"","callback":null,"id":""}', 2::BIGINT)) t(line, n)""")
-def q_items(spark, d):
-    held = sinks.Items.from_values(spark, ['{"a":1}', "2"])
-    return held.to_jsonl().select(F.col("value").alias("line"), F.lit(len(held)).cast("long").alias("n"))
-
-
 @query("""SELECT lang AS "group", replace(source, ':', '_') AS book, line, count(*) AS n FROM (SELECT lang, source, unnest(['========== ' || doc_id || ' ==========', 'c' || doc_id, '']) AS line FROM documents) GROUP BY ALL""")
 def q_grouped_text(spark, d):
     path = new_path(spark, "text")
@@ -531,13 +544,14 @@ def q_pending(spark, d):
     return frontier.pending_urls(f)
 
 
-@query("SELECT 300::BIGINT AS waiting, 400::BIGINT AS seen, 399::BIGINT AS last_seq, 200::BIGINT AS fingerprints")
+@query("""WITH o AS (SELECT event_id AS seq, event_id % 2 AS half, 'u' || user_id AS url FROM events), w AS (SELECT url, seq FROM o WHERE half = 0),
+b AS (SELECT url, (SELECT max(seq) FROM w) + row_number() OVER (ORDER BY seq) AS seq FROM o WHERE half = 1) SELECT url, seq, true AS seen FROM w UNION ALL SELECT url, seq, true FROM b""")
 def q_import_state(spark, d):
-    f = lambda a, b: spark.range(a, b).select(F.col("id").cast("string").alias("url"), F.col("id").alias("seq"))
-    own, more = f(0, 200), f(100, 200)
-    left, seen = frontier.import_state(own, frontier.seen_urls(own), more, f(200, 400).select("url"))
-    one = left.agg(F.count(F.lit(1)).alias("waiting"), (F.max("seq") + 100).alias("last_seq"))
-    return one.join(seen.agg(F.count(F.lit(1)).alias("seen")), F.lit(True)).join(frontier.seen_urls(own, fingerprints=True).agg(F.count(F.lit(1)).alias("fingerprints")), F.lit(True))
+    """Half of the events as the frontier, the others put behind it; all of their urls are seen then."""
+    e = _t(spark, d, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("url"), F.col("event_id").alias("seq"))
+    own, more = e.filter("seq % 2 = 0"), e.filter("seq % 2 = 1")
+    left, seen = frontier.import_state(own, frontier.seen_urls(own), more, more.select("url"))
+    return left.join(seen.select("url", F.lit(True).alias("seen")), "url", "left").select("url", "seq", F.coalesce("seen", F.lit(False)).alias("seen"))
 
 
 @query("SELECT count(DISTINCT user_id) || ' urls have been seen, more than 10' AS warning FROM events")
@@ -622,25 +636,6 @@ def q_item_pipeline(spark, d):
     return out.select(F.lit(False).alias("renamed"), "value", "id")
 
 
-@query("SELECT * FROM (VALUES ('https://a.example', '/x'), ('https://b.example', '')) t(origin, disallowed)")
-def q_robots_cache(spark, d):
-    body = "User-agent: *\nDisallow: /x"
-    fetched = [("https://a.example", None, 900), ("https://a.example", body, 10), ("https://a.example", body, 950), ("https://b.example", None, 960), ("https://c.example", None, 930), ("https://c.example", body, 20)]
-    known = rules.cached_rules(spark.createDataFrame(fetched, "origin string, body string, fetched_at long"), now=1000)
-    return known.select("origin", F.array_join("disallowed", ",").alias("disallowed"))
-
-
-@query("""SELECT * FROM (VALUES (0, 'initialize', 'corpusmill'), (1, 'tools/list', '3'), (2, 'tools/call', '["a", "b"]'), (3, 'tools/call', '-32603'), (4, 'nothing', '-32601'), (5, '{', '-32700'), (6, 'fetch', '<p>x')) t(n, message, answer)""")
-def q_rpc(spark, d):
-    pages = spark.createDataFrame([("https://e.com/", "<p>x")], "url string, html string")
-    call = lambda name, args: {"method": "tools/call", "id": 1, "params": {"name": name, "arguments": args}}
-    sent = [("initialize", {"method": "initialize", "id": 1}, lambda x: x["result"]["serverInfo"]["name"]), ("tools/list", {"method": "tools/list", "id": 1}, lambda x: str(len(x["result"]["tools"]))), ("tools/call", call("extract_css", {"html": "<p>a<p>b", "selector": "p"}), lambda x: x["result"]["content"][0]["text"]), ("tools/call", call("fetch_page", {"url": "https://none.com/"}), lambda x: str(x["error"]["code"])), ("nothing", {"method": "nothing", "id": 1}, lambda x: str(x["error"]["code"])), ("{", None, lambda x: str(x["error"]["code"])), ("fetch", call("fetch_page", {"url": "https://e.com/"}), lambda x: x["result"]["content"][0]["text"])]
-    import json
-
-    rows = [(i, name, pick(json.loads(tools.handle(pages, "{" if message is None else json.dumps(message))))) for i, (name, message, pick) in enumerate(sent)]
-    return spark.createDataFrame(rows, "n int, message string, answer string")
-
-
 @query(f"SELECT page_id, {_A} AS texts, regexp_extract_all(html, '<a href=\"([^\"]*)\">', 1) AS hrefs FROM pages")
 def q_extract_css_sql(spark, d):
     tools.register(spark)
@@ -654,6 +649,18 @@ def q_scrape(spark, d):
     return _t(spark, d, "pages").select("page_id", F.size(got).cast("long").alias("n"), F.array_join(got, " ").alias("texts"))
 
 
+@query(f"""WITH f AS (SELECT {_ORIGIN} AS origin, page_id % 3 > 0 AS ok, page_id FROM pages), l AS (SELECT origin, arg_max(ok, page_id) AS ok, max(page_id) AS was FROM f GROUP BY origin), n AS (SELECT max(page_id) + 1 AS now FROM pages)
+SELECT origin, CASE WHEN ok THEN '/' || was ELSE '' END AS disallowed FROM l, n WHERE ok OR now < was + 60""")
+def q_robots_cache(spark, d):
+    """Each page is a fetch of its origin's robots file, of which every third fails."""
+    p = _t(spark, d, "pages")
+    n = F.col("page_id")
+    body = F.when(n % 3 > 0, F.concat(F.lit("User-agent: *\nDisallow: /"), n.cast("string")))
+    now = p.agg(F.max("page_id")).first()[0] + 1
+    known = rules.cached_rules(p.select(U.origin(F.col("url")).alias("origin"), body.alias("body"), n.alias("fetched_at")), now=now)
+    return known.select("origin", F.array_join("disallowed", ",").alias("disallowed"))
+
+
 # ---- streams
 
 

@@ -149,11 +149,6 @@ def q_domain_block(spark, d):
     return _t(spark, d, "pages").select("page_id", frontier.is_blocked(F.col("url"), ["Example.NET"]).alias("blocked"))
 
 
-@query("SELECT * FROM (VALUES ('*://*.ads.example/*'), ('*://ads.example/*')) t(pattern)")
-def q_block_patterns(spark, d):
-    return spark.createDataFrame([(p,) for p in frontier.block_patterns(["ads.example"])], "pattern string")
-
-
 _STATUS = "CAST(CASE page_id % 8 WHEN 0 THEN 403 WHEN 1 THEN 200 WHEN 2 THEN 503 WHEN 3 THEN 404 WHEN 4 THEN 301 WHEN 5 THEN 200 WHEN 6 THEN 418 ELSE 200 END AS INTEGER)"
 
 
@@ -183,21 +178,6 @@ def q_status_text(spark, d):
     return _status(_t(spark, d, "pages")).select("page_id", "status", web.status_text(s).alias("reason"), web.is_ok(s).alias("ok"), web.blocked_status(s).alias("blocked"))
 
 
-@query(r"""SELECT * FROM (VALUES ('turnstile'), ('js_challenge'), ('managed'), ('none')) t(kind)""")
-def q_challenge_type(spark, d):
-    rows = [('<div class="cf-turnstile">',), ("<title>Just a moment...</title>",), ('<p id="challenge-stage">',), ("<p>hello",)]
-    return spark.createDataFrame(rows, "html string").select(web.challenge_type(F.col("html")).alias("kind"))
-
-
-_ROBOTS = [("https://a.example", "User-agent: *\nDisallow: /private\nDisallow:\nCrawl-delay: 2\nRequest-rate: 1/5\nUser-agent: bot\nDisallow: /\n"), ("https://b.example", "# none\nUser-agent: x\nDisallow: /\n"), ("https://c.example", "User-agent: *\r\nDisallow: /a\r\nCrawl-delay: abc")]
-
-
-@query("""SELECT * FROM (VALUES ('https://a.example', '/private', 2.0::DOUBLE, 0.2::DOUBLE), ('https://b.example', '', NULL, NULL), ('https://c.example', '/a', NULL, NULL)) t(origin, disallowed, crawl_delay, request_rate)""")
-def q_robots_parse(spark, d):
-    r = rules.robots_rules(spark.createDataFrame(_ROBOTS, "origin string, body string"))
-    return r.withColumn("disallowed", F.array_join("disallowed", ","))
-
-
 @query(f"SELECT page_id FROM pages WHERE NOT (starts_with({_PATH}, '/en/1') OR starts_with({_PATH}, '/fr/'))")
 def q_robots_filter(spark, d):
     p = _t(spark, d, "pages").select("page_id", "url")
@@ -205,12 +185,6 @@ def q_robots_filter(spark, d):
     return rules.robots_allowed(p, rules.robots_rules(files)).select("page_id")
 
 
-@query("SELECT * FROM (VALUES ('https://x.example/1', 'content', 0, 0), ('https://x.example/2?a=b', 'content', 0, 0)) t(url, callback, depth, priority)")
-def q_sitemap(spark, d):
-    xml = "<urlset><url><loc> https://x.example/1 </loc></url><url><loc>https://x.example/2?a=b</loc></url><url><loc></loc></url></urlset>"
-    return rules.sitemap(spark.createDataFrame([(xml,)], "body string"), "content")
-
-
 @query(f"SELECT page_id, CASE WHEN regexp_matches({_PATH}, '^/en/') THEN 'Dynamic' WHEN regexp_matches({_PATH}, '^/(de|en)/') THEN 'Http' WHEN regexp_matches(url, 'utm_source') THEN 'Stealth' END AS mode FROM pages")
 def q_mode_rules(spark, d):
     r = spark.createDataFrame([("auto", 0, "utm_source", "Stealth"), ("user", 1, "^/(de|en)/", "Http"), ("user", 0, "^/en/", "Dynamic")], "kind string, rule_order int, pattern string, mode string")
@@ -405,54 +379,12 @@ def q_meta_str(spark, d):
     return _t(spark, d, "events").select("event_id", I.meta_u64(p, "k").alias("k"), I.meta_str(p, "k").alias("as_text"), I.meta_str(p, "nope", "none").alias("missing"))
 
 
-_HREFS = [("https://e.com/a/b?x#y", "/p q", "https://e.com/p%20q"), ("https://e.com/a/b", "c/../d", "https://e.com/a/d"), ("https://e.com/a/b", "//o.org/x", "https://o.org/x"), ("https://e.com/a", "mailto:x@y.z", None), ("https://e.com/a", "javascript:void(0)", None), ("https://e.com/a", "HTTP://O.org:80/É", "http://o.org/%C3%89"), ("nope", "/x", None), ("https://e.com/a", "http://O.org/É", "http://O.org/É"), ("https://e.com/a?q=1", "#f", "https://e.com/a?q=1#f"), ("https://e.com/a/b", "?z=1", "https://e.com/a/b?z=1")]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in r) + ")" for r in _HREFS) + ") t(base, href, target)")
-def q_resolve_href(spark, d):
-    rows = spark.createDataFrame([r[:2] for r in _HREFS], "base string, href string")
-    return rows.withColumn("target", U.resolve_href(F.col("base"), F.col("href")))
-
-
-_SAFE = [("https://example.com/x", True), ("http://127.0.0.1/", False), ("http://10.1.2.3/", False), ("http://172.20.0.1/", False), ("http://172.32.0.1/", True), ("http://192.168.1.1:8080/", False), ("http://169.254.1.1/", False), ("http://0.0.0.0/", False), ("http://224.0.0.1/", False), ("http://8.8.8.8/", True), ("ftp://example.com/", False), ("http://[::1]/", False), ("http://[fe80::1]/", False), ("http://[2001:db8::1]/", True), ("nonsense", False), (" https://e.org ", True)]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{u}', {ok})" for u, ok in _SAFE) + ") t(url, ok)")
-def q_valid_url(spark, d):
-    return spark.createDataFrame([(u,) for u, _ in _SAFE], "url string").withColumn("ok", U.valid_url(F.col("url")))
-
-
-_BODIES = [("C4E3BAC3", "text/html; charset=gbk", "你好"), ("A741A66E", "text/html; charset=big5", "你好"), ("82B182F182C982BF82CD", "text/html; charset=Shift_JIS", "こんにちは"), ("CFF0E8E2E5F2", "text/plain; charset=windows-1251", "Привет"), ("EFBBBF68C3A9", "text/html; charset=gbk", "hé"), ("68C3A9", "", "hé"), ("3C6D65746120636861727365743D67626B3EC4E3BAC3", "", "<meta charset=gbk>你好"), ("68FF", "", "h�"), ("68", "text/html; charset=unknown", "h")]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{h}', '{s}')" for h, _, s in _BODIES) + ") t(hexed, decoded)")
-def q_decode(spark, d):
-    rows = spark.createDataFrame([r[:2] for r in _BODIES], "hexed string, content_type string")
-    return rows.select("hexed", T.decode(F.unhex("hexed"), F.col("content_type")).alias("decoded"))
-
-
 @query("SELECT page_id, '/' || CASE WHEN page_id % 2 = 0 THEN 'a_b_c' ELSE 'safe_CON' END AS key FROM pages")
 def q_sanitize_key(spark, d):
     key = F.when(F.col("page_id") % 2 == 0, 'a/b:c').otherwise("CON")
     return _t(spark, d, "pages").select("page_id", F.concat(F.lit("/"), U.sanitize_key(key)).alias("key"))
 
 
-@query("SELECT * FROM (VALUES ('a=1; b=2', '403 c=3', true, false)) t(header, again, same, other)")
-def q_cookies(spark, d):
-    row = spark.range(1)
-    jar = F.array(F.struct(F.lit("a").alias("name"), F.lit("1").alias("value")), F.struct(F.lit("b").alias("name"), F.lit("2").alias("value")))
-    again = F.concat(F.lit("403 "), web.cookie_challenge(F.lit(403), F.lit("short"), F.lit("c=3; path=/"), F.lit("")))
-    match = lambda h: web.cookie_matches(F.lit(".e.com"), F.lit("/"), F.lit(h), F.lit("/x"))
-    return row.select(web.cookie_header(jar).alias("header"), again.alias("again"), match("a.e.com").alias("same"), match("ae.com").alias("other"))
-
-
-@query("SELECT * FROM (VALUES (1, 10), (2, 6), (3, 6), (4, 8)) t(step, target)")
-def q_autoscale(spark, d):
-    rows = [("s", 0, 0.0, 0.8), ("s", 1000, 0.5, 0.5), ("s", 2000, 0.5, 0.5), ("s", 9000, 0.0, 0.95)]
-    got = E.autoscale(spark.createDataFrame(rows, "spider string, ts_ms long, error_rate double, saturation double"), 10, 2, 20)
-    return got.select(F.row_number().over(Window.partitionBy("spider").orderBy("ts_ms")).alias("step"), "target")
-
-
 @query("SELECT 'default' AS callback, count(*) AS items FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT 'odd', count(*) FROM pages WHERE page_id % 2 = 1")
 def q_spider_handlers(spark, d):
     p = _t(spark, d, "pages").withColumn("callback", F.when(F.col("page_id") % 2 == 1, "odd"))

@@ -108,8 +108,9 @@ class Items:
         self.df = df
 
     @classmethod
-    def from_values(cls, spark, values: list[str]) -> Items:
-        rows = spark.createDataFrame([(v,) for v in values], "value string")
+    def from_values(cls, spark, values: list[str] | DataFrame) -> Items:
+        """Of JSON texts, or of a table with a column value."""
+        rows = values if isinstance(values, DataFrame) else spark.createDataFrame([(v,) for v in values], "value string")
         return cls(rows.select("value", F.lit("").alias("source_url"), F.lit("").alias("spider"), F.lit(None).cast("string").alias("callback"), F.lit("").alias("id")))
 
     def __len__(self) -> int:
