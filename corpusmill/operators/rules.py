@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusmill.functions import urls as U
 from corpusmill.functions.text import trim
+from corpusmill.sources.shared import written
 
 
 def robots_rules(files: DataFrame, origin_col: str = "origin", body_col: str = "body") -> DataFrame:
@@ -46,25 +50,98 @@ def learned_rules(seen: DataFrame, most: int = 1000) -> DataFrame:
     return rows.orderBy("rule_order").limit(most)
 
 
-def resolve_modes(requests: DataFrame, rules: DataFrame, url_col: str = "url", most: int = 5000) -> DataFrame:
-    """requests with mode: of the first rule whose pattern is found in the path or the url, user rules before learned ones.
-
-    rules: kind (user or auto), rule_order, pattern, mode; at most `most`, as they are gathered into one
-    sorted list that each url is held against, without a join."""
-    listed = rules.select((F.col("kind") != "user").alias("auto"), "rule_order", "pattern", "mode").limit(most + 1).collect()
-    if len(listed) > most:
-        raise ValueError(f"more than {most} rules")
-    ordered = sorted(listed, key=lambda r: (r.auto, r.rule_order))
-    path = F.when(U.authority(F.col(url_col)) != "", U.path(F.col(url_col))).otherwise(F.col(url_col))
-    if not ordered:
-        return requests.withColumn("mode", F.lit(None).cast("string"))
-    mode = F.lit(None).cast("string")
-    for run in [ordered[i : i + 100] for i in range(0, len(ordered), 100)][::-1]:  # literal patterns, which are compiled once
+GRAM = 3
+
+
+def required_literal(pattern: str) -> str:
+    """The longest text that every match of a regular expression contains, as far as the pattern's plain characters tell; '' if they tell nothing."""
+    if re.search(r"\(\?[a-zA-Z]*i|\\Q", pattern):
+        return ""
+    runs, run, i, depth = [], "", 0, 0
+    while i < len(pattern):
+        c = pattern[i]
+        i += 1
+        if c == "|" and not depth:
+            return ""  # either side may match
+        if c == "\\" and i < len(pattern):
+            c, i = pattern[i], i + 1
+            plain = not c.isalnum()
+        elif c == "[":
+            i += pattern[i : i + 1] == "^"
+            i += pattern[i : i + 1] == "]"
+            while i < len(pattern) and pattern[i] != "]":
+                i += 1 + (pattern[i] == "\\")
+            i, plain = i + 1, False
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+            plain = False
+        else:
+            plain = c not in ".^$|"
+        many = re.match(r"[*+?]|\{(\d*)[^}]*\}", pattern[i:])
+        if plain and not depth and not (many and (many[0] in "*?" or many[1] is not None and int(many[1] or 0) == 0)):
+            run += c
+            if not many:
+                continue
+        runs.append(run)
+        run = ""
+        if many:
+            i += many.end()
+            i += pattern[i : i + 1] in ("?", "+") and i < len(pattern)
+    return max([*runs, run], key=len)
+
+
+def _first(patterns: list[str], values: list, kind: str, path: Column, url: Column) -> Column:
+    """The value that belongs to the first pattern of the list that fits; null if none does."""
+    found = F.lit(None).cast(kind)
+    for i in reversed(range(0, len(patterns), 100)):  # literal patterns, which are compiled once
         case = F
-        for r in run:
-            case = case.when(F.rlike(path, F.lit(r.pattern)) | F.rlike(F.col(url_col), F.lit(r.pattern)), F.lit(r.mode))
-        mode = case.otherwise(mode)
-    return requests.withColumn("mode", mode)
+        for pattern, value in zip(patterns[i : i + 100], values[i : i + 100], strict=True):
+            case = case.when(F.rlike(path, F.lit(pattern)) | F.rlike(url, F.lit(pattern)), F.lit(value))
+        found = case.otherwise(found)
+    return found
+
+
+def resolve_modes(requests: DataFrame, rules: DataFrame, url_col: str = "url", few: int = 500) -> DataFrame:
+    """requests with mode: of the first rule whose pattern is found in the path or the url, user rules before learned ones; null without one.
+
+    rules: kind (user or auto), rule_order, pattern, mode; any number. Up to `few` become one expression. More are an index: every pattern that requires a text of three
+    characters is kept under that three-character part of it which the fewest urls have, distinct urls are joined by their parts, and only pairs
+    whose url has the whole required text are matched. Patterns that require no such text are expressions, a thousand of them at a time."""
+    keyed = rules.select((F.col("kind") != "user").alias("auto"), F.col("rule_order").cast("long").alias("rule_order"), "pattern", "mode")
+    order = lambda r: (r.auto, r.rule_order, r.pattern)
+    url = F.col(url_col)
+    path_of = lambda u: F.when(U.authority(u) != "", U.path(u)).otherwise(u)
+    listed = keyed.limit(few + 1).collect()
+    if len(listed) <= few:
+        listed = sorted(listed, key=order)
+        return requests.withColumn("mode", _first([r.pattern for r in listed], [r.mode for r in listed], "string", path_of(url), url))
+
+    @F.pandas_udf("string")
+    def literal(patterns: pd.Series) -> pd.Series:
+        return patterns.map(required_literal)
+
+    keyed = written(keyed.withColumn("literal", literal("pattern")), "mode-rules")
+    grams = lambda c: F.when(F.length(c) >= GRAM, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - GRAM + 1), lambda i: F.substr(c, i, F.lit(GRAM))))).otherwise(F.array().cast("array<string>"))
+    urls = written(requests.filter(url.isNotNull()).select(url.alias("u_")).distinct(), "mode-urls")
+    parts = urls.select("u_", F.explode(grams(F.col("u_"))).alias("gram"))
+    wanted = keyed.filter(F.length("literal") >= GRAM).select("*", F.explode(grams(F.col("literal"))).alias("gram"))
+    counts = written(parts.join(wanted.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "mode-grams")
+    # a part that no url has leaves no row of counts: such a rule fits nothing
+    rarest = wanted.join(counts, "gram", "left").groupBy("auto", "rule_order", "pattern", "mode", "literal").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("gram"), F.min(F.coalesce("n", F.lit(0))).alias("n"))
+    index = written(rarest.filter("n > 0").drop("n"), "mode-index")
+    pairs = parts.join(index.select("gram").distinct(), "gram", "left_semi").join(index, "gram").filter(F.contains("u_", F.col("literal")))
+    pairs = pairs.withColumn("p_", path_of(F.col("u_"))).filter(F.rlike("p_", F.col("pattern")) | F.rlike("u_", F.col("pattern")))
+    first = F.struct("auto", "rule_order", "pattern", "mode")
+    best = written(pairs.groupBy("u_").agg(F.min(first).alias("best_")), "mode-found")
+    general = sorted(keyed.filter(F.length("literal") < GRAM).drop("literal").collect(), key=order)
+    found = urls.join(best, "u_", "left")
+    for i in range(0, len(general), 1000):
+        some = general[i : i + 1000]
+        named = requests.sparkSession.createDataFrame([(k, tuple(r)) for k, r in enumerate(some)], "k_ int, of_ struct<auto:boolean,rule_order:long,pattern:string,mode:string>")
+        fits = found.withColumn("k_", _first([r.pattern for r in some], list(range(len(some))), "int", path_of(F.col("u_")), F.col("u_")))
+        found = written(fits.join(named, "k_", "left").select("u_", F.least("best_", "of_").alias("best_")), "mode-found")
+    found = found.select("u_", F.col("best_.mode").alias("mode"))
+    return requests.join(found, url == F.col("u_"), "left").drop("u_")
 
 
 def route(requests: DataFrame, owners: DataFrame) -> DataFrame:

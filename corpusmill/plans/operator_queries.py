@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusmill.functions import items as I, text as T, urls as U, web
-from corpusmill.operators import control, cookies, dom, frontier, rules, scan, stats, structure
+from corpusmill.operators import control, cookies, dom, frontier, queues, rules, scan, stats, structure
 from corpusmill.plans import spider as S, tools
 from corpusmill.plans.queries import _EV, _HOST, _STATUS, _events, _le8, _status, _t, query
 from corpusmill.sources import sinks, store
@@ -544,6 +544,36 @@ def q_pending(spark, d):
     return frontier.pending_urls(f)
 
 
+@query("""WITH o AS (SELECT event_id, CAST(event_id % 5 AS INTEGER) AS priority FROM events), a AS (SELECT * FROM o WHERE event_id % 2 = 0 ORDER BY priority DESC, event_id LIMIT 60), b AS (SELECT * FROM o WHERE event_id NOT IN (SELECT event_id FROM a) ORDER BY priority DESC, event_id % 2, event_id LIMIT 90)
+SELECT event_id, priority, 1 AS pop FROM a UNION ALL SELECT event_id, priority, 2 FROM b""")
+def q_priority_frontier(spark, d):
+    """Two pushes, with a pop after each; the second takes what is left of the first before later requests of the same priority."""
+    held = queues.PriorityFrontier(spark, new_path(spark, "priority-frontier"))
+    e = _t(spark, d, "events").select("event_id", (F.col("event_id") % 5).cast("int").alias("priority"))
+    held.push(e.filter("event_id % 2 = 0"), "event_id")
+    first = held.pop(60)
+    held.push(e.filter("event_id % 2 = 1"), "event_id")
+    return first.select("event_id", "priority", F.lit(1).alias("pop")).union(held.pop(90).select("event_id", "priority", F.lit(2)))
+
+
+@query("SELECT event_id FROM events WHERE user_id % 3 <> 0")
+def q_seen_set(spark, d):
+    """Events of users that are not seen; only users that the filters know are joined with the set."""
+    e = _t(spark, d, "events").select("event_id", F.concat(F.lit("https://e.com/"), F.col("user_id").cast("string")).alias("url"), "user_id")
+    seen = queues.SeenSet(spark, new_path(spark, "seen-set"), expected=e.count())
+    seen.add(e.filter("user_id % 3 = 0"))
+    return seen.new_of(e).select("event_id")
+
+
+@query(rf"""WITH p AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages), r AS (SELECT page_id AS rule_order, CASE WHEN page_id % 3 = 0 THEN 'user' ELSE 'auto' END AS kind, '^' || regexp_extract(path, '^/[a-z]+/[0-9]') AS pattern, 'm' || page_id AS mode FROM p)
+SELECT page_id, arg_min(mode, (kind <> 'user', rule_order)) FILTER (regexp_matches(path, pattern)) AS mode FROM p, r GROUP BY page_id""")
+def q_rule_index(spark, d):
+    """A rule of each page: the begin of its path."""
+    p = _t(spark, d, "pages")
+    listed = p.select(F.when(F.col("page_id") % 3 == 0, "user").otherwise("auto").alias("kind"), F.col("page_id").cast("int").alias("rule_order"), F.concat(F.lit("^"), F.regexp_extract(U.path(F.col("url")), "^/[a-z]+/[0-9]", 0)).alias("pattern"), F.concat(F.lit("m"), F.col("page_id").cast("string")).alias("mode"))
+    return rules.resolve_modes(p.select("page_id", "url"), listed, few=10).select("page_id", "mode")
+
+
 @query("""WITH o AS (SELECT event_id AS seq, event_id % 2 AS half, 'u' || user_id AS url FROM events), w AS (SELECT url, seq FROM o WHERE half = 0),
 b AS (SELECT url, (SELECT max(seq) FROM w) + row_number() OVER (ORDER BY seq) AS seq FROM o WHERE half = 1) SELECT url, seq, true AS seen FROM w UNION ALL SELECT url, seq, true FROM b""")
 def q_import_state(spark, d):

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import Window, functions as F
 
-from corpusmill.operators import dom, frontier, scan, stats, structure
+from corpusmill.operators import dom, frontier, queues, rules, scan, stats, structure
 from corpusmill.operators.html_tree import parse
 from corpusmill.operators.selectors import Matcher
 from corpusmill.plans import spider as S
@@ -202,3 +202,72 @@ def test_state_expires_and_outlives_restarts(spark, tmp_path):
     firsts = keyed.first_of_key(E.event_source(spark, folder, schema, 2), ["k"], order=["seq"])
     E.run_available(firsts, f"{tmp_path}/at2", lambda df, batch: df.write.mode("append").parquet(f"{tmp_path}/out2"))
     assert sorted(r.seq for r in spark.read.parquet(f"{tmp_path}/out2").collect()) == [1, 2, 7, 8, 10]
+
+
+def test_required_literals():
+    cases = {"^/en/": "/en/", r"/products/\d+": "/products/", r"\d+-lastupdate-\d+\.html": "-lastupdate-", "a|b": "", "(abc|def)ghi": "ghi", "abcd?ef": "abc", "abcd+ef": "abcd", "ab{0,2}cde": "cde", "ab{2}cde": "cde", r"[^]x]abc\.d": "abc.d", "(?i)abc": "", r"a\wbcd": "bcd", "": "", "x*yz": "yz", r"\\Qa": "", "abc$": "abc", "[a-z]+": "", r"v1\/b": "v1/b"}
+    assert {p: rules.required_literal(p) for p in cases} == cases
+
+
+def test_many_mode_rules_equal_the_first_that_fits(spark):
+    import re
+
+    r = random.Random(4)
+    words = ["news", "shop", "item", "page", "de", "en", "archive", "v1"]
+    urls = [f"https://{r.choice('abc')}.example/" + "/".join(r.choice([*words, str(r.randint(0, 99))]) for _ in range(r.randint(0, 4))) for _ in range(300)] + [None, "no url", "https://a.example"]
+    shapes = [lambda: "/" + r.choice(words) + "/" + r.choice(words), lambda: rf"^/{r.choice(words)}/\d+$", lambda: r"/\d{2}" + r.choice("0123456789"), lambda: r.choice("abc") + r"\.example/" + r.choice(words), lambda: f"nothing{r.randint(0, 999)}", lambda: f"({r.choice(words)}|{r.choice(words)})/x?\\d", lambda: r"/[a-z]{" + str(r.randint(5, 9)) + "}$"]
+    listed = [(r.choice(["user", "auto"]), i, r.choice(shapes)(), f"m{i}") for i in range(400)]
+    requests = spark.createDataFrame([(u, i) for i, u in enumerate(urls)], "url string, n int")
+    table = spark.createDataFrame(listed, "kind string, rule_order int, pattern string, mode string")
+    ordered = sorted(listed, key=lambda x: (x[0] != "user", x[1]))
+
+    def first(u):
+        path = None if u is None else re.match(r"[a-z]+://[^/]*(.*)", u)
+        path = u if not path else path[1] or "/"
+        return None if u is None else next((m for _, _, p, m in ordered if re.search(p, path) or re.search(p, u)), None)
+
+    want = {i: first(u) for i, u in enumerate(urls)}
+    for few in (500, 3):
+        assert {x.n: x.mode for x in rules.resolve_modes(requests, table, few=few).collect()} == want
+    many = spark.range(100_000).select(F.lit("auto").alias("kind"), F.col("id").cast("int").alias("rule_order"), F.format_string("/book/%d/", "id").alias("pattern"), F.format_string("m%d", "id").alias("mode"))
+    asked = spark.createDataFrame([(f"https://a.example/book/{i}/x", i) for i in range(0, 100_000, 997)], "url string, n int")
+    assert all(x.mode == f"m{x.n}" for x in rules.resolve_modes(asked, many).collect())
+
+
+def test_priority_frontier_equals_a_sort(spark):
+    r, waiting, seq = random.Random(6), [], 0
+    f = queues.PriorityFrontier(spark, frontier.new_path(spark, "priority"))
+    assert f.pop(3) is None and len(f) == 0
+    for step in range(4):
+        rows = [(f"u{step}-{i}", r.choice([-3, -1, 0, 0, 5, None]), i) for i in range(12)]
+        f.push(spark.createDataFrame(rows, "url string, priority int, seq long"))
+        for u, p, _ in rows:
+            waiting.append((-(p or 0), seq, u))
+            seq += 1
+        k = r.randint(1, 9)
+        want, waiting = sorted(waiting)[:k], sorted(waiting)[k:]
+        got = f.pop(k)
+        assert [x.url for x in got.orderBy(F.desc("priority"), "seq").collect()] == [u for _, _, u in want]
+        again = queues.PriorityFrontier(spark, f.path)  # what is on disk is all there is
+        assert sorted((-x.priority, x.url) for x in again.pending().collect()) == sorted((p, u) for p, _, u in waiting)
+        if step == 1:
+            f.compact()
+    top = f.plan(1)
+    assert top == [-min(waiting)[0]] and all(f"of_={top[0]}/" in x for x in f._read(top, f._counts()).inputFiles())
+    f.push(spark.createDataFrame([], "url string, priority int, seq long"))
+    assert len(f) == len(waiting)
+
+
+def test_seen_set_is_exact_and_joins_little(spark):
+    s = queues.SeenSet(spark, frontier.new_path(spark, "seen"), expected=20_000, urls_per_bucket=2000)
+    url = lambda a, b: spark.range(a, b).select(F.format_string("https://e.com/%d", "id").alias("url"), "id")
+    assert s.new_of(url(0, 10)).count() == 10
+    s.add(url(0, 8000))
+    s.add(url(7000, 12_000))
+    asked = url(10_000, 30_000).union(url(29_999, 30_000)).union(spark.createDataFrame([(None, 1)], "url string, id long"))
+    assert s.maybe(url(0, 12_000)).filter("maybe").count() == 12_000  # none is missed
+    wrong = s.maybe(url(12_000, 30_000)).filter("maybe").count()
+    assert wrong < 0.02 * 18_000, wrong
+    got = s.new_of(asked).collect()
+    assert sorted((x.id, x.url is None) for x in got) == sorted([(i, False) for i in range(12_000, 30_000)] + [(29_999, False), (1, True)])
+    assert queues.SeenSet(spark, s.path, expected=20_000, urls_per_bucket=2000).urls().distinct().count() == 12_000
