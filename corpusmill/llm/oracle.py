@@ -73,11 +73,12 @@ URLS = rf"""
 WITH RECURSIVE u AS (SELECT page_id, coalesce(translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), '{_UPPER}', '{_UPPER.lower()}'), '') AS host, coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 r AS (SELECT *, {_rule_case(lambda r: r.host + r.path)} AS rule, {_rule_case(lambda r: r.verdict)} AS said, list_transform(string_split(path, '/'), lambda s: {_SEGMENT}) AS segs FROM u),
 t AS (SELECT host, segs, count(said) AS labelled, count(*) FILTER (said = 'block') AS bad FROM r GROUP BY host, segs),
-x AS (SELECT host, k, segs[1:k] AS node, sum(labelled) AS n, sum(bad) AS bad FROM (SELECT *, unnest(range(len(segs) + 1)) AS k FROM t) GROUP BY host, k, segs[1:k]),
-f AS (SELECT t.host, t.segs, 0 AS k, (x.bad + 1.0::DOUBLE) / (x.n + 2) AS share FROM t JOIN x ON x.host = t.host AND x.k = 0
-  UNION ALL SELECT f.host, f.segs, x.k, CASE WHEN x.n = 0 OR abs(x.bad::DOUBLE / x.n - f.share) <= 1.96 * sqrt(f.share * (1 - f.share) / x.n) THEN f.share ELSE (x.bad + 2 * f.share) / (x.n + 2) END
-  FROM f JOIN x ON x.host = f.host AND x.k = f.k + 1 AND x.node = f.segs[1 : f.k + 1] AND f.k < len(f.segs))
-SELECT page_id, r.host, r.path, r.rule, coalesce(said, CASE WHEN f.share >= 0.9 THEN 'block' ELSE 'allow' END) AS verdict FROM r JOIN f ON f.host = r.host AND f.segs = r.segs AND f.k = len(f.segs)"""
+x AS (SELECT host, k, list_append(segs, '/')[1:k] AS node, sum(labelled) AS n, sum(bad) AS bad FROM (SELECT *, unnest(range(len(segs) + 2)) AS k FROM t) GROUP BY ALL),
+g AS (SELECT least(0.5::DOUBLE, (sum(bad) + 1)::DOUBLE / (sum(labelled) + 2)) AS prior FROM t),
+f AS (SELECT t.host, t.segs, 0 AS k, (x.bad + 2 * prior) / (x.n + 2) AS share FROM t JOIN x ON x.host = t.host AND x.k = 0, g
+  UNION ALL SELECT f.host, f.segs, x.k, CASE WHEN x.n = 0 THEN (f.share + prior) / 2 WHEN abs(x.bad::DOUBLE / x.n - f.share) <= 1.96 * sqrt(f.share * (1 - f.share) / x.n) THEN f.share ELSE (x.bad + 2 * f.share) / (x.n + 2) END
+  FROM f JOIN x ON x.host = f.host AND x.k = f.k + 1 AND x.node = list_append(f.segs, '/')[1 : f.k + 1] AND f.k <= len(f.segs), g)
+SELECT page_id, r.host, r.path, r.rule, coalesce(said, CASE WHEN f.share >= 0.9 THEN 'block' ELSE 'allow' END) AS verdict FROM r JOIN f ON f.host = r.host AND f.segs = r.segs AND f.k = len(f.segs) + 1"""
 
 _BITS = "('0x' || substr(hex, 5 * (i // 4) + 1, 5))::BIGINT"
 WARC = f"""

@@ -2,8 +2,9 @@
 
 Per host, paths form a tree of segments. Segments that are numbers, long hexadecimal strings or mixtures with digits
 become wildcards by their form, and at every level those among very many siblings by their rarity. A branch whose
-share of bad labels does not differ significantly from that of the branch it grows from, as when it has no labels, merges with
-that one and takes its share; others have their own, smoothed towards it. A template is rejected when its share is high.
+share of bad labels does not differ significantly from that of the branch it grows from merges with
+that one and takes its share; others have their own, smoothed towards it, and those without labels go back towards the share
+of all hosts. A template is rejected when its share is high.
 """
 
 from __future__ import annotations
@@ -59,8 +60,10 @@ def _shape(path: Column) -> Column:
 
 
 def _nodes(k_from: int = 0) -> Column:
-    """Of segs the branches that the template lies in, from level k_from on: level, and hash of all segments up to there."""
-    return F.transform(F.sequence(F.lit(k_from), F.greatest(F.size("segs"), F.lit(k_from))), lambda k: F.struct(k.alias("k"), F.xxhash64(k, F.slice("segs", F.lit(1), k)).alias("node")))
+    """Of segs the branches that the template lies in, from level k_from on: level, and hash of all segments up to there. Last comes the
+    end of the template itself, which has its labels without those of longer ones."""
+    ended = F.concat("segs", F.array(F.lit("/")))
+    return F.transform(F.sequence(F.lit(k_from), F.greatest(F.size("segs") + 1, F.lit(k_from))), lambda k: F.struct(k.alias("k"), F.xxhash64(k, F.slice(ended, F.lit(1), k)).alias("node")))
 
 
 def template_tree(counted: DataFrame, max_children: int = 50, min_share: float = 0.02) -> DataFrame:
@@ -93,10 +96,13 @@ def template_tree(counted: DataFrame, max_children: int = 50, min_share: float =
 def judged_templates(tree: DataFrame, reject: float = 0.9, z: float = 1.96, strength: float = 2.0) -> DataFrame:
     """host, shape, template, bad_share and rejected.
 
-    From the host down: the host's share is (bad + strength / 2) / (labelled + strength); a branch whose own share is within z
-    standard errors of that of the branch above, or that has no labels, takes that one; else its share is (bad + strength * above) /
-    (labelled + strength). So templates without labels have the share of the branch they merge with, and 1/2 on hosts without labels.
+    From the host down: the host's share is (bad + strength * prior) / (labelled + strength), prior being (bad + 1) / (labelled + 2) over all hosts, but 1/2 at most;
+    a branch with labels whose own share is within z standard errors of that of the branch above merges with it and takes its share; else its share is (bad + strength * above) /
+    (labelled + strength). A branch without labels is no evidence of being like the one above: with every such level the share that it inherits goes half of the
+    way back to the prior, so that one labelled branch, of a host whose labels can only be bad, say, does not reject the others.
     """
+    sums = tree.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.coalesce(F.sum("labelled"), F.lit(0)).alias("labelled")).first()
+    prior = min(0.5, (sums.bad + 1) / (sums.labelled + 2))
     tree = tree.withColumn("template", F.array_join("segs", "/"))
     at = tree.select("host", "template", "bad", "labelled", F.explode(_nodes()).alias("x")).select("host", "template", "bad", "labelled", "x.k", "x.node")
     nodes = at.groupBy("host", "k", "node").agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"))
@@ -106,10 +112,10 @@ def judged_templates(tree: DataFrame, reject: float = 0.9, z: float = 1.96, stre
     def below(above: Column, x: Column) -> Column:
         own = (x["bad"] + strength * above) / (x["labelled"] + strength)
         n = F.greatest(x["labelled"], F.lit(1))
-        alike = (x["labelled"] == 0) | (F.abs(x["bad"] / n - above) <= z * F.sqrt(above * (1 - above) / n))
-        return F.when((x["k"] > 0) & alike, above).otherwise(own)
+        alike = F.abs(x["bad"] / n - above) <= z * F.sqrt(above * (1 - above) / n)
+        return F.when((x["k"] > 0) & (x["labelled"] == 0), (above + prior) / 2).when((x["k"] > 0) & alike, above).otherwise(own)
 
-    judged = chains.select("host", "template", F.aggregate("chain", F.lit(0.5), below).alias("bad_share"))
+    judged = chains.select("host", "template", F.aggregate("chain", F.lit(prior), below).alias("bad_share"))
     return tree.select("host", "shape", "template").join(judged, ["host", "template"]).withColumn("rejected", F.col("bad_share") >= reject)
 
 

@@ -178,7 +178,10 @@ def test_templates_reject_by_purity(spark):
     rows = [f"https://bad.com/ads/1{i}" for i in range(30)] + [f"https://bad.com/ads/2{i}" for i in range(30)] + [f"https://bad.com/news/{i}" for i in range(30)]
     df = spark.createDataFrame([(i, u) for i, u in enumerate(rows)], "page_id long, url string")
     got = {r.url: r.verdict for r in url_filter.judge(df, block).collect()}
-    assert got["https://bad.com/ads/21"] == "block" and got["https://bad.com/news/3"] == "block"  # no label says otherwise, so it merges with its host
+    assert got["https://bad.com/ads/21"] == "block" and got["https://bad.com/news/3"] == "allow"  # no label says anything of it
+    one_sided = [f"https://x.net/es/{i}" for i in range(40)] + ["https://x.net/", "https://x.net/about", "https://x.net"] + [f"https://x.net/de/news/{i}" for i in range(9)]
+    found = url_filter.judge(spark.createDataFrame([(u,) for u in one_sided], "url string")).collect()
+    assert {r.url for r in found if r.verdict == "allow"} == set(one_sided[40:]) and {r.verdict for r in found if r.rule} == {"block"}
     good = spark.createDataFrame([(f"https://bad.com/news/{i}", 0) for i in range(9)], "url string, bad int")
     got = {r.url: r.verdict for r in url_filter.judge(df, block, labels=good).collect()}
     assert got["https://bad.com/ads/21"] == "block" and got["https://bad.com/news/3"] == "allow"
@@ -190,20 +193,26 @@ def test_templates_reject_by_purity(spark):
 def brute_shares(rows, z=1.96, strength=2.0):
     """(host, template) -> share, for templates (tuples of segments) with labels 0, 1 or None."""
     nodes = collections.defaultdict(lambda: [0, 0])
+    rows = [(host, (*t, "end"), bad) for host, t, bad in rows]
     for host, t, bad in rows:
         for k in range(len(t) + 1):
             if bad is not None:
                 nodes[host, t[:k]][0] += bad
                 nodes[host, t[:k]][1] += 1
     out = {}
+    known = [bad for _, _, bad in rows if bad is not None]
+    prior = min(0.5, (sum(known) + 1) / (len(known) + 2))
     for host, t, _ in rows:
-        share = 0.5
+        share = prior
         for k in range(len(t) + 1):
             bad, n = nodes[host, t[:k]]
-            if k and (n == 0 or abs(bad / n - share) <= z * (share * (1 - share) / n) ** 0.5):
+            if k and n == 0:
+                share = (share + prior) / 2
+                continue
+            if k and abs(bad / n - share) <= z * (share * (1 - share) / n) ** 0.5:
                 continue
             share = (bad + strength * share) / (n + strength)
-        out[host, t] = share
+        out[host, t[:-1]] = share
     return out
 
 
