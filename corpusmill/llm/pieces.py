@@ -1,10 +1,11 @@
 """SentencePiece encoding and decoding, giant documents in parallel by a max-plus scan over chunks.
 
-The model is byte-pair encoding, whose result is the one sequence of pieces in which every two neighbours are
-compatible: encoding their joint text gives these two. So encoding is a best path in a lattice of pieces with weight 0
-for compatible neighbours and minus infinity for others, and what a chunk does to it is a max-plus matrix from
-the pieces that may lie across its left end to those across its right end. As the weights are 0 and minus infinity, a
-matrix is kept as the set of its finite entries. Matrices are combined associatively, which gives the piece
+For a unigram model an encoding is the best path of a lattice of pieces, by the sum of their scores. What a chunk does to it is a max-plus matrix from the
+characters by which a piece may reach over its left end to those by which one may reach over its right end. For byte-pair encoding the weights are others: its result is the one sequence of pieces in which every two neighbours are
+compatible: encoding their joint text gives these two. So it is a best path with weight 0
+for compatible neighbours and minus infinity for others, and the states are
+the pieces that may lie across a chunk's ends. As the weights are 0 and minus infinity, such a
+matrix is kept as the set of its finite entries. Matrices of either kind are combined associatively, which gives the piece
 across each chunk end; then every chunk backtraces its own path. Where a word begins a piece begins, so a chunk with a
 word has a matrix of rank one, and what lies between its first and last word is encoded by the library.
 """
@@ -42,6 +43,9 @@ class PieceModel:
         self.ids = {p.piece: i for i, p in enumerate(m.pieces) if p.type in (1, 4, 5)}
         n, t = m.normalizer_spec, m.trainer_spec
         crossing = any(_SPACE in p.lstrip(_SPACE) for p in self.scores)
+        plain = t.byte_fallback and not t.treat_whitespace_as_suffix and not n.precompiled_charsmap and n.add_dummy_prefix and not n.remove_extra_whitespaces and n.escape_whitespaces and all(p.type != 4 for p in m.pieces)
+        self.scored = t.model_type == 1 and plain
+        self.unknown = min((p.score for p in m.pieces if p.type == 1), default=0.0) - 10  # fixed value: the library's penalty
         self.simple = t.model_type == 2 and t.byte_fallback and not t.treat_whitespace_as_suffix and not n.precompiled_charsmap and n.add_dummy_prefix and not n.remove_extra_whitespaces and n.escape_whitespaces and not crossing and all(p.type != 4 for p in m.pieces)
         self.longest = max(map(len, self.scores))
         self.byte_ids = [self.sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)] if t.byte_fallback else []
@@ -68,6 +72,45 @@ class PieceModel:
                 self.pairs[a, b] = got
         return got
 
+    def weighed(self, s: str, p: int):
+        """The pieces that s may have at p in a unigram model, with their scores; a character that is no piece has the score of unknown ones."""
+        for n in range(1, min(self.longest, len(s) - p) + 1):
+            score = self.scores.get(s[p : p + n])
+            if score is not None:
+                yield n, score
+            elif n == 1:
+                yield 1, self.unknown
+
+    def matrix(self, s: str, b: int, e: int, first: bool, last: bool) -> np.ndarray:
+        """The best score, over pieces that begin in s[b:e], from each place b + i to each place e + j; i and j are 0 at the document's ends."""
+        n, width = e - b, self.longest
+        best = np.full((n + width + 1, width), -np.inf)
+        starts = 1 if first else width
+        best[np.arange(starts), np.arange(starts)] = 0
+        for p in range(n):
+            row = best[p]
+            if row.max() > -np.inf:
+                for size, score in self.weighed(s, b + p):
+                    np.maximum(best[p + size], row + score, out=best[p + size])
+        out = best[n : n + width].T.copy()
+        if last:
+            out[:, 1:] = -np.inf
+        return out
+
+    def best_path(self, s: str, b: int, e: int, left: int, right: int) -> list[int]:
+        """Ids of the pieces that begin in s[b:e], on the best path from b + left to e + right."""
+        best, back = {b + left: 0.0}, {}
+        for p in range(b + left, e):
+            if p in best:
+                for size, score in self.weighed(s, p):
+                    if best[p] + score > best.get(p + size, -np.inf):
+                        best[p + size], back[p + size] = best[p] + score, p
+        at, pieces = e + right, []
+        while at in back:
+            pieces.append(s[back[at] : at])
+            at = back[at]
+        return self.piece_ids(pieces[::-1])
+
     def piece_ids(self, pieces: list[str]) -> list[int]:
         return [x for p in pieces for x in ([self.ids[p]] if p in self.ids else [self.byte_ids[b] for b in p.encode()])]
 
@@ -197,6 +240,19 @@ def boundary_states(matrices: list[set]) -> list[State]:
     return [EDGE, *out[::-1]]
 
 
+def best_states(matrices: list[np.ndarray]) -> list[int]:
+    """As boundary_states(), of a unigram model: at each end between chunks, and at the document's two ends, the characters by which the best path's piece reaches over it."""
+    product = lambda a, b: (a[:, :, None] + b[None, :, :]).max(1)
+    prefix, step = [m[:1] if i == 0 else m for i, m in enumerate(matrices)], 1
+    while step < len(prefix):
+        prefix = [product(prefix[i - step], x) if i >= step else x for i, x in enumerate(prefix)]
+        step *= 2
+    out = [0]
+    for i in range(len(matrices) - 1, 0, -1):
+        out.append(int((prefix[i - 1][0] + matrices[i][:, out[-1]]).argmax()))
+    return [0, *out[::-1]]
+
+
 @lru_cache(maxsize=2)
 def model(path: str) -> PieceModel:
     return PieceModel(path)
@@ -211,7 +267,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     Texts up to `chunk` characters are encoded by the library at once; longer ones are cut into chunks of that many, which go
     to tasks of their own. In a chunk the lattice covers what lies before its first and after its last word; the words in between
     have the same pieces whatever surrounds them, and are encoded by the library. Null and empty texts have no ids. Rows with repeated or null doc_ids stay apart by key.
-    A model that normalises texts, or is no byte-pair model, is applied to whole texts only.
+    Of a unigram model the matrices hold scores, in double precision; where two segmentations score the same, or differ by less than the rounding of the library's single precision,
+    which grows with the text, ids may be those of the other one. A model that normalises texts, lacks bytes, or is of another kind, is applied to whole texts only.
     """
     need(docs, id_col, text_col)
 
@@ -222,10 +279,11 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 m = model(path)
                 rows = []
                 texts = batch.column(1).to_pylist()
-                small = [t or "" if not t or len(t) <= chunk or not m.simple else "" for t in texts]
+                whole_only = not (m.simple or m.scored)
+                small = [t or "" if not t or len(t) <= chunk or whole_only else "" for t in texts]
                 for doc_id, t, ids in zip(batch.column(0).to_pylist(), texts, m.sp.encode(small, num_threads=1), strict=True):
                     key += 1
-                    if not t or len(t) <= chunk or not m.simple:
+                    if not t or len(t) <= chunk or whole_only:
                         rows.append((key, doc_id, 0, 1, 0, 0, None, np.array(ids, np.uint32).tobytes()))
                         continue
                     s, edge = _SPACE + t.replace(" ", _SPACE), m.longest + 1
@@ -239,18 +297,22 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         for pdf in batches:
             found = []
             for r in pdf.itertuples():
-                entries = model(path).transfer(r.s, r.b, r.e, r.chunk == 0, r.chunk + 1 == r.chunks)
-                found.append([[*x, *y] for x, y in sorted(entries)])
+                m, ends = model(path), (r.chunk == 0, r.chunk + 1 == r.chunks)
+                found.append(m.matrix(r.s, r.b, r.e, *ends).tolist() if m.scored else [[float(v) for v in (*x, *y)] for x, y in sorted(m.transfer(r.s, r.b, r.e, *ends))])
             yield pd.DataFrame({"key": pdf["key"], "chunk": pdf["chunk"], "m": found})
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("chunk")
-        states = boundary_states([{((a, b), (c, d)) for a, b, c, d in m} for m in pdf["m"]])
+        if model(path).scored:
+            states = [[x] for x in best_states([np.stack(m) for m in pdf["m"]])]
+        else:
+            states = boundary_states([{((int(a), int(b)), (int(c), int(d))) for a, b, c, d in m} for m in pdf["m"]])
         return pd.DataFrame({"key": pdf["key"], "chunk": pdf["chunk"], "l": [list(x) for x in states[:-1]], "r": [list(x) for x in states[1:]]})
 
     def trace(batches):
         for pdf in batches:
-            ids = [np.array(model(path).backtrace(r.s, r.b, r.e, tuple(r.l), tuple(r.r)), np.uint32).tobytes() for r in pdf.itertuples()]
+            m = model(path)
+            ids = [np.array(m.best_path(r.s, r.b, r.e, int(r.l[0]), int(r.r[0])) if m.scored else m.backtrace(r.s, r.b, r.e, tuple(r.l), tuple(r.r)), np.uint32).tobytes() for r in pdf.itertuples()]
             yield pd.DataFrame({"key": pdf["key"], "doc_id": pdf["doc_id"], "chunk": pdf["chunk"], "ids": ids})
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -260,7 +322,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = written(source.mapInArrow(first, _FIRST), "pieces")
     long = rows.filter("chunks > 1").repartition("key", "chunk")
-    matrices = written(long.select("key", "chunk", "chunks", "b", "e", "s").mapInPandas(transfers, "key long, chunk int, m array<array<int>>"), "piece-matrices")
+    matrices = written(long.select("key", "chunk", "chunks", "b", "e", "s").mapInPandas(transfers, "key long, chunk int, m array<array<double>>"), "piece-matrices")
     tasks = max(1, matrices.count() // 256)  # else Spark would put the small matrices of many documents into one task
     states = written(matrices.repartition(tasks, "key").groupBy("key").applyInPandas(scan, "key long, chunk int, l array<int>, r array<int>"), "piece-states")
     traced = rows.filter("chunks > 1").join(states, ["key", "chunk"]).select("key", "doc_id", "chunk", "b", "e", "s", "l", "r").mapInPandas(trace, "key long, doc_id long, chunk int, ids binary")

@@ -144,3 +144,48 @@ def test_vectors_of_any_size_and_repeated_ids(spark):
     df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
     got = sorted((r.vec_id, r.n_links, r.component_id) for r in embeddings.near_duplicates(df).collect())
     assert got == [(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 1, 4), (5, 1, 5), (5, 1, 5), (7, 1, 5), (8, 1, 5), (9, 1, 4), (10, 0, 10)]
+
+
+def unigram_model(folder, seed=3):
+    """A unigram model file with made-up scores."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    r, m = random.Random(seed), pb.ModelProto()
+    add = lambda piece, score, kind: m.pieces.add(piece=piece, score=score, type=kind)
+    add("<unk>", 0, 2), add("<s>", 0, 3), add("</s>", 0, 3)
+    for b in range(256):
+        add(f"<0x{b:02X}>", 0, 6)
+    parts = {"▁", *"abcdef", "é"} | {"".join(r.choice("abcdef▁") for _ in range(r.randint(2, 7))) for _ in range(400)}
+    for p in sorted(parts):
+        add(p, -r.uniform(2, 12) * (1 + len(p) / 4), 1)
+    m.trainer_spec.model_type, m.trainer_spec.byte_fallback, m.trainer_spec.vocab_size = 1, True, len(m.pieces)
+    m.normalizer_spec.name, m.normalizer_spec.add_dummy_prefix, m.normalizer_spec.remove_extra_whitespaces, m.normalizer_spec.escape_whitespaces = "identity", True, False, True
+    path = f"{folder}/unigram.model"
+    with open(path, "wb") as f:
+        f.write(m.SerializeToString())
+    return path
+
+
+def test_unigram_chunks_equal_the_library(spark, tmp_path):
+    path = unigram_model(tmp_path)
+    m, r = pieces.model(path), random.Random(8)
+    assert m.scored and not m.simple
+    texts = ["".join(r.choice("abcdef é漢") for _ in range(r.randint(1, 300))) for _ in range(60)] + [None, "", " ", " " * 40]
+    for chunk in (3, 11, 64):
+        got = {x.doc_id: np.frombuffer(x.ids, np.uint32).tolist() for x in pieces.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), path, chunk=chunk).collect()}
+        assert got == {i: m.sp.encode(t or "") for i, t in enumerate(texts)}
+
+
+def test_max_plus_products_are_associative(tmp_path):
+    m, r = pieces.model(unigram_model(tmp_path, 4)), random.Random(2)
+    s = "▁" + "".join(r.choice("abcdef▁") for _ in range(120))
+    cuts = [0, 1, 5, 40, 41, 100, len(s)]
+    parts = [m.matrix(s, a, b, a == 0, b == len(s)) for a, b in zip(cuts, cuts[1:], strict=False)]
+    states = pieces.best_states(parts)
+    ids = [i for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) for i in m.best_path(s, a, b, states[k], states[k + 1])]
+    assert ids == m.best_path(s, 0, len(s), 0, 0) == m.sp.encode(s[1:].replace("▁", " "))
+    whole = m.matrix(s, 0, len(s), True, True)[0, 0]
+    for k in range(1, len(parts)):
+        left = m.matrix(s, 0, cuts[k], True, False)
+        right = m.matrix(s, cuts[k], len(s), False, True)
+        assert abs((left[0] + right[:, 0]).max() - whole) < 1e-9
