@@ -371,16 +371,20 @@ class LinkTable:
 
     FORM = "source string, place long, url string, callback string, meta string, only_for string"
 
-    def __init__(self, links: DataFrame, stored: DataFrame, buckets: int = 32):
-        self.spark, self.buckets = links.sparkSession, buckets
+    def __init__(self, links: DataFrame, stored: DataFrame, buckets: int | None = None, rows_per_bucket: int = 500_000):
+        self.spark = links.sparkSession
+        if buckets is None:  # a directory holds about so many links
+            links = written(links, "all-links")
+            buckets = min(1024, 1 + links.count() // rows_per_bucket)
+        self.buckets = buckets
         root = new_path(self.spark, "links")
         self.links_path, self.stored_path = f"{root}/links", f"{root}/stored"
         for name in ("callback", "meta", "only_for"):
             if name not in links.columns:
                 links = links.withColumn(name, F.lit(None).cast("string"))
         rows = links.select("source", F.col("place").cast("long").alias("place"), "url", "callback", "meta", "only_for", self.bucket("source"))
-        rows.repartition("bucket_", F.pmod("place", F.lit(4))).write.partitionBy("bucket_").parquet(self.links_path)
-        stored.select("url").distinct().withColumn("bucket_", self.bucket("url")).repartition("bucket_").write.partitionBy("bucket_").parquet(self.stored_path)
+        rows.repartition(4 * buckets, "bucket_", F.pmod("place", F.lit(4))).write.partitionBy("bucket_").parquet(self.links_path)
+        stored.select("url").distinct().withColumn("bucket_", self.bucket("url")).repartition(buckets, "bucket_").write.partitionBy("bucket_").parquet(self.stored_path)
 
     def bucket(self, url: str) -> Column:
         return F.pmod(F.xxhash64(url), F.lit(self.buckets)).cast("int").alias("bucket_")
@@ -392,6 +396,7 @@ class LinkTable:
         return self.spark.read.schema("url string, bucket_ int").parquet(self.stored_path).filter(F.col("bucket_").isin(buckets))
 
 
+_FEW = 100_000  # rows that one window may take
 _ROUND = "url string, callback string, meta string, depth int, place long, stored boolean, round int, bucket_ int"
 
 
@@ -426,18 +431,21 @@ def crawl(table: LinkTable, start: DataFrame, state: str | None = None, rounds:
             return
         near = near.select(F.col("url").alias("n_url"))
         rows = rows.join(near, F.col("url") == F.col("n_url"), "left").select("url", "callback", "meta", "depth", "place", F.col("n_url").isNotNull().alias("stored"), table.bucket("url"))
-        rows.repartition("bucket_").write.mode("overwrite").partitionBy("bucket_").parquet(f"{path}/round={r}")
+        rows.repartition(table.buckets, "bucket_").write.mode("overwrite").partitionBy("bucket_").parquet(f"{path}/round={r}")
 
     def step(rows: DataFrame, r: int) -> DataFrame:
         """The first push of each url, by the order of sources and places; a table by buckets."""
         first = rows.groupBy("url").agg(F.min_by(F.struct("callback", "meta", "depth"), F.struct("source_place", "place")).alias("r_"), F.min(F.struct("source_place", "place")).alias("o_"))
         first = first.select("url", "r_.*", "o_.*", table.bucket("url"))
-        first.write.mode("overwrite").partitionBy("bucket_").parquet(f"{state}/new/step={r}")
+        first.repartition(table.buckets, "bucket_").write.mode("overwrite").partitionBy("bucket_").parquet(f"{state}/new/step={r}")
         return spark.read.schema("url string, callback string, meta string, depth int, source_place long, place long, bucket_ int").parquet(f"{state}/new/step={r}")
 
-    def ordered(rows: DataFrame, base: int) -> DataFrame:
-        rows = rows.withColumnRenamed("place", "link_place")
-        return placed(rows, F.asc("source_place"), F.asc("link_place"), F.asc("url")).withColumn("place", F.col("place") + base)
+    def ordered(rows: DataFrame, base: int, most_rows: int) -> DataFrame:
+        """rows numbered on from base; a bounded number of them in one window, which takes fewer jobs, and more of them by ranges."""
+        rows, order = rows.withColumnRenamed("place", "link_place"), (F.asc("source_place"), F.asc("link_place"), F.asc("url"))
+        if most_rows <= _FEW:
+            return rows.withColumn("place", F.row_number().over(Window.orderBy(*order)) - 1 + F.lit(base).cast("long"))
+        return placed(rows, *order).withColumn("place", F.col("place") + base)
 
     def so_far(last: int) -> DataFrame:
         return spark.read.schema(_ROUND).parquet(path).filter(F.col("round") <= last)
@@ -448,7 +456,8 @@ def crawl(table: LinkTable, start: DataFrame, state: str | None = None, rounds:
             if name not in start.columns:
                 start = start.withColumn(name, F.lit(None).cast("string"))
         rows = start.select("url", "callback", "meta", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("source_place"), F.col("place").cast("long").alias("place"))
-        put(ordered(step(rows, 0), 0), 0)
+        first = step(rows, 0)
+        put(ordered(first, 0, first.count()), 0)
         whole = [0]
     r = whole[-1]
     counts = so_far(r).agg(F.count(F.lit(1)).alias("n"), F.count_if("stored").alias("stored"), F.count_if(F.col("round") == r).alias("last")).first()
@@ -462,8 +471,8 @@ def crawl(table: LinkTable, start: DataFrame, state: str | None = None, rounds:
         new = step(links_.select("url", "callback", "meta", F.lit(r + 1).alias("depth"), "source_place", "place"), r + 1)
         buckets = _below(spark, f"{state}/new/step={r + 1}", "bucket_")
         known = so_far(r).filter(F.col("bucket_").isin(buckets)).select(F.col("url").alias("k_url")) if buckets else None
-        put(ordered(new if known is None else new.join(known, F.col("url") == F.col("k_url"), "left_anti"), n), r + 1)
+        put(ordered(new if known is None else new.join(known, F.col("url") == F.col("k_url"), "left_anti"), n, new.count()), r + 1)
         r += 1
-        got = so_far(r).filter(F.col("round") == r).agg(F.count(F.lit(1)).alias("n"), F.count_if("stored").alias("stored")).first()
+        got = spark.read.schema(_ROUND.replace(" round int,", "")).parquet(f"{path}/round={r}").agg(F.count(F.lit(1)).alias("n"), F.count_if("stored").alias("stored")).first()
         last, n, found = got.n, n + got.n, found + got.stored
     return so_far(r).drop("bucket_")

@@ -74,9 +74,46 @@ def descendants() -> Column:
     return F.col("last_id") - F.col("node_id")
 
 
+def intervals(e: DataFrame, id_col: str = "page_id") -> DataFrame:
+    """A whole element table (id_col, node_id in document order, depth) with last_id, the number of the last element below each, from the depths alone."""
+    kind = dict(e.dtypes)[id_col]
+    rows = e.select(F.col(id_col).alias("page"), "node_id", "depth").filter("page is not null").repartition("page").sortWithinPartitions("page", "node_id")
+
+    def ends(batches):
+        page, stack, before, found = None, [], 0, ([], [], [])
+
+        def close(depth: int) -> None:
+            while stack and stack[-1][1] >= depth:
+                found[0].append(page), found[1].append(stack.pop()[0]), found[2].append(before)
+
+        def batch():
+            made = pa.RecordBatch.from_arrays([pa.array(found[0], _arrow(kind)), pa.array(found[1], pa.int32()), pa.array(found[2], pa.int32())], names=["p_", "n_", "last_id"])
+            for x in found:
+                x.clear()
+            return made
+
+        for b in batches:
+            for p, node, depth in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if p != page:
+                    close(-1)
+                    page = p
+                close(depth)
+                stack.append((node, depth))
+                before = node
+                if len(found[0]) > 50_000:
+                    yield batch()
+        close(-1)
+        if found[0]:
+            yield batch()
+
+    last = rows.mapInArrow(ends, f"p_ {kind}, n_ int, last_id int")
+    return e.join(last, (F.col(id_col) == F.col("p_")) & (F.col("node_id") == F.col("n_"))).drop("p_", "n_")
+
+
 def ancestors(e: DataFrame, id_col: str = "page_id") -> DataFrame:
     """(id_col, node_id, ancestor, distance), up to the root: a row for each pair, which in deep trees are many; contained() and select_rows() ask what they
-    have to of intervals instead."""
+    have to of intervals instead. e is a whole element table, with last_id or, if that is missing, with depth."""
+    e = e if "last_id" in e.columns else intervals(e, id_col)
     return contained(e, e, id_col).select(id_col, F.col("inner").alias("node_id"), F.col("outer").alias("ancestor"), "distance")
 
 

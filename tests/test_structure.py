@@ -51,6 +51,8 @@ def test_contained_and_counts(trees):
     assert {tuple(r) for r in structure.contained(div, p).collect()} == want
     assert {tuple(r) for r in structure.contained(div, p, nearest=True).collect()} == {x for x in want if x[3] == 1}
     assert {(r.page_id, r.node_id): r.inside for r in structure.count_inside(div, p).collect()} == counts
+    again = structure.intervals(e.drop("last_id")).select("page_id", "node_id", "last_id").collect()
+    assert {tuple(r) for r in again} == {(r.page_id, r.node_id, r.last_id) for r in e.collect()}
     up = {(p, n.id, a.id, k) for p, root in roots.items() for n in root.walk() for k, a in enumerate(n.ancestors(), 1)}
     assert {tuple(r) for r in dom.ancestors(e).collect()} == up
     assert structure.contained(div.limit(0), p).count() == structure.contained(div, p.limit(0)).count() == 0
@@ -155,7 +157,8 @@ def queue(links, stored, start, most_depth):
     return {u: (*found[u], k) for k, u in enumerate(order)}
 
 
-def test_crawl_equals_a_queue(spark):
+@pytest.mark.parametrize("limit", [100_000, 0])
+def test_crawl_equals_a_queue(spark, limit, monkeypatch):
     r = random.Random(13)
     names = [f"u{i}" for i in range(60)]
     links = list({(s, k): (s, k, r.choice(names), r.choice(["a", "b"]), r.choice(["", "", "a"])) for s in names[:45] for k in range(r.randint(0, 4))}.values())
@@ -165,6 +168,7 @@ def test_crawl_equals_a_queue(spark):
     table = frontier.LinkTable(df, spark.createDataFrame([(u,) for u in stored], "url string"), buckets=5)
     start = spark.createDataFrame([(u, i) for i, u in enumerate(["u3", "u9", "u3"])], "url string, place long")
     key = lambda rows: {x.url: (x.callback, x.depth, x.place) for x in rows}
+    monkeypatch.setattr(frontier, "_FEW", limit)  # all numbering in one window, or none
     got = frontier.crawl(table, start).collect()
     assert key(got) == queue_of(links, stored, 99) and all(x.stored == (x.url in stored) for x in got)
     state = frontier.new_path(spark, "crawl-test")
