@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from corpusmill.operators import scan
 
 PROCEED, SKIP, DELAY, ABORT = "proceed", "skip", "delay", "abort"
 
@@ -12,14 +14,13 @@ PROCEED, SKIP, DELAY, ABORT = "proceed", "skip", "delay", "abort"
 def control_filter(requests: DataFrame, control: DataFrame, key: str = "url") -> tuple[DataFrame, DataFrame]:
     """Requests that may go on, and those that wait as they are paused. control: url (null for all) and state, cancelled, paused or
     shutdown; a cancelled url is dropped, and after a shutdown nothing goes on or waits."""
-    down = control.filter("state = 'shutdown'").select(F.lit(1).alias("down_")).limit(1)
-    open_ = requests.join(down, F.lit(True), "left_anti")
-    named = lambda state: control.filter((F.col("state") == state) & F.col("url").isNotNull()).select(F.col("url").alias("c_url")).distinct()
-    everything = lambda state: control.filter((F.col("state") == state) & F.col("url").isNull()).select(F.lit(1).alias("all_")).limit(1)
-    alive = open_.join(named("cancelled"), F.col(key) == F.col("c_url"), "left_anti").join(everything("cancelled"), F.lit(True), "left_anti")
-    going = alive.join(named("paused"), F.col(key) == F.col("c_url"), "left_anti").join(everything("paused"), F.lit(True), "left_anti")
-    waiting = alive.join(named("paused"), F.col(key) == F.col("c_url"), "left_semi").unionByName(alive.join(named("paused"), F.col(key) == F.col("c_url"), "left_anti").join(everything("paused"), F.lit(True), "left_semi"))
-    return going, waiting
+    is_ = lambda state: F.col("state") == state
+    named = control.filter("url is not null").groupBy(F.col("url").alias("c_url")).agg(F.bool_or(is_("cancelled")).alias("cancelled_"), F.bool_or(is_("paused")).alias("paused_"))
+    everything = control.agg(F.bool_or(is_("shutdown")).alias("down_"), F.bool_or(is_("cancelled") & F.col("url").isNull()).alias("all_cancelled_"), F.bool_or(is_("paused") & F.col("url").isNull()).alias("all_paused_"))
+    any_of = lambda *names: F.coalesce(F.greatest(*[F.coalesce(F.col(n), F.lit(False)) for n in names]), F.lit(False))
+    marked = requests.join(named, F.col(key) == F.col("c_url"), "left").join(everything, F.lit(True))
+    alive, waits = marked.filter(~any_of("down_", "all_cancelled_", "cancelled_")), any_of("all_paused_", "paused_")
+    return alive.filter(~waits).select(*requests.columns), alive.filter(waits).select(*requests.columns)
 
 
 def request_hook(requests: DataFrame, action: Column, delay_ms: Column | None = None, order: str = "seq") -> DataFrame:
@@ -39,10 +40,11 @@ def on_item(items: DataFrame, hook: Callable[[Column], Column]) -> DataFrame:
 
 
 def numbered_attempts(failures: DataFrame, key: str = "url", order: str = "seq", kind: str = "kind", retries: int = 3, refetches: int = 5) -> DataFrame:
-    """failures with attempt, counted for each key and kind (retry or refetch) by itself, and again: whether it is tried once more."""
-    n = F.row_number().over(Window.partitionBy(key, kind).orderBy(order))
+    """failures with attempt, counted for each key and kind (retry or refetch) by itself, and again: whether it is tried once more. order tells failures apart;
+    a key of many failures is split."""
+    n = scan.numbered(failures, [key, kind], [order], "attempt")
     most = F.when(F.col(kind) == "refetch", refetches).otherwise(retries)
-    return failures.withColumn("attempt", n).withColumn("again", F.col("attempt") <= most)
+    return n.withColumn("attempt", (F.col("attempt") + 1).cast("int")).withColumn("again", F.col("attempt") <= most)
 
 
 def recovery(failures: DataFrame, retries: int = 3) -> DataFrame:

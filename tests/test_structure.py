@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import Window, functions as F
 
-from corpusmill.operators import dom, frontier, queues, rules, scan, stats, structure
+from corpusmill.operators import control, dom, frontier, queues, rules, scan, stats, structure
 from corpusmill.operators.html_tree import parse
 from corpusmill.operators.selectors import Matcher
 from corpusmill.plans import spider as S
@@ -275,3 +275,16 @@ def test_seen_set_is_exact_and_joins_little(spark):
     got = s.new_of(asked).collect()
     assert sorted((x.id, x.url is None) for x in got) == sorted([(i, False) for i in range(12_000, 30_000)] + [(29_999, False), (1, True)])
     assert queues.SeenSet(spark, s.path, expected=20_000, urls_per_bucket=2000).urls().distinct().count() == 12_000
+
+
+def test_control_states(spark):
+    r = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("d", 4), (None, 5)], "url string, seq int")
+
+    def split(rows):
+        going, waiting = control.control_filter(r, spark.createDataFrame(rows, "url string, state string"))
+        return sorted(x.seq for x in going.collect()), sorted(x.seq for x in waiting.collect())
+
+    assert split([]) == ([1, 2, 3, 4, 5], [])
+    assert split([("a", "cancelled"), ("b", "paused"), ("b", "cancelled"), ("c", "paused"), ("c", "paused")]) == ([4, 5], [3])
+    assert split([(None, "paused"), ("a", "cancelled")]) == ([], [2, 3, 4, 5])
+    assert split([(None, "cancelled")]) == split([("x", "shutdown")]) == split([(None, "shutdown"), ("a", "paused")]) == ([], [])
