@@ -258,7 +258,7 @@ class _Source:
 
     def sets(self, reps: DataFrame, most: int = 1_000_000) -> DataFrame:
         """node and s (the whole set) of the documents in reps: node, doc_id, t; a written table, which is broadcast while it has `most`
-        rows at most (24 bytes each), so that only the sets are shuffled; beyond that the texts are, by their hash."""
+        rows at most (24 bytes each), so that only the sets are shuffled; beyond that the texts are, by their hash. Equal rows of the input repeat."""
         k = self.k
 
         def run(batches):
@@ -269,7 +269,7 @@ class _Source:
         wanted = reps.select("node", F.col("doc_id").alias("r_id"), F.col("t").alias("r_t"))
         wanted = F.broadcast(wanted) if reps.count() <= most else wanted
         found = self.rows.join(wanted, (F.col("t") == F.col("r_t")) & F.col("doc_id").eqNullSafe(F.col("r_id")))
-        return found.select("node", "text").mapInArrow(run, "node long, s binary").dropDuplicates(["node"])
+        return found.select("node", "text").mapInArrow(run, "node long, s binary")
 
 
 def _names(tok: np.ndarray, buckets: int) -> np.ndarray:
@@ -402,8 +402,17 @@ def shard_links(shards: DataFrame, sets: DataFrame, bounds: Bounds, block: int =
     return rows.groupBy("shard", "i", "j").applyInArrow(compare, _PAIR)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, bounds: Bounds) -> DataFrame:
-    """The pairs whose sets are as similar as asked for. sets: node, s."""
+def hot_nodes(pairs: DataFrame, block: int = 256) -> DataFrame:
+    """node and blocks of those with more than `block` pairs in either role, as the leaders of large buckets; a written table."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("h_node")).groupBy("h_node").agg(F.count(F.lit(1)).alias("c"))
+    return written(ends.filter(F.col("c") > block).select("h_node", F.ceil(F.col("c") / block).cast("int").alias("blocks")), "jaccard-hot-nodes")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, hot: DataFrame, bounds: Bounds) -> DataFrame:
+    """The pairs whose sets are as similar as asked for. sets: node, s, where rows may repeat; hot: of hot_nodes(pairs).
+
+    The pairs of a hot node are dealt out to its blocks by their other node, and its set goes to each of the blocks, so no task gets all of
+    them. Both joins read one shuffle of the sets, which also drops the repeats."""
 
     def check(batches):
         for batch in batches:
@@ -411,8 +420,14 @@ def verified(pairs: DataFrame, sets: DataFrame, bounds: Bounds) -> DataFrame:
             ok = [bounds.linked(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)) for p, q in zip(x, y, strict=True)]
             yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    with_b = pairs.join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
-    both = with_b.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a")
+    blocks = F.coalesce("blocks", F.lit(1))
+    each = sets.join(hot, F.col("node") == F.col("h_node"), "left").select("node", "s", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block_")).dropDuplicates(["node", "block_"])
+
+    def with_set(met: DataFrame, end: str, other: str, out: str) -> DataFrame:
+        dealt = met.join(hot, F.col(end) == F.col("h_node"), "left").withColumn("block_", F.pmod(F.xxhash64(other), blocks).cast("int")).drop("h_node", "blocks")
+        return dealt.join(each.select(F.col("node").alias(end), "block_", F.col("s").alias(out)), [end, "block_"]).drop("block_")
+
+    both = with_set(with_set(pairs, "b", "a", "y"), "a", "b", "x")
     return both.select("a", "b", "x", "y").mapInArrow(check, _PAIR)
 
 
@@ -447,9 +462,10 @@ def joined_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def links_of(pairs: DataFrame, name: str) -> DataFrame:
         ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         wanted = written(classes.join(ids, "node", "left_semi").select("node", "doc_id", "t"), name + "-ids")
+        hot = hot_nodes(pairs)
         with arrow_rows(spark, _ROWS):
-            out = written(verified(pairs, source.sets(wanted), bounds), name + "-links")
-        discard(wanted)
+            out = written(verified(pairs, source.sets(wanted), hot, bounds), name + "-links")
+        discard(wanted, hot)
         return out
 
     inner = members.filter("members > 1 and gid <> node").select(F.col("gid").alias("a"), F.col("node").alias("b"))
@@ -467,17 +483,19 @@ def joined_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not shards.isEmpty():
         ids = written(classes.join(shards.select(F.col("id").alias("node")).distinct(), "node", "left_semi").select("node", "doc_id", "t"), "jaccard-shard-ids")
         with arrow_rows(spark, _ROWS):
-            across = written(shard_links(shards, source.sets(ids).withColumnRenamed("node", "id"), bounds), "jaccard-shard-links")
+            across = written(shard_links(shards, source.sets(ids).dropDuplicates(["node"]).withColumnRenamed("node", "id"), bounds), "jaccard-shard-links")
         discard(ids)
         more = more.union(across)
     comps = written(components(stars.union(more)), "jaccard-components")
     of_class = classes.join(comps.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("n", "h1", "h2", "g", "doc_id", F.coalesce("component", "node").alias("component"))
     of_class = written(of_class, "jaccard-class-components")
-    least = of_class.groupBy(F.col("component").alias("of")).agg(F.min("doc_id").alias("component_id"))
-    named = written(of_class.join(least, F.col("component") == F.col("of")).select(F.col("n").alias("c_n"), F.col("h1").alias("c_h1"), F.col("h2").alias("c_h2"), F.col("g").alias("c_g"), "component", "component_id"), "jaccard-classes")
+    least = of_class.groupBy(F.col("component").alias("of")).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    least = written(least.select("of", "least"), "jaccard-least")  # a table of its own, so that the join splits large components, or needs no shuffle
+    of_class = of_class.join(least, F.col("component") == F.col("of"), "left").withColumn("component_id", F.when(F.col("of").isNull(), F.col("doc_id")).otherwise(F.col("least")))
+    named = written(of_class.select(F.col("n").alias("c_n"), F.col("h1").alias("c_h1"), F.col("h2").alias("c_h2"), F.col("g").alias("c_g"), "component", "component_id"), "jaccard-classes")
     out = rows.drop("often").join(named, (F.col("h1") == F.col("c_h1")) & (F.col("h2") == F.col("c_h2")) & (F.col("n") == F.col("c_n")) & (F.col("g") == F.col("c_g")), "left")
     out = written(out.select("doc_id", "t", F.col("n").alias("n_shingles"), F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "component"), "jaccard-rows")
-    discard(hashed, classes, groups, members, found, keys, tested, stars, known, member, left, shards, of_class, comps, named)
+    discard(hashed, classes, groups, members, found, keys, tested, stars, known, member, left, shards, of_class, comps, named, least)
     return out
 
 

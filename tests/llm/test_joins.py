@@ -27,6 +27,7 @@ def corpus(seed=5, n=260):
 def test_jaccard_equals_all_pairs(spark, monkeypatch, k, num, small, most):
     monkeypatch.setattr(jaccard.cross_pairs, "__defaults__", (small,))
     monkeypatch.setattr(jaccard.shard_links, "__defaults__", (8,))
+    monkeypatch.setattr(jaccard.hot_nodes, "__defaults__", (256 if most == 1 << 20 else 2,))
     rows = corpus()
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n long")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.joined_rows(df, k=k, num=num, most=most).collect()}
@@ -42,6 +43,21 @@ def test_jaccard_of_nothing_and_of_repeats(spark):
     assert jaccard.jaccard_classes(df.limit(0)).count() == 0
 
 
+def test_pairs_of_a_hot_node_are_dealt_out(spark):
+    sets = [set(range(i % 4, 20)) for i in range(400)]
+    pairs = [(0, i) for i in range(1, 400)] + [(i, 399) for i in range(1, 40)]
+    packed = [(i, np.array(sorted(s), np.uint64).tobytes()) for i, s in enumerate(sets)]
+    known = spark.createDataFrame([*packed, *packed[:7]], "node long, s binary")  # some twice
+    table = spark.createDataFrame(pairs, "a long, b long")
+    hot = jaccard.hot_nodes(table, 16)
+    assert {r.h_node: r.blocks for r in hot.collect()} == {0: 25, 399: 3}
+    bounds = jaccard.Bounds(90, 100)
+    got = sorted((r.a, r.b) for r in jaccard.verified(table, known, hot, bounds).collect())
+    assert got == sorted((a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]))
+    none = table.limit(0)
+    assert jaccard.verified(none, known, jaccard.hot_nodes(none), bounds).count() == 0
+
+
 def test_shingles():
     got = jaccard.shingle_sets(pa.array(["A b c d", "a B c d e", "x", None, "  "]), 4)
     assert [len(x) for x in got] == [1, 2, 1, 0, 0] and got[0][0] in got[1]
