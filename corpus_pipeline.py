@@ -28,11 +28,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     with the same id and text. Texts of any length are compared whole. No rows give no rows; columns other than those of documents are dropped."""
     rows = jaccard.joined_rows(docs, k=5, num=80, den=100)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "t")
-    keepers = rows.filter("component is not null").groupBy(F.col("component").alias("of")).agg(F.min(order).alias("least"))
+    keepers = rows.filter("component is not null").groupBy(F.col("component").alias("of")).agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("rows"))
+    keepers = written(keepers.filter("rows > 1").select("of", "least"), "keepers")  # a table of its own, so that the join splits large components
     gone = rows.join(keepers, F.col("component") == F.col("of")).filter(order != F.col("least")).select(F.col("doc_id").alias("g_id"), F.col("t").alias("g_t"))
     again = rows.groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select(F.col("doc_id").alias("a_id"), F.col("t").alias("a_t"))
     gone, again = written(gone.distinct(), "copies"), written(again, "repeated-rows")
-    discard(rows)
+    discard(rows, keepers)
     text = F.xxhash64(F.col("text").cast("string"))
     kept = docs.select(COLUMNS).join(gone, (text == F.col("g_t")) & F.col("doc_id").eqNullSafe(F.col("g_id")), "left_anti")
     same = (text == F.col("a_t")) & F.col("doc_id").eqNullSafe(F.col("a_id"))
