@@ -104,10 +104,11 @@ def _first(patterns: list[str], values: list, kind: str, path: Column, url: Colu
 def resolve_modes(requests: DataFrame, rules: DataFrame, url_col: str = "url", few: int = 500) -> DataFrame:
     """requests with mode: of the first rule whose pattern is found in the path or the url, user rules before learned ones; null without one.
 
-    rules: kind (user or auto), rule_order, pattern, mode; any number. Up to `few` become one expression. More are an index: every pattern that requires a text of three
+    rules: kind (user or auto), rule_order, pattern, mode; any number. Up to `few` patterns become one expression. More are an index: every pattern that requires a text of three
     characters is kept under that three-character part of it which the fewest urls have, distinct urls are joined by their parts, and only pairs
     whose url has the whole required text are matched. Patterns that require no such text are expressions, a thousand of them at a time."""
-    keyed = rules.select((F.col("kind") != "user").alias("auto"), F.col("rule_order").cast("long").alias("rule_order"), "pattern", "mode")
+    rule = F.min(F.struct((F.col("kind") != "user").alias("auto"), F.col("rule_order").cast("long").alias("rule_order"), "pattern", "mode"))
+    keyed = rules.filter("pattern is not null").groupBy("pattern").agg(rule.alias("r_")).select("r_.*")  # of equal patterns only the first rule can count
     order = lambda r: (r.auto, r.rule_order, r.pattern)
     url = F.col(url_col)
     path_of = lambda u: F.when(U.authority(u) != "", U.path(u)).otherwise(u)

@@ -238,6 +238,18 @@ def test_many_mode_rules_equal_the_first_that_fits(spark):
     assert all(x.mode == f"m{x.n}" for x in rules.resolve_modes(asked, many).collect())
 
 
+def test_rules_of_one_pattern_are_met_once(spark, monkeypatch):
+    """Of many rules with equal patterns the first counts, and only it is held against urls: a table of rules is left with a row for each pattern."""
+    kept = []
+    monkeypatch.setattr(rules, "written", lambda df, name: kept.append((name, df.count())) or df)
+    table = spark.range(3000).select(F.when(F.col("id") % 1000 == 999, "user").otherwise("auto").alias("kind"), F.col("id").cast("int").alias("rule_order"), F.format_string("^/part/%d", F.col("id") % 6).alias("pattern"), F.format_string("m%d", "id").alias("mode"))
+    table = table.union(spark.createDataFrame([("user", 0, None, "none")], "kind string, rule_order int, pattern string, mode string"))
+    asked = spark.createDataFrame([(f"https://a.example/part/{i}/x", i) for i in range(8)], "url string, n int")
+    got = {x.n: x.mode for x in rules.resolve_modes(asked, table, few=3).collect()}
+    assert got == {0: "m0", 1: "m1999", 2: "m2", 3: "m999", 4: "m4", 5: "m2999", 6: None, 7: None}
+    assert dict(kept)["mode-rules"] == 6
+
+
 def test_priority_frontier_equals_a_sort(spark):
     r, waiting, seq = random.Random(6), [], 0
     f = queues.PriorityFrontier(spark, frontier.new_path(spark, "priority"))
