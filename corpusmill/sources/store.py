@@ -36,9 +36,11 @@ def cache_key(method: Column, url: Column) -> Column:
 
 
 def with_cache(requests: DataFrame, cache: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:
-    """Requests answered by the cache (marked from_cache, with its columns) and the others. cache: method, url, cached_at, ttl_secs, ..."""
-    c = cache.filter(live(F.col("cached_at"), F.col("ttl_secs"), F.lit(now)))
+    """Requests answered by the cache (marked from_cache, with its columns) and the others. cache: method, url, cached_at, ttl_secs, ...; of several entries
+    for one method and url the latest counts, so a request is in one of the two results, once."""
     keys = ["method", "url"]
+    order = F.struct("cached_at", F.col("ttl_secs").isNull(), "ttl_secs")  # of one time the longest-lived
+    c = latest(cache.withColumn("o_", order), keys, "o_").drop("o_").filter(live(F.col("cached_at"), F.col("ttl_secs"), F.lit(now)))
     return requests.join(c, keys).withColumn("from_cache", F.lit(True)), requests.join(c.select(keys), keys, "left_anti")
 
 

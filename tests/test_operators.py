@@ -106,6 +106,19 @@ def test_store(spark, tmp_path):
     assert c.read() is None
 
 
+def test_cache_with_several_entries_of_an_url(spark, tmp_path):
+    """Each request is answered once or left, by the latest entry; and the query's pages have entries of their own where urls repeat."""
+    asked = spark.createDataFrame([("GET", u, i) for i, u in enumerate("aabcd")], "method string, url string, n int")
+    entries = [("a", 5, None, "old"), ("a", 9, None, "new"), ("b", 1, None, "old"), ("b", 2, 3, "gone"), ("c", 4, None, "for ever"), ("c", 4, 1, "gone"), ("d", None, 5, "no time")]
+    cache = spark.createDataFrame([("GET", *e) for e in entries], "method string, url string, cached_at long, ttl_secs long, body string")
+    hit, miss = store.with_cache(asked, cache, now=10)
+    assert sorted((x.n, x.body) for x in hit.collect()) == [(0, "new"), (1, "new"), (3, "for ever")]
+    assert sorted(x.n for x in miss.collect()) == [2, 4]
+    spark.range(120).select(F.col("id").alias("page_id"), F.format_string("https://a.example/%d", F.col("id") % 40).alias("url"), F.lit("").alias("html")).write.parquet(f"{tmp_path}/pages.parquet")
+    got = {x.page_id: x.hit for x in Q.QUERIES["q_cache_hit_split"](spark, str(tmp_path)).collect()}
+    assert got == {i: i % 3 == 0 and (i % 2 == 0 or i >= 50) for i in range(120)}
+
+
 def test_sinks(spark, tmp_path):
     items = S.as_items(spark.createDataFrame([('{"html":"<h1>T</h1>"}', "https://e.com/a"), ('{"text":"t\\n"}', "https://e.com/b"), (None, "x")], "value string, source_url string"), "s")
     out = sinks.ItemOutput(f"file://{tmp_path}/j", "json")
