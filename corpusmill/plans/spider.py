@@ -177,7 +177,9 @@ def on_content(pages: DataFrame, selectors: tuple[str, ...], clean: Callable[[Co
     new = F.create_map(F.lit("content"), F.to_variant_object(F.array(clean(dom.content_text(F.col("html"), selectors)))), F.lit("url"), F.to_variant_object(F.array(F.col("url"))))
     first = F.transform_values(new, lambda _, v: F.variant_get(v, "$[0]", "variant"))
     old = F.map_filter(F.coalesce(meta, F.create_map().cast("map<string,variant>")), lambda k, _: ~k.isin("content", "url"))
-    return pages.select(F.to_json(F.map_concat(old, first)).alias("value"), F.col("url").alias("source_url"), *(["callback"] if "callback" in pages.columns else []))
+    # never null, and Spark knows it: a filter on it, as of as_items(), would have pages parsed twice
+    value = F.coalesce(F.to_json(F.map_concat(old, first)), F.lit("{}"))
+    return pages.select(value.alias("value"), F.col("url").alias("source_url"), *(["callback"] if "callback" in pages.columns else []))
 
 
 def crawl_site(pages: DataFrame, start_urls: list[str], css: str, follow: str | None = None, options: Options = Options(), robots: DataFrame | None = None, state: str | None = None) -> DataFrame:
