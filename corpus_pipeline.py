@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusmill.llm import jaccard, packing, quality, secrets
-from corpusmill.llm.shared import discard, written
+from corpusmill.llm.shared import discard, perhaps, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -35,9 +35,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     gone, again = written(gone.distinct(), "copies"), written(again, "repeated-rows")
     discard(rows, keepers)
     text = F.xxhash64(F.col("text").cast("string"))
-    kept = docs.select(COLUMNS).join(gone, (text == F.col("g_t")) & F.col("doc_id").eqNullSafe(F.col("g_id")), "left_anti")
+    keys = gone.select(F.xxhash64("g_id", "g_t").alias("key")).union(again.select(F.xxhash64("a_id", "a_t")))
+    docs = perhaps(docs.select(COLUMNS), F.xxhash64(F.col("doc_id").cast("long"), text), keys)  # so the texts of all others, which stay, need no shuffle
+    kept = docs.filter("perhaps").join(gone, (text == F.col("g_t")) & F.col("doc_id").eqNullSafe(F.col("g_id")), "left_anti")
     same = (text == F.col("a_t")) & F.col("doc_id").eqNullSafe(F.col("a_id"))
-    return kept.join(again, same, "left_anti").union(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])).select(COLUMNS)
+    once = kept.join(again, same, "left_anti").union(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return docs.filter("not perhaps").union(once).select(COLUMNS)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from corpusmill.llm.bpe import slices
 from corpusmill.llm.graph import components, forest
-from corpusmill.llm.shared import arrow_rows, discard, need, written
+from corpusmill.llm.shared import arrow_rows, discard, need, perhaps, written
 
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 _SLICE, _ROWS = 1 << 20, 1000  # bytes of text at once; rows that go to a Python worker at once
@@ -258,7 +258,8 @@ class _Source:
 
     def sets(self, reps: DataFrame, most: int = 1_000_000) -> DataFrame:
         """node and s (the whole set) of the documents in reps: node, doc_id, t; a written table, which is broadcast while it has `most`
-        rows at most (24 bytes each), so that only the sets are shuffled; beyond that the texts are, by their hash. Equal rows of the input repeat."""
+        rows at most (24 bytes each), so that only the sets are shuffled; beyond that the texts that reps name are, by their hash. Equal rows of
+        the input repeat."""
         k = self.k
 
         def run(batches):
@@ -267,8 +268,12 @@ class _Source:
                     yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), k)], pa.binary())], names=["node", "s"])
 
         wanted = reps.select("node", F.col("doc_id").alias("r_id"), F.col("t").alias("r_t"))
-        wanted = F.broadcast(wanted) if reps.count() <= most else wanted
-        found = self.rows.join(wanted, (F.col("t") == F.col("r_t")) & F.col("doc_id").eqNullSafe(F.col("r_id")))
+        if reps.count() <= most:
+            rows, wanted = self.rows, F.broadcast(wanted)
+        else:
+            keys = wanted.select(F.xxhash64("r_id", "r_t").alias("key"))
+            rows = perhaps(self.rows, F.xxhash64("doc_id", "t"), keys).filter("perhaps").drop("perhaps")
+        found = rows.join(wanted, (F.col("t") == F.col("r_t")) & F.col("doc_id").eqNullSafe(F.col("r_id")))
         return found.select("node", "text").mapInArrow(run, "node long, s binary")
 
 

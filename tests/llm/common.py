@@ -56,3 +56,18 @@ def cosines(rows, t):
                 links.append((i, j))
     root = joined(len(rows), links)
     return {r[0]: (sum(i in x for x in links), rows[root[i]][0]) for i, r in enumerate(rows)}
+
+
+def shuffled(spark, run):
+    """Bytes that the stages of run() write to shuffles."""
+
+    def stages():
+        context = spark.sparkContext._jsc.sc()
+        context.listenerBus().waitUntilEmpty(30_000)
+        store = context.statusStore()
+        found = store.stageList(*(getattr(store, f"stageList$default${i}")() if i > 1 else None for i in range(1, 6)))
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in map(found.apply, range(found.size()))}
+
+    before = stages()
+    run()
+    return sum(n for key, n in stages().items() if key not in before)

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corpusmill.llm import embeddings, graph, jaccard, pieces
-from tests.llm.common import cosines, jaccard as brute, joined
+from tests.llm.common import cosines, jaccard as brute, joined, shuffled
 
 
 def corpus(seed=5, n=260):
@@ -58,6 +58,25 @@ def test_pairs_of_a_hot_node_are_dealt_out(spark):
     assert jaccard.verified(none, known, jaccard.hot_nodes(none), bounds).count() == 0
 
 
+def test_texts_that_are_not_asked_for_are_not_shuffled(spark):
+    """With more documents than are broadcast."""
+    r = random.Random(4)
+    rows = [(i, " ".join(f"{r.randrange(10**12):x}" for _ in range(400))) for i in range(300)] + [(None, "a b c"), (None, None), (7, "d e f")]
+    source = jaccard._Source(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 2, jaccard.Bounds(80, 100))
+    reps = source.rows.filter("doc_id < 20 or doc_id is null").select(F.monotonically_increasing_id().alias("node"), "doc_id", "t")
+    reps = spark.createDataFrame(reps.collect(), reps.schema)
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        found = []
+        moved = shuffled(spark, lambda: found.extend(source.sets(reps, most=5).collect()))
+    finally:
+        spark.conf.set(name, before)
+    assert len(found) == 23 and sorted(map(tuple, found)) == sorted(map(tuple, source.sets(reps).collect()))
+    assert moved < sum(len(t or "") for _, t in rows) / 4
+
+
 def test_shingles():
     got = jaccard.shingle_sets(pa.array(["A b c d", "a B c d e", "x", None, "  "]), 4)
     assert [len(x) for x in got] == [1, 2, 1, 0, 0] and got[0][0] in got[1]

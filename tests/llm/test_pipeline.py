@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from corpusmill.llm import queries
-from tests.llm.common import jaccard
+from corpusmill.llm.shared import perhaps
+from tests.llm.common import jaccard, shuffled
 from tests.llm.test_text_operators import base_rules, brute_secrets
 
 
@@ -65,3 +66,32 @@ def test_stages_on_odd_rows(spark):
     assert sum(p.doc_id == 4 for p in pieces) == 2 and sum(p.length for p in pieces if p.doc_id is None) == 1
     for _, stage in P.STAGES:
         assert stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_texts_that_stay_are_not_shuffled(spark):
+    """Also where the table of the copies is too large for a broadcast."""
+    r = random.Random(3)
+    texts = [" ".join(f"{r.randrange(10**12):x}" for _ in range(400)) for _ in range(300)]
+    rows = [(i, t, "en", "h", len(t)) for i, t in enumerate(texts)] + [(i + 1000, texts[i], "en", "h", 0) for i in range(20)] + [(i, texts[i], "en", "h", 0) for i in range(10, 25)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        left = P.near_duplicates(spark, docs, "")
+        found = []
+        moved = shuffled(spark, lambda: found.extend(left.select("doc_id", "text").collect()))
+    finally:
+        spark.conf.set(name, before)
+    assert sorted(map(tuple, found)) == list(enumerate(texts))
+    assert moved < sum(map(len, texts)) / 4
+
+
+def test_keys_that_perhaps_are_there(spark):
+    keys = spark.range(5000).select(F.xxhash64("id").alias("key")).union(spark.range(7).select(F.xxhash64("id"))).union(spark.createDataFrame([(0,), (-1,), (2**63 - 1,), (-(2**63),)], "key long"))
+    rows = keys.select("key", F.lit(True).alias("in")).union(spark.range(5000, 105_000).select(F.xxhash64("id"), F.lit(False)))
+    count = lambda df: {(r["in"], r.perhaps): r["count"] for r in df.groupBy("in", "perhaps").count().collect()}
+    got = count(perhaps(rows, F.col("key"), keys))
+    assert got[True, True] == 5011 and (True, False) not in got and got[False, True] < 300
+    assert count(perhaps(rows, F.col("key"), keys, most=5010)) == {(True, True): 5011, (False, True): 100_000}
+    assert count(perhaps(rows, F.col("key"), keys.limit(0))) == {(True, False): 5011, (False, False): 100_000}
