@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusmill.llm import jaccard, packing, quality, secrets
 from corpusmill.llm.shared import discard, perhaps, written
+from corpusmill.sources.shared import small_batches
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -48,6 +49,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null text stays null and an empty one empty; texts of any length are scanned whole; repeated rows are treated alike, with null ids or
     not. No rows give no rows; columns other than those of documents are dropped."""
+    small_batches(spark)
     found = secrets.redact(secrets.scan(docs, out="secret_spans"), spans_col="secret_spans")
     return found.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
@@ -59,7 +61,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     packed each. No rows give no pieces; other columns are not read."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=50256)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=50256, at_once=1 << 20)
 
 
 STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("secret_scan", secret_scan), ("packing", packed)]

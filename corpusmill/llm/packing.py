@@ -93,14 +93,15 @@ class Packer:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[at : at + _ROWS], strict=True), _ARROW, strict=True)], schema=_ARROW)
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", seq_len: int = 2048, windows: int = 32, min_cut: int = 16, fan_in: int = 8) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", seq_len: int = 2048, windows: int = 32, min_cut: int = 16, fan_in: int = 8, at_once: int = 4 << 20) -> DataFrame:
     """One row per piece: doc_id, start and length within its document's ids, doc_tokens, ids (little-endian
     unsigned 32-bit), sequence_id, offset in the sequence.
 
     Each document's ids end with end_id; every id lies in exactly one piece, and each sequence is filled from
     offset 0 without gaps. seq_len is a power of two. A null text counts as empty (end_id alone); null or repeated
     ids of documents stay as they are, each row being packed by itself. Without rows there are no pieces. Only the
-    two named columns are read. tokenizer is a file that is present on all machines.
+    two named columns are read. tokenizer is a file that is present on all machines. at_once: bytes of text that are encoded at once;
+    fewer take less memory and more time, and give the same pieces.
     """
     if seq_len < 1 or seq_len & (seq_len - 1):
         raise ValueError("seq_len must be a power of two")
@@ -110,7 +111,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", t
         grp = TaskContext.get().partitionId()
         packer = Packer(seq_len, windows, min_cut, grp << 32)
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", at_once):
                 offsets, ids = encoder(tokenizer).encode(batch.column(1), end_id)
                 for k, doc_id in enumerate(batch.column(0).to_pylist()):
                     own = ids[offsets[k] : offsets[k + 1]]

@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from corpusmill.llm import queries
+from corpusmill.llm import packing, queries
 from corpusmill.llm.shared import perhaps
 from tests.llm.common import jaccard, shuffled
 from tests.llm.test_text_operators import base_rules, brute_secrets
@@ -95,3 +95,11 @@ def test_keys_that_perhaps_are_there(spark):
     assert got[True, True] == 5011 and (True, False) not in got and got[False, True] < 300
     assert count(perhaps(rows, F.col("key"), keys, most=5010)) == {(True, True): 5011, (False, True): 100_000}
     assert count(perhaps(rows, F.col("key"), keys.limit(0))) == {(True, False): 5011, (False, False): 100_000}
+
+
+def test_pieces_are_the_same_with_less_encoded_at_once(spark):
+    import public_tokenizers
+
+    docs = spark.createDataFrame(documents(), "doc_id long, text string, lang string, source string, n_chars long")
+    rows = lambda most: sorted(map(tuple, packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=50256, at_once=most).collect()), key=str)
+    assert rows(500) == rows(4 << 20)
